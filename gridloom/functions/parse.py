@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gridloom.functions.keys import match_key, unaccent
 
@@ -30,7 +31,7 @@ MARKS = ("Hélas", "Bof", "T", "TT", "TTT", "TTTT")
 PRIORITY_ORDER = ("Bravo", "Très bien", "Bien")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numeric_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda t: re.sub(r"&#(?:x[0-9a-fA-F]+|\d+);", lambda m: html.unescape(m[0]), t), na_action="ignore")
 
