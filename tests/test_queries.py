@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers every query
 from gridloom.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare
 
