@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.staging import staged
+
 
 def classify(groups: DataFrame) -> DataFrame:
     """Paused, conflicted, materialised, reusable or new; and the requirements that are open.
@@ -136,10 +138,11 @@ def priority_queue(rows: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows with their place in the order of the keys. The order is global: Spark sorts by range, and the place is counted per sorted partition.
 
     Places come from the sizes of the sorted partitions, so that no task holds the
-    whole queue.
+    whole queue. The sorted rows are staged: their range bounds are sampled, and both
+    readers must see the same ones.
     """
     ordered = rows.orderBy(*keys).withColumn("_m", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered = staged(ordered.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))), "queue")
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.select(F.col("_p"), F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ordered.join(F.broadcast(before), "_p").withColumn("place", F.col("_b") + F.col("_i") + 1).drop("_m", "_p", "_i", "_b")  # one row a partition
