@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of other than these bytes, in every operator that splits on white space.
@@ -73,8 +73,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     ``component`` is the smallest node of the component. Alternating large-star
     and small-star steps shrink the graph to stars; each step is a group-by with
-    a partial minimum and a join, and is staged. Nothing but the number of
-    changed edges reaches the driver. An empty table gives an empty table; edges
+    a partial minimum and a join, and is staged. Nothing but a
+    fingerprint of the edge table reaches the driver, to tell whether it changed. An empty table gives an empty table; edges
     with a null end or equal ends are ignored.
     """
     cur = staged(
@@ -83,6 +83,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct(),
         "edges",
     )
+    fingerprint = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+    mark = fingerprint(cur)
     for _ in range(max_rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
@@ -99,9 +101,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .select("e.u", "e.v").where("u != v").distinct(),
             "edges",
         )
-        changed = nxt.exceptAll(cur).limit(1).count() or cur.exceptAll(nxt).limit(1).count()
-        cur = nxt
-        if not changed:
+        before, mark, cur = mark, fingerprint(nxt), nxt
+        if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -111,45 +112,113 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 
-def linked(buckets: DataFrame, verify, ratio: float = 0.8, star_rounds: int = 2) -> DataFrame:
+def linked(buckets: DataFrame, verify, possible, ratio: float = 0.8, pivots: int = 3, prepare=None, residuals=None) -> DataFrame:
     """Components of the verified links among nodes that share a bucket, as ``node, component`` (linked nodes only).
 
     ``buckets`` has ``key, node, n`` with n the size of a node; sizes of linked nodes
-    differ by at most ``ratio``. ``verify`` takes a table of pairs ``a, b`` (a < b)
-    and returns those that are links. A bucket is never expanded into all its pairs:
-    in each star round its nodes are held against one of them, chosen anew, and only
-    nodes that are in another component by then. At the end the pairs that still join
-    different components within a bucket are verified one by one, so that no link
-    that could join two components is lost. Hot buckets meet in joins, which are
-    split where they are skewed, and in group-bys with partial minimums.
+    differ by at most ``ratio``. ``verify`` takes pairs ``a, b`` (a < b) and returns
+    them with a measure ``m`` (or null) and whether they are a ``link``. ``possible``
+    tells from the sizes and the measures of two nodes to one pivot (nx, mx, ny, my)
+    whether the two can be linked at all. ``prepare``, if given, is called once with
+    the distinct nodes that share any bucket. With ``residuals``, which gives ``node,
+    pivot, token`` for a table of ``node, pivot``, the measures are taken to rule out
+    pairs without a common token, and pairs with one are looked up by it.
+
+    A bucket is never expanded into all its pairs. In each pivot round its nodes are
+    held against one of them: first the node that shares most buckets (a node's own
+    pivot is the most shared of these), later the most shared node outside that
+    one's component. The measures to the pivots then
+    rule out most pairs of different components within a bucket; those that no pivot
+    rules out are verified one by one, so that no link is lost. Hot buckets meet in
+    joins, which are split where they are skewed, and in group-bys with partial
+    minimums.
     """
-    keys = buckets.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
-    shared = staged(buckets.join(keys, "key"), "buckets")
-    links, comp = None, None
-    for r in range(star_rounds + 1):
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
+    shared = staged(buckets.join(sizes, "key"), "buckets")
+    popular = shared.groupBy("node").agg(F.sum("_c").alias("pop"))
+    rows = staged(shared.select("key", "node", "n").join(popular, "node"), "buckets")
+    if prepare:
+        prepare(rows.select("node").distinct())
+    links, comp, known = None, None, []
+
+    def labelled() -> DataFrame:
         if comp is None:
-            cur = shared.withColumn("comp", F.col("node"))
-        else:
-            cur = shared.join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-            cur = cur.select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("_o"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")))
-        open_ = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), centre.alias("_c")).where("_lo <> _hi")
-        open_ = open_.select("key", "_c.c", "_c.cn", "_c.cc")
-        if r < star_rounds:
-            pairs = cur.join(open_, "key").where("comp <> cc").select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("y"), F.col("cn").alias("yn"))
-        else:
-            left = cur.join(open_.select("key"), "key")
-            right = left.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-            pairs = left.join(right, "key").where("node < y AND comp <> yc").select(F.col("node").alias("x"), F.col("n").alias("xn"), "y", "yn")
-        pairs = pairs.where(F.least("xn", "yn") >= F.lit(ratio) * F.greatest("xn", "yn"))
-        pairs = staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+            return rows.withColumn("comp", F.col("node"))
+        mine = comp.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        return rows.join(mine, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("_component", "node")).drop("_node", "_component")
+
+    def open_pairs(x: dict[str, Column], y: dict[str, Column]) -> Column:
+        out = F.least(x["n"], y["n"]) >= F.lit(ratio) * F.greatest(x["n"], y["n"])
+        for m in known:
+            may = F.coalesce(possible(x["n"], x[m], y["n"], y[m]), F.lit(True))
+            out = out & (may if m != "m0" else may | ~x["pivot"].eqNullSafe(y["pivot"]))
+        return out
+
+    def joined(pairs: DataFrame) -> bool:
+        """Verify pairs and take their links in; whether there were any pairs."""
+        nonlocal links, comp
         if not pairs.limit(1).count():
-            continue
-        new = staged(verify(pairs), "links")
-        if not new.limit(1).count():
-            continue
-        links = new if links is None else links.union(new)
-        comp = staged(components(links), "components")
+            return False
+        found = staged(verify(pairs), "measures")
+        known_pairs.append(found)
+        new = found.where("link").select("a", "b")
+        if new.limit(1).count():
+            links = new if links is None else links.union(new)
+            comp = staged(components(links), "components")
+        return True
+
+    known_pairs: list[DataFrame] = []
+    for r in range(pivots):
+        cur = labelled()
+        had = [*known, *["pivot"] * bool(r)]
+        first = F.min(F.struct((-F.col("pop")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "comp", *had)).alias("p")
+        heads = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), first).where("_lo <> _hi")
+        if r:
+            others = cur.join(heads.select("key", F.col("p.comp").alias("_main")), "key").where("comp <> _main")
+            heads = others.groupBy("key").agg(first)
+        heads = staged(heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("o", "h", "node", "n", "comp", *had)]), "pivots")
+        met = cur.join(heads, "key")
+        fits = open_pairs({c: F.col(c) for c in ("n", *had)}, {c: F.col(f"p_{c}") for c in ("n", *had)})
+        pairs = met.where((F.col("comp") != F.col("p_comp")) & fits).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+        if not joined(staged(pairs, "pairs")):
+            break
+        to = known_pairs[-1].select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("m").alias(f"m{r}"))
+        if r:  # the measure to the pivot of the bucket
+            at = rows.join(heads.select("key", F.col("p_node").alias("_p")), "key", "left")
+        else:  # the measure to a node's own pivot: the most shared one of all its buckets
+            best = met.groupBy("node").agg(F.min(F.struct("p_o", "p_h", "p_node")).alias("b")).select("node", F.col("b.p_node").alias("pivot"))
+            at = rows.join(best, "node", "left").withColumn("_p", F.col("pivot"))
+        at = at.withColumn("_x", F.least("node", "_p")).withColumn("_y", F.greatest("node", "_p")).join(to, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left")
+        own = F.col("n") if residuals else F.lit(0).cast("long")  # a pivot shares all with itself, and is at distance 0
+        at = at.withColumn(f"m{r}", F.when(F.col("node") == F.col("_p"), own).otherwise(F.col(f"m{r}")))
+        rows = staged(at.drop("_a", "_b", "_x", "_y", "_p"), "buckets")
+        known.append(f"m{r}")
+
+    cur = labelled()
+    several = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+    cols = ["node", "n", "comp", *known] + ["pivot"] * bool(known)
+    left = staged(cur.join(several, "key").select("key", *cols), "buckets")
+    right = left.select("key", *[F.col(c).alias(f"y_{c}") for c in cols])
+    fits = open_pairs({c: F.col(c) for c in cols}, {c: F.col(f"y_{c}") for c in cols})
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("node") < F.col("y_node")) & (F.col("comp") != F.col("y_comp")) & fits)
+    rest = rest.select(F.col("node").alias("a"), F.col("y_node").alias("b"))
+    if residuals and known:
+        # a node and what it has beyond its pivot; two nodes of one pivot meet by what both have
+        beyond = residuals(left.where("pivot IS NOT NULL").select("node", "pivot").distinct())
+        beyond = staged(beyond.join(left.select("node", "comp", "n", "m0").distinct(), "node"), "residuals")
+        # of a node's tokens, rarest first, the last ones that a link needs anyway can't be the only ones shared
+        seen = beyond.groupBy("pivot", "token").agg(F.count("*").alias("_df"))
+        need = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * F.col("n") - 1e-6) - F.coalesce("m0", "n"))
+        mine = Window.partitionBy("node")
+        beyond = beyond.join(seen, ["pivot", "token"]).withColumn("_r", F.row_number().over(mine.orderBy("_df", "token"))).withColumn("_all", F.count("*").over(mine))
+        beyond = staged(beyond.where((F.col("_r") <= F.col("_all") - need + 1) & (F.col("_df") > 1)).select("pivot", "token", "node", "comp"), "residuals")
+        other = beyond.select("pivot", "token", F.col("node").alias("y_node"), F.col("comp").alias("y_comp"))
+        met = beyond.join(other, ["pivot", "token"]).where((F.col("node") < F.col("y_node")) & (F.col("comp") != F.col("y_comp")))
+        rest = rest.union(met.select(F.col("node").alias("a"), F.col("y_node").alias("b")))
+    rest = rest.distinct()
+    for found in known_pairs:
+        rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    joined(staged(rest, "pairs"))
     if comp is None:
-        return shared.select("node", F.col("node").alias("component")).limit(0)
+        return rows.select("node", F.col("node").alias("component")).limit(0)
     return comp

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import hinted, linked, staged
@@ -111,8 +111,8 @@ def sketches(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = RO
     return docs.mapInArrow(sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """Those of the pairs ``a, b`` of ids whose full sets have 100 * intersection >= percent * union."""
+def set_table(docs: DataFrame, ids: DataFrame, width: int = 2) -> DataFrame:
+    """``id, s``: the full sets of the documents whose ids are in ``ids`` (``node``), staged."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,12 +121,36 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int = 2, percent: int =
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "s"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = docs.join(hinted(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    kept = staged(wanted.select("doc_id", "text").mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>").dropDuplicates(["id"]), "sets")
-    both = pairs.join(kept.withColumnRenamed("id", "a").withColumnRenamed("s", "sa"), "a").join(kept.withColumnRenamed("id", "b").withColumnRenamed("s", "sb"), "b")
-    met = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return met.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    wanted = docs.join(hinted(staged(ids, "ids").withColumnRenamed("node", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    rows = wanted.select("doc_id", "text").mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>")
+    return staged(rows.dropDuplicates(["id"]), "sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs ``a, b`` of ids with the size ``m`` of the intersection of their full sets, and ``link``: 100 * intersection >= percent * union."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    met = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("m"))
+    return met.select("a", "b", "m", (100 * F.col("m") >= percent * (F.col("na") + F.col("nb") - F.col("m"))).alias("link"))
+
+
+def beyond_pivot(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, pivot, token``: what a node's set has that its pivot's lacks."""
+    both = nodes.join(sets.select(F.col("id").alias("node"), F.col("s").alias("sn")), "node").join(sets.select(F.col("id").alias("pivot"), F.col("s").alias("sp")), "pivot")
+    return both.select("node", "pivot", F.explode(F.array_except("sn", "sp")).alias("token"))
+
+
+def can_link(percent: int):
+    """Whether two sets that share nothing beyond a pivot can be similar enough, given what each shares with it.
+
+    They share at most the smaller of the two shares. Pairs that have something
+    beyond the pivot in common are found by it.
+    """
+
+    def possible(nx: Column, mx: Column, ny: Column, my: Column) -> Column:
+        most = F.least(mx, my)
+        return 100 * most >= percent * (nx + ny - most)
+
+    return possible
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +171,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     classes = staged(classes.select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), "n")
-    comp = linked(buckets, lambda pairs: confirmed(docs, pairs, width, percent), percent / 100)
+    sets: list[DataFrame] = []
+    comp = linked(
+        buckets, lambda pairs: confirmed(sets[0], pairs, percent), can_link(percent), percent / 100, pivots=1,
+        prepare=lambda nodes: sets.append(set_table(docs, nodes, width)), residuals=lambda nodes: beyond_pivot(sets[0], nodes),
+    )
     ends = classes.select("h1", "h2", "rep").join(comp.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node"), "left")
     ends = ends.select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     labelled = all_rows.select("doc_id", "n", "h1", "h2").join(ends.withColumnRenamed("h1", "_h1").withColumnRenamed("h2", "_h2"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
