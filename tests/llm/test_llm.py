@@ -283,6 +283,18 @@ def test_line_recall(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 0.75 * n, len(gone)
 
 
+def test_line_features_once(spark, monkeypatch):
+    """Features are taken of distinct lines: their number doesn't grow with the copies."""
+    line = "several quite ordinary lines about gardens rivers mountains"
+    seen, real = [], line_dedup.simhash
+    monkeypatch.setattr(line_dedup, "simhash", lambda f: seen.append(f.count()) or real(f))
+    for copies in (1, 50):
+        docs = [(i, line) for i in range(copies)] + [(99, line + "s")]
+        out = line_dedup.dedup_lines(frame(spark, docs)).collect()
+        assert sum(not r["_gone"] for r in out) == 1
+    assert seen[0] == seen[1]
+
+
 def test_line_groups_keep_one(spark, sf_dir):
     """Exact repeats always go, and what goes is alike to something that stays."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
