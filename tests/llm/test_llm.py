@@ -283,6 +283,33 @@ def test_line_recall(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 0.75 * n, len(gone)
 
 
+def test_line_recall_at_threshold(spark):
+    """Pairs of edit similarity 0.8 to 0.95, by letters or by whole words, are nearly all found; so is a word added."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnop")
+    word = lambda: "".join(rng.choice(letters, 6))
+    docs, pairs = [(-2, "several quite ordinary lines about gardens rivers"), (-1, "several quite ordinary lines about gardens rivers extra")], 0
+    for n in (8, 12, 16, 24, 60):
+        for similar in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(10):
+                w = [word() for _ in range(n)]
+                line = " ".join(w)
+                k = int(len(line) * (1 - similar) + 1e-9)
+                typos = list(line)
+                for i in rng.choice(len(line), k, replace=False):
+                    typos[i] = letters[(letters.index(typos[i]) + 1) % 16] if typos[i] != " " else "q"
+                for i in rng.choice(n, k // 6, replace=False):
+                    w[i] = word()
+                for other in ("".join(typos), " ".join(w)):
+                    turn = 1 if pairs % 2 else -1  # read backwards, a line shares nothing with itself
+                    docs += [(2 * pairs, line[::turn]), (2 * pairs + 1, other[::turn])]
+                    pairs += 1
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    gone = {r["doc_id"] for r in out if r["_gone"]}
+    assert -1 in gone and all(i % 2 for i in gone)
+    assert len(gone) >= 0.97 * pairs, (len(gone), pairs)
+
+
 def test_line_features_once(spark, monkeypatch):
     """Features are taken of distinct lines: their number doesn't grow with the copies."""
     line = "several quite ordinary lines about gardens rivers mountains"
