@@ -310,6 +310,31 @@ def test_line_recall_at_threshold(spark):
     assert len(gone) >= 0.97 * pairs, (len(gone), pairs)
 
 
+def test_long_lines_by_edits(spark):
+    """On both sides of 4,096 characters edit similarity decides, as in brute force."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    cases = []
+    for n in (580, 600):
+        w = [word() for _ in range(n)]
+        line = " ".join(w)
+        typos = " ".join(x[:2] + "z" + x[3:] for x in w)
+        cases += [(line, " ".join(w[::-1])), (line, typos)]
+
+    def edits(a, b):
+        b = np.array(list(b))
+        at = np.arange(len(b) + 1)
+        row = at.copy()
+        for i, c in enumerate(a, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != c))])
+            row = np.minimum.accumulate(new - at) + at
+        return int(row[-1])
+
+    want = [edits(a, b) <= 0.2 * max(len(a), len(b)) for a, b in cases]
+    got = line_dedup.compared(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], "k int, sa string, sb string")).orderBy("k").collect()
+    assert [r["link"] for r in got] == want == [False, True, False, True]
+
+
 def test_line_features_once(spark, monkeypatch):
     """Features are taken of distinct lines: their number doesn't grow with the copies."""
     line = "several quite ordinary lines about gardens rivers mountains"
