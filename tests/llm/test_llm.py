@@ -335,6 +335,15 @@ def test_long_lines_by_edits(spark):
     assert [r["link"] for r in got] == want == [False, True, False, True]
 
 
+def test_short_and_unspaced_lines(spark):
+    """Lines of few words and lines without spaces take part, by equality and by edits."""
+    lines = ["privacy policy", "read more", "subscribe now", "本网站内容版权归原作者所有未经许可不得转载", "版权所有", "agreement"]
+    docs = [(k, line) for k, line in enumerate(lines)] + [(10 + k, line) for k, line in enumerate(lines)] + [(20, lines[3].replace("所有", "享有")), (21, "privacy policies")]
+    out = {r["doc_id"]: len(r["_gone"]) for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    # two lines have fewer than ten bytes
+    assert {i for i, n in out.items() if n} == {10, 12, 13, 14, 20, 21}
+
+
 def test_line_features_once(spark, monkeypatch):
     """Features are taken of distinct lines: their number doesn't grow with the copies."""
     line = "several quite ordinary lines about gardens rivers mountains"
