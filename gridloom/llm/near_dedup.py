@@ -93,7 +93,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sketches(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n, h1, h2, bands`` of each whole text: set size, 128-bit digest of the set, band keys (none for an empty set)."""
+    """``doc_id, t, n, h1, h2, bands`` of each whole text: its 64-bit hash, set size, 128-bit digest of the set, band keys (none for an empty set)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,14 +105,15 @@ def sketches(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = RO
                 keys.append(band_keys(signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "bands"])
+            columns = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bands array<long>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return hashed.mapInArrow(sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n long, h1 long, h2 long, bands array<long>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, width: int = 2) -> DataFrame:
-    """``id, s``: the full sets of the documents whose ids are in ``ids`` (``node``), staged."""
+def set_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int = 2) -> DataFrame:
+    """``id, s``: the full sets of the ``classes`` whose nodes are in ``ids`` (``node``), by the text of the row that stands for each, staged."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,8 +122,9 @@ def set_table(docs: DataFrame, ids: DataFrame, width: int = 2) -> DataFrame:
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "s"])
 
-    wanted = docs.join(hinted(staged(ids, "ids").withColumnRenamed("node", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-    rows = wanted.select("doc_id", "text").mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>")
+    texts = staged(classes.select("node", "rep", F.col("t").alias("_t")).join(ids, "node", "left_semi"), "ids")
+    wanted = docs.join(hinted(texts, BROADCAST_IDS), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("_t")))
+    rows = wanted.select("node", "text").mapInArrow(sets, "id long, s array<long>")
     return staged(rows.dropDuplicates(["id"]), "sets")
 
 
@@ -167,17 +169,20 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     all_rows = staged(sketches(docs, width), "sketches")
     named = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    # one of each class of equal sets; the partial minimum takes a hot class in before the shuffle
-    classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
-    classes = staged(classes.select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"), "n")
+    # one of each class of equal sets, numbered; the partial minimum takes a hot class in before the shuffle
+    classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "n", "bands")).alias("r"))
+    numbered = classes.select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"), F.monotonically_increasing_id().alias("node"))
+    classes = staged(numbered, "classes")
+    buckets = classes.select(F.explode("bands").alias("key"), "node", "n")
     sets: list[DataFrame] = []
     comp = linked(
         buckets, lambda pairs: confirmed(sets[0], pairs, percent), can_link(percent), percent / 100, pivots=1,
-        prepare=lambda nodes: sets.append(set_table(docs, nodes, width)), residuals=lambda nodes: beyond_pivot(sets[0], nodes),
+        prepare=lambda nodes: sets.append(set_table(docs, classes, nodes, width)), residuals=lambda nodes: beyond_pivot(sets[0], nodes),
     )
-    ends = classes.select("h1", "h2", "rep").join(comp.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node"), "left")
-    ends = ends.select("h1", "h2", F.coalesce("component", "rep").alias("c"))
+    ends = classes.select("h1", "h2", "rep", "node").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    ends = ends.select("h1", "h2", "rep", F.coalesce("component", "node").alias("component"))
+    least = ends.groupBy("component").agg(F.min("rep").alias("c")).withColumnRenamed("component", "_component")
+    ends = ends.join(least, F.col("component") == F.col("_component")).select("h1", "h2", "c")
     labelled = all_rows.select("doc_id", "n", "h1", "h2").join(ends.withColumnRenamed("h1", "_h1").withColumnRenamed("h2", "_h2"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -176,6 +176,19 @@ def test_near_duplicates(spark, sf_dir):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Each row follows its own text, also where another text has its id; the stage keeps one row of each group."""
+    import corpus_pipeline
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    one, two, alone = " ".join(words), " ".join(words[::-1]), "a text that has nothing to do with any other"
+    docs = [(1, one), (9, one + " x"), (9, two), (5, two + " y"), (9, alone), (7, "seven of a kind"), (7, "seven of a kind"), (None, alone + " z"), (None, "no id and again"), (None, "no id and again")]
+    got = rows(near_dedup.near_duplicates(frame(spark, docs[:5])))
+    assert got == sorted([(1, 19, 1, True), (9, 20, 1, False), (9, 19, 5, False), (5, 20, 5, True), (9, 9, 9, True)], key=repr)
+    kept = rows(corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), ""))
+    assert kept == sorted([(1, one), (5, two + " y"), (9, alone), (7, "seven of a kind"), (None, "no id and again")], key=repr)
+
+
 def test_quality_statistics(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + [(i + 2000 if i else None, t) for i, t in AWKWARD]
     docs.append((3000, "a b c a b c d\na b c a b c d\n \nx"))
