@@ -2,48 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.staging import Scratch, shared_folder, staged  # noqa: F401
+
 #: Words are runs of other than these bytes, in every operator that splits on white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A staged table is broadcast up to so many bytes, as stored and read by the columns asked for.
+BROADCAST_BYTES = 16 << 20
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="gridloom-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or _own_folder()).rstrip('/')}/gridloom"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage at a copy that outlives any executor, and lets several
-    readers prune its columns. The folder is the cluster's to clean.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has at most ``rows`` rows: the check before each broadcast hint."""
-    return df.limit(rows + 1).count() <= rows
+def stored_bytes(df: DataFrame) -> int:
+    """Catalyst's size of a frame: of a staged table the bytes in store, scaled to the columns read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it is small enough, else as it is, for a shuffled join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    """``df``, of staged tables, with a broadcast hint if both its bytes and its rows are few; else as it is, for a shuffled join."""
+    small = stored_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if small else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -68,16 +49,17 @@ def fenced(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table, as ``node, component``.
 
     ``component`` is the smallest node of the component. Alternating large-star
     and small-star steps shrink the graph to stars; each step is a group-by with
-    a partial minimum and a join, and is staged. Nothing but a
-    fingerprint of the edge table reaches the driver, to tell whether it changed. An empty table gives an empty table; edges
-    with a null end or equal ends are ignored.
+    a partial minimum and a join, staged in ``tmp``, where the step before the last
+    is deleted. Nothing but a fingerprint of the edge table reaches the driver, to
+    tell whether it changed. An empty table gives an empty table; edges with a null
+    end or equal ends are ignored.
     """
-    cur = staged(
+    cur = tmp.staged(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct(),
@@ -96,129 +78,99 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: a node and its smaller neighbours go to the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "lu")
         nxt = large.join(low2, F.col("u") == F.col("lu"))
-        nxt = staged(
+        nxt = tmp.staged(
             nxt.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u != v").distinct(),
             "edges",
         )
-        before, mark, cur = mark, fingerprint(nxt), nxt
+        before, mark = mark, fingerprint(nxt)
+        tmp.drop(cur)
+        cur = nxt
         if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = tmp.staged(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    tmp.drop(cur)
+    return out
 
 
+class Links:
+    """Verified links among nodes, and the components that they form so far.
 
+    ``verify`` takes pairs ``a, b`` (a < b) and returns them with whether they are a
+    ``link``, and with any further measures.
+    """
 
-def linked(buckets: DataFrame, verify, possible, ratio: float = 0.8, pivots: int = 3, prepare=None, residuals=None) -> DataFrame:
-    """Components of the verified links among nodes that share a bucket, as ``node, component`` (linked nodes only).
-
-    ``buckets`` has ``key, node, n`` with n the size of a node; sizes of linked nodes
-    differ by at most ``ratio``. ``verify`` takes pairs ``a, b`` (a < b) and returns
-    them with a measure ``m`` (or null) and whether they are a ``link``. ``possible``
-    tells from the sizes and the measures of two nodes to one pivot (nx, mx, ny, my)
-    whether the two can be linked at all. ``prepare``, if given, is called once with
-    the distinct nodes that share any bucket. With ``residuals``, which gives ``node,
-    pivot, token`` for a table of ``node, pivot``, the measures are taken to rule out
-    pairs without a common token, and pairs with one are looked up by it.
+    def __init__(self, tmp: Scratch, verify: Callable[[DataFrame], DataFrame]) -> None:
+        self.tmp, self.verify, self.components, self.measures = tmp, verify, None, []
 
-    A bucket is never expanded into all its pairs. In each pivot round its nodes are
-    held against one of them: first the node that shares most buckets (a node's own
-    pivot is the most shared of these), later the most shared node outside that
-    one's component. The measures to the pivots then
-    rule out most pairs of different components within a bucket; those that no pivot
-    rules out are verified one by one, so that no link is lost. Hot buckets meet in
-    joins, which are split where they are skewed, and in group-bys with partial
-    minimums.
-    """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
-    shared = staged(buckets.join(sizes, "key"), "buckets")
-    popular = shared.groupBy("node").agg(F.sum("_c").alias("pop"))
-    rows = staged(shared.select("key", "node", "n").join(popular, "node"), "buckets")
-    if prepare:
-        prepare(rows.select("node").distinct())
-    links, comp, known = None, None, []
-
-    def labelled() -> DataFrame:
-        if comp is None:
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``comp``, the component of ``node``; a node without links is its own."""
+        if self.components is None:
             return rows.withColumn("comp", F.col("node"))
-        mine = comp.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-        return rows.join(mine, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("_component", "node")).drop("_node", "_component")
-
-    def open_pairs(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        out = F.least(x["n"], y["n"]) >= F.lit(ratio) * F.greatest(x["n"], y["n"])
-        for m in known:
-            may = F.coalesce(possible(x["n"], x[m], y["n"], y[m]), F.lit(True))
-            out = out & (may if m != "m0" else may | ~x["pivot"].eqNullSafe(y["pivot"]))
-        return out
-
-    def joined(pairs: DataFrame) -> bool:
-        """Verify pairs and take their links in; whether there were any pairs."""
-        nonlocal links, comp
-        if not pairs.limit(1).count():
+        mine = self.components.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        joined = rows.join(mine, F.col("node") == F.col("_node"), "left")
+        return joined.withColumn("comp", F.coalesce("_component", "node")).drop("_node", "_component")
+
+    def take(self, pairs: DataFrame) -> bool:
+        """Verify the pairs ``a, b`` that haven't been, and take their links in; whether there were any links."""
+        pairs = pairs.distinct()
+        for known in self.measures:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = self.tmp.staged(pairs, "pairs")
+        if not pairs.count():
             return False
-        found = staged(verify(pairs), "measures")
-        known_pairs.append(found)
+        found = self.tmp.staged(self.verify(pairs), "measures")
+        self.tmp.drop(pairs)
+        self.measures.append(found)
         new = found.where("link").select("a", "b")
-        if new.limit(1).count():
-            links = new if links is None else links.union(new)
-            comp = staged(components(links), "components")
+        if not new.count():
+            return False
+        before = self.components
+        edges = new if before is None else new.union(before.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.components = components(edges, self.tmp)
+        self.tmp.drop(before)
         return True
 
-    known_pairs: list[DataFrame] = []
-    for r in range(pivots):
-        cur = labelled()
-        had = [*known, *["pivot"] * bool(r)]
-        first = F.min(F.struct((-F.col("pop")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "comp", *had)).alias("p")
+
+def hold_against_pivots(rows: DataFrame, links: Links, order: list[Column], fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
+    """Rounds in which the nodes of each bucket are held against one of them; the first round's pivots.
+
+    ``rows`` has ``key, node`` and what ``order`` and ``fits`` read. A bucket of k nodes
+    gives k - 1 pairs a round, never all of its pairs. The first pivot is the least by
+    ``order``; the later ones are the least outside its component, so that a bucket of
+    several groups links each of them to a pivot of its own. Rounds go on until one
+    brings no new link. ``fits``, given accessors of the columns of a node and of the
+    pivot, rules out pairs that can't be linked. Hot buckets meet in a join, which is
+    split where it is skewed, and in group-bys with partial minimums. The pivots come
+    as ``key``, and ``p_`` with the columns of ``rows``.
+    """
+    columns = [c for c in rows.columns if c != "key"]
+    pivots = None
+    while True:
+        cur = links.labelled(rows)
+        first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns, "comp")).alias("p")
         heads = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), first).where("_lo <> _hi")
-        if r:
-            others = cur.join(heads.select("key", F.col("p.comp").alias("_main")), "key").where("comp <> _main")
-            heads = others.groupBy("key").agg(first)
-        heads = staged(heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("o", "h", "node", "n", "comp", *had)]), "pivots")
-        met = cur.join(heads, "key")
-        fits = open_pairs({c: F.col(c) for c in ("n", *had)}, {c: F.col(f"p_{c}") for c in ("n", *had)})
-        pairs = met.where((F.col("comp") != F.col("p_comp")) & fits).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        if not joined(staged(pairs, "pairs")):
-            break
-        to = known_pairs[-1].select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("m").alias(f"m{r}"))
-        if r:  # the measure to the pivot of the bucket
-            at = rows.join(heads.select("key", F.col("p_node").alias("_p")), "key", "left")
-        else:  # the measure to a node's own pivot: the most shared one of all its buckets
-            best = met.groupBy("node").agg(F.min(F.struct("p_o", "p_h", "p_node")).alias("b")).select("node", F.col("b.p_node").alias("pivot"))
-            at = rows.join(best, "node", "left").withColumn("_p", F.col("pivot"))
-        at = at.withColumn("_x", F.least("node", "_p")).withColumn("_y", F.greatest("node", "_p")).join(to, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left")
-        own = F.col("n") if residuals else F.lit(0).cast("long")  # a pivot shares all with itself, and is at distance 0
-        at = at.withColumn(f"m{r}", F.when(F.col("node") == F.col("_p"), own).otherwise(F.col(f"m{r}")))
-        rows = staged(at.drop("_a", "_b", "_x", "_y", "_p"), "buckets")
-        known.append(f"m{r}")
-
-    cur = labelled()
-    several = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    cols = ["node", "n", "comp", *known] + ["pivot"] * bool(known)
-    left = staged(cur.join(several, "key").select("key", *cols), "buckets")
-    right = left.select("key", *[F.col(c).alias(f"y_{c}") for c in cols])
-    fits = open_pairs({c: F.col(c) for c in cols}, {c: F.col(f"y_{c}") for c in cols})
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("node") < F.col("y_node")) & (F.col("comp") != F.col("y_comp")) & fits)
-    rest = rest.select(F.col("node").alias("a"), F.col("y_node").alias("b"))
-    if residuals and known:
-        # a node and what it has beyond its pivot; two nodes of one pivot meet by what both have
-        beyond = residuals(left.where("pivot IS NOT NULL").select("node", "pivot").distinct())
-        beyond = staged(beyond.join(left.select("node", "comp", "n", "m0").distinct(), "node"), "residuals")
-        # of a node's tokens, rarest first, the last ones that a link needs anyway can't be the only ones shared
-        seen = beyond.groupBy("pivot", "token").agg(F.count("*").alias("_df"))
-        need = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * F.col("n") - 1e-6) - F.coalesce("m0", "n"))
-        mine = Window.partitionBy("node")
-        beyond = beyond.join(seen, ["pivot", "token"]).withColumn("_r", F.row_number().over(mine.orderBy("_df", "token"))).withColumn("_all", F.count("*").over(mine))
-        beyond = staged(beyond.where((F.col("_r") <= F.col("_all") - need + 1) & (F.col("_df") > 1)).select("pivot", "token", "node", "comp"), "residuals")
-        other = beyond.select("pivot", "token", F.col("node").alias("y_node"), F.col("comp").alias("y_comp"))
-        met = beyond.join(other, ["pivot", "token"]).where((F.col("node") < F.col("y_node")) & (F.col("comp") != F.col("y_comp")))
-        rest = rest.union(met.select(F.col("node").alias("a"), F.col("y_node").alias("b")))
-    rest = rest.distinct()
-    for found in known_pairs:
-        rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    joined(staged(rest, "pairs"))
-    if comp is None:
-        return rows.select("node", F.col("node").alias("component")).limit(0)
-    return comp
+        if pivots is not None:
+            outside = cur.join(heads.select("key", F.col("p.comp").alias("_main")), "key").where("comp <> _main")
+            heads = outside.groupBy("key").agg(first)
+        heads = links.tmp.staged(heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*columns, "comp")]), "pivots")
+        met = cur.join(heads, "key").where("comp <> p_comp")
+        if fits:
+            met = met.where(fits(F.col, lambda c: F.col(f"p_{c}")))
+        more = links.take(met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")))
+        if pivots is None:
+            pivots = heads
+        else:
+            links.tmp.drop(heads)
+        if not more:
+            return pivots
+
+
+def still_open(rows: DataFrame, links: Links, key: str = "key") -> DataFrame:
+    """The rows, with ``comp``, of the buckets whose nodes are still in several components."""
+    cur = links.labelled(rows)
+    several = cur.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(key)
+    return cur.join(several, key)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, hinted, staged
+from gridloom.llm.common import Scratch, ascii_lower, hinted, staged
 
 WINDOW, ANCHORS = 10, 3
 #: Test terms, anchors and candidates are broadcast up to so many rows, joined with a shuffle beyond.
@@ -58,15 +58,15 @@ def _postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(hinted(terms, BROADCAST_ROWS), "term")
 
 
-def _test_index(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _test_index(docs: DataFrame, benchmark: DataFrame, tmp: Scratch, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Corpus, items, anchors and the stored postings of the anchors' terms."""
     corpus = _corpus(docs, id_col, text_col)
-    items = staged(_items(benchmark, item_col, item_text_col), "items")
-    terms = items.select(F.explode("t").alias("term")).distinct()
+    items = tmp.staged(_items(benchmark, item_col, item_text_col), "items")
+    terms = tmp.staged(items.select(F.explode("t").alias("term")).distinct(), "terms")
     words = corpus.select(F.explode("w").alias("x")).select(ascii_lower(F.col("x")).alias("term"))
     counts = words.join(hinted(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("c"))
-    anchors = staged(_anchors(items, counts, window, ANCHORS), "anchors")
-    index = staged(_postings(corpus, anchors.select("term").distinct()), "postings")
+    anchors = tmp.staged(_anchors(items, counts, window, ANCHORS), "anchors")
+    index = tmp.staged(_postings(corpus, tmp.staged(anchors.select("term").distinct(), "anchor-terms")), "postings")
     return corpus, items, anchors, index
 
 
@@ -77,29 +77,32 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     one. ``start`` counts words from 0; ``h`` is the hash of the document's text.
     Null and empty texts have no words and no matches, on either side.
     """
-    corpus, items, anchors, index = _test_index(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
-    # lists adjusted by offset: anchors of an item that agree on where it would begin
-    met = index.join(hinted(anchors, BROADCAST_ROWS), "term").groupBy("d", "h", "k", (F.col("p") - F.col("at")).alias("z"))
-    found = met.agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("d", "h", "k", "z")
-    found = staged(found, "candidates")
-    near = found.join(hinted(items, BROADCAST_ROWS), "k").withColumnRenamed("d", "_d").withColumnRenamed("h", "_h")
-    texts = corpus.join(hinted(near, BROADCAST_ROWS), F.col("d").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
-    n = F.least(F.size("t"), F.lit(window))
-    # the words under the item, blanks where it sticks out; then each window that agrees whole
-    under = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.coalesce(F.when(F.col("z") + i >= 0, F.get("w", F.col("z") + i)), F.lit("")))
-    laid = texts.select("d", "h", "item", "z", "t", n.alias("n"), F.split(ascii_lower(F.array_join(under, " ")), " ").alias("u"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - F.col("n")), lambda s: F.slice("t", s + 1, F.col("n")) == F.slice("u", s + 1, F.col("n")))
-    return laid.select("d", "h", "item", "n", "z", F.explode(starts).alias("s")).select("d", "h", "item", (F.col("s") + F.col("z")).alias("start"), "n")
+    with Scratch(docs.sparkSession, "decontamination") as tmp:
+        corpus, items, anchors, index = _test_index(docs, benchmark, tmp, window, id_col, text_col, item_col, item_text_col)
+        # lists adjusted by offset: anchors of an item that agree on where it would begin
+        met = index.join(hinted(anchors, BROADCAST_ROWS), "term").groupBy("d", "h", "k", (F.col("p") - F.col("at")).alias("z"))
+        found = met.agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("d", "h", "k", "z")
+        found = tmp.staged(found, "candidates")
+        near = tmp.staged(found.join(hinted(items, BROADCAST_ROWS), "k").withColumnRenamed("d", "_d").withColumnRenamed("h", "_h"), "near")
+        texts = corpus.join(hinted(near, BROADCAST_ROWS), F.col("d").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
+        n = F.least(F.size("t"), F.lit(window))
+        # the words under the item, blanks where it sticks out; then each window that agrees whole
+        under = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.coalesce(F.when(F.col("z") + i >= 0, F.get("w", F.col("z") + i)), F.lit("")))
+        laid = texts.select("d", "h", "item", "z", "t", n.alias("n"), F.split(ascii_lower(F.array_join(under, " ")), " ").alias("u"))
+        starts = F.filter(F.sequence(F.lit(0), F.size("t") - F.col("n")), lambda s: F.slice("t", s + 1, F.col("n")) == F.slice("u", s + 1, F.col("n")))
+        out = laid.select("d", "h", "item", "n", "z", F.explode(starts).alias("s")).select("d", "h", "item", (F.col("s") + F.col("z")).alias("start"), "n")
+        return staged(out, "matches")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents in which as many of an item's rarest terms as a window needs stand within ``slop`` words, in any order: ``d, h, item, start, n_terms``."""
-    _, items, anchors, index = _test_index(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
-    near = index.join(hinted(anchors.select("k", "term", "need").distinct(), BROADCAST_ROWS), "term")
-    ahead = Window.partitionBy("d", "h", "k").orderBy("p").rangeBetween(0, slop - 1)
-    met = near.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).where("n_terms >= need")
-    best = met.groupBy("d", "h", "k").agg(F.min("p").alias("start"), F.max("n_terms").alias("n_terms"))
-    return best.join(hinted(items.select("k", "item"), BROADCAST_ROWS), "k").select("d", "h", "item", "start", "n_terms")
+    with Scratch(docs.sparkSession, "decontamination") as tmp:
+        _, items, anchors, index = _test_index(docs, benchmark, tmp, window, id_col, text_col, item_col, item_text_col)
+        near = index.join(hinted(tmp.staged(anchors.select("k", "term", "need").distinct(), "needs"), BROADCAST_ROWS), "term")
+        ahead = Window.partitionBy("d", "h", "k").orderBy("p").rangeBetween(0, slop - 1)
+        met = near.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).where("n_terms >= need")
+        best = met.groupBy("d", "h", "k").agg(F.min("p").alias("start"), F.max("n_terms").alias("n_terms"))
+        return staged(best.join(hinted(items.select("k", "item"), BROADCAST_ROWS), "k").select("d", "h", "item", "start", "n_terms"), "near-matches")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -111,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     matched by text as well; empty tables give no hits or no rows. Of ``docs`` only
     id and text are read.
     """
-    found = staged(phrase_matches(docs, benchmark, window, id_col, text_col, item_col, item_text_col), "matches")
+    found = phrase_matches(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     spans = found.select("d", "h", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     before = Window.partitionBy("d", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
