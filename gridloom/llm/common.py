@@ -55,8 +55,7 @@ def components(edges: DataFrame, tmp: Scratch, a: str = "a", b: str = "b", max_r
     ``component`` is the smallest node of the component. Alternating large-star
     and small-star steps shrink the graph to stars; each step is a group-by with
     a partial minimum and a join, staged in ``tmp``, where the step before the last
-    is deleted. Nothing but a fingerprint of the edge table reaches the driver, to
-    tell whether it changed. An empty table gives an empty table; edges with a null
+    is deleted. Nothing but the answer whether all are stars reaches the driver. An empty table gives an empty table; edges with a null
     end or equal ends are ignored.
     """
     cur = tmp.staged(
@@ -65,9 +64,16 @@ def components(edges: DataFrame, tmp: Scratch, a: str = "a", b: str = "b", max_r
         .distinct(),
         "edges",
     )
-    fingerprint = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
-    mark = fingerprint(cur)
+
+    def stars(t: DataFrame) -> bool:
+        """Whether every node points to one root, and no root to another node."""
+        ends = t.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e"))
+        each = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.root").alias("root"))
+        return not each.where("up + root > 1").limit(1).count()
+
     for _ in range(max_rounds):
+        if stars(cur):
+            break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
         # large star: every larger neighbour of a node goes to the smallest one around that node
@@ -83,11 +89,8 @@ def components(edges: DataFrame, tmp: Scratch, a: str = "a", b: str = "b", max_r
             .select("e.u", "e.v").where("u != v").distinct(),
             "edges",
         )
-        before, mark = mark, fingerprint(nxt)
         tmp.drop(cur)
         cur = nxt
-        if mark == before:
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
@@ -148,8 +151,12 @@ def hold_against_pivots(rows: DataFrame, links: Links, order: list[Column], fits
     as ``key``, and ``p_`` with the columns of ``rows``.
     """
     columns = [c for c in rows.columns if c != "key"]
-    pivots = None
+    all_rows, pivots = rows, None
     while True:
+        if pivots is not None:  # buckets whose nodes have come together are done
+            before, rows = rows, links.tmp.staged(still_open(rows, links).drop("comp"), "open")
+            if before is not all_rows:
+                links.tmp.drop(before)
         cur = links.labelled(rows)
         first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns, "comp")).alias("p")
         heads = cur.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), first).where("_lo <> _hi")
