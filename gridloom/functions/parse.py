@@ -15,19 +15,19 @@ from gridloom.functions.keys import match_key, unaccent
 #: Named entities that occur in pages, ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&"))
 
-#: Provider and pattern of the id in its canonical URL.
+#: Provider, pattern of a canonical URL, and the id as its groups make it. Movies and series are numbered separately, so their kind belongs to the id.
 IDENTITY_PATTERNS = (
-    ("imdb", r"^https?://(?:www\.)?imdb\.com/title/(tt\d+)/?$"),
-    ("tmdb", r"^https?://(?:www\.)?themoviedb\.org/((?:movie|tv)/\d+)"),
-    ("allocine", r"^https?://(?:www\.)?allocine\.fr/(?:film|series)/fiche(?:film|serie)_gen_c(?:film|serie)=(\d+)\.html"),
-    ("senscritique", r"^https?://(?:www\.)?senscritique\.com/(?:film|serie)/[^/]+/(\d+)"),
-    ("wikidata", r"^https?://(?:www\.)?wikidata\.org/wiki/(Q\d+)"),
-    ("wikipedia", r"^https?://([a-z]{2}\.wikipedia\.org/wiki/[^?#]+)"),
-    ("tvmaze", r"^https?://(?:www\.)?tvmaze\.com/shows/(\d+)"),
-    ("thetvdb", r"^https?://(?:www\.)?thetvdb\.com/(?:series|movies)/([\w-]+)"),
+    ("senscritique", r"^https://www\.senscritique\.com/(film|serie)/[^/?#]+/(\d+)/?$", "$1/$2"),
+    ("imdb", r"^https://www\.imdb\.com/(?:fr/)?title/(tt\d+)/?$", "$1"),
+    ("tmdb", r"^https://www\.themoviedb\.org/(movie|tv)/(\d+)(?:-[^/?#]*)?/?$", "$1/$2"),
+    ("arte", r"^https://(?:www\.arte\.tv/[a-z]{2}/videos|api(?:-cdn)?\.arte\.tv/api/player/v2/config/[a-z]{2})/(\d{6}-\d{3}-[A-Z])(?:/[^?#]*)?$", "$1"),
+    ("francetvpro", r"^https://www\.francetvpro\.fr/contenu-de-presse/(\d+)/?$", "$1"),
+    ("tv5monde", r"^(https://www\.tv5mondeplus\.com/api/psi/programs-grid\?(?=[^#]*\bchannel=\d+)(?=[^#]*\bday=\d{4}-\d{2}-\d{2})[^#]+)#program=(\d+)$", "$1#$2"),
+    ("wikidata", r"^https://www\.wikidata\.org/wiki/(Q\d+)/?$", "$1"),
+    ("wikipedia", r"^https://(fr|en)\.wikipedia\.org/wiki/([^/?#]+)$", "$1:$2"),
 )
 #: Grid marks from low to high, and the order in which suggestions are ranked.
-MARKS = ("Hélas", "Bof", "T", "TT", "TTT", "TTTT")
+MARKS = ("Hélas", "T", "TT", "TTT", "TTTT")
 PRIORITY_ORDER = ("Bravo", "Très bien", "Bien")
 
 
@@ -121,8 +121,8 @@ def url_host(c: Column) -> Column:
 def external_id(url: Column) -> Column:
     """``struct(provider, ext_id)`` of a canonical URL, else null."""
     out = F.lit(None).cast("struct<provider: string, ext_id: string>")
-    for provider, pattern in reversed(IDENTITY_PATTERNS):
-        out = F.when(url.rlike(pattern), F.struct(F.lit(provider).alias("provider"), F.regexp_extract(url, pattern, 1).alias("ext_id"))).otherwise(out)
+    for provider, pattern, made in reversed(IDENTITY_PATTERNS):
+        out = F.when(url.rlike(pattern), F.struct(F.lit(provider).alias("provider"), F.regexp_replace(url, pattern, made).alias("ext_id"))).otherwise(out)
     return out
 
 
@@ -171,7 +171,7 @@ def version_key(*fields: Column) -> Column:
 
 
 def mark_score(mark: Column) -> Column:
-    """0 for the lowest grid mark to 5, null for unknown ones."""
+    """0 for the lowest grid mark to 4, null for unknown ones."""
     return F.nullif(F.array_position(F.array(*map(F.lit, MARKS)), mark), F.lit(0)).cast("int") - 1
 
 

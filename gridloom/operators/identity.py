@@ -156,45 +156,88 @@ def scoped_records(records: DataFrame, obs: DataFrame) -> DataFrame:
     return obs.join(records, F.col("title_key") == F.col("r_title_key")).where(fits | (F.col("stability") == "stable"))
 
 
-def phrase_containment(texts: DataFrame, names: DataFrame, most_words: int = 8) -> DataFrame:
-    """Names inside free text at word boundaries: runs of words of every length that a name has are joined on equality."""
-    n = names.select("name_id", match_key(F.col("name")).alias("nk")).where("nk <> ''").withColumn("len", F.size(F.split("nk", " "))).where(F.col("len") <= most_words)
-    w = texts.select("text_id", F.split(match_key(F.col("text")), " ").alias("w"))
-    sizes = F.broadcast(n.select("len").distinct())  # at most most_words rows
-    runs = w.join(sizes, F.size("w") >= F.col("len")).select("text_id", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("s"))
-    runs = runs.select("text_id", F.array_join(F.slice("w", F.col("s"), F.col("len")), " ").alias("nk")).distinct()
-    return runs.join(n.select("name_id", "nk"), "nk").select("text_id", "name_id").distinct()
+def _inside(a: Column, b: Column) -> Column:
+    """Whether the words of ``b`` stand together in ``a``."""
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return F.contains(pad(a), pad(b))
+
+
+def _rarest_word(names: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``names`` with ``word``, that word of ``key`` which the fewest of the ``texts`` have."""
+    counts = texts.select(F.explode(F.array_distinct(F.split(text, " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    each = names.select(key).distinct().select(key, F.explode(F.array_distinct(F.split(key, " "))).alias("word")).join(counts, "word", "left")
+    rarest = each.groupBy(key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).select(F.col(key).alias("_key"), F.col("r.word").alias("word"))
+    return names.join(rarest, F.col(key) == F.col("_key")).drop("_key")
+
+
+def phrase_containment(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Names of any length inside free text at word boundaries: they meet by the rarest word of the name, and the whole text decides."""
+    n = names.select("name_id", match_key(F.col("name")).alias("nk")).where("nk <> ''")
+    t = texts.select("text_id", match_key(F.col("text")).alias("tk"))
+    words = t.select("text_id", F.explode(F.array_distinct(F.split("tk", " "))).alias("word"))
+    met = _rarest_word(n, t, "nk", "tk").join(words, "word").select("text_id", "name_id", "nk")
+    return met.join(t, "text_id").where(_inside(F.col("tk"), F.col("nk"))).select("text_id", "name_id").distinct()
+
+
+def _containing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of ``a_id, ak`` and ``b_id, bk`` of which one's words stand together in the other, wherever; equal ones are left out."""
+    a, b = a.where("ak <> ''").distinct(), b.where("bk <> ''").distinct()
+    words = lambda t, key: t.select("*", F.explode(F.array_distinct(F.split(key, " "))).alias("word"))
+    inner = _rarest_word(b, a, "bk", "ak").join(words(a, "ak"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("ak"), F.col("bk")))
+    outer = _rarest_word(a, b, "ak", "bk").join(words(b, "bk"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("bk"), F.col("ak")))
+    return inner.select("a_id", "ak", "b_id", "bk").unionByName(outer.select("a_id", "ak", "b_id", "bk"))
+
+
+def _strong(a: Column, b: Column) -> Column:
+    """Whether the shorter of two names has 14 characters and three words."""
+    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
+    return (F.length(shorter) >= 14) & (F.size(F.split(shorter, " ")) >= 3)
 
 
 def library_match(items: DataFrame, library: DataFrame) -> DataFrame:
-    """Imdb id, tmdb id, exact name and year, name and year ±1 if unique, strong containment (14 characters, 3 words); the first tier decides if it has one candidate."""
+    """Imdb id, tmdb id, exact name and year, name and year ±1, equal name or strong containment (14 characters, 3 words of the shorter) wherever it stands; the first tier with any candidate decides if it has one."""
     lib = library.select(F.col("lib_id").alias("candidate"), F.col("imdb").alias("li"), F.col("tmdb").alias("lt"), F.col("year").alias("ly"), library_key(F.col("name")).alias("lk"))
     it = items.withColumn("_k", library_key(F.col("title")))
     near = lib.select("candidate", "lk", F.explode(F.array(F.col("ly") - 1, F.col("ly") + 1)).alias("ly"))
-    first = lambda c: F.substring_index(c, " ", 1)
-    strong = lambda c: (F.length(c) >= 14) & (F.size(F.split(c, " ")) >= 3)
-    inside = lambda a, b: F.contains(F.concat(F.lit(" "), a, F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" ")))
-    contain = it.join(lib, first(F.col("_k")) == first(F.col("lk"))).where((strong(F.col("lk")) & inside(F.col("_k"), F.col("lk"))) | (strong(F.col("_k")) & inside(F.col("lk"), F.col("_k"))))
+    within = _containing(it.select(F.col("row_id").alias("a_id"), F.col("_k").alias("ak")), lib.select(F.col("candidate").alias("b_id"), F.col("lk").alias("bk"))).where(_strong(F.col("ak"), F.col("bk")))
+    equal = it.join(lib, F.col("_k") == F.col("lk")).where("_k <> ''").select("row_id", "candidate")
+    contain = within.select(F.col("a_id").alias("row_id"), F.col("b_id").alias("candidate")).union(equal)
     rungs = [it.join(lib, F.col("imdb") == F.col("li")), it.join(lib, F.col("tmdb") == F.col("lt")), it.join(lib, (F.col("_k") == F.col("lk")) & (F.col("year") == F.col("ly"))), it.join(near, (F.col("_k") == F.col("lk")) & (F.col("year") == F.col("ly"))), contain]
     return ladder(items, rungs)
 
 
-#: Weights of J16 by profile: id, exact title, containment, year, director, threshold.
-PROFILES = {"web": (100, 60, 35, 20, 15, 70), "library": (100, 65, 30, 20, 10, 80), "browser": (100, 60, 40, 15, 15, 70)}
+#: Fixed values of J16 by profile. Titles: points of an exact, a strongly contained and a contained title, each with what a variant loses by rank. Years: same, next, other. Directors: same, other. Ids: imdb, tmdb. Least score.
+PROFILES = {
+    "web": {"exact": (85, 0), "strong": (45, 0), "inside": (45, 0), "year": (40, 8, -80), "director": (35, -20), "ids": (0, 0), "least": 70},
+    "library": {"exact": (110, 8), "strong": (55, 5), "inside": (55, 5), "year": (35, 8, 0), "director": (0, 0), "ids": (0, 0), "least": 80},
+    "browser": {"exact": (160, 8), "strong": (155, 5), "inside": (55, 5), "year": (60, 10, 0), "director": (0, 0), "ids": (1000, 900), "least": 80},
+}
 
 
 def best_match(items: DataFrame, candidates: DataFrame, profile: str = "web") -> DataFrame:
-    """The best candidate by score, where it reaches the profile's threshold. Pairs come from a shared id or a shared title variant; variants count less by rank."""
-    w_id, w_title, w_in, w_year, w_dir, least = PROFILES[profile]
+    """The best candidate by score, where it reaches the profile's threshold. Pairs come from a shared id, or a title variant that is equal or one in the other, at word boundaries; variants count less by rank. A wrong year or director counts against a candidate where the profile says so."""
+    w = PROFILES[profile]
+    tmdb = lambda t: F.col("tmdb") if "tmdb" in t.columns else F.lit(None).cast("string")
     v = items.select("row_id", F.posexplode(title_variants(F.col("title"))).alias("rank", "variant")).select("row_id", "rank", match_key(F.col("variant")).alias("vk"))
-    cand = candidates.select(F.col("cand_id"), F.col("imdb").alias("c_imdb"), F.col("year").alias("c_year"), match_key(F.col("director")).alias("c_dir"), match_key(F.col("title")).alias("ck"))
-    titled = v.join(cand, F.col("vk") == F.col("ck")).select("row_id", "cand_id", (F.lit(w_title) - 5 * F.col("rank")).alias("pts"))
-    partial = v.where("rank = 0").join(cand, F.substring_index("vk", " ", 1) == F.substring_index("ck", " ", 1)).where("vk <> ck AND (startswith(vk, concat(ck, ' ')) OR startswith(ck, concat(vk, ' ')))").select("row_id", "cand_id", F.lit(w_in).alias("pts"))
-    by_id = items.join(cand, F.col("imdb") == F.col("c_imdb")).select("row_id", "cand_id", F.lit(w_id).alias("pts"))
-    pairs = titled.unionByName(partial).unionByName(by_id).groupBy("row_id", "cand_id").agg(F.max("pts").alias("pts"))
-    full = pairs.join(items.select("row_id", "year", match_key(F.col("director")).alias("dir")), "row_id").join(cand.select("cand_id", "c_year", "c_dir").distinct(), "cand_id")
-    score = F.col("pts") + F.when(F.col("year") == F.col("c_year"), w_year).otherwise(0) + F.when(F.col("dir") == F.col("c_dir"), w_dir).otherwise(0)
-    best = full.withColumn("score", score).where(F.col("score") >= least)
+    cand = candidates.select(F.col("cand_id"), F.col("imdb").alias("c_imdb"), tmdb(candidates).alias("c_tmdb"), F.col("year").alias("c_year"), match_key(F.col("director")).alias("c_dir"), match_key(F.col("title")).alias("ck"))
+    points = lambda kind: F.lit(w[kind][0]) - w[kind][1] * F.col("rank")
+    titled = v.join(cand, F.col("vk") == F.col("ck")).where("vk <> ''").select("row_id", "cand_id", points("exact").alias("pts"))
+    within = _containing(v.select(F.struct("row_id", "rank").alias("a_id"), F.col("vk").alias("ak")), cand.select(F.col("cand_id").alias("b_id"), F.col("ck").alias("bk")))
+    within = within.select("a_id.*", F.col("b_id").alias("cand_id"), _strong(F.col("ak"), F.col("bk")).alias("strong"))
+    partial = within.select("row_id", "cand_id", F.when(F.col("strong"), points("strong")).otherwise(points("inside")).alias("pts"))
+    own = items.select("row_id", "imdb", tmdb(items).alias("tmdb"), "year", match_key(F.col("director")).alias("dir"))
+    pairs = titled.unionByName(partial)
+    if any(w["ids"]):
+        for mine, theirs in (("imdb", "c_imdb"), ("tmdb", "c_tmdb")):
+            pairs = pairs.unionByName(own.join(cand, F.col(mine) == F.col(theirs)).select("row_id", "cand_id", F.lit(0).alias("pts")))
+    pairs = pairs.groupBy("row_id", "cand_id").agg(F.max("pts").alias("pts"))
+    full = pairs.join(own, "row_id").join(cand.drop("ck").distinct(), "cand_id")
+    apart = F.abs(F.col("year") - F.col("c_year"))
+    score = F.col("pts") + F.when(apart == 0, w["year"][0]).when(apart == 1, w["year"][1]).when(apart > 1, w["year"][2]).otherwise(0)
+    same = F.contains("dir", F.col("c_dir")) | F.contains("c_dir", F.col("dir"))
+    score = score + F.when((F.col("dir") == "") | (F.col("c_dir") == ""), 0).when(same, w["director"][0]).when(~same, w["director"][1]).otherwise(0)
+    score = score + F.when(F.col("imdb") == F.col("c_imdb"), w["ids"][0]).otherwise(0) + F.when(F.col("tmdb") == F.col("c_tmdb"), w["ids"][1]).otherwise(0)
+    best = full.withColumn("score", score).where(F.col("score") >= w["least"])
     return best.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "cand_id"))).where("_r = 1").select("row_id", "cand_id", "score")
 
 

@@ -106,25 +106,30 @@ def j11(spark, d):
     return identity.pick_plan(picks, p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), "title"), p.where("p_partkey % 3 = 0").select("title", F.when(F.col("p_size") > 25, F.col("p_size")).alias("year"))).select("pick_pos", "status")
 
 
-@query("j15_library_match", f"""WITH {WORKS}, i AS (SELECT id AS row_id, CASE WHEN id % 4 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, title || ' ' || director AS t, year FROM works), l AS (SELECT id AS c, CASE WHEN id % 8 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, title || ' ' || director AS t, year FROM works WHERE id % 2 = 0),
-e AS (SELECT row_id, 1 AS basis, c FROM i JOIN l USING (imdb) UNION ALL SELECT row_id, 3, c FROM i JOIN l ON i.t = l.t AND i.year = l.year UNION ALL SELECT row_id, 4, c FROM i JOIN l ON i.t = l.t AND abs(i.year - l.year) = 1 UNION ALL SELECT row_id, 5, c FROM i JOIN l ON i.t = l.t WHERE length(i.t) >= 14),
-g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL) SELECT row_id, CAST(basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate FROM b JOIN g USING (row_id, basis) WHERE basis < 5""")
+@query("j15_library_match", f"""WITH {WORKS}, i AS (SELECT id AS row_id, CASE WHEN id % 4 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, title || ' ' || director AS t, year FROM works), l AS (SELECT id AS c, CASE WHEN id % 8 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, CASE id % 3 WHEN 0 THEN title || ' ' || director WHEN 1 THEN title ELSE 'x ' || title || ' ' || director || ' y' END AS t, year FROM works WHERE id % 2 = 0),
+e AS (SELECT row_id, 1 AS basis, c FROM i JOIN l USING (imdb) UNION ALL SELECT row_id, 3, c FROM i JOIN l ON i.t = l.t AND i.year = l.year UNION ALL SELECT row_id, 4, c FROM i JOIN l ON i.t = l.t AND abs(i.year - l.year) = 1 UNION ALL SELECT row_id, 5, c FROM i JOIN l ON i.t = l.t OR (least(length(i.t), length(l.t)) >= 14 AND least(len(string_split(i.t, ' ')), len(string_split(l.t, ' '))) >= 3 AND (contains(' ' || i.t || ' ', ' ' || l.t || ' ') OR contains(' ' || l.t || ' ', ' ' || i.t || ' ')))),
+g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL) SELECT row_id, CAST(basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate FROM (SELECT DISTINCT row_id FROM i) LEFT JOIN b USING (row_id) LEFT JOIN g USING (row_id, basis)""")
 def j15(spark, d):
     w = works(spark, d).withColumn("name", F.concat_ws(" ", "title", "director"))
     tt = lambda n: F.when(F.col("id") % n == 0, F.concat(F.lit("tt"), F.col("id").cast("string"))).alias("imdb")
     none = F.lit(None).cast("string").alias("tmdb")
     items = w.select(F.col("id").alias("row_id"), F.col("name").alias("title"), tt(4), none, "year")
-    lib = w.where("id % 2 = 0").select(F.col("id").alias("lib_id"), "name", tt(8), none, "year")
-    return identity.library_match(items, lib).where("basis < 5").select("row_id", big("basis").alias("basis"), "candidate")
+    other = F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, F.col("title")).otherwise(F.concat(F.lit("x "), F.col("name"), F.lit(" y")))
+    lib = w.where("id % 2 = 0").select(F.col("id").alias("lib_id"), other.alias("name"), tt(8), none, "year")
+    return identity.library_match(items, lib).select("row_id", big("basis").alias("basis"), "candidate")
 
 
-@query("j16_best_match", """WITH i AS (SELECT p_partkey AS row_id, p_name AS t, p_brand AS d, p_size AS y FROM part), s AS (SELECT i.row_id, c.p_partkey AS cand_id, 60 + CASE WHEN i.y = c.p_size THEN 20 ELSE 0 END + CASE WHEN i.d = c.p_brand THEN 15 ELSE 0 END AS score FROM i JOIN part c ON i.t = c.p_name WHERE c.p_partkey % 10 = 3)
+@query("j16_best_match", """WITH i AS (SELECT p_partkey AS row_id, p_name AS t, p_brand AS d, p_size AS y FROM part), c AS (SELECT p_partkey AS cand_id, CASE WHEN p_partkey % 2 = 0 THEN 'x ' || p_name || ' y' ELSE p_name END AS t, CASE WHEN p_partkey % 5 = 0 THEN 'zz' ELSE p_brand END AS d, p_size + p_partkey % 3 AS y FROM part),
+e AS (SELECT row_id, cand_id, i.y AS iy, c.y AS cy, i.d AS di, c.d AS dc, CASE WHEN i.t = c.t THEN 85 ELSE 45 END AS pts FROM i JOIN c ON contains(' ' || c.t || ' ', ' ' || i.t || ' ') OR contains(' ' || i.t || ' ', ' ' || c.t || ' ')),
+s AS (SELECT row_id, cand_id, pts + CASE abs(iy - cy) WHEN 0 THEN 40 WHEN 1 THEN 8 ELSE -80 END + CASE WHEN contains(di, dc) OR contains(dc, di) THEN 35 ELSE -20 END AS score FROM e)
 SELECT row_id, cand_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, cand_id) AS r FROM s WHERE score >= 70) WHERE r = 1""")
 def j16(spark, d):
-    w = works(spark, d)
+    w, k = works(spark, d), F.col("id")
     none = F.lit(None).cast("string").alias("imdb")
-    items = w.select(F.col("id").alias("row_id"), "title", none, "year", "director")
-    return identity.best_match(items, w.where("id % 10 = 3").select(F.col("id").alias("cand_id"), none, "title", "director", "year")).select("row_id", "cand_id", big("score").alias("score"))
+    items = w.select(k.alias("row_id"), "title", none, "year", "director")
+    title = F.when(k % 2 == 0, F.concat(F.lit("x "), F.col("title"), F.lit(" y"))).otherwise(F.col("title"))
+    cand = w.select(k.alias("cand_id"), none, title.alias("title"), F.when(k % 5 == 0, "zz").otherwise(F.col("director")).alias("director"), (F.col("year") + k % 3).alias("year"))
+    return identity.best_match(items, cand).select("row_id", "cand_id", big("score").alias("score"))
 
 
 @query("j22_review_notes", f"""WITH {SCHED}, r AS (SELECT row_id, user_id % 50 AS page, k AS c FROM sched WHERE row_id % 2 = 0), n AS (SELECT row_id AS note_id, user_id % 50 AS page, k AS c FROM sched WHERE row_id % 5 = 1), a AS (SELECT page, c, min(row_id) AS row_id FROM r GROUP BY ALL HAVING count(*) = 1), b AS (SELECT page, c, min(note_id) AS note_id FROM n GROUP BY ALL HAVING count(*) = 1) SELECT row_id, note_id FROM a JOIN b USING (page, c)""")
@@ -288,7 +293,7 @@ def p19(spark, d):
     return table(spark, d, "part").select("p_partkey", note.alias("note"), parse.canonical_channel(F.col("p_brand")).alias("channel"))
 
 
-@query("p31_p32_p33_p40_projections", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'found' ELSE 'not_found' END AS result, CASE WHEN event_id % 3 = 0 THEN 'dynamic' ELSE 'stable' END AS stability, CAST(CASE WHEN event_id % 2 = 0 THEN 4 END AS BIGINT) AS mark, event_id % 5 = 0 AS family, 'https://a.org' AS urls FROM events""")
+@query("p31_p32_p33_p40_projections", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'found' ELSE 'not_found' END AS result, CASE WHEN event_id % 3 = 0 THEN 'dynamic' ELSE 'stable' END AS stability, CAST(CASE WHEN event_id % 2 = 0 THEN 3 END AS BIGINT) AS mark, event_id % 5 = 0 AS family, 'https://a.org' AS urls FROM events""")
 def p31(spark, d):
     k = F.col("event_id")
     none = F.lit(None).cast("string")

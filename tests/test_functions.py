@@ -18,7 +18,7 @@ def value(spark, c):
     (parse.iso_minutes, "PT1H45M", 105), (parse.iso_minutes, "PT0M", None), (parse.iso_minutes, "x", None), (parse.text_minutes, "1 h 45", 105), (parse.text_minutes, "2h", 120), (parse.text_minutes, "105 min (x)", 105),
     (parse.plausible_year, "1879", None), (parse.plausible_year, " 1994 ", 1994), (parse.url_host, "https://www.Example.org:80/x", "example.org"), (parse.work_form, "Série policière", "série"),
     (parse.clean_director, "Jane Doe [VOSTFR]", "Jane Doe"), (parse.channel_of_line, "20:50 · Arte", "Arte"), (parse.html_text, "<b>a</b>&amp;lt;&nbsp; x", "a &lt; x"), (parse.is_season_title, "Nom saison 2", True),
-    (parse.provenance, "Sortie Blu-ray", "Blu-ray"), (parse.mark_score, "TTT", 4), (parse.mark_score, "?", None), (parse.priority_rank, "Bien", 2), (calendar.minutes, "24:00", None), (calendar.minutes, "05:59", 359),
+    (parse.provenance, "Sortie Blu-ray", "Blu-ray"), (parse.mark_score, "TTT", 3), (parse.mark_score, "?", None), (parse.priority_rank, "Bien", 2), (calendar.minutes, "24:00", None), (calendar.minutes, "05:59", 359),
     (predicates.specific_reason, "Indisponible", False), (predicates.specific_reason, "aucune note trouvée sur les trois sites", True), (predicates.placeholder, "Lorem ipsum", True), (predicates.source_ref_error, "x", "source_ref"),
 ])
 def test_values(spark, f, text, want):

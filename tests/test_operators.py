@@ -84,7 +84,14 @@ def test_library_and_best_match(spark):
     lib = spark.createDataFrame([("a", "x", "tt1", None, 1999), ("b", "Doctor No", None, None, 1962), ("c", "The Very Long Title Indeed", None, None, 1980)], "lib_id string, name string, imdb string, tmdb string, year int")
     assert rows(identity.library_match(items, lib), "row_id", "basis", "candidate") == [(1, 1, "a"), (2, 3, "b"), (3, 4, "b"), (4, 5, "c"), (5, None, None)]
     cand = spark.createDataFrame([("k1", "tt1", "z", "d", 1950), ("k2", None, "Dr No", "d", 1962)], "cand_id string, imdb string, title string, director string, year int")
-    assert rows(identity.best_match(items, cand)) == [(1, "k1", 100), (2, "k2", 80)]
+    # a title alone gives 85, its year 40, the next year 8; a wrong year or director counts against it
+    assert rows(identity.best_match(items, cand)) == [(2, "k2", 125), (3, "k2", 93)]
+    assert rows(identity.best_match(items, cand, "browser")) == [(1, "k1", 1000), (2, "k2", 220), (3, "k2", 170)]
+    one = spark.createDataFrame([(1, "Dr No", None, 1962, "Terence Young"), (2, "Dr No Returns", None, 1980, "Terence Young"), (3, "The Dr No File", None, 1962, "Young")], "row_id int, title string, imdb string, year int, director string")
+    cand = spark.createDataFrame([("k", None, "Dr No", "Terence Young", 1962), ("wrong", None, "Dr No", "Terence Young", 1990)], "cand_id string, imdb string, title string, director string, year int")
+    assert rows(identity.best_match(one, cand)) == [(1, "k", 160), (3, "k", 120)]
+    middle = spark.createDataFrame([(1, "Tonight The Very Long Title Indeed Again", None, None, None)], "row_id int, title string, imdb string, tmdb string, year int")
+    assert rows(identity.library_match(middle, lib), "row_id", "basis", "candidate") == [(1, 5, "c")]
 
 
 def test_joins_have_no_nested_loops(spark):
