@@ -311,7 +311,7 @@ def p25(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parse.clean_director(F.concat(F.lit("Jane "), F.col("o_orderstatus"), F.lit(" [VOSTFR]"))).alias("director"), F.array_join(parse.image_order(F.when(k % 2 == 0, "a"), F.array(F.lit("b"), F.lit("")), none), ",").alias("images"), F.array_join(facts["missing"], ",").alias("missing"), at.alias("at"))
 
 
-@query("w09_w10_refill", f"""WITH {SCHED}, c AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE k < 30), s AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE channel = 'purchase'), l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.user_id, s.work_id) = (c.user_id, c.work_id))), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY work_id >= 20, work_id) AS slot FROM l)
+@query("w09_refill", f"""WITH {SCHED}, c AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE k < 30), s AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE channel = 'purchase'), l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.user_id, s.work_id) = (c.user_id, c.work_id))), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY work_id >= 20, work_id) AS slot FROM l)
 SELECT user_id, work_id, slot, CAST((slot + 4) // 5 AS BIGINT) AS page FROM o""")
 def w09(spark, d):
     s = programme(spark, d)
@@ -320,7 +320,7 @@ def w09(spark, d):
     return personal.grid_refill(cards.where("work_id < 20"), seen, cards.where("work_id >= 20"), 5).select("user_id", "work_id", big("slot").alias("slot"), big("page").alias("page"))
 
 
-@query("f20_f25_append_contract", f"""WITH {POOL}, e AS (SELECT * FROM pool WHERE rank <= 8), n AS (SELECT pool_id, CASE WHEN pool_id % 4 = 0 AND rank = 9 THEN (SELECT min(work_id) FROM e x WHERE x.pool_id = pool.pool_id) ELSE work_id END AS work_id, rank + CASE WHEN pool_id % 3 = 0 THEN 1 ELSE 0 END AS rank FROM pool WHERE rank BETWEEN 9 AND 12),
+@query("f25_append_contract", f"""WITH {POOL}, e AS (SELECT * FROM pool WHERE rank <= 8), n AS (SELECT pool_id, CASE WHEN pool_id % 4 = 0 AND rank = 9 THEN (SELECT min(work_id) FROM e x WHERE x.pool_id = pool.pool_id) ELSE work_id END AS work_id, rank + CASE WHEN pool_id % 3 = 0 THEN 1 ELSE 0 END AS rank FROM pool WHERE rank BETWEEN 9 AND 12),
 g AS (SELECT pool_id, max(rank) AS tail, max(rank) = count(*) AS contiguous FROM e GROUP BY 1), m AS (SELECT pool_id, min(rank) AS lo, max(rank) AS hi, count(*) AS c FROM n GROUP BY 1) SELECT pool_id, contiguous, CAST(CASE WHEN pool_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS known_works, lo = tail + 1 AND hi = tail + c AS continues FROM g JOIN m USING (pool_id)""")
 def f25(spark, d):
     p = pool(spark, d)
@@ -360,7 +360,7 @@ def clock_text(start_min):
     return F.format_string("%02d:%02d", F.floor(start_min / 60).cast("int"), start_min % 60)
 
 
-@query("s15_p36_grid_cells", f"WITH {SCHED} SELECT row_id AS page_key, lpad(CAST(start_min // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_min % 60 AS VARCHAR), 2, '0') AS time, channel, title AS programme FROM sched")
+@query("s15_grid_cells", f"WITH {SCHED} SELECT row_id AS page_key, lpad(CAST(start_min // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_min % 60 AS VARCHAR), 2, '0') AS time, channel, title AS programme FROM sched")
 def s15(spark, d):
     from gridloom.sources import captures
 
@@ -375,3 +375,19 @@ def a38(spark, d):
     return planning.coverage_flags(programme(spark, d).select("title_key", (F.col("k") < 50).alias("covered"), F.col("channel").alias("status")))
 
 
+
+
+@query("p36_image_kinds", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' END AS kind FROM pages""")
+def p36(spark, d):
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "00")]), (F.col("page_id") % 4 + 1).cast("int"))
+    content = F.concat(F.unhex(heads), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return table(spark, d, "pages").select("page_id", parse.image_kind(content).alias("kind"))
+
+
+@query("f20_posters", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'path,' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN 'digest,' ELSE '' END || CASE WHEN octet_length(encode(coalesce(html, ''))) > 2000 THEN 'weight,' ELSE '' END AS errors FROM pages""")
+def f20(spark, d):
+    k, content = F.col("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    path = F.concat(F.lit("posters/"), F.when(k % 3 == 0, "other").otherwise(k.cast("string")), F.lit(".webp"))
+    declared = F.when(k % 5 == 0, "no digest").otherwise(F.sha2(content, 256))
+    errors = predicates.poster_errors(k.cast("string"), path, declared, content, 2_000)
+    return table(spark, d, "pages").select("page_id", F.concat(F.array_join(errors, ","), F.when(F.size(errors) > 0, ",").otherwise("")).alias("errors"))

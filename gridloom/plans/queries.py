@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar, keys, parse, predicates
-from gridloom.operators import consensus, freshness, identity, personal, planning, readers, schedule
+from gridloom.operators import audits, consensus, freshness, identity, personal, planning, readers, schedule
 from gridloom.plans.frames import OCC, POOL, SCHED, WORKS, occurrences, pool, table, works
 from gridloom.plans.frames import schedule as programme
 from gridloom.sources import captures
@@ -88,11 +88,18 @@ def w14(spark, d):
     return freshness.radar_reconcile(rows).select("row_id", "kept_at", "decision")
 
 
-@query("a11_a41_section_depth", f"WITH {POOL} SELECT pool_id AS section, count(*) AS cards, count(DISTINCT work_id) AS works, CAST(sum(CASE WHEN rank > target THEN 1 ELSE 0 END) AS BIGINT) AS depth FROM pool GROUP BY ALL")
+@query("a11_section_depth", f"WITH {POOL} SELECT pool_id AS section, count(*) AS cards, count(DISTINCT work_id) AS works, CAST(sum(CASE WHEN rank > target THEN 1 ELSE 0 END) AS BIGINT) AS depth FROM pool GROUP BY ALL")
 def a11(spark, d):
     return freshness.lower_depth(pool(spark, d).withColumnRenamed("pool_id", "section"))
 
 
+@query("a41_radar_deficits", """WITH g AS (SELECT event_type AS pool, count(DISTINCT user_id) AS works FROM events GROUP BY 1), n AS (SELECT * FROM (VALUES ('view', 100), ('purchase', 1000000), ('absent', 7)) t(pool, least))
+SELECT pool, coalesce(works, 0) AS works, CAST(greatest(0, least - coalesce(works, 0)) AS BIGINT) AS deficit FROM n LEFT JOIN g USING (pool)""")
+def a41(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("pool"), F.col("user_id").alias("work_id"))
+    return freshness.radar_deficits(rows, {"view": 100, "purchase": 1_000_000, "absent": 7}).select("pool", big("works").alias("works"), big("deficit").alias("deficit"))
+
+
 # Keys and text.
 
 
@@ -388,7 +395,7 @@ def j05(spark, d):
     return identity.named_lookup(s.select("date", "work_id", "title_key").distinct(), e).select("date", "work_id", "title_key", "e_id")
 
 
-@query("j06_j28_legacy_ids", """WITH w AS (SELECT p_partkey AS id, [p_partkey + 1, p_partkey + 1000000] AS l FROM part WHERE p_partkey % 3 = 0), i AS (SELECT id AS a, id, 0 AS o FROM w UNION ALL SELECT unnest(l), id, 1 FROM w), b AS (SELECT a, arg_min(id, o * 100000000 + id) AS id FROM i GROUP BY a)
+@query("j06_legacy_ids", """WITH w AS (SELECT p_partkey AS id, [p_partkey + 1, p_partkey + 1000000] AS l FROM part WHERE p_partkey % 3 = 0), i AS (SELECT id AS a, id, 0 AS o FROM w UNION ALL SELECT unnest(l), id, 1 FROM w), b AS (SELECT a, arg_min(id, o * 100000000 + id) AS id FROM i GROUP BY a)
 SELECT l_partkey AS ref, id, count(*) AS n FROM lineitem LEFT JOIN b ON a = l_partkey GROUP BY ALL""")
 def j06(spark, d):
     w = works(spark, d).where("id % 3 = 0").select("id", F.array(F.col("id") + 1, F.col("id") + 1_000_000).alias("legacy_ids"))
@@ -396,6 +403,13 @@ def j06(spark, d):
     return identity.legacy_lookup(refs, w).select("ref", "id", "n")
 
 
+@query("j28_orphan_ids", """WITH w AS (SELECT p_partkey AS id, unnest([p_partkey + 1, p_partkey + 1000000]) AS l FROM part WHERE p_partkey % 3 = 0)
+SELECT DISTINCT l AS id, 'legacy_used' AS problem FROM w WHERE l IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l, 'legacy_shadows' FROM w WHERE l IN (SELECT p_partkey FROM part)""")
+def j28(spark, d):
+    w = works(spark, d).select("id", F.when(F.col("id") % 3 == 0, F.array(F.col("id") + 1, F.col("id") + 1_000_000)).otherwise(F.array().cast("array<bigint>")).alias("legacy_ids"))
+    return identity.orphan_ids(table(spark, d, "lineitem").select(F.col("l_partkey").alias("ref")), w).select(big("id").alias("id"), "problem")
+
+
 @query("a19_id_owners", """WITH l AS (SELECT DISTINCT l_partkey AS work_id, 'tt' || lpad(CAST(l_suppkey AS VARCHAR), 7, '0') AS ext_id FROM lineitem WHERE l_linenumber = 1) SELECT 'imdb' AS provider, ext_id, count(*) AS claims, CASE WHEN count(*) = 1 THEN min(work_id) END AS owner FROM l GROUP BY ext_id""")
 def a19(spark, d):
     li = table(spark, d, "lineitem").where("l_linenumber = 1")
@@ -582,22 +596,29 @@ def u05(spark, d):
 # Personalisation and planning.
 
 
-@query("w07_visible_cards", f"""WITH {POOL}, u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT DISTINCT user_id, event_id % 50 AS work_id FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, pool_id, work_id, rank, target FROM u, pool WHERE pool_id % 10 = 0 AND rank <= 12),
+@query("w07_visible_cards", f"""WITH {POOL}, u AS (SELECT DISTINCT user_id, event_id % 100 + 1 AS pool_id FROM events), s AS (SELECT DISTINCT user_id, event_id % 50 AS work_id FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, pool_id, work_id, rank, target FROM u JOIN pool USING (pool_id)),
 l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = c.user_id AND s.work_id = c.work_id) AND (rank <= target OR work_id % 2 = 0)), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, pool_id ORDER BY rank > target, rank, work_id) AS slot FROM l)
 SELECT user_id, pool_id, work_id, slot FROM o WHERE slot <= target""")
 def w07(spark, d):
     e = table(spark, d, "events")
-    p = pool(spark, d).where("pool_id % 10 = 0 AND rank <= 12").withColumn("eligible", F.col("work_id") % 2 == 0).withColumn("title", F.concat(F.lit("t"), F.col("work_id").cast("string")))
-    cards = e.select("user_id").distinct().join(p)
+    p = pool(spark, d).withColumn("eligible", F.col("work_id") % 2 == 0).withColumn("title", F.concat(F.lit("t"), F.col("work_id").cast("string")))
+    cards = e.select("user_id", (F.col("event_id") % 100 + 1).alias("pool_id")).distinct().join(p, "pool_id")
     seen = e.where("event_type = 'purchase'").select("user_id", (F.col("event_id") % 50).alias("work_id"), F.lit(None).cast("string").alias("title"))
     return personal.visible(cards, seen).select("user_id", "pool_id", "work_id", big("slot").alias("slot"))
 
 
 @query("w08_family_claims")
 def w08(spark, d):
-    e = table(spark, d, "events").select("user_id").distinct()
-    p = pool(spark, d).where("rank <= 12").select((F.col("pool_id") % 10).alias("family"), F.floor(F.col("pool_id") / 10).cast("int").alias("page_pos"), (F.col("work_id") % 40).alias("work_id"), "rank", "target").where("page_pos < 4").distinct()
-    return personal.family_claims(e.join(p))
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 10).alias("family")).distinct()
+    p = pool(spark, d).select((F.col("pool_id") % 10).alias("family"), F.floor(F.col("pool_id") / 10).cast("int").alias("page_pos"), (F.col("work_id") % 40).alias("work_id"), "rank", "target").distinct()
+    return personal.family_claims(e.join(p, "family"))
+
+
+@query("w10_library_row", f"""WITH {POOL}, t AS (SELECT *, CASE WHEN rank <= target AND work_id % 3 <> 0 THEN 0 WHEN rank > target AND work_id % 3 <> 0 AND work_id % 2 = 0 THEN 1 WHEN rank <= target THEN 2 END AS tier FROM pool),
+o AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY tier, rank) AS slot FROM t WHERE tier IS NOT NULL) SELECT pool_id, work_id, slot FROM o WHERE slot <= target""")
+def w10(spark, d):
+    rows = pool(spark, d).select(F.lit(1).alias("user_id"), "pool_id", "work_id", "rank", "target", (F.col("work_id") % 3 == 0).alias("played"), (F.col("work_id") % 2 == 0).alias("resolved"))
+    return personal.library_row(rows).select("pool_id", "work_id", big("slot").alias("slot"))
 
 
 @query("w03_latest_topic", "SELECT user_id AS topic_id, arg_max(event_id, ts) AS row_id FROM events GROUP BY user_id")
@@ -612,12 +633,20 @@ def t02(spark, d):
     return personal.seen_state(s).select("user_id", "k", "seen")
 
 
-@query("f05_t04_recent_window", "SELECT event_id FROM events WHERE epoch(ts) >= epoch(TIMESTAMP '2024-01-20 12:00:00') - 168 * 3600 AND epoch(ts) <= epoch(TIMESTAMP '2024-01-20 12:00:00') + 600")
+@query("f05_recent_window", "SELECT event_id FROM events WHERE epoch(ts) >= epoch(TIMESTAMP '2024-01-20 12:00:00') - 168 * 3600 AND epoch(ts) <= epoch(TIMESTAMP '2024-01-20 12:00:00') + 600")
 def f05(spark, d):
     e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.where(predicates.recent(F.col("at"), F.lit("2024-01-20 12:00:00").cast("timestamp"), F.lit(500))).select("event_id")
 
 
+@query("t04_future_guard", "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:10:00'")
+def t04(spark, d):
+    from gridloom.streaming import jobs
+
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("activity_at"))
+    return jobs.guarded(e, "2024-01-20 12:00:00", 168).select("event_id")
+
+
 @query("w05_day_ranks", f"WITH {SCHED} SELECT row_id, row_number() OVER (PARTITION BY date ORDER BY coalesce(CASE WHEN k < 30 THEN k END, 1000000), CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END, row_id) AS new_rank FROM sched")
 def w05(spark, d):
     s = programme(spark, d).select("row_id", "date", F.when(F.col("k") < 30, F.col("k")).alias("rank"), (F.col("k") % 2 == 0).alias("primary"), F.col("row_id").alias("pos"))
@@ -666,8 +695,7 @@ def a40(spark, d):
 @query("a13_completeness", """SELECT lang, count(*) AS n, CAST(floor(100.0 * count(quality) / count(*) + 0.5) AS BIGINT) AS labelled_pct, CAST(floor(100.0 * count(*) FILTER (quality = 1) / count(*) + 0.5) AS BIGINT) AS good_pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
 def a13(spark, d):
     j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
-    pct = lambda c: F.floor(100.0 * F.sum(F.coalesce(c, F.lit(False)).cast("long")) / F.count("*") + 0.5).cast("long")
-    return j.groupBy("lang").agg(F.count("*").alias("n"), pct(F.col("quality").isNotNull()).alias("labelled_pct"), pct(F.col("quality") == 1).alias("good_pct"))
+    return audits.ratio(j, ["lang"], labelled_pct=F.col("quality").isNotNull(), good_pct=F.col("quality") == 1)
 
 
 @query("a17_duplicates", "SELECT p_name AS title, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -681,7 +709,14 @@ def a18(spark, d):
     return s.groupBy("user_id", "f").agg(F.count("*").alias("days")).where("days >= 2")
 
 
-@query("f18_f22_admission", f"""WITH {SCHED} SELECT row_id, CASE WHEN k % 10 = 0 THEN 'title' WHEN k % 7 = 0 THEN 'start' WHEN date NOT BETWEEN DATE '2024-01-06' AND DATE '2024-01-12' THEN 'outside_week' END AS error FROM sched""")
+@query("f18_placeholders", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(lorem ipsum|todo|tbd|à compléter|à venir|coming soon|placeholder)\b') IS TRUE AS placeholder FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' TODO' ELSE text END AS text FROM conversations)")
+def f18(spark, d):
+    c = table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.col("text"), F.lit(" TODO"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", predicates.placeholder(text).alias("placeholder"))
+
+
+@query("f22_admission", f"""WITH {SCHED} SELECT row_id, CASE WHEN k % 10 = 0 THEN 'title' WHEN k % 7 = 0 THEN 'start' WHEN date NOT BETWEEN DATE '2024-01-06' AND DATE '2024-01-12' THEN 'outside_week' END AS error FROM sched""")
 def f22(spark, d):
     s = programme(spark, d)
     start = F.when(F.col("k") % 7 == 0, "25:00").otherwise("20:50")
