@@ -10,6 +10,8 @@ sum; the score is its posterior probability.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds: labelled documents learnt from (about), words and n-grams kept.
+#: Bounds of the fitted model: labelled documents learnt from (about), the commonest words and n-grams kept. Texts are scored whole.
 TRAIN_DOCS, MOST_WORDS, MOST_GRAMS = 20_000, 60_000, 60_000
 #: Length of the longest n-grams, and what is added to each count.
 LONGEST, ALPHA = 4, 0.5
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, as \\p{L} has them: word characters without digits, "_" and numbers such as "½" and "Ⅷ".
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L")
+_LETTERS = re.compile(rf"[^\W_{re.escape(_NUMBERS)}]+")
 
 
 @dataclass
@@ -104,7 +108,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         by_word = counts.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
         return by_word.orderBy(F.desc("all"), "w").limit(most).collect()
 
-    top_words, top_grams = commonest(words.where("n > 1"), MOST_WORDS), commonest(all_grams, MOST_GRAMS)
+    top_words, top_grams = commonest(words, MOST_WORDS), commonest(all_grams, MOST_GRAMS)
     words.unpersist()
     langs = sorted({x for r in [*top_words, *top_grams] for x in r["by"]})
     tables = []

@@ -22,11 +22,13 @@ def _header(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archive of a page table under ``path``.
 
-    A null body is an empty payload, a null url an empty target, a null id the word
-    ``none`` in the headers. Of the records with equal payloads of at least
+    ``date`` is the WARC-Date of all records; a page table has none, and a fixed one keeps
+    archives reproducible. A null body is an empty payload, a null url an empty target
+    (line ends in one are percent-encoded), a null id the word ``none`` and a number in
+    the headers. Rows that share an id share a record id. Of the records with equal payloads of at least
     `LEAST_BYTES` bytes the one with the smallest id is the response and the others
     revisit it; rows that repeat that id with the same payload are responses too.
     Ids of equal payloads that are all null are responses. An empty table gives an
@@ -43,12 +45,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     known = light.join(holders, "digest")
     first = (F.col("n_bytes") < LEAST_BYTES) | F.col("page_id").eqNullSafe(F.col("holder"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NO_ID))
+    own = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit(f"{_NO_ID}:"), F.monotonically_increasing_id().cast("string")))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(_CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"),
         line("WARC-Type", F.when(first, "response").otherwise("revisit")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name("page_id"), F.lit(">"))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), own, F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.when(first, "").otherwise(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), name("holder"), F.lit(">")))),
         F.when(first, "").otherwise(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
