@@ -17,19 +17,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines, those dropped (numbers from 0) and the text that is left. Null text: null, no lines. Repeated rows lose the same lines; an empty table gives an empty table."""
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped"), F.array_join(F.col("_gone").cast("array<string>"), ",").alias("dropped"), "text")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 2048 tokens. Null text: the end id alone. Repeated rows are packed each by itself; an empty table gives an empty table."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), TOKENIZER, SEQUENCE_TOKENS, end_id=0)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text. Null text: empty. Repeated rows give repeated rows; an empty table gives an empty table."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), TOKENIZER, OVER_LIMIT)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archive written of it says. Null html: an empty payload; null url: an empty target. Repeated rows give repeated records; an empty table gives an archive without records."""
     pages = _read(spark, sf_dir, "pages")
     path = token_store.store_path(spark, "warc")
     warc.write(pages, path)
@@ -37,35 +41,42 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document. Null or empty text: an empty set, linked with nothing; null id: no part in it. Rows of one id follow each its own text; an empty table gives an empty table."""
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. Null text: no words, so that the base rules fail. Repeated rows give repeated rows; an empty table gives an empty table; without labels only the base rules hold."""
     docs = _read(spark, sf_dir, "documents")
     out = quality.judged(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, tokens and checksum of every document, read back from the store. Null text: the end id alone. Null ids come first; repeated rows are stored each by itself; an empty table gives an empty store."""
     path = token_store.store_path(spark, "tokens")
     token_store.write(_read(spark, sf_dir, "documents"), TOKENIZER, path, end_id=2)
     return token_store.read(spark, path)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and hits of every document. Null text on either side: no words, no windows. Repeated rows give repeated rows; an empty benchmark hits nothing; an empty table gives an empty table."""
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("h")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Null text and text without letters: und, score 0. Repeated rows give repeated rows; without documents to learn from all are und; an empty table gives an empty table."""
     docs = _read(spark, sf_dir, "documents")
     return lang_id.identify(docs, lang_id.train(docs))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page. Null url, or one without a scheme: empty host and path, allow. Repeated rows give repeated rows; an empty table gives an empty table."""
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the whole documents; each stage states what it does with nulls, repeated rows and empty tables."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
