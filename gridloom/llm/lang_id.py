@@ -26,9 +26,19 @@ TRAIN_DOCS, MOST_WORDS, MOST_GRAMS = 20_000, 60_000, 60_000
 #: Length of the longest n-grams, and what is added to each count.
 LONGEST, ALPHA = 4, 0.5
 UNKNOWN = "und"
-#: Runs of letters, as \\p{L} has them: word characters without digits, "_" and numbers such as "½" and "Ⅷ".
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L")
-_LETTERS = re.compile(rf"[^\W_{re.escape(_NUMBERS)}]+")
+#: Word characters without digits and "_"; among them are numbers such as "½" and "Ⅷ", which are no letters and split words.
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L") + "]")
+
+
+def _words(text: str) -> Counter:
+    """The words of a text in lower case, runs of letters as \\p{L} has them, with how often each occurs."""
+    counts = Counter(_LETTERS.findall(text.lower()))
+    for w in [w for w in counts if not w.isascii() and _NUMBERS.search(w)]:
+        n = counts.pop(w)
+        for part in filter(None, _NUMBERS.split(w)):
+            counts[part] += n
+    return counts
 
 
 @dataclass
@@ -52,7 +62,7 @@ class Model:
 
     def text(self, text: str | None, seen: dict[str, np.ndarray | None]) -> tuple[str, float]:
         """The language and its probability; `UNKNOWN` and 0 for a text without letters or an empty model."""
-        counts = Counter(_LETTERS.findall(text.lower())) if text else {}
+        counts = _words(text) if text else {}
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
