@@ -9,9 +9,15 @@ from gridloom.operators.schedule import append_new
 
 
 def watch_list_csv(df: DataFrame, path: str) -> None:
-    """Semicolons, every field quoted, UTF-8 with a byte-order mark on the header's first column."""
-    first, *rest = df.columns
-    df.select(F.col(first).alias("﻿" + first), *rest).write.option("sep", ";").option("quoteAll", True).option("header", True).csv(path)
+    """Semicolons, every field quoted, nulls empty, UTF-8.
+
+    The part files in order are one CSV file: the first has the byte-order mark and the
+    header, and nothing else.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(";", *[quoted(F.coalesce(df[c].cast("string"), F.lit(""))) for c in df.columns])
+    header = F.concat(F.lit("\ufeff"), F.concat_ws(";", *[quoted(F.lit(c)) for c in df.columns]))
+    df.sparkSession.range(1, numPartitions=1).select(header.alias("line")).union(df.select(line)).write.text(path)
 
 
 def report(rows: DataFrame, path: str, summary: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,10 +19,49 @@ def guarded(events: DataFrame, now: str | None, hours: int, time: str = "activit
     return events.withWatermark(time, f"{hours} hours").where(F.col(time) <= clock + F.expr("INTERVAL 10 MINUTES"))
 
 
+def kept_for(events: DataFrame, hours: int) -> DataFrame:
+    """The newest row of each key, remembered for as long as it can matter.
+
+    ``events`` has ``k, at, value, found`` and a watermark on ``at``. A row is emitted
+    where it is newer than what the state holds of its key; of equal times a find, then
+    the greatest value, wins. A row that finds nothing is emitted and clears the state
+    of its key. State goes once the watermark is ``hours`` past its row. `current` tells
+    what of the emitted rows holds at an instant.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # null values sort as empty ones
+        rows = ((r.at_us, r.found, r.value or "", r.value) for frame in frames for r in frame.itertuples())
+        at_us, found, _, value = max(rows, key=lambda r: r[:3])
+        if state.exists and state.get >= (at_us, value or ""):
+            state.setTimeoutTimestamp(max(state.get[0] // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+            return
+        ends = at_us // 1000 + hours * 3_600_000
+        if found and ends > state.getCurrentWatermarkMs():
+            state.update((at_us, value or ""))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"k": [key[0]], "at_us": [at_us], "value": [value], "found": [found]})
+
+    rows = events.select("k", "at", F.unix_micros("at").alias("at_us"), "value", "found")
+    out = rows.groupBy("k").applyInPandasWithState(step, "k string, at_us long, value string, found boolean", "at_us long, value string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("k", F.timestamp_micros("at_us").alias("at"), "value", "found")
+
+
+def current(emitted: DataFrame, now: Column, hours: int) -> DataFrame:
+    """Of rows that `kept_for` emitted, or of its input, the newest of each key, if it found something and is no older than ``hours`` at ``now``."""
+    newest = emitted.where(F.col("at") <= now + F.expr("INTERVAL 10 MINUTES")).groupBy("k").agg(F.max(F.struct("at", "found", "value")).alias("r")).select("k", "r.*")
+    return newest.where(F.col("found") & (F.col("at") >= now - F.make_dt_interval(hours=F.lit(hours)))).select("k", "at", "value")
+
+
 def recent_topics(events: DataFrame, hours: int = 24, now: str | None = None) -> DataFrame:
-    """The latest activity of each topic per window of ``hours``; state goes with the watermark."""
-    g = guarded(events, now, hours).groupBy(F.window("activity_at", f"{hours} hours"), "topic_id")
-    return g.agg(F.max("activity_at").alias("activity_at"), F.max_by("title", "activity_at").alias("title"), F.count("*").alias("n"))
+    """The latest activity of each topic, emitted as it comes. `current` cuts at ``hours`` before any instant; state goes by age."""
+    e = guarded(events, now, hours)
+    return kept_for(e.select(F.col("topic_id").cast("string").alias("k"), F.col("activity_at").alias("at"), F.col("title").alias("value"), F.lit(True).alias("found")), hours)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -54,9 +93,10 @@ def seen_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "k").applyInPandasWithState(step, "user_id long, k string, status string, previous_status string", "status string, previous string", "update", GroupStateTimeout.NoTimeout)
 
 
-def match_cache(matches: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """The newest positive match of each key within the time to live; absence is never kept."""
-    return matches.where("found").withWatermark("ts", ttl).groupBy(F.window("ts", ttl), "k").agg(F.max_by("match_id", "ts").alias("match_id"), F.max("ts").alias("ts"))
+def match_cache(matches: DataFrame, hours: int = 7 * 24, late: str = "1 hour") -> DataFrame:
+    """The newest match of each key, for ``hours`` by its age; a search without a match clears its key, and absence is never kept."""
+    m = matches.withWatermark("ts", late)
+    return kept_for(m.select(F.col("k").cast("string").alias("k"), F.col("ts").alias("at"), F.col("match_id").cast("string").alias("value"), "found"), hours)
 
 
 def enrich(topics: DataFrame, works: DataFrame) -> DataFrame:

@@ -59,6 +59,8 @@ def test_sinks_are_idempotent(spark, tmp_path):
     sinks.watch_list_csv(df, f"{tmp_path}/csv")
     text = "".join(p.read_text("utf-8") for p in (tmp_path / "csv").glob("part-*"))
     assert '"1";"a"' in text
+    first = min((tmp_path / "csv").glob("part-*")).read_bytes()
+    assert first.startswith(b"\xef\xbb\xbf\"k\";\"v\"")
 
 
 def test_upsert_and_fill(spark):
@@ -146,9 +148,28 @@ def event_stream(spark, sf_dir, tmp_path):
 def test_stream_recent_topics(spark, event_stream):
     stream, batch = event_stream
     shape = lambda df: df.select(F.col("ts").alias("activity_at"), F.col("user_id").alias("topic_id"), F.col("event_type").alias("title"))
-    got = run_stream(spark, jobs.recent_topics(shape(stream), 24), "recent_topics", "complete")
-    want = shape(batch).groupBy(F.window("activity_at", "24 hours"), "topic_id").agg(F.max("activity_at").alias("activity_at"))
-    assert rows(got, "topic_id", "activity_at") == rows(want, "topic_id", "activity_at")
+    got = run_stream(spark, jobs.recent_topics(shape(stream), 24), "recent_topics", "append")
+    now = batch.agg(F.max("ts")).first()[0]
+    want = shape(batch).where(F.col("activity_at") >= F.lit(now) - F.expr("INTERVAL 24 HOURS")).groupBy(F.col("topic_id").cast("string").alias("k")).agg(F.max("activity_at").alias("at"))
+    assert rows(jobs.current(got, F.lit(now), 24), "k", "at") == rows(want, "k", "at") != []
+
+
+def test_stream_match_cache(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    batches = [
+        [("a", at(0), "1", True), ("b", at(0), "2", True), ("c", at(1), "3", True), ("d", at(1), "4", True)],
+        [("b", at(2), None, False), ("a", at(3), "5", True), ("d", at(0.5), "9", True)],  # b is no longer found, a is found anew, an older d comes late
+        [("e", at(12), "6", True)],
+        [("f", at(40), None, False), ("g", at(40), "7", True), ("c", at(39.5), "8", True)],
+    ]
+    schema = "k string, ts timestamp, match_id string, found boolean"
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    emitted = run_stream(spark, jobs.match_cache(stream, 10), "match_cache", "append")
+    shown = lambda h: rows(jobs.current(emitted, F.lit(at(h)), 10), "k", "value")
+    assert shown(12) == [("a", "5"), ("e", "6")]  # c and d are eleven hours old
+    assert shown(40) == [("c", "8"), ("g", "7")]
 
 
 def test_stream_seen_state(spark, event_stream):
