@@ -1,10 +1,10 @@
 """Language identification: known words first, backing off to shorter and shorter character n-grams.
 
-Spark counts words and n-grams by language; the commonest `MOST_WORDS` words and
-`MOST_GRAMS` n-grams are the model, whose size is so bounded. A word of the model
-scores by its log frequency in each language. An unseen word scores by its known
-4-grams, else by its known 3-grams, and so on. A text's language has the highest
-sum; the score is its posterior probability.
+Spark counts all words and n-grams of a bounded sample of labelled documents by
+language; they are the model, whose size is so bounded too. A word of the model scores
+by its log frequency in each language. An unseen word scores by its known 4-grams, else
+by its known 3-grams, and so on. A text's language has the highest sum; the score is
+its posterior probability.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fitted model: labelled documents learnt from (about), the commonest words and n-grams kept. Texts are scored whole.
-TRAIN_DOCS, MOST_WORDS, MOST_GRAMS = 20_000, 60_000, 60_000
+#: Bounds of the labelled sample learnt from: documents, and characters in them (both about). All of its words and n-grams count, and all texts are scored whole.
+TRAIN_DOCS, TRAIN_CHARS = 4_000, 16_000_000
 #: Length of the longest n-grams, and what is added to each count.
 LONGEST, ALPHA = 4, 0.5
 UNKNOWN = "und"
@@ -92,17 +92,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> Model:
     """Learn from the documents that are not held out and have a language and a text.
 
-    About ``most_docs`` of them, chosen by a hash of the id, are counted; all of them
-    if there are fewer. Without such documents the model is empty.
+    A sample of them, chosen by a hash of the id, is learnt from whole, of about
+    ``most_docs`` documents and ``most_chars`` characters at the most; all of them if
+    they are fewer. Without such documents the model is empty.
     """
     rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    n = rows.select("_id").count()
-    if n > most_docs:
-        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most_docs / n)))
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("_text"))).first()
+    share = min(most_docs / max(n, 1), most_chars / max(chars or 0, 1))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * share)))
     words = (
         rows.select("_lang", F.explode(F.split(F.lower("_text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
         .groupBy("_lang", "w").agg(F.count("*").alias("n")).cache()
@@ -114,18 +116,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ]
     all_grams = grams[0].union(grams[1]).union(grams[2]).union(grams[3]).groupBy("_lang", "w").agg(F.sum("n").alias("n"))
 
-    def commonest(counts: DataFrame, most: int) -> list:
-        by_word = counts.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by"))
-        return by_word.orderBy(F.desc("all"), "w").limit(most).collect()
+    def lines(counts: DataFrame) -> list:
+        return counts.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("_lang", "n"))).alias("by")).orderBy("w").collect()
 
-    top_words, top_grams = commonest(words, MOST_WORDS), commonest(all_grams, MOST_GRAMS)
+    known_words, known_grams = lines(words), lines(all_grams)
     words.unpersist()
-    langs = sorted({x for r in [*top_words, *top_grams] for x in r["by"]})
+    langs = sorted({x for r in [*known_words, *known_grams] for x in r["by"]})
     tables = []
-    for top in (top_words, top_grams):
-        c = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs)) + ALPHA
+    for known in (known_words, known_grams):
+        c = np.array([[r["by"].get(x, 0) for x in langs] for r in known], float).reshape(len(known), len(langs)) + ALPHA
         tables.append((np.log(c) - np.log(c.sum(axis=0))) if len(c) else c)
-    return Model(langs, {r["w"]: k for k, r in enumerate(top_words)}, {r["w"]: len(top_words) + k for k, r in enumerate(top_grams)}, np.concatenate(tables))
+    return Model(langs, {r["w"]: k for k, r in enumerate(known_words)}, {r["w"]: len(known_words) + k for k, r in enumerate(known_grams)}, np.concatenate(tables))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     give repeated rows, null ids stay null, an empty table gives an empty table, and
     no other column is read. One map, no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS + MOST_GRAMS lines
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was learnt from
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, {}

@@ -249,6 +249,10 @@ def test_language_held_out(spark):
     signs = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(spark.createDataFrame([(1, "½ ² Ⅷ ३ _ 12"), (2, "½the²and")], "doc_id long, text string"), model).collect()}
     assert signs[1] == "und" and signs[2] != "und"
     assert odd[1]["held_out"] == (zlib.crc32(b"1") % 4 == 2)
+    # one word of many of each language is known, however rare
+    once = {w for r in docs.where(~lang_id.held_out(docs["doc_id"]) & docs["lang"].isNotNull()).collect() for w in lang_id._words(r["text"] or "")}
+    assert set(model.words) == once
+    assert 0 < len(lang_id.train(docs, most_chars=20_000).words) < len(model.words) / 2
     empty = lang_id.train(docs.limit(0))
     assert {r["lang_pred"] for r in lang_id.identify(docs, empty).collect()} == {"und"}
 
