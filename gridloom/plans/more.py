@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import parse, predicates
+from gridloom.functions.calendar import issue_from, week_of_saturday
 from gridloom.operators import audits, consensus, identity, personal, planning, readers, schedule
 from gridloom.plans.frames import OCC, POOL, SCHED, WORKS, occurrences, pool, table, works
 from gridloom.plans.frames import schedule as programme
 from gridloom.plans.queries import KEY, big, query
 
 
-@query("f23_calendar_audit", f"""WITH {OCC}, i AS (SELECT DISTINCT week, "from" FROM occ WHERE id % 7 = 0), p AS (SELECT week, "from", "from" - lag("from") OVER (ORDER BY "from") AS d FROM i)
+@query("f23_calendar_audit", f"""WITH {OCC}, i AS (SELECT DISTINCT week, "from" FROM occ), p AS (SELECT week, "from", "from" - lag("from") OVER (ORDER BY "from") AS d FROM i)
 SELECT week, true AS id_ok, true AS span_ok, true AS advances, CAST(coalesce(greatest(0, d // 7 - 1), 0) AS BIGINT) AS skipped FROM p""")
 def f23(spark, d):
-    i = occurrences(spark, d).where("id % 7 = 0").select("week", "from").distinct().withColumn("to", F.date_add("from", 6))
+    i = occurrences(spark, d).select("week", "from").distinct().withColumn("to", F.date_add("from", 6))
     return audits.calendar_audit(i).withColumn("skipped", big("skipped"))
 
 
-@query("f26_manifest_audit", f"""WITH {OCC}, m AS (SELECT week, count(DISTINCT pool_id) % 5 + 20 AS declared FROM occ WHERE id % 2 = 0 GROUP BY week), c AS (SELECT week, pool_id % 25 AS page_id, count(*) AS cards FROM occ WHERE id % 3 <> 0 GROUP BY ALL), p AS (SELECT week, count(DISTINCT page_id) AS actual, max(cards) AS most FROM c GROUP BY week),
+@query("f26_manifest_audit", f"""WITH {OCC}, m AS (SELECT strftime(CAST(o_orderdate AS DATE) - CAST((isodow(o_orderdate) + 1) % 7 AS INTEGER) + 2, '%G-S%V') AS week, count(DISTINCT o_custkey) % 5 + 20 AS declared FROM orders GROUP BY 1), c AS (SELECT week, pool_id % 25 AS page_id, count(*) AS cards FROM occ GROUP BY ALL), p AS (SELECT week, count(DISTINCT page_id) AS actual, max(cards) AS most FROM c GROUP BY week),
 j AS (SELECT week, declared, actual, most FROM m FULL JOIN p USING (week))
 SELECT week, 'not_in_manifest' AS problem FROM j WHERE declared IS NULL UNION ALL SELECT week, 'no_issue' FROM j WHERE actual IS NULL UNION ALL SELECT week, 'page_count' FROM j WHERE declared <> actual UNION ALL SELECT week, 'too_many_cards' FROM j WHERE most > 12""")
 def f26(spark, d):
     occ = occurrences(spark, d)
-    m = occ.where("id % 2 = 0").groupBy("week").agg((F.countDistinct("pool_id") % 5 + 20).alias("page_count"))
-    p = occ.where("id % 3 <> 0").groupBy("week", (F.col("pool_id") % 25).alias("page_id")).agg(F.count("*").alias("cards"))
+    m = table(spark, d, "orders").groupBy(week_of_saturday(issue_from(F.col("o_orderdate").cast("date"))).alias("week")).agg((F.countDistinct("o_custkey") % 5 + 20).alias("page_count"))
+    p = occ.groupBy("week", (F.col("pool_id") % 25).alias("page_id")).agg(F.count("*").alias("cards"))
     return audits.manifest_audit(m, p, 12)
 
 
@@ -75,11 +76,11 @@ def s17(spark, d):
     return schedule.distinct_observations(s).select("date", "channel", "title", "source_url", "k")
 
 
-@query("a20_pagination_gaps", f"""WITH {SCHED}, p AS (SELECT channel AS source, date, CAST(k % 12 + 1 AS INTEGER) AS page, count(*) AS n FROM sched WHERE k % 12 <> 5 GROUP BY ALL), g AS (SELECT source, date, list(page) AS pages, sum(n) AS n FROM p GROUP BY ALL)
-SELECT source, date, coalesce(array_to_string(list_filter(generate_series(1, 12), lambda x: NOT list_contains(pages, x)), ','), '') AS missing, n <> 60 AS total_differs FROM g""")
+@query("a20_pagination_gaps", f"""WITH {SCHED}, p AS (SELECT channel AS source, date, CAST(k % 40 + 1 AS INTEGER) AS page, count(*) AS n FROM sched GROUP BY ALL), g AS (SELECT source, date, list(page) AS pages, sum(n) AS n FROM p GROUP BY ALL)
+SELECT source, date, coalesce(array_to_string(list_filter(generate_series(1, 40), lambda x: NOT list_contains(pages, x)), ','), '') AS missing, n <> 60 AS total_differs FROM g""")
 def a20(spark, d):
-    p = programme(spark, d).where("k % 12 <> 5").groupBy(F.col("channel").alias("source"), "date", (F.col("k") % 12 + 1).alias("page")).agg(F.count("*").alias("n"))
-    got = schedule.pagination_gaps(p.withColumn("total_pages", F.lit(12)).withColumn("total_products", F.lit(60)))
+    p = programme(spark, d).groupBy(F.col("channel").alias("source"), "date", (F.col("k") % 40 + 1).alias("page")).agg(F.count("*").alias("n"))
+    got = schedule.pagination_gaps(p.withColumn("total_pages", F.lit(40)).withColumn("total_products", F.lit(60)))
     return got.withColumn("missing", F.array_join(F.transform(F.sort_array(F.transform(F.filter(F.split("missing", ","), lambda x: x != ""), lambda x: x.cast("int"))), lambda x: x.cast("string")), ","))
 
 
@@ -138,12 +139,12 @@ def j22(spark, d):
     return identity.merge_review_notes(s.where("row_id % 2 = 0").select("row_id", "page", "compact"), s.where("row_id % 5 = 1").select(F.col("row_id").alias("note_id"), "page", "compact"))[0].select("row_id", "note_id")
 
 
-@query("j23_placements", f"""WITH {SCHED}, w AS (SELECT row_id AS want_id, title_key, channel, start_min FROM sched WHERE row_id % 13 = 0), p AS (SELECT user_id AS pool_id, row_id AS pool_pos, title_key, channel, start_min FROM sched WHERE row_id % 101 = 0)
+@query("j23_placements", f"""WITH {SCHED}, w AS (SELECT min(row_id) AS want_id, title_key, channel, arg_min(start_min, row_id) AS start_min FROM sched GROUP BY title_key, channel), p AS (SELECT user_id AS pool_id, row_id AS pool_pos, title_key, channel, start_min FROM sched)
 SELECT want_id, pool_id, pool_pos FROM w JOIN p USING (title_key) UNION SELECT want_id, pool_id, pool_pos FROM w JOIN p USING (channel, start_min)""")
 def j23(spark, d):
     s = programme(spark, d)
-    w = s.where("row_id % 13 = 0").select(F.col("row_id").alias("want_id"), "title_key", "channel", "start_min")
-    p = s.where("row_id % 101 = 0").select(F.col("user_id").alias("pool_id"), F.col("row_id").alias("pool_pos"), F.col("title_key").alias("p_title_key"), F.col("channel").alias("p_channel"), F.col("start_min").alias("p_start"))
+    w = s.groupBy("title_key", "channel").agg(F.min("row_id").alias("want_id"), F.min_by("start_min", "row_id").alias("start_min"))
+    p = s.select(F.col("user_id").alias("pool_id"), F.col("row_id").alias("pool_pos"), F.col("title_key").alias("p_title_key"), F.col("channel").alias("p_channel"), F.col("start_min").alias("p_start"))
     return identity.placements(w, p)
 
 
@@ -195,19 +196,19 @@ def a37(spark, d):
     return planning.evidence_packet(s, s.select("title_key", F.col("channel").alias("slot")), s.where("k < 20").select("title_key", F.col("source").alias("field")), s.select("title_key", F.col("date").cast("string").alias("week")))
 
 
-@query("a43_initial_seeds", f"""WITH {SCHED}, s AS (SELECT row_id AS signal_id, title_key, date, k % 5 AS score FROM sched WHERE row_id % 4 = 0), g AS (SELECT row_id AS group_id, title_key, date FROM sched WHERE row_id % 50 = 1), h AS (SELECT signal_id, min(group_id) AS group_id, count(DISTINCT group_id) AS n FROM s LEFT JOIN g USING (title_key, date) GROUP BY 1)
+@query("a43_initial_seeds", f"""WITH {SCHED}, s AS (SELECT row_id AS signal_id, title_key, date, k % 5 AS score FROM sched), g AS (SELECT row_id AS group_id, title_key, date FROM sched WHERE channel = 'purchase'), h AS (SELECT signal_id, min(group_id) AS group_id, count(DISTINCT group_id) AS n FROM s LEFT JOIN g USING (title_key, date) GROUP BY 1)
 SELECT signal_id, CASE WHEN score < 2 THEN 'low_mark' WHEN n = 0 THEN 'no_group' WHEN n > 1 THEN 'several_groups' END AS reason, CASE WHEN score >= 2 AND n = 1 THEN group_id END AS group_id FROM s JOIN h USING (signal_id)""")
 def a43(spark, d):
     s = programme(spark, d)
-    sig = s.where("row_id % 4 = 0").select(F.col("row_id").alias("signal_id"), "title_key", "date", (F.col("k") % 5).alias("score"))
-    return planning.initial_seeds(sig, s.where("row_id % 50 = 1").select(F.col("row_id").alias("group_id"), "title_key", "date", F.lit(True).alias("open"))).select("signal_id", "reason", "group_id")
+    sig = s.select(F.col("row_id").alias("signal_id"), "title_key", "date", (F.col("k") % 5).alias("score"))
+    return planning.initial_seeds(sig, s.where("channel = 'purchase'").select(F.col("row_id").alias("group_id"), "title_key", "date", F.lit(True).alias("open"))).select("signal_id", "reason", "group_id")
 
 
-@query("a44_grid_review", f"""WITH {SCHED}, c AS (SELECT row_id, date, channel, start_min, CASE WHEN row_id % 10 = 0 THEN 'fixed' ELSE replace(title, 'title', 'titre') END AS title FROM sched) SELECT row_id, title, count(*) OVER (PARTITION BY date, channel) AS n_channel, row_number() OVER (PARTITION BY date, channel, start_min, title ORDER BY row_id) > 1 AS is_duplicate FROM c""")
+@query("a44_grid_review", f"""WITH {SCHED}, c AS (SELECT row_id, date, channel, start_min, CASE WHEN row_id % 10 = 0 THEN 'fixed' ELSE replace(title, 'title', 'titre') END AS title FROM sched WHERE channel <> 'error' UNION ALL SELECT row_id, date, channel, start_min, title FROM sched WHERE channel = 'error') SELECT row_id, title, count(*) OVER (PARTITION BY date, channel) AS n_channel, row_number() OVER (PARTITION BY date, channel, start_min, title ORDER BY row_id) > 1 AS is_duplicate FROM c""")
 def a44(spark, d):
     s = programme(spark, d).select("row_id", "date", "start_min", "channel", "title")
     fix = s.where("row_id % 10 = 0").withColumn("title", F.lit("fixed"))
-    return schedule.apply_grid_review(s, fix, s.limit(0), [("^title", "titre")]).select("row_id", "title", "n_channel", "is_duplicate")
+    return schedule.apply_grid_review(s.where("channel <> 'error'"), fix, s.where("channel = 'error'"), [("^title", "titre")]).select("row_id", "title", "n_channel", "is_duplicate")
 
 
 @query("a45_shortlist", f"""WITH {SCHED}, s AS (SELECT user_id AS card_id, row_id, row_number() OVER (PARTITION BY user_id ORDER BY k, row_id) AS r FROM sched) SELECT card_id, row_id AS signal_id FROM s WHERE r = 1""")
@@ -330,10 +331,10 @@ def f25(spark, d):
     return planning.append_contract(e, n.withColumn("rank", F.col("rank") + F.when(F.col("pool_id") % 3 == 0, 1).otherwise(0)))
 
 
-@query("u02_u06_u07_sets", f"""WITH {OCC}, t AS (SELECT DISTINCT week, title_key FROM occ WHERE id % 2 = 0 OR id % 3 = 0) SELECT week, count(*) AS n, true AS same, 'a,b,c' AS merged FROM t GROUP BY week""")
+@query("u02_u06_u07_sets", f"""WITH {OCC}, t AS (SELECT DISTINCT week, title_key FROM occ WHERE qty > 25 OR qty < 20) SELECT week, count(*) AS n, true AS same, 'a,b,c' AS merged FROM t GROUP BY week""")
 def u02(spark, d):
     occ = occurrences(spark, d)
-    v = readers.visual_titles(occ.where("id % 2 = 0"), occ.where("id % 3 = 0"))
+    v = readers.visual_titles(occ.where("qty > 25"), occ.where("qty < 20 OR qty > 40"))
     a = lambda *x: F.array(*map(F.lit, x))
     return v.groupBy("week").agg(F.count("*").alias("n")).select("week", "n", readers.same_set(a("x", "y", "x"), a("y", "x")).alias("same"), F.array_join(readers.ordered_union(a("a", "b"), a("b", "c")), ",").alias("merged"))
 
@@ -346,12 +347,12 @@ def l02(spark, d):
     return w.select("user_id", "title_key", big(F.row_number().over(Window.partitionBy("user_id").orderBy(*readers.watch_order()))).alias("place"))
 
 
-@query("t07_enrich_topics", f"""WITH {WORKS}, t AS (SELECT id AS topic_id, title, year FROM works WHERE id % 5 = 0) SELECT topic_id, t.title, CAST(t.year AS BIGINT) AS year, w.id AS work_id FROM t LEFT JOIN works w ON w.title = t.title AND w.year = t.year""")
+@query("t07_enrich_topics", f"""WITH {WORKS}, t AS (SELECT id AS topic_id, title, year FROM works) SELECT topic_id, t.title, CAST(t.year AS BIGINT) AS year, w.id AS work_id FROM t LEFT JOIN works w ON w.title = t.title AND w.year = t.year""")
 def t07(spark, d):
     from gridloom.streaming import jobs
 
     w = works(spark, d)
-    t = w.where("id % 5 = 0").select(F.col("id").alias("topic_id"), F.concat(F.lit("[X] "), F.replace("title", F.lit(" "), F.lit(".")), F.lit(" ("), F.col("year").cast("string"), F.lit(") 720p")).alias("topic_title"))
+    t = w.select(F.col("id").alias("topic_id"), F.concat(F.lit("[X] "), F.replace("title", F.lit(" "), F.lit(".")), F.lit(" ("), F.col("year").cast("string"), F.lit(") 720p")).alias("topic_title"))
     return jobs.enrich(t, w).select("topic_id", "title", big("year").alias("year"), "work_id")
 
 

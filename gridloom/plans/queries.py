@@ -70,11 +70,11 @@ def a16(spark, d):
 
 
 @query("u03_core_titles", f"""WITH {OCC}, {POOL}, p AS (SELECT week, title_key, o.pool_id, rank, target FROM occ o JOIN pool q ON o.pool_id = q.pool_id AND o.id = q.work_id)
-SELECT DISTINCT week, title_key, 'public' AS core FROM p WHERE rank <= target UNION ALL SELECT DISTINCT week, title_key, 'reserve' FROM p WHERE rank > target""")
+SELECT week, title_key, 'public' AS core FROM p WHERE rank <= target UNION SELECT week, title_key, 'public' FROM occ WHERE qty > 48 UNION SELECT week, title_key, 'public' FROM occ WHERE qty < 3 UNION ALL SELECT DISTINCT week, title_key, 'reserve' FROM p WHERE rank > target""")
 def u03(spark, d):
     occ = occurrences(spark, d)
     p = occ.join(pool(spark, d).withColumnRenamed("work_id", "id"), ["pool_id", "id"])
-    return freshness.core_titles(p.limit(0), p.limit(0), p, occ)
+    return freshness.core_titles(occ.where("qty > 48"), occ.where("qty < 3"), p, occ)
 
 
 @query("w14_a42_radar_reconcile", """WITH r AS (SELECT event_id AS row_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS work_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS precedence, CAST(event_id % 50 AS INTEGER) AS rank, CASE WHEN user_id % 17 = 0 AND event_id % 2 = 0 THEN 'hd' WHEN user_id % 17 = 0 THEN 'sd' END AS version FROM events),
@@ -387,11 +387,11 @@ def j04(spark, d):
     return identity.id_then_title(w.select(F.col("id").alias("row_id"), (F.col("id") * 3).alias("work_ref"), "title"), w).select("row_id", "work_id")
 
 
-@query("j05_named_lookup", f"""WITH {SCHED}, e AS (SELECT row_id AS e_id, CASE WHEN row_id % 2 = 0 THEN work_id END AS e_work_id, title_key AS e_title_key FROM sched WHERE row_id % 97 = 0), r AS (SELECT DISTINCT date, work_id, title_key FROM sched)
+@query("j05_named_lookup", f"""WITH {SCHED}, e AS (SELECT row_id AS e_id, CASE WHEN row_id % 2 = 0 THEN work_id END AS e_work_id, title_key AS e_title_key FROM sched), r AS (SELECT DISTINCT date, work_id, title_key FROM sched)
 SELECT date, work_id, title_key, e_id FROM r JOIN e ON work_id = e_work_id UNION SELECT date, work_id, title_key, e_id FROM r JOIN e ON e_work_id IS NULL AND title_key = e_title_key""")
 def j05(spark, d):
     s = programme(spark, d)
-    e = s.where("row_id % 97 = 0").select(F.col("row_id").alias("e_id"), F.when(F.col("row_id") % 2 == 0, F.col("work_id")).alias("e_work_id"), F.col("title_key").alias("e_title_key"))
+    e = s.select(F.col("row_id").alias("e_id"), F.when(F.col("row_id") % 2 == 0, F.col("work_id")).alias("e_work_id"), F.col("title_key").alias("e_title_key"))
     return identity.named_lookup(s.select("date", "work_id", "title_key").distinct(), e).select("date", "work_id", "title_key", "e_id")
 
 
@@ -416,12 +416,12 @@ def a19(spark, d):
     return identity.id_owners(li.select(F.col("l_partkey").alias("work_id"), F.concat(F.lit("https://www.imdb.com/title/tt"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0"), F.lit("/")).alias("url")))
 
 
-@query("j13_scoped_records", f"""WITH {SCHED}, r AS (SELECT row_id AS r_id, title_key AS t, CASE WHEN row_id % 2 = 0 THEN date END AS d, CASE WHEN row_id % 3 = 0 THEN channel END AS c, CASE WHEN row_id % 11 = 0 THEN 'stable' ELSE 'dynamic' END AS s FROM sched WHERE row_id % 499 = 0)
+@query("j13_scoped_records", f"""WITH {SCHED}, r AS (SELECT row_id AS r_id, title_key AS t, CASE WHEN row_id % 2 = 0 THEN date END AS d, CASE WHEN row_id % 3 = 0 THEN channel END AS c, CASE WHEN row_id % 11 = 0 THEN 'stable' ELSE 'dynamic' END AS s FROM (SELECT min(row_id) AS row_id, title_key, channel, arg_min(date, row_id) AS date FROM sched GROUP BY title_key, channel))
 SELECT row_id, r_id FROM sched JOIN r ON title_key = t WHERE s = 'stable' OR ((d IS NULL OR d = date) AND (c IS NULL OR c = channel))""")
 def j13(spark, d):
     s = programme(spark, d)
     pick = lambda n, c: F.when(F.col("row_id") % n == 0, F.col(c))
-    r = s.where("row_id % 499 = 0").select(F.col("row_id").alias("r_id"), F.col("title_key").alias("r_title_key"), pick(2, "date").alias("r_date"), pick(3, "channel").alias("r_channel"), F.when(F.col("row_id") % 11 == 0, "stable").otherwise("dynamic").alias("stability"))
+    r = s.groupBy("title_key", "channel").agg(F.min("row_id").alias("row_id"), F.min_by("date", "row_id").alias("date")).select(F.col("row_id").alias("r_id"), F.col("title_key").alias("r_title_key"), pick(2, "date").alias("r_date"), pick(3, "channel").alias("r_channel"), F.when(F.col("row_id") % 11 == 0, "stable").otherwise("dynamic").alias("stability"))
     return identity.scoped_records(r, s).select("row_id", "r_id")
 
 
@@ -441,13 +441,13 @@ def j17(spark, d):
     return identity.without_seen(cards, seen).select("user_id", "work_id")
 
 
-@query("j08_review_ladder", f"""WITH {SCHED}, s AS (SELECT row_id, date, start_min // 120 AS start_min, channel, title_key FROM sched), r AS (SELECT row_id AS c, date, start_min, channel, title_key FROM s WHERE row_id % 7 = 0),
+@query("j08_review_ladder", f"""WITH {SCHED}, s AS (SELECT row_id, date, start_min // 120 AS start_min, channel, title_key FROM sched), r AS (SELECT row_id AS c, date, start_min, channel, title_key FROM s),
 e AS (SELECT s.row_id, 1 AS basis, c FROM s JOIN r USING (date, start_min, channel, title_key) UNION ALL SELECT s.row_id, 2, c FROM s JOIN r USING (date, start_min, channel) UNION ALL SELECT s.row_id, 3, c FROM s JOIN r USING (date, channel, title_key)),
 g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL)
 SELECT s.row_id, CAST(b.basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate, n FROM s LEFT JOIN b USING (row_id) LEFT JOIN g ON g.row_id = b.row_id AND g.basis = b.basis""")
 def j08(spark, d):
     s = programme(spark, d).withColumn("start_min", F.floor(F.col("start_min") / 120).cast("int")).select("row_id", "date", "start_min", "channel", "title_key")
-    r = s.where("row_id % 7 = 0").select("date", "start_min", "channel", "title_key", F.lit(None).cast("string").alias("reviewed_key"), F.col("row_id").alias("review_id"))
+    r = s.select("date", "start_min", "channel", "title_key", F.lit(None).cast("string").alias("reviewed_key"), F.col("row_id").alias("review_id"))
     return identity.review_ladder(s, r).select("row_id", big("basis").alias("basis"), "candidate", "n")
 
 
@@ -457,11 +457,11 @@ def j26(spark, d):
     return identity.best_of(w.select(F.col("id").alias("list_pos"), "title"), w).select("list_pos", "work_id")
 
 
-@query("j29_schedule_evidence", f"""WITH {SCHED}, c AS (SELECT row_id AS cand_id, title_key, channel, start_min, CAST(row_id % 9 AS INTEGER) AS rank FROM sched WHERE row_id % 5 = 0)
+@query("j29_schedule_evidence", f"""WITH {SCHED}, c AS (SELECT row_id AS cand_id, title_key, channel, start_min, CAST(row_id % 9 AS INTEGER) AS rank FROM sched)
 SELECT cand_id, count(DISTINCT s.date) AS n_days, CASE WHEN count(DISTINCT s.date) = 1 THEN min(s.date) END AS date, CASE WHEN c.rank <= 5 THEN 'selected' ELSE 'reserve' END AS role FROM c LEFT JOIN sched s USING (title_key, channel, start_min) GROUP BY cand_id, c.rank""")
 def j29(spark, d):
     s = programme(spark, d)
-    c = s.where("row_id % 5 = 0").select(F.col("row_id").alias("cand_id"), "title_key", "channel", "start_min", (F.col("row_id") % 9).cast("int").alias("rank"), F.lit(5).alias("target"))
+    c = s.select(F.col("row_id").alias("cand_id"), "title_key", "channel", "start_min", (F.col("row_id") % 9).cast("int").alias("rank"), F.lit(5).alias("target"))
     return identity.schedule_evidence(c, s).select("cand_id", "n_days", "date", "role")
 
 
@@ -674,10 +674,10 @@ def a29(spark, d):
     return planning.scope_deficits(req, s.where("k < 40")).select("date", "section", "present", "deficit")
 
 
-@query("a34_guide_groups", """WITH r AS (SELECT DISTINCT event_id % 500 AS slot, 'p' || CAST(user_id % 6 AS VARCHAR) AS publisher, event_id % 50 = 0 AS official FROM events) SELECT slot, count(DISTINCT publisher) AS n_groups, CASE WHEN bool_or(official) THEN 'official' WHEN count(DISTINCT publisher) >= 2 THEN 'independent' ELSE 'needs_source' END AS route FROM r GROUP BY slot""")
+@query("a34_guide_groups", """WITH r AS (SELECT DISTINCT event_id % 500 AS slot, 'p' || CAST(user_id % 6 AS VARCHAR) AS publisher, user_id % 3 AS feed, event_id % 50 = 0 AS official FROM events) SELECT slot, count(DISTINCT feed) AS n_groups, CASE WHEN bool_or(official) THEN 'official' WHEN count(DISTINCT feed) >= 2 THEN 'independent' ELSE 'needs_source' END AS route FROM r GROUP BY slot""")
 def a34(spark, d):
     e = table(spark, d, "events")
-    r = e.select((F.col("event_id") % 500).alias("slot"), F.concat(F.lit("p"), (F.col("user_id") % 6).cast("string")).alias("publisher"), F.lit(None).cast("string").alias("feed"), (F.col("event_id") % 50 == 0).alias("official")).distinct()
+    r = e.select((F.col("event_id") % 500).alias("slot"), F.concat(F.lit("p"), (F.col("user_id") % 6).cast("string")).alias("publisher"), F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("feed"), (F.col("event_id") % 50 == 0).alias("official")).distinct()
     return planning.guide_groups(r).select("slot", "n_groups", "route")
 
 
@@ -703,10 +703,12 @@ def a17(spark, d):
     return works(spark, d).groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("a18_template_fingerprints", f"""WITH {SCHED}, p AS (SELECT user_id, date, string_agg(channel, ',' ORDER BY ts) AS f FROM sched WHERE user_id % 5 = 0 GROUP BY ALL) SELECT user_id, f, count(*) AS days FROM p GROUP BY ALL HAVING count(*) >= 2""")
+@query("a18_template_fingerprints", f"""WITH {SCHED}, p AS (SELECT user_id, date, channel, channel || ' ' || string_agg(start_min // 720, ',' ORDER BY ts) AS f FROM sched GROUP BY ALL) SELECT user_id, f, count(*) AS days FROM p GROUP BY ALL HAVING count(*) >= 4""")
 def a18(spark, d):
-    s = programme(spark, d).where("user_id % 5 = 0").groupBy("user_id", "date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "channel"))), lambda x: x["channel"]), ",").alias("f"))
-    return s.groupBy("user_id", "f").agg(F.count("*").alias("days")).where("days >= 2")
+    """Half days of a channel as a user's template of a day."""
+    s = programme(spark, d).withColumn("half", F.floor(F.col("start_min") / 720).cast("string"))
+    s = s.groupBy("user_id", "date", "channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "half"))), lambda x: x["half"]), ",").alias("times"))
+    return s.groupBy("user_id", F.concat_ws(" ", "channel", "times").alias("f")).agg(F.count("*").alias("days")).where("days >= 4")
 
 
 @query("f18_placeholders", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(lorem ipsum|todo|tbd|à compléter|à venir|coming soon|placeholder)\b') IS TRUE AS placeholder FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' TODO' ELSE text END AS text FROM conversations)")
