@@ -703,7 +703,7 @@ def a17(spark, d):
     return works(spark, d).groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("a18_template_fingerprints", f"""WITH {SCHED}, p AS (SELECT user_id, date, channel, channel || ' ' || string_agg(start_min // 720, ',' ORDER BY ts) AS f FROM sched GROUP BY ALL) SELECT user_id, f, count(*) AS days FROM p GROUP BY ALL HAVING count(*) >= 4""")
+@query("a18_template_fingerprints", f"""WITH {SCHED}, p AS (SELECT user_id, date, channel || ' ' || string_agg(start_min // 720, ',' ORDER BY ts) AS f FROM sched GROUP BY user_id, date, channel) SELECT user_id, f, count(*) AS days FROM p GROUP BY user_id, f HAVING count(*) >= 4""")
 def a18(spark, d):
     """Half days of a channel as a user's template of a day."""
     s = programme(spark, d).withColumn("half", F.floor(F.col("start_min") / 720).cast("string"))
