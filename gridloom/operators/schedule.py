@@ -162,32 +162,33 @@ def review_sample(rows: DataFrame, per_page: int = 3) -> DataFrame:
 
 
 def stratified_review(rows: DataFrame, per_day: int = 4) -> DataFrame:
-    """Per day the densest page not used on an earlier day, ``per_day`` rows spread evenly over it, channels not repeated on the first pass.
+    """Per day the densest page not used on an earlier day of the week, ``per_day`` rows spread evenly over it, channels not repeated on the first pass.
 
-    The choice of pages depends on the days before it within a week, so each week is
-    one group of ``applyInPandas``; a week has some thousand rows.
+    Only the choice of pages depends on the days before it: it is a fold over the page
+    counts of a week, one array of them a week. Their rows are ranked in windows. Of
+    pages of one size the first by name is taken; rows without a page take no part.
     """
-    import pandas as pd
-
-    def choose(week: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, day in week.sort_values(["date", "row_id"]).groupby("date", sort=True):
-            sizes = day.groupby("page_key").size().sort_index(kind="stable")
-            free = sizes[[p not in used for p in sizes.index]]
-            free = free if len(free) else sizes
-            page = free.sort_values(ascending=False, kind="stable").index[0]
-            used.add(page)
-            here = day[day.page_key == page].sort_values(["start_min", "row_id"])
-            step = max(1, len(here) // per_day)
-            spread = here.iloc[::step]
-            first = spread.drop_duplicates("channel")
-            pick = pd.concat([first, spread.drop(first.index), here.drop(spread.index)]).head(per_day)
-            out.append(pick)
-        return pd.concat(out)[["week", "date", "page_key", "channel", "start_min", "row_id"]]
-
-    kinds = dict(rows.dtypes)
     cols = ["week", "date", "page_key", "channel", "start_min", "row_id"]
-    return rows.select(*cols).groupBy("week").applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    rows = rows.where(F.col("page_key").isNotNull()).select(*cols)
+    sizes = rows.groupBy("week", "date", "page_key").agg((-F.count("*")).alias("minus"))
+    days = sizes.groupBy("week", "date").agg(F.sort_array(F.collect_list(F.struct("minus", "page_key"))).alias("pages"))
+    week = days.groupBy("week").agg(F.sort_array(F.collect_list(F.struct("date", "pages"))).alias("days"))
+    none = F.array().cast(f"array<struct<date:{dict(rows.dtypes)['date']},page_key:{dict(rows.dtypes)['page_key']}>>")
+
+    def choose(taken: Column, day: Column) -> Column:
+        free = F.filter(day["pages"], lambda p: ~F.exists(taken, lambda t: t["page_key"] == p["page_key"]))
+        page = F.coalesce(F.get(free, F.lit(0)), F.get(day["pages"], F.lit(0)))["page_key"]
+        return F.concat(taken, F.array(F.struct(day["date"].alias("date"), page.alias("page_key"))))
+
+    chosen = week.select("week", F.explode(F.aggregate("days", none, choose)).alias("c")).select("week", "c.*")
+    here = rows.join(chosen, ["week", "date", "page_key"])
+    day = Window.partitionBy("week", "date")
+    order = [F.col("start_min"), F.col("row_id")]
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(day) / per_day))
+    here = here.withColumn("_i", F.row_number().over(day.orderBy(*order)) - 1).withColumn("_spread", F.col("_i") % step == 0)
+    again = F.row_number().over(Window.partitionBy("week", "date", "_spread", "channel").orderBy("_i")) > 1
+    here = here.withColumn("_tier", F.when(~F.col("_spread"), 2).when(again, 1).otherwise(0))
+    return here.withColumn("_r", F.row_number().over(day.orderBy("_tier", "_i"))).where(F.col("_r") <= per_day).select(*cols)
 
 
 def apply_grid_review(rows: DataFrame, corrections: DataFrame, additions: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -343,10 +343,16 @@ def w13(spark, d):
     return schedule.review_sample(s).select("page_key", "row_id", big("pick").alias("pick"))
 
 
-@query("w12_stratified_review")
+@query("w12_stratified_review", f"""WITH RECURSIVE {SCHED}, s AS (SELECT row_id, date, start_min, channel, channel || k % 4 AS page_key, strftime(date - CAST((isodow(date) + 1) % 7 AS INTEGER) + 2, '%G-S%V') AS week FROM sched),
+n AS (SELECT week, date, page_key, count(*) AS c, dense_rank() OVER (PARTITION BY week ORDER BY date) AS dn FROM s GROUP BY week, date, page_key),
+r AS (SELECT DISTINCT week, CAST(0 AS BIGINT) AS dn, CAST(NULL AS DATE) AS date, '' AS page_key, CAST([] AS VARCHAR[]) AS used FROM n
+ UNION ALL SELECT week, dn, date, page_key, list_append(used, page_key) FROM (SELECT n.week, n.dn, n.date, n.page_key, used, row_number() OVER (PARTITION BY n.week ORDER BY list_contains(used, n.page_key), c DESC, n.page_key) AS x FROM r JOIN n ON n.week = r.week AND n.dn = r.dn + 1) WHERE x = 1),
+h AS (SELECT s.*, row_number() OVER (PARTITION BY week, date ORDER BY start_min, row_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY week, date) // 4) AS step FROM s JOIN r USING (week, date, page_key)),
+t AS (SELECT *, CASE WHEN i % step <> 0 THEN 2 WHEN row_number() OVER (PARTITION BY week, date, i % step = 0, channel ORDER BY i) > 1 THEN 1 ELSE 0 END AS tier FROM h)
+SELECT week, date, page_key, channel, CAST(start_min AS BIGINT) AS start_min, row_id FROM (SELECT *, row_number() OVER (PARTITION BY week, date ORDER BY tier, i) AS place FROM t) WHERE place <= 4""")
 def w12(spark, d):
     s = programme(spark, d).withColumn("page_key", F.concat("channel", (F.col("k") % 4).cast("string"))).withColumn("week", calendar.week_of_saturday(calendar.issue_from(F.col("date"))))
-    return schedule.stratified_review(s)
+    return schedule.stratified_review(s).withColumn("start_min", big("start_min"))
 
 
 # Identity.
