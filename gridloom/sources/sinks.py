@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.operators.schedule import append_new
@@ -34,6 +34,6 @@ def append(table: str, new: DataFrame, key: list[str]) -> int:
         fresh = new.dropDuplicates(key)
     else:
         fresh = append_new(spark.read.parquet(table), new, key)
-    before = spark.read.parquet(table).count() if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else 0
-    fresh.write.mode("append").parquet(table)
-    return spark.read.parquet(table).count() - before
+    appended = Observation()
+    fresh.observe(appended, F.count("*").alias("n")).write.mode("append").parquet(table)
+    return appended.get.get("n", 0)
