@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, lang_id, line_dedup, near_dedup, packing, quality, token_counts, token_store, url_filter, warc
+from gridloom.llm import decontam, hard_negatives, lang_id, line_dedup, mixing, near_dedup, packing, quality, spelling, token_counts, token_store, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE_TOKENS, OVER_LIMIT = 2048, 1024
@@ -75,6 +75,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document and the words of it that the mix takes. Null text: no words. A null source is the last source; null ids and repeated rows take part each by itself; an empty table gives an empty table."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive. Rows with a null id, label, vector or component, or one that isn't finite, take no part. Repeated rows are rows of their own; an empty table gives an empty table."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), label=label)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root. Null text: no words; null id: no letter deleted. Repeated rows count each; an empty table gives an empty table."""
+    return spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), least_length=5, least_n=3, drop_one_in=97))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the whole documents; each stage states what it does with nulls, repeated rows and empty tables."""
     import corpus_pipeline
@@ -84,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_best_fit_packing, op3_token_counts, op4_warc, op5_minhash_near_dedup, op6_quality_rules, op7_token_store, op8_decontamination, op9_language_id, op10_url_filter, pipeline)
+    for f in (op1_line_dedup, op2_best_fit_packing, op3_token_counts, op4_warc, op5_minhash_near_dedup, op6_quality_rules, op7_token_store, op8_decontamination, op9_language_id, op10_url_filter, op11_source_mixing, op12_hard_negatives, op13_spelling_variants, pipeline)
 }
 
 _WARC_SQL = """
@@ -117,5 +133,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, C
 FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('11' || coalesce(':' || CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM d GROUP BY source),
+-- sources by limit over weight: with those before a row at their limit the rest would share what is left; the highest such level is the right one
+r AS (SELECT *, 2.0 * source_size / w AS ratio, 1.5 * sum(source_size) OVER () AS total FROM s),
+f AS (SELECT CAST(total - coalesce(sum(2.0 * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(w) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM r),
+t AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), CAST(w AS DOUBLE) * (SELECT max(level) FROM f)) AS target FROM s),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+      CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, greatest(0, least(size, budget - before)) + greatest(0, least(size, budget - source_size - before)) AS taken FROM p
+"""
+
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 #: The other operators need a tokenizer, a trained model or MinHash; their tests hold them against brute force.
-ORACLES = {"op4_warc": _WARC_SQL, "op8_decontamination": _DECONTAM_SQL}
+ORACLES = {"op4_warc": _WARC_SQL, "op8_decontamination": _DECONTAM_SQL, "op11_source_mixing": _MIX_SQL, "op12_hard_negatives": _NEGATIVES_SQL}
