@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.identity import without_seen
+from gridloom.operators.identity import seen_keys, without_seen
 
 
 def visible(cards: DataFrame, seen: DataFrame, target: str = "target") -> DataFrame:
@@ -35,26 +34,76 @@ def library_row(rows: DataFrame, target: str = "target") -> DataFrame:
     return out.withColumn("slot", F.row_number().over(Window.partitionBy("user_id", "pool_id").orderBy("tier", "rank"))).where(F.col("slot") <= F.col(target))
 
 
-def family_claims(cards: DataFrame) -> DataFrame:
-    """A title used on one page of a family isn't used on a later one; pages in order, each up to its target.
+def first_cards(asked: DataFrame, pools: DataFrame, key: list[str], width: int = 16) -> DataFrame:
+    """The first ``upto`` rows by ``place`` (from 1) of each pool that ``asked`` names by ``key``.
 
-    What a page may use depends on the pages before it, so each user's family is one
-    group (some dozen cards) of ``applyInPandas``.
+    Places are cut into stretches of ``width`` and both sides meet by pool and stretch:
+    rows beyond what is asked of a pool aren't joined at all.
     """
+    wanted = asked.where("upto > 0").withColumn("_stretch", F.explode(F.sequence(F.lit(0), F.floor((F.col("upto") - 1) / width).cast("int"))))
+    laid = pools.withColumn("_stretch", F.floor((F.col("place") - 1) / width).cast("int"))
+    return wanted.join(laid, [*key, "_stretch"]).where("place <= upto").drop("_stretch")
 
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        claimed, out = set(), []
-        for _, page in g.sort_values(["page_pos", "rank", "work_id"]).groupby("page_pos", sort=True):
-            n = 0
-            for r in page.itertuples(index=False):
-                if n < r.target and r.work_id not in claimed:
-                    claimed.add(r.work_id)
-                    n += 1
-                    out.append((r.user_id, r.family, r.page_pos, r.work_id, n))
-        return pd.DataFrame(out, columns=["user_id", "family", "page_pos", "work_id", "slot"])
-
-    k = dict(cards.dtypes)
-    return cards.select("user_id", "family", "page_pos", "work_id", "rank", "target").groupBy("user_id", "family").applyInPandas(fill, f"user_id {k['user_id']}, family {k['family']}, page_pos {k['page_pos']}, work_id {k['work_id']}, slot int")
+
+def visible_cards(follows: DataFrame, pools: DataFrame, seen: DataFrame) -> DataFrame:
+    """W07 for users by the pools they follow (``user_id, pool_id``), without building each user's whole pools.
+
+    A page takes ``target`` cards and passes over one card for each key that its user
+    has seen, so that the first ``target`` plus so many cards that may be shown are all
+    that it can use. ``pools`` has ``pool_id, work_id, title, rank, target, eligible``;
+    its works and titles are distinct within a pool.
+    """
+    may = pools.where("rank <= target OR eligible")
+    laid = may.withColumn("place", F.row_number().over(Window.partitionBy("pool_id").orderBy(F.col("rank") > F.col("target"), "rank", "work_id")))
+    passed = seen_keys(seen).groupBy("user_id").agg(F.count("*").alias("_n"))
+    targets = pools.groupBy("pool_id").agg(F.max("target").alias("_t"))
+    asked = follows.select("user_id", "pool_id").distinct().join(targets, "pool_id").join(passed, "user_id", "left")
+    cards = first_cards(asked.select("user_id", "pool_id", (F.col("_t") + F.coalesce("_n", F.lit(0))).alias("upto")), laid, ["pool_id"])
+    return visible(cards.drop("upto", "place"), seen)
+
+
+def family_claims(follows: DataFrame, pools: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pages of a family, filled in order: ``user_id, family, page_pos, work_id, slot``.
+
+    Every page shows its unseen primaries (rank up to ``target``). Where a user has seen
+    some, reserves take their places: unseen, eligible, in order of rank, and neither a
+    primary that the family shows nor claimed by an earlier page. ``follows`` has
+    ``user_id, family``, ``pools`` a row per ``family, page_pos, work_id`` with ``rank,
+    target, eligible``, ``seen`` ``user_id, work_id``. Null keys join nothing.
+
+    A page passes over one reserve at most for each work that its user has seen, that
+    the family shows, or that an earlier page claimed: its need plus these counts bounds
+    what it can use, and no more than that of its reserves is joined. What a page may use
+    depends on those before it, so the pages of a user's family, so bounded, are folded
+    in one array.
+    """
+    page = ["user_id", "family", "page_pos"]
+    follows, seen = follows.select("user_id", "family").distinct(), seen.select("user_id", "work_id").distinct()
+    primary = pools.where("rank <= target")
+    mine = follows.join(primary, "family").join(seen.withColumn("_seen", F.lit(1)), ["user_id", "work_id"], "left")
+    shown = mine.where("_seen IS NULL").withColumn("slot", F.row_number().over(Window.partitionBy(*page).orderBy("rank", "work_id"))).select(*page, "work_id", "slot")
+    pages = mine.groupBy(*page).agg(F.max("target").alias("target"), F.count(F.when(F.col("_seen").isNull(), 1)).alias("visible"))
+    short = pages.withColumn("need", F.col("target") - F.col("visible")).where("need > 0")
+    earlier = Window.partitionBy("user_id", "family").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)
+    n_seen = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
+    n_primary = primary.groupBy("family").agg(F.countDistinct("work_id").alias("_shown"))
+    asked = short.withColumn("_claimed", F.coalesce(F.sum("need").over(earlier), F.lit(0))).join(n_seen, "user_id").join(n_primary, "family")
+    asked = asked.select(*page, "need", "visible", (F.col("need") + F.col("_claimed") + F.col("_seen") + F.col("_shown")).alias("upto"))
+    laid = pools.where("rank > target AND eligible").withColumn("place", F.row_number().over(Window.partitionBy("family", "page_pos").orderBy("rank", "work_id")))
+    cards = first_cards(asked, laid.select("family", "page_pos", "work_id", "place"), ["family", "page_pos"])
+    cards = cards.join(seen, ["user_id", "work_id"], "left_anti").join(shown.select("user_id", "family", "work_id"), ["user_id", "family", "work_id"], "left_anti")
+    offers = cards.groupBy(*page).agg(F.max("need").alias("need"), F.max("visible").alias("visible"), F.transform(F.sort_array(F.collect_list(F.struct("place", "work_id"))), lambda c: c["work_id"]).alias("works"))
+    family = offers.groupBy("user_id", "family").agg(F.sort_array(F.collect_list(F.struct("page_pos", "need", "visible", "works"))).alias("pages"))
+    kind = {c: t for c, t in pools.dtypes}
+    none = F.struct(F.array().cast(f"array<{kind['work_id']}>").alias("claimed"), F.array().cast(f"array<struct<page_pos:{kind['page_pos']},work_id:{kind['work_id']},slot:int>>").alias("out"))
+
+    def fill(so_far: Column, p: Column) -> Column:
+        took = F.slice(F.filter(p["works"], lambda w: ~F.array_contains(so_far["claimed"], w)), F.lit(1), p["need"].cast("int"))
+        placed = F.transform(took, lambda w, i: F.struct(p["page_pos"].alias("page_pos"), w.alias("work_id"), (p["visible"] + i + 1).cast("int").alias("slot")))
+        return F.struct(F.concat(so_far["claimed"], took).alias("claimed"), F.concat(so_far["out"], placed).alias("out"))
+
+    taken = family.select("user_id", "family", F.explode(F.aggregate("pages", none, fill)["out"]).alias("r")).select("user_id", "family", "r.*")
+    return shown.unionByName(taken)
 
 
 def seen_state(events: DataFrame) -> DataFrame:

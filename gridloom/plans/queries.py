@@ -608,16 +608,31 @@ SELECT user_id, pool_id, work_id, slot FROM o WHERE slot <= target""")
 def w07(spark, d):
     e = table(spark, d, "events")
     p = pool(spark, d).withColumn("eligible", F.col("work_id") % 2 == 0).withColumn("title", F.concat(F.lit("t"), F.col("work_id").cast("string")))
-    cards = e.select("user_id", (F.col("event_id") % 100 + 1).alias("pool_id")).distinct().join(p, "pool_id")
     seen = e.where("event_type = 'purchase'").select("user_id", (F.col("event_id") % 50).alias("work_id"), F.lit(None).cast("string").alias("title"))
-    return personal.visible(cards, seen).select("user_id", "pool_id", "work_id", big("slot").alias("slot"))
-
-
-@query("w08_family_claims")
+    return personal.visible_cards(e.select("user_id", (F.col("event_id") % 100 + 1).alias("pool_id")), p, seen).select("user_id", "pool_id", "work_id", big("slot").alias("slot"))
+
+
+@query("w08_family_claims", f"""WITH RECURSIVE {POOL}, e AS (SELECT user_id, CAST(props->>'$.k' AS INTEGER) AS k, event_type, event_id FROM events), u AS (SELECT DISTINCT user_id, (k + 1) // 4 AS family FROM e),
+s AS (SELECT DISTINCT user_id, work_id FROM e JOIN pool ON pool_id = k + 1 AND rank = 1 + event_id % 7 WHERE event_type IN ('purchase', 'view')),
+c AS (SELECT pool_id // 4 AS family, pool_id % 4 AS page_pos, work_id, rank, target FROM pool),
+m AS (SELECT u.user_id, u.family, page_pos, c.work_id, rank, target, s.work_id IS NOT NULL AS seen FROM u JOIN c USING (family) LEFT JOIN s ON s.user_id = u.user_id AND s.work_id = c.work_id WHERE rank <= target),
+shown AS (SELECT user_id, family, page_pos, work_id, row_number() OVER (PARTITION BY user_id, family, page_pos ORDER BY rank, work_id) AS slot FROM m WHERE NOT seen),
+n0 AS (SELECT user_id, family, page_pos, count(*) FILTER (NOT seen) AS visible, max(target) - count(*) FILTER (NOT seen) AS need FROM m GROUP BY user_id, family, page_pos),
+need AS (SELECT *, row_number() OVER (PARTITION BY user_id, family ORDER BY page_pos) AS k FROM n0 WHERE need > 0),
+offers AS (SELECT n.user_id, n.family, n.page_pos, n.k, any_value(n.need) AS need, any_value(n.visible) AS visible, coalesce(list(c.work_id ORDER BY rank, c.work_id) FILTER (rank > target AND c.work_id % 2 = 0
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = n.user_id AND s.work_id = c.work_id) AND NOT EXISTS (SELECT 1 FROM shown h WHERE h.user_id = n.user_id AND h.family = n.family AND h.work_id = c.work_id)), []) AS works
+  FROM need n JOIN c USING (family, page_pos) GROUP BY n.user_id, n.family, n.page_pos, n.k),
+fold AS (SELECT user_id, family, page_pos, k, visible, list_slice(works, 1, need) AS took, list_slice(works, 1, need) AS claimed FROM offers WHERE k = 1
+  UNION ALL SELECT o.user_id, o.family, o.page_pos, o.k, o.visible, list_slice(list_filter(o.works, lambda w: NOT list_contains(f.claimed, w)), 1, o.need), list_concat(f.claimed, list_slice(list_filter(o.works, lambda w: NOT list_contains(f.claimed, w)), 1, o.need))
+  FROM fold f JOIN offers o ON o.user_id = f.user_id AND o.family = f.family AND o.k = f.k + 1)
+SELECT user_id, family, page_pos, work_id, slot FROM shown UNION ALL SELECT user_id, family, page_pos, took[i], visible + i FROM (SELECT *, unnest(range(1, len(took) + 1)) AS i FROM fold)""")
 def w08(spark, d):
-    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 10).alias("family")).distinct()
-    p = pool(spark, d).select((F.col("pool_id") % 10).alias("family"), F.floor(F.col("pool_id") / 10).cast("int").alias("page_pos"), (F.col("work_id") % 40).alias("work_id"), "rank", "target").distinct()
-    return personal.family_claims(e.join(p, "family"))
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    p = pool(spark, d)
+    seen = e.where("event_type IN ('purchase', 'view')").join(p, (F.col("pool_id") == F.col("k") + 1) & (F.col("rank") == F.col("event_id") % 7 + 1)).select("user_id", "work_id")
+    pages = p.select(F.floor(F.col("pool_id") / 4).alias("family"), (F.col("pool_id") % 4).alias("page_pos"), "work_id", "rank", "target", (F.col("work_id") % 2 == 0).alias("eligible"))
+    out = personal.family_claims(e.select("user_id", F.floor((F.col("k") + 1) / 4).alias("family")), pages, seen)
+    return out.withColumn("slot", big("slot"))
 
 
 @query("w10_library_row", f"""WITH {POOL}, t AS (SELECT *, CASE WHEN rank <= target AND work_id % 3 <> 0 THEN 0 WHEN rank > target AND work_id % 3 <> 0 AND work_id % 2 = 0 THEN 1 WHEN rank <= target THEN 2 END AS tier FROM pool),

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,14 +111,53 @@ def test_personal(spark):
     cards = spark.createDataFrame([(1, "p", w, f"t{w}", r, 2, w != 4) for w, r in ((1, 1), (2, 2), (4, 3), (5, 4))], "user_id int, pool_id string, work_id int, title string, rank int, target int, eligible boolean")
     seen = spark.createDataFrame([(1, 1, None)], "user_id int, work_id int, title string")
     assert rows(personal.visible(cards, seen), "work_id", "slot") == [(2, 1), (5, 2)]
-    fam = spark.createDataFrame([(1, "f", 1, 7, 1, 1), (1, "f", 1, 8, 2, 1), (1, "f", 2, 7, 1, 1), (1, "f", 2, 8, 2, 1)], "user_id int, family string, page_pos int, work_id int, rank int, target int")
-    assert rows(personal.family_claims(fam), "page_pos", "work_id") == [(1, 7), (2, 8)]
     lib = spark.createDataFrame([(1, "p", 1, 1, 2, True, True), (1, "p", 2, 2, 2, False, True), (1, "p", 3, 3, 2, False, False)], "user_id int, pool_id string, work_id int, rank int, target int, played boolean, resolved boolean")
     assert rows(personal.library_row(lib), "work_id", "slot") == [(1, 2), (2, 1)]
     more = spark.createDataFrame([(1, 9, "t9", 1)], "user_id int, work_id int, title string, pos int")
     assert rows(personal.grid_refill(more.withColumn("work_id", F.lit(1)), seen, more, 3), "work_id", "slot", "page") == [(9, 1, 1)]
 
 
+def plain_claims(follows, pools, seen):
+    """Pages filled one after the other, as a reader's browser would."""
+    out = []
+    for user, family in sorted(set(follows)):
+        pages = {}
+        for f, page, work, rank, target, eligible in sorted(pools, key=lambda r: (r[3], r[2])):
+            if f == family:
+                pages.setdefault(page, []).append((work, rank, target, eligible))
+        gone = {w for u, w in seen if u == user}
+        claimed = {w for cards in pages.values() for w, r, t, _ in cards if r <= t and w not in gone}
+        for page, cards in sorted(pages.items()):
+            shown = [w for w, r, t, _ in cards if r <= t and w not in gone]
+            for w, r, t, ok in cards:
+                if r > t and ok and len(shown) < t and w not in gone and w not in claimed:
+                    claimed.add(w)
+                    shown.append(w)
+            out += [(user, family, page, w, i + 1) for i, w in enumerate(shown)]
+    return sorted(out)
+
+
+def test_family_claims(spark):
+    r = random.Random(2)
+    pools = [(f, p, w, k + 1, 3, r.random() < 0.8) for f in range(3) for p in range(4) for k, w in enumerate(r.sample(range(30), 18))]
+    follows = [(u, r.randrange(3)) for u in range(25) for _ in range(2)] + [(None, 1), (3, None), (4, 9)]
+    seen = [(u, w) for u in range(20) for w in r.sample(range(30), u)] + [(1, None), (None, 2)]
+    got = personal.family_claims(
+        spark.createDataFrame(follows, "user_id int, family int"), spark.createDataFrame(pools, "family int, page_pos int, work_id int, rank int, target int, eligible boolean"), spark.createDataFrame(seen, "user_id int, work_id int")
+    )
+    assert sorted((tuple(x) for x in got.where("user_id IS NOT NULL").select("user_id", "family", "page_pos", "work_id", "slot").collect())) == plain_claims([f for f in follows if None not in f], pools, seen)
+
+
+def test_cards_are_bounded(spark):
+    """What is joined of a pool grows with what its users have seen, not with the pool."""
+    pools = spark.range(20_000).selectExpr("1 AS pool_id", "cast(id AS int) AS work_id", "concat('t', id) AS title", "cast(id + 1 AS int) AS rank", "5 AS target", "true AS eligible")
+    asked = spark.createDataFrame([(u, 1, 7) for u in range(50)], "user_id int, pool_id int, upto int")
+    assert personal.first_cards(asked, pools.withColumn("place", F.col("rank")), ["pool_id"]).count() == 50 * 7
+    follows, seen = asked.select("user_id", "pool_id"), spark.createDataFrame([(1, 0, None), (1, None, "t1")], "user_id int, work_id int, title string")
+    df = personal.visible_cards(follows, pools, seen)
+    assert rows(df.where("user_id = 1"), "work_id", "slot") == [(2, 1), (3, 2), (4, 3), (5, 4), (6, 5)] and df.count() == 250
+
+
 def test_planning(spark):
     g = spark.createDataFrame([(1, "a", "f1", False), (1, "b", "f1", False), (1, "b", "f2", False), (1, "c", "f2", False), (2, "a", None, False), (2, "b", None, False)], "slot int, publisher string, feed string, official boolean")
     assert rows(planning.guide_groups(g), "slot", "n_groups", "route", "settled") == [(1, 1, "needs_source", True), (2, 2, "independent", True)]
