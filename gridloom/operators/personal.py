@@ -106,10 +106,23 @@ def family_claims(follows: DataFrame, pools: DataFrame, seen: DataFrame) -> Data
     return shown.unionByName(taken)
 
 
-def seen_state(events: DataFrame) -> DataFrame:
-    """T02, batch: the last action per user and key."""
-    last = events.groupBy("user_id", "k").agg(F.max_by("action", F.struct("ts", "event_id")).alias("action"))
-    return last.withColumn("seen", F.col("action") == "seen")
+def seen_status(events: DataFrame) -> DataFrame:
+    """T02, batch: ``user_id, k, seen, status, previous_status`` after all actions of a user on a key, in the order of ``ts, event_id``.
+
+    An action is seen, unseen, toggle, or a status that the user sets. What is seen has
+    the status ``vu`` and remembers the one set last, which unseen restores (null: none).
+    The last action that isn't a toggle, and the parity of the toggles after it, tell
+    whether a key is seen: two counts, no replay.
+    """
+    own = ["user_id", "k"]
+    e = events.select(*own, "action", F.struct("ts", "event_id").alias("at"))
+    said, chosen = F.col("action") != "toggle", ~F.col("action").isin("seen", "unseen", "toggle")
+    last = e.groupBy(*own).agg(F.max(F.when(said, F.struct("at", "action"))).alias("last"), F.max(F.when(chosen, F.struct("at", "action"))).alias("chosen"))
+    toggles = e.where(~said).join(last.select(*own, F.col("last.at").alias("since")), own).where("since IS NULL OR at > since").groupBy(*own).agg(F.count("*").alias("toggles"))
+    j = last.join(toggles, own, "left")
+    seen = F.coalesce(F.col("last.action") == "seen", F.lit(False)) != (F.coalesce("toggles", F.lit(0)) % 2 == 1)
+    status = F.col("chosen.action")
+    return j.select(*own, seen.alias("seen"), F.when(seen, "vu").otherwise(status).alias("status"), F.when(seen, status).alias("previous_status"))
 
 
 def latest_topic(topics: DataFrame) -> DataFrame:

@@ -648,12 +648,6 @@ def w03(spark, d):
     return personal.latest_topic(t).select("topic_id", "row_id")
 
 
-@query("t02_seen_state", f"WITH {SCHED} SELECT user_id, title_key AS k, arg_max(CASE WHEN channel IN ('view', 'purchase') THEN 'seen' ELSE 'unseen' END, ts) = 'seen' AS seen FROM sched GROUP BY ALL")
-def t02(spark, d):
-    s = programme(spark, d).select("user_id", F.col("title_key").alias("k"), "ts", F.col("row_id").alias("event_id"), F.when(F.col("channel").isin("view", "purchase"), "seen").otherwise("unseen").alias("action"))
-    return personal.seen_state(s).select("user_id", "k", "seen")
-
-
 @query("f05_recent_window", "SELECT event_id FROM events WHERE epoch(ts) >= epoch(TIMESTAMP '2024-01-20 12:00:00') - 168 * 3600 AND epoch(ts) <= epoch(TIMESTAMP '2024-01-20 12:00:00') + 600")
 def f05(spark, d):
     e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import issue_from, week_of_saturday
+from gridloom.operators import personal
 from gridloom.plans.frames import table
 from gridloom.plans.more import clock_text
 from gridloom.plans.queries import big, query
 from gridloom.sources import captures, documents, sinks
 from gridloom.staging import Scratch, staged
-from gridloom.streaming import jobs
+from gridloom.streaming import jobs, tables
 
 #: What orders the lines of an order; lines equal in all of it are equal in every query here.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
@@ -211,6 +212,76 @@ def s21(spark, d):
         return staged(rows.select(F.lit("row").alias("kind"), "channel", "n").union(total), "report")
 
 
+#: Events as what users do to titles: what is seen, what no longer, what is turned over, and states that they set.
+_ACTION = """CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'unseen' WHEN 'purchase' THEN 'toggle' WHEN 'signup' THEN 'a-recuperer' ELSE 'recupere' END"""
+_REPLAY = f"""WITH RECURSIVE a AS (SELECT user_id, 'k' || CAST(props->>'$.k' AS INTEGER) % 20 AS k, ts, event_id, {_ACTION} AS action FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS i FROM a WHERE {{0}}),
+s AS (SELECT user_id, k, i, ts, event_id, action IN ('seen', 'toggle') AS seen, CASE WHEN action IN ('seen', 'unseen', 'toggle') THEN NULL ELSE action END AS status FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.k, o.i, o.ts, o.event_id, CASE o.action WHEN 'seen' THEN true WHEN 'toggle' THEN NOT s.seen ELSE false END, CASE WHEN o.action IN ('seen', 'unseen', 'toggle') THEN s.status ELSE o.action END
+  FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k AND o.i = s.i + 1)"""
+
+
+def _actions(e: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select("user_id", F.concat(F.lit("k"), (k % 20).cast("string")).alias("k"), "ts", "event_id", F.expr(_ACTION).alias("action"))
+
+
+@query("t02_seen_state", _REPLAY.format("true") + """ SELECT user_id, k, seen, CASE WHEN seen THEN 'vu' ELSE status END AS status, CASE WHEN seen THEN status END AS previous_status FROM (SELECT *, i = max(i) OVER (PARTITION BY user_id, k) AS last FROM s) WHERE last""")
+def t02(spark, d):
+    """The status after all actions, from counts; the SQL replays them one by one."""
+    return personal.seen_status(_actions(table(spark, d, "events")))
+
+
+@query("t02_seen_stream", _REPLAY.format("ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR") + """ SELECT user_id, k, event_id, CASE WHEN seen THEN 'vu' ELSE status END AS status, CASE WHEN seen THEN status END AS previous_status FROM s""")
+def t02_stream(spark, d):
+    """Every change of status as a stream, until the watermark."""
+    return _streamed(spark, d, lambda e: jobs.seen_state(_actions(e))).drop("ts_us")
+
+
+@query("t06_capture_ages", """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS source_key, ts, event_type <> 'error' AS ok FROM events), g AS (SELECT source_key, ts AS t, lead(ts) OVER (PARTITION BY source_key ORDER BY ts) AS n FROM c WHERE ok),
+f AS (SELECT g.source_key, t, coalesce(n, TIMESTAMP '9999-01-01') AS n, coalesce(min(c.ts), TIMESTAMP '9999-01-01') AS f FROM g LEFT JOIN c ON c.source_key = g.source_key AND NOT c.ok AND c.ts > t AND (n IS NULL OR c.ts < n) GROUP BY ALL),
+x AS (SELECT source_key, t AS "at", 'fresh' AS state FROM f UNION ALL SELECT source_key, t + INTERVAL 12 HOUR, 'expired' FROM f WHERE t + INTERVAL 12 HOUR <= least(f, n)
+  UNION ALL SELECT source_key, least(f, t + INTERVAL 24 HOUR), 'stale' FROM f WHERE least(f, t + INTERVAL 24 HOUR) <= n UNION ALL SELECT source_key, min(ts), 'failed' FROM c WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM g WHERE g.source_key = c.source_key AND t < c.ts) GROUP BY source_key)
+SELECT * FROM x WHERE "at" < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def t06(spark, d):
+    """Users as sources, their events as captures of which errors are refreshes that fail: all changes of state until the watermark."""
+    captured = lambda e: e.select(F.col("user_id").cast("string").alias("source_key"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("capture_id"), (F.col("event_type") != "error").alias("ok"))
+    out = _streamed(spark, d, lambda e: jobs.capture_ages(captured(e), ttl_hours=12, stale_hours=24))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def _observed(e: DataFrame) -> DataFrame:
+    """Events as observations: four channels with hourly slots, five titles in two spellings, three pages a day."""
+    k, text = F.get_json_object("props", "$.k").cast("int"), lambda c: c.cast("string")
+    title = F.concat(F.when(k % 2 == 0, F.lit("TITRE ")).otherwise(F.lit("Titre-")), text(k % 5))
+    status = F.when(F.col("event_type") == "error", "stale").when(F.col("event_type") == "signup", "partial").otherwise("parsed")
+    return e.select(
+        F.col("ts").cast("date").alias("date"), F.date_format("ts", "HH:00").alias("start"), F.concat(F.lit("Chaîne "), text(F.col("user_id") % 4)).alias("channel"), title.alias("title"),
+        F.concat(F.lit("https://guide.example/"), text(k % 3)).alias("source_url"), status.alias("status"), F.struct("ts", "event_id").alias("pos"),
+    )
+
+
+@query("t05_import", """WITH o AS (SELECT CAST(ts AS DATE) AS date, strftime(ts, '%H:00') AS start, 'Chaîne ' || user_id % 4 AS channel, CASE WHEN CAST(props->>'$.k' AS INTEGER) % 2 = 0 THEN 'TITRE ' ELSE 'Titre-' END || CAST(props->>'$.k' AS INTEGER) % 5 AS title, CAST(props->>'$.k' AS INTEGER) % 5 AS t,
+  'https://guide.example/' || CAST(props->>'$.k' AS INTEGER) % 3 AS source_url, event_type = 'error' AS stale, ts, event_id FROM events),
+m AS (SELECT *, bool_and(stale) OVER (PARTITION BY source_url, channel, date, start, t) AS all_stale FROM o),
+r AS (SELECT *, CASE WHEN all_stale THEN 'stale_source_after_failed_refresh' WHEN date NOT BETWEEN DATE '2024-01-06' AND DATE '2024-01-26' THEN 'outside_the_week' END AS reason FROM m),
+w AS (SELECT *, row_number() OVER s AS i, first_value(t) OVER s AS t1, first_value(title) OVER s AS title1 FROM r WHERE reason IS NULL WINDOW s AS (PARTITION BY date, start, channel ORDER BY ts, event_id))
+SELECT date, start, channel, title, source_url, 'excluded' AS outcome, reason, NULL AS saved_titles FROM r WHERE reason IS NOT NULL UNION ALL
+SELECT date, start, channel, title, source_url, CASE WHEN i = 1 THEN 'added' WHEN t = t1 THEN 'duplicate' ELSE 'conflict' END, NULL, CASE WHEN t <> t1 THEN title1 END FROM w""")
+def t05(spark, d):
+    """The events as a stream in two triggers, before and after a day in mid-month, and the four tables that it leaves."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    with Scratch(spark, "import") as tmp:
+        for k, part in enumerate((early, ~early)):
+            events.where(part).write.parquet(f"{tmp.path}/in/{k}")
+            stream = spark.readStream.schema(events.schema).parquet(f"{tmp.path}/in/*")
+            tables.ingest(stream, f"{tmp.path}/imported", f"{tmp.path}/checkpoint", _observed, F.lit("2024-01-06").cast("date"), days=21).awaitTermination()
+        out = [tables.committed(spark, f"{tmp.path}/imported", name, tables.IMPORTED).withColumn("outcome", F.lit(name)) for name in tables.OUTCOMES]
+        every = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+        return staged(every.drop("batch").withColumn("saved_titles", F.array_join("saved_titles", "|")), "imported")
+
+
 def _streamed(spark, d, job) -> DataFrame:
     """What a streaming job emits over the events, once through."""
     schema = table(spark, d, "events").schema
@@ -232,6 +303,21 @@ def t01(spark, d):
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query("t01_topic_upserts", """SELECT CAST(user_id AS VARCHAR) AS k, max(ts) AS "at", arg_max(event_type || ' ' || props, ts) AS value FROM events GROUP BY user_id""")
+def t01_upserts(spark, d):
+    """The newest activity of every topic, as the table that the stream keeps by upserts in two triggers."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    topics = lambda e: e.select(F.col("user_id").cast("string").alias("k"), F.col("ts").alias("at"), F.concat_ws(" ", "event_type", "props").alias("value"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    with Scratch(spark, "upserts") as tmp:
+        for k, part in enumerate((early, ~early)):
+            events.where(part).write.parquet(f"{tmp.path}/in/{k}")
+            stream = spark.readStream.schema(events.schema).parquet(f"{tmp.path}/in/*")
+            tables.upsert(topics(stream), f"{tmp.path}/topics", f"{tmp.path}/checkpoint", ["k"], ["at"], buckets=8).awaitTermination()
+        served = tables.upserted(spark, f"{tmp.path}/topics", "k string, `at` timestamp, value string")
+        return staged(served, "topics").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("t03_match_cache", """WITH g AS (SELECT user_id, max(ts) AS "at", arg_max(event_id, ts) AS id, arg_max(event_type, ts) AS latest FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:10:00' GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS k, "at", CAST(id AS VARCHAR) AS value FROM g WHERE latest <> 'error' AND "at" >= TIMESTAMP '2024-01-29 00:00:00'""")
 def t03(spark, d):
     """Events as searches, as a stream: an error is one without a match."""

@@ -70,27 +70,89 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def seen_state(events: DataFrame) -> DataFrame:
-    """Toggles per user and key with the status before: ``seen`` remembers the status, ``unseen`` restores it.
-
-    ``events`` has ``user_id, k, ts, action`` (seen, unseen or a status). Each trigger
-    emits the state of the keys that changed.
+def seen_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The status of each key of a user after each of its actions, in the order of their times.
+
+    ``events`` has ``user_id, k, ts, event_id, action``: seen, unseen, toggle, or a status
+    that the user sets. Seen remembers the status, unseen restores it (null where there
+    was none). Rows wait in the state until the watermark, ``late`` behind the newest, has
+    passed them: within that, late and shuffled rows give what a replay in order gives.
+    ``personal.seen_status`` is the batch form.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, previous = state.get if state.exists else ("", "")
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for action in rows["action"]:
-            if action == "seen" and status != "vu":
-                previous, status = status, "vu"
-            elif action == "unseen" and status == "vu":
-                status, previous = previous or "a-recuperer", ""
-            elif action not in ("seen", "unseen"):
-                status = action
-        state.update((status, previous))
-        yield pd.DataFrame([(*key, status, previous)], columns=["user_id", "k", "status", "previous_status"])
-
-    return events.groupBy("user_id", "k").applyInPandasWithState(step, "user_id long, k string, status string, previous_status string", "status string, previous string", "update", GroupStateTimeout.NoTimeout)
+        on, status, waiting = state.get if state.exists else (False, None, [])
+        waiting = [tuple(w) for w in waiting] + [(r.ts_us, r.event_id, r.action) for f in frames for r in f.itertuples()]
+        waiting.sort(key=lambda w: w[:2])
+        passed = state.getCurrentWatermarkMs() * 1000
+        out = []
+        while waiting and waiting[0][0] < passed:
+            ts_us, event_id, action = waiting.pop(0)
+            if action in ("seen", "unseen", "toggle"):
+                on = not on if action == "toggle" else action == "seen"
+            else:
+                on, status = False, action
+            out.append((*key, ts_us, event_id, "vu" if on else status, status if on else None))
+        state.update((on, status, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "k", "ts_us", "event_id", "status", "previous_status"])
+
+    rows = events.withWatermark("ts", late).select("user_id", "k", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", "action")
+    held = "on boolean, status string, waiting array<struct<ts_us:bigint,event_id:bigint,action:string>>"
+    return rows.groupBy("user_id", "k").applyInPandasWithState(step, "user_id long, k string, ts_us long, event_id long, status string, previous_status string", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def capture_ages(captures: DataFrame, ttl_hours: int, stale_hours: int, late: str = "1 hour") -> DataFrame:
+    """The states that each source goes through, ``source_key, at, state``: fresh, expired, stale or failed.
+
+    ``captures`` has ``source_key, fetched_at, capture_id, ok``. A good capture makes its
+    source fresh. After ``ttl_hours`` it is expired, after ``stale_hours`` stale, unless a
+    newer one comes before; a refresh that fails makes what is there stale at once, and
+    a source without any capture failed. Captures count in the order of their times and
+    wait for the watermark, ``late`` behind the newest; a timer lets the clock do the
+    rest. A transition is emitted once the watermark has passed it.
+    """
+    hour = 3_600_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], timer: GroupState) -> Iterator[pd.DataFrame]:
+        state, fetched, waiting = timer.get if timer.exists else (None, 0, [])
+        waiting = [tuple(w) for w in waiting] + [(r.at_us, r.capture_id, r.ok) for f in frames for r in f.itertuples()]
+        waiting.sort(key=lambda w: w[:2])
+        passed, out = timer.getCurrentWatermarkMs() * 1000, []
+
+        def due() -> int | None:
+            """When the clock alone changes the state next."""
+            return {"fresh": fetched + ttl_hours * hour, "expired": fetched + stale_hours * hour}.get(state)
+
+        while True:
+            clock, row = due(), waiting[0] if waiting else None
+            # what happens at one instant: first the clock, then captures
+            at = min(x for x in (clock, row and row[0], passed) if x is not None)
+            if at >= passed:
+                break
+            if clock is not None and clock == at:
+                state = "expired" if state == "fresh" else "stale"
+            else:
+                waiting.pop(0)
+                new = "fresh" if row[2] else "failed" if state in (None, "failed") else "stale"
+                fetched = at if row[2] else fetched
+                if new == state != "fresh":
+                    continue
+                state = new
+            out.append((*key, at, state))
+        timer.update((state, fetched, waiting))
+        ahead = [x for x in (due(), waiting[0][0] if waiting else None) if x is not None]
+        if ahead:
+            timer.setTimeoutTimestamp(max(min(ahead) // 1000 + 1, timer.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["source_key", "at_us", "state"])
+
+    rows = captures.withWatermark("fetched_at", late).select("source_key", "fetched_at", F.unix_micros("fetched_at").alias("at_us"), "capture_id", "ok")
+    held = "state string, fetched long, waiting array<struct<at_us:bigint,capture_id:bigint,ok:boolean>>"
+    out = rows.groupBy("source_key").applyInPandasWithState(step, "source_key string, at_us long, state string", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("source_key", F.timestamp_micros("at_us").alias("at"), "state")
 
 
 def match_cache(matches: DataFrame, hours: int = 7 * 24, late: str = "1 hour") -> DataFrame:
@@ -106,13 +168,3 @@ def enrich(topics: DataFrame, works: DataFrame) -> DataFrame:
     cat = works.select(fresh_key(F.col("title")).alias("_ck"), F.col("year").alias("_cy"), F.col("id").alias("work_id"), F.col("director").alias("catalogue_director"))
     j = t.join(cat, (F.col("_k") == F.col("_ck")) & (F.col("_y").isNull() | (F.col("_y") == F.col("_cy"))), "left")
     return j.select(*[c for c in topics.columns], F.col("r.title").alias("title"), F.col("_y").alias("year"), F.coalesce("r.director", "catalogue_director").alias("director"), "work_id")
-
-
-def ingest(captures: DataFrame, table: str, checkpoint: str, rows_of, key: list[str]):
-    """Captures as a stream; each batch appends the slots that are new. ``rows_of`` turns a batch of captures into slot rows."""
-    from gridloom.sources.sinks import append
-
-    def write(batch: DataFrame, _: int) -> None:
-        append(table, rows_of(batch), key)
-
-    return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import consensus, identity, personal, planning, schedule
 from gridloom.sources import captures, documents, sinks
-from gridloom.streaming import jobs
+from gridloom.streaming import jobs, tables
 
 
 def rows(df, *cols):
@@ -212,16 +212,130 @@ def test_stream_match_cache(spark, tmp_path):
     assert shown(40) == [("c", "8"), ("g", "7")]
 
 
-def test_stream_seen_state(spark, event_stream):
-    stream, _ = event_stream
-    shaped = stream.select(F.lit(1).cast("long").alias("user_id"), F.concat(F.lit("k"), (F.col("event_id") % 2).cast("string")).alias("k"), "ts", F.when(F.col("event_type") == "view", "seen").when(F.col("event_type") == "click", "unseen").otherwise("recupere").alias("action"))
-    got = run_stream(spark, jobs.seen_state(shaped), "seen_state", "update")
-    assert {r["k"] for r in got.collect()} == {"k0", "k1"} and {r["status"] for r in got.collect()} <= {"vu", "recupere", "a-recuperer"}
+def plain_status(actions):
+    on, status = False, None
+    for _, _, a in sorted(actions):
+        if a in ("seen", "unseen", "toggle"):
+            on = not on if a == "toggle" else a == "seen"
+        else:
+            on, status = False, a
+    return "vu" if on else status, status if on else None
+
+
+def test_seen_status_of_late_and_shuffled_batches(spark, tmp_path):
+    r = random.Random(5)
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "user_id long, k string, ts timestamp, event_id long, action string"
+    actions = [(r.randrange(3), f"k{r.randrange(3)}", at(3 * i), i, r.choice(["seen", "unseen", "toggle", "toggle", "a", "b"])) for i in range(200)]
+    shuffled = [a for n in range(0, 200, 20) for a in r.sample(actions[n : n + 20], 20)]  # at most an hour out of order
+    end = [(9, "end", at(5000), 999, "seen")]
+    for n in range(0, 200, 15):
+        spark.createDataFrame(shuffled[n : n + 15], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:03}")
+    spark.createDataFrame(end, schema).coalesce(1).write.parquet(f"{tmp_path}/in/999")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    emitted = run_stream(spark, jobs.seen_state(stream, "70 minutes"), "seen_state", "append")
+    last = emitted.groupBy("user_id", "k").agg(F.max_by(F.struct("status", "previous_status"), F.struct("ts_us", "event_id")).alias("s")).select("user_id", "k", "s.*")
+    by = {}
+    for u, k, t, i, a in actions:
+        by.setdefault((u, k), []).append((t, i, a))
+    want = sorted(((*key, *plain_status(v)) for key, v in by.items()), key=repr)
+    assert rows(last) == want and emitted.count() == 200
+    assert rows(personal.seen_status(spark.createDataFrame(actions, schema)).drop("seen")) == want
 
 
-def test_stream_ingest(spark, event_stream, tmp_path):
-    stream, batch = event_stream
-    of = lambda df: df.select(F.col("event_type").alias("channel"), F.hour("ts").alias("hour"))
-    for k in range(2):
-        jobs.ingest(stream, f"{tmp_path}/slots", f"{tmp_path}/ck{k}", of, ["channel", "hour"]).awaitTermination(90)
-    assert spark.read.parquet(f"{tmp_path}/slots").count() == of(batch).distinct().count()
+def test_capture_ages(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema = "source_key string, fetched_at timestamp, capture_id long, ok boolean"
+    captures = [("a", 0, True), ("a", 5, True), ("b", 1, False), ("b", 2, False), ("b", 3, True), ("b", 4, False), ("c", 0, True), ("c", 13, False), ("c", 14, True), ("d", 0, True), ("d", 60, True), ("end", 200, True)]
+    for n, (s, h, ok) in enumerate(captures):
+        spark.createDataFrame([(s, at(h), n, ok)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:02}")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    got = run_stream(spark, jobs.capture_ages(stream, 10, 20), "ages", "append")
+    want = [("a", 0, "fresh"), ("a", 5, "fresh"), ("a", 15, "expired"), ("a", 25, "stale"), ("b", 1, "failed"), ("b", 3, "fresh"), ("b", 4, "stale"), ("c", 0, "fresh"), ("c", 10, "expired"), ("c", 13, "stale"), ("c", 14, "fresh"), ("c", 24, "expired"), ("c", 34, "stale"), ("d", 0, "fresh"), ("d", 10, "expired"), ("d", 20, "stale"), ("d", 60, "fresh"), ("d", 70, "expired"), ("d", 80, "stale")]
+    assert rows(got) == sorted(((s, at(h), x) for s, h, x in want), key=repr)
+
+
+def plain_import(observations, first, days):
+    """One observation after the other."""
+    norm = lambda s: s.lower().replace("é", "e")
+    last, seen, taken, out = first + datetime.timedelta(days=days - 1), set(), {}, []
+    stale = {}
+    for date, start, channel, title, url, status, _ in observations:
+        stale.setdefault((url, channel, date, start, norm(title)), []).append(status == "stale")
+    for date, start, channel, title, url, _, _ in observations:
+        slot, event = (date, norm(channel), start), (date, norm(channel), start, norm(title))
+        row = (date, start, channel, title, url)
+        if all(stale[url, channel, date, start, norm(title)]):
+            out.append((*row, "excluded", "stale_source_after_failed_refresh", None))
+        elif date is None or not first <= date <= last:
+            out.append((*row, "excluded", "outside_the_week", None))
+        elif event in seen:
+            out.append((*row, "duplicate", None, None))
+        elif slot in taken:
+            out.append((*row, "conflict", None, [taken[slot]]))
+        else:
+            seen.add(event)
+            taken[slot] = title
+            out.append((*row, "added", None, None))
+    return sorted(out, key=repr)
+
+
+def import_rows(r, n, k):
+    day = lambda i: datetime.date(2024, 1, 5) + datetime.timedelta(days=i)
+    return [(r.choice([day(i) for i in range(9)] + [None]), r.choice(["20:00", "21:00"]), r.choice(["TF1", "Tf1", "Arte"]), r.choice(["Été", "ete", "Nuit", ""]), r.choice("xy"), r.choice(["parsed", "stale", "partial", "stale"]), 1000 * k + i) for i in range(n)]
+
+
+def test_import_survives_a_crash(spark, tmp_path, monkeypatch):
+    r, first = random.Random(9), datetime.date(2024, 1, 6)
+    schema = "date date, start string, channel string, title string, source_url string, status string, pos int"
+    batches = [import_rows(r, 60, k) for k in range(3)]
+    # staleness is told within an import, so that pages of their own keep the plain version comparable
+    batches = [[(*o[:4], f"{o[4]}{k}", *o[5:]) for o in b] for k, b in enumerate(batches)]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    root, days = f"{tmp_path}/imported", F.lit(first).cast("date")
+
+    def crashing():
+        yield from ("added", "duplicate")
+        raise OSError("lost")
+
+    def state():
+        return sorted((tuple(x[c] for c in (*tables.OBSERVATION, "o", "reason", "saved_titles")) for name in tables.OUTCOMES for x in tables.committed(spark, root, name, tables.IMPORTED).withColumn("o", F.lit(name)).collect()), key=repr)
+
+    tables.import_batch(frames[0], 0, root, days)
+    before = state()
+    assert before == plain_import(batches[0], first, 7)
+    with monkeypatch.context() as m:
+        m.setattr(tables, "OUTCOMES", crashing())
+        with pytest.raises(OSError):
+            tables.import_batch(frames[1], 1, root, days)
+    assert state() == before  # two tables are written, none counts
+    tables.import_batch(frames[1], 1, root, days)
+    tables.import_batch(frames[1].limit(3), 1, root, days)  # committed: passed over
+    tables.import_batch(frames[2], 2, root, days)
+    assert state() == plain_import(sum(batches, []), first, 7)
+    tables.import_batch(frames[2].limit(0), 3, root, days)
+    assert state() == plain_import(sum(batches, []), first, 7)
+
+
+def test_upserts(spark, tmp_path, monkeypatch):
+    r, root, schema = random.Random(4), f"{tmp_path}/topics", "k string, at int, value string"
+    held = {}
+    for n in range(5):
+        batch = [(r.choice("abcdefgh") if n != 3 else "a", r.randrange(100), f"v{n}.{i}") for i in range(6)]
+        batch = list({b[:2]: b for b in batch}.values())
+        df = spark.createDataFrame(batch if n != 2 else [], schema)
+        if n == 4:  # lost after the rows were written, before the commit
+            with monkeypatch.context() as m:
+                m.setattr(tables, "_pointer", lambda *a, **b: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    tables.upsert_batch(df, n, root, ["k"], ["at"], 4)
+        before = rows(tables.upserted(spark, root, schema), "k", "at")
+        tables.upsert_batch(df, n, root, ["k"], ["at"], 4)
+        tables.upsert_batch(df, n, root, ["k"], ["at"], 4)
+        assert rows(tables.upserted(spark, root, schema, before=n), "k", "at") == before
+        for k, at, _ in batch if n != 2 else []:
+            held[k] = max(held.get(k, 0), at)
+        assert rows(tables.upserted(spark, root, schema), "k", "at") == sorted(held.items(), key=repr)
+    tables.forget_versions(spark, root)
+    tables.upsert_batch(spark.createDataFrame([("a", 999, "z")], schema), 5, root, ["k"], ["at"], 4)
+    assert rows(tables.upserted(spark, root, schema), "k", "at") == sorted((held | {"a": 999}).items(), key=repr)
