@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gridloom.functions.keys import match_key, unaccent
 
-#: Named entities that occur in pages, ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&"))
+#: The named entities that pages use.
+ENTITIES = {
+    "amp": "&", "AMP": "&", "lt": "<", "LT": "<", "gt": ">", "GT": ">", "quot": '"', "QUOT": '"', "apos": "'", "nbsp": "\u00a0", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·", "eacute": "é", "Eacute": "É", "egrave": "è", "Egrave": "È", "ecirc": "ê", "Ecirc": "Ê",
+    "agrave": "à", "Agrave": "À", "acirc": "â", "Acirc": "Â", "ocirc": "ô", "Ocirc": "Ô", "icirc": "î", "Icirc": "Î", "iuml": "ï", "Iuml": "Ï", "ugrave": "ù", "Ugrave": "Ù",
+    "ucirc": "û", "Ucirc": "Û", "ccedil": "ç", "Ccedil": "Ç", "ouml": "ö", "Ouml": "Ö", "auml": "ä", "Auml": "Ä", "uuml": "ü", "Uuml": "Ü",
+}
+ENTITY = r"(?i)&(#(?:x[0-9a-f]+|[0-9]+)|[a-z][a-z0-9]+);"
+#: White space as browsers' scripts see it.
+SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 #: Provider, pattern of a canonical URL, and the id as its groups make it. Movies and series are numbered separately, so their kind belongs to the id.
 IDENTITY_PATTERNS = (
@@ -31,18 +36,30 @@ MARKS = ("Hélas", "T", "TT", "TTT", "TTTT")
 PRIORITY_ORDER = ("Bravo", "Très bien", "Bien")
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: re.sub(r"&#(?:x[0-9a-fA-F]+|\d+);", lambda m: html.unescape(m[0]), t), na_action="ignore")
+def decode_entities(c: Column) -> Column:
+    """Named and numeric entities, each decoded once: what comes of one isn't read again. Unknown names stay; numbers that are no character become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
+    def decoded(e: Column) -> Column:
+        name = F.substring(e, F.lit(2), F.length(e) - 2)
+        hexed = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.regexp_replace(F.when(hexed, F.substring(name, 3, 1 << 20)).otherwise(F.substring(name, 2, 1 << 20)), "^0+", "")
+        # more than ten digits are no character in either base
+        code = F.when(F.length(digits).between(1, 10), F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(F.startswith(name, F.lit("#")), F.when(valid, char).otherwise("\ufffd")).otherwise(F.coalesce(F.try_element_at(names, name), e))
 
-def html_text(c: Column, numeric: bool = False) -> Column:
-    """Tags are spaces, entities are decoded once, white space collapses. ``numeric`` decodes numeric entities too, in an Arrow UDF."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    out = _numeric_entities(out) if numeric else out
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    found = F.regexp_extract_all(c, F.lit(ENTITY), 0)
+    between = F.split(c, ENTITY)
+    joined = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(found, lambda e, i: F.concat(decoded(e), F.get(between, i + 1))), ""))
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+
+def html_text(c: Column) -> Column:
+    """Tags are spaces, entities are decoded once, white space collapses."""
+    plain = F.regexp_replace(decode_entities(F.regexp_replace(c, "<[^>]+>", " ")), f"{SPACE}+", " ")
+    return F.trim(plain)
 
 
 def _int(c: Column, pattern: str, group: int = 1) -> Column:
@@ -126,14 +143,39 @@ def external_id(url: Column) -> Column:
     return out
 
 
+#: Fixed values of P24: vocabulary of releases, notes of language and edition, and what a director never is.
+RELEASE_TAIL = (
+    r"2160p|1080p|720p|576p|480p|4k|uhd|blu[ .-]?ray|bdrip|bdremux|remux|web[ .-]?dl|webrip|hdrip|dvdrip|x26[45]|h[ .-]?26[45]|hevc|av1|multi|truefrench|french|vostfr|subfrench|"
+    r"dts(?:[ .-]?hd)?|aac|ac3|eac3|atmos|hdr10\+?|hdr|dolby[ .-]?vision|\bdv\b|proper|repack"
+)
+LANGUAGE_NOTES = r"vostfr|vo(?:\s+ou\s+vf)?|vf|multi|truefrench|french|subfrench"
+NO_DIRECTOR = r"1080p|720p|2160p|4k|bluray|blu-ray|web[- .]?dl|remux|x26[45]|hevc|hdr|vostfr|french|multi"
+
+
+def _stripped(c: Column, chars: str) -> Column:
+    return F.regexp_replace(c, rf"^[{chars}]+|[{chars}]+$", "")
+
+
 def release_title(raw: Column) -> Column:
-    """``struct(title, year, director)`` of a release title: tags go, the technical tail is cut, a year in it is found."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[[^\]]*\]", " "), r"[._]+", " "))
-    cut = F.regexp_replace(plain, r"(?i)\b(2160p|1080p|720p|480p|bluray|blu-ray|web-?dl|webrip|hdtv|dvdrip|x26[45]|hevc|multi|vostfr|truefrench|french|remux)\b.*$", "")
-    year = plausible_year(F.regexp_extract(cut, r"[\( ]((?:18|19|20)\d{2})(?:\)|\s|$)", 1))
-    title = F.regexp_replace(cut, r"[\( ](?:18|19|20)\d{2}(?:\).*|\s.*|$)", "")
-    director = F.nullif(F.trim(F.regexp_extract(cut, r"(?i)(?:\bde |\bby |\()([\p{L}][\p{L} .'-]+?)(?:,|\)| (?:18|19|20)\d{2}|$)", 1)), F.lit(""))
-    return F.struct(F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), year.alias("year"), director.alias("director"))
+    """``struct(title, year, director)`` of a release title such as ``[tag] Title - 1962 - Director VOSTFR 1080p``.
+
+    Leading tags go and the technical tail is cut. What stands before the first year from
+    1900 to 2099 is the title; what stands after it, without notes of language, the
+    director, if it has 3 to 90 characters and no word of the trade. Without a year there
+    is no director. Parentheses around the year go with it.
+    """
+    text = F.trim(F.replace(F.regexp_replace(decode_entities(raw), r"^\s*(?:\[[^\]]+\]\s*)+", ""), F.lit("_"), F.lit(" ")))
+    text = F.regexp_replace(text, rf"(?i)\s+(?:{RELEASE_TAIL}).*$", "")
+    dated = r"^(.*?)\b(19\d{2}|20\d{2})\b(.*)$"
+    year = F.nullif(F.regexp_extract(text, dated, 2), F.lit("")).try_cast("int")
+    before = _stripped(F.regexp_extract(text, dated, 1), " .–—(-")
+    after = F.regexp_replace(F.regexp_extract(text, dated, 3), "^[ .–—:;)-]+|[ .–—:;-]+$", "")
+    after = F.regexp_replace(after, rf"(?i)\s*\((?:{LANGUAGE_NOTES}|téléfilm|telefilm)[^)]*\)\s*$", "")
+    after = _stripped(F.regexp_replace(after, rf"(?i)\s+(?:{LANGUAGE_NOTES})\b.*$", ""), " .–—:;-")
+    director = F.when(F.length(after).between(3, 90) & ~after.rlike(rf"(?i)\b(?:{NO_DIRECTOR})\b"), after)
+    title = F.when(F.length(before) >= 2, before).otherwise(text)
+    title = _stripped(F.regexp_replace(F.regexp_replace(title, r"[.]+", " "), r"\s{2,}", " "), " .–—-")
+    return F.struct(F.when(title != "", title).otherwise(F.trim(raw)).alias("title"), year.alias("year"), director.alias("director"))
 
 
 def clean_director(c: Column) -> Column:

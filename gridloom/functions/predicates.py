@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.keys import search_key
 
-#: Hosts that never prove an identity, search-result URLs, placeholder copy and vague reasons.
+#: Hosts that never prove an identity, search-result URLs, generic copy that is never published and vague reasons.
 DENIED_HOSTS = ("google.com", "bing.com", "duckduckgo.com", "youtube.com", "facebook.com")
 SEARCH_URLS = r"(?i)(google\.[a-z.]+/search|bing\.com/search|duckduckgo\.com/\?q=|/recherche[/?]|/search[/?]|[?&](q|query|search)=)"
-PLACEHOLDERS = r"(?i)\b(lorem ipsum|todo|tbd|à compléter|à venir|coming soon|placeholder)\b"
+BANNED_COPY = (
+    r"Rubrique conservée\s*;\s*publication prudente",
+    r"Au-dessus du seuil éditorial de la semaine",
+    r"Retenu après inventaire et filtre éditorial",
+    r"Retenu pour son intérêt cinématographique,\s*sa singularité ou sa valeur patrimoniale",
+)
 VAGUE = r"(?i)^(non disponible|indisponible|n/?a|aucune?|inconnue?|pas de note)\.?$"
 
 
@@ -134,8 +139,8 @@ def retry_state(checked: Column, retry_after: Column, expires: Column, now: Colu
 
 
 def placeholder(text: Column) -> Column:
-    """placeholder copy."""
-    return F.coalesce(text.rlike(PLACEHOLDERS), F.lit(False))
+    """generic copy that is banned from publication, in any case."""
+    return F.coalesce(text.rlike("(?iu)" + "|".join(BANNED_COPY)), F.lit(False))
 
 
 def shortage_errors(reason: Column, sources: Column, count: Column, actual: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import week_of_saturday
+from gridloom.functions.keys import match_key
 
 
 def calendar_audit(issues: DataFrame) -> DataFrame:
@@ -41,6 +42,34 @@ def readiness(pool: DataFrame, ready: Column) -> DataFrame:
     return g
 
 
+def candidate_problems(pool: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """What candidates lack: ``pool_id, work_id, rank, problem``, a row for each check that fails or can't be told. The candidates without a row are the ready ones of `readiness`."""
+    lacks = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+    return pool.select("pool_id", "work_id", "rank", F.explode(lacks).alias("problem"))
+
+
+def repeated(rows: DataFrame, check: str, scope: list[str], key: list[Column]) -> DataFrame:
+    """Keys that occur more than once in their scope: ``check, scope, key, n``. Rows with a null in the key take no part; keys are counted in a partial aggregate first."""
+    keyed = rows.select(F.concat_ws("|", *scope).alias("scope"), F.when(~F.array_contains(F.transform(F.array(*[k.cast("string") for k in key]), lambda k: k.isNull()), True), F.concat_ws("|", *key)).alias("key")).where("key IS NOT NULL")
+    return keyed.groupBy("scope", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(check).alias("check"), "scope", "key", "n")
+
+
+def duplicates(headliners: DataFrame, programmes: DataFrame, works: DataFrame, pools: DataFrame, pages: DataFrame) -> DataFrame:
+    """What must not occur twice: headliners of an issue over its days, programme rows of a day, works (by id, and by title, year and kind), legacy ids, ranks of a pool, pages of an issue."""
+    key = lambda c: match_key(F.col(c))
+    year = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    found = [
+        repeated(headliners, "headliner", ["week"], [key("title")]), repeated(programmes, "programme", ["date"], [key("title"), key("channel"), F.col("start")]),
+        repeated(works, "work_id", [], [F.col("id")]), repeated(works, "work_title", [], [key("title"), year("year"), year("kind")]),
+        repeated(works.select(F.explode("legacy_ids").alias("legacy")), "legacy_id", [], [F.col("legacy")]),
+        repeated(pools, "rank", ["pool_id"], [F.col("rank")]), repeated(pages, "page_id", ["week"], [F.col("page_id")]),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def pool_summary(pool: DataFrame, primaries: DataFrame) -> DataFrame:
     """Per pool its size, whether ranks are 1..n, and how many primaries it lacks."""
     g = pool.groupBy("pool_id").agg(F.count("*").alias("n"), ((F.min("rank") == 1) & (F.max("rank") == F.count("*")) & (F.countDistinct("rank") == F.count("*"))).alias("ranks_ok"))

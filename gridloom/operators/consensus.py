@@ -9,24 +9,30 @@ from gridloom.functions.keys import match_key
 from gridloom.functions.parse import split_names
 
 
-def merge_facts(facts: DataFrame, rules: dict[str, str]) -> DataFrame:
+def merge_facts(facts: DataFrame, rules: dict[str, str], catalogue: DataFrame | None = None) -> DataFrame:
     """Per work and field one value or a conflict.
 
-    ``facts`` has ``work_id, field, source, ladder, value``. Rules: ``equal`` (default),
-    ``set`` (same names in any order), ``share`` (a name in common). The first source
-    of the ladder gives the value. ``status``: agreed, single or conflict.
+    ``facts`` has ``work_id, field, source, ladder, value``. Rules tell when a value
+    agrees with that of the first source of the ladder, which gives the value: ``equal``
+    (default), ``set`` (same names in any order), ``share`` (a name in common with it).
+    ``status``: agreed, single or conflict; with a ``catalogue`` (``work_id, field,
+    current``) what stands there decides: proposed (nothing does), agrees, differs or
+    conflict.
     """
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv]), F.col("field")), F.lit("equal"))
-    names = F.array_sort(F.array_distinct(F.transform(split_names(F.col("value")), match_key)))
-    norm = F.when(F.col("rule") == "equal", F.array(match_key(F.col("value")))).otherwise(names)
-    rows = facts.where("trim(value) <> ''").withColumn("rule", kind).withColumn("norm", norm)
-    g = rows.groupBy("work_id", "field", "rule").agg(
-        F.min_by("value", F.struct("ladder", "source")).alias("value"), F.countDistinct("source").alias("n_sources"), F.countDistinct("norm").alias("n_values"), F.collect_list("norm").alias("norms"),
-    )
-    common = F.aggregate("norms", F.get("norms", 0), lambda acc, x: F.array_intersect(acc, x))
-    agree = F.when(F.col("rule") == "share", F.size(common) > 0).otherwise(F.col("n_values") == 1)
-    status = F.when(F.col("n_sources") == 1, "single").when(agree, "agreed").otherwise("conflict")
-    return g.select("work_id", "field", F.when(status != "conflict", F.col("value")).alias("value"), "n_sources", status.alias("status"))
+    rule = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv]), F.col("field")), F.lit("equal"))
+    names = lambda v: F.array_sort(F.array_distinct(F.transform(split_names(v), match_key)))
+    norm = lambda v: F.when(F.col("rule") == "equal", F.array(match_key(v))).otherwise(names(v))
+    same = lambda a, b: F.when(F.col("rule") == "share", F.arrays_overlap(a, b)).otherwise(a == b)
+    rows = facts.where("trim(value) <> ''").withColumn("rule", rule)
+    rows = rows.withColumn("norm", norm(F.col("value")))
+    g = rows.groupBy("work_id", "field", "rule").agg(F.min(F.struct("ladder", "source", "value", "norm")).alias("first"), F.countDistinct("source").alias("n_sources"), F.collect_set("norm").alias("norms"))
+    agree = F.forall("norms", lambda x: same(x, F.col("first.norm")))
+    if catalogue is None:
+        status = F.when(F.col("n_sources") == 1, "single").when(agree, "agreed").otherwise("conflict")
+    else:
+        g = g.join(catalogue.select("work_id", "field", "current"), ["work_id", "field"], "left")
+        status = F.when(~agree, "conflict").when(F.coalesce(F.trim("current"), F.lit("")) == "", "proposed").when(same(norm(F.col("current")), F.col("first.norm")), "agrees").otherwise("differs")
+    return g.select("work_id", "field", F.when(status != "conflict", F.col("first.value")).alias("value"), "n_sources", status.alias("status"))
 
 
 def merge_ratings(proposed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -44,14 +50,44 @@ def year_spread(years: DataFrame) -> DataFrame:
     return spread.unionByName(off)
 
 
-def fill_gaps(resolved: DataFrame, dossiers: DataFrame, required: list[str]) -> DataFrame:
-    """Fields that are still open per work after dossier values fill the gaps: filled value, source and the list of open fields."""
-    have = resolved.select("work_id", "field", "value", F.lit(0).alias("o")).unionByName(dossiers.select("work_id", "field", "value", F.lit(1).alias("o")))
-    best = have.where("trim(value) <> ''").groupBy("work_id", "field").agg(F.min_by("value", "o").alias("value"))
-    g = best.groupBy("work_id").agg(F.collect_set("field").alias("f"))
-    every = have.select("work_id").distinct().join(g, "work_id", "left")
-    none = F.array().cast("array<string>")
-    return every.select("work_id", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.coalesce("f", none))), ",").alias("open_fields"))
+#: Fields that a work needs; a creator stands for a director.
+NEEDED = ("year", "director", "country", "genre", "duration", "image")
+
+
+def fill_gaps(works: DataFrame, offers: DataFrame, dossiers: DataFrame, preferred: tuple[str, str] = ("senscritique", "SensCritique")) -> DataFrame:
+    """``works`` with empty fields filled, what was filled and from where (``changes``), and the ``open_fields`` that are left.
+
+    ``works`` has ``work_id``, the needed fields and ``creator``; ``offers`` the values on
+    which sources differ, ``work_id, field, source, value, url, pos``, one a source;
+    ``dossiers`` at most one row a work, ``work_id, country, minutes, url``. A duration
+    is the preferred source's, with the others quoted in it, else the dossier's; a year
+    the one that the work's id ends in, if a source has it; a country the dossier's. A
+    field that is there is never changed.
+    """
+    offer = F.struct("pos", "source", "value", "url")
+    listed = offers.groupBy("work_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == f, offer))).alias(f"_{f}") for f in ("duration", "year")])
+    j = works.join(listed, "work_id", "left").join(dossiers.select("work_id", F.col("country").alias("_country"), F.col("minutes").alias("_minutes"), F.col("url").alias("_url")), "work_id", "left")
+    empty = lambda f: F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == ""
+    quoted = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(" ", x["source"], x["value"])), ", ")
+    read = F.get(F.filter("_duration", lambda x: x["source"] == preferred[0]), F.lit(0))
+    others = F.filter("_duration", lambda x: x["source"] != preferred[0])
+    own = F.concat(read["value"], F.when(F.size(others) > 0, F.concat(F.lit(f" ({preferred[1]} ; "), quoted(others), F.lit(")"))).otherwise(""))
+    expected = F.regexp_extract(F.col("work_id").cast("string"), r"-(\d{4})$", 1)
+    dated = F.get(F.filter("_year", lambda x: x["value"] == expected), F.lit(0))
+    minutes = F.concat(F.col("_minutes").cast("string"), F.lit(" min"))
+    country = F.replace("_country", F.lit(", "), F.lit(" / "))
+    filled = {
+        "duration": (F.coalesce(own, minutes), F.coalesce(read["url"], F.col("_url")), F.when(own.isNotNull(), read["source"]).otherwise("dossier")),
+        "year": (dated["value"], dated["url"], dated["source"]),
+        "country": (country, F.col("_url"), F.lit("dossier")),
+    }
+    change = lambda f: F.when(empty(f) & filled[f][0].isNotNull(), F.struct(F.lit(f).alias("field"), *[c.alias(n) for n, c in zip(("value", "url", "basis"), filled[f], strict=True)]))
+    j = j.withColumn("changes", F.array_compact(F.array(*[change(f) for f in ("country", "duration", "year")])))
+    kinds = dict(works.dtypes)
+    new = {f: F.when(empty(f), filled[f][0].cast(kinds[f])).otherwise(F.col(f)) for f in filled}
+    j = j.withColumns(new)
+    lacks = [F.when(empty(f) & (empty("creator") if f == "director" else F.lit(True)), F.lit(f)) for f in NEEDED]
+    return j.select(*works.columns, "changes", F.array_compact(F.array(*lacks)).alias("open_fields"))
 
 
 def summarise(results: DataFrame) -> DataFrame:

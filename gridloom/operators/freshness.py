@@ -56,15 +56,18 @@ def repeats_of_previous(titles: DataFrame, seq: DataFrame, exceptions: DataFrame
 def radar_reconcile(rows: DataFrame) -> DataFrame:
     """Of each work the first place stays by (precedence, rank); others go, with a reason. Works with conflicting explicit versions are held.
 
-    ``rows`` has ``row_id, work_id, precedence, rank, version``; rows without a work stay.
+    ``rows`` has ``row_id, work_id, precedence, rank, version``; rows without a work stay,
+    each by itself, and meet in no group. A work's first place and versions are
+    aggregated and joined to its rows.
     """
-    w = Window.partitionBy("work_id")
-    versions = F.size(F.collect_set("version").over(w))
-    order = Window.partitionBy("work_id").orderBy("precedence", "rank", "row_id")
-    out = rows.withColumn("_v", versions).withColumn("_r", F.row_number().over(order)).withColumn("kept_at", F.first("row_id").over(order))
-    out = out.withColumn("_p", F.min("precedence").over(w))
-    decision = F.when(F.col("work_id").isNull(), "keep_unresolved").when(F.col("_v") > 1, "hold_version_conflict").when(F.col("_r") == 1, "keep").when(F.col("_p") == F.col("precedence"), "remove_same_pool").otherwise("remove_earlier_pool")
-    return out.withColumn("decision", decision).drop("_v", "_r", "_p")
+    first = F.min(F.struct("precedence", "rank", "row_id"))
+    works = rows.where("work_id IS NOT NULL").groupBy(F.col("work_id").alias("_work")).agg(F.countDistinct("version").alias("_v"), first.alias("_first"))
+    out = rows.join(works, F.col("work_id") == F.col("_work"), "left")
+    decision = (
+        F.when(F.col("work_id").isNull(), "keep_unresolved").when(F.col("_v") > 1, "hold_version_conflict").when(F.col("row_id") == F.col("_first.row_id"), "keep")
+        .when(F.col("_first.precedence") == F.col("precedence"), "remove_same_pool").otherwise("remove_earlier_pool")
+    )
+    return out.select(*rows.columns, F.coalesce("_first.row_id", "row_id").alias("kept_at"), decision.alias("decision"))
 
 
 def radar_deficits(rows: DataFrame, minimum: dict[str, int]) -> DataFrame:

@@ -48,20 +48,19 @@ def resolve(rows: DataFrame, works: DataFrame) -> DataFrame:
     names = names.select("cid", "cy", "cd", match_key(F.col("name")).alias("ck")).distinct()
     keyed = rows.withColumn("_k", match_key(F.col("title"))).withColumn("_d", match_key(F.col("director")))
     hit = keyed.select("row_id", "work_ref", "year", "_k", "_d").join(names, F.col("_k") == F.col("ck"), "left")
-    same = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("cid"))))
-    sets = hit.groupBy("row_id").agg(
-        same(F.col("cid").isNotNull()).alias("t"), same(F.col("cy") == F.col("year")).alias("y"), same(F.col("cd") == F.col("_d")).alias("d"),
-        F.max((F.col("cid") == F.col("work_ref")).cast("int")).alias("agrees"),
-    )
+    of_year, of_director = F.when(F.col("cy") == F.col("year"), F.col("cid")), F.when(F.col("cd") == F.col("_d"), F.col("cid"))
+    # whether there is none, one or several shows in the least and the greatest
+    ends = [f(c).alias(f"{name}{x}") for name, c in (("t", F.col("cid")), ("y", of_year), ("d", of_director)) for x, f in (("", F.min), ("_hi", F.max))]
+    sets = hit.groupBy("row_id").agg(*ends, F.max((F.col("cid") == F.col("work_ref")).cast("int")).alias("agrees"))
     known = works.select(F.col("id").alias("_id")).distinct()
     out = rows.join(sets, "row_id").join(known, F.col("work_ref") == F.col("_id"), "left")
-    one = lambda c: F.size(c) == 1
+    one = lambda c: F.col(c) == F.col(f"{c}_hi")
     reason = (
         F.when(F.col("work_ref").isNotNull() & F.col("_id").isNull(), "id_unknown").when(F.col("work_ref").isNotNull() & (F.coalesce("agrees", F.lit(0)) == 1), "id").when(F.col("work_ref").isNotNull(), "id_title_conflict")
-        .when(F.size("t") == 0, "unmatched").when(one("t"), "title").when(one("y"), "title_year").when(one("d"), "title_director").otherwise("ambiguous")
+        .when(F.col("t").isNull(), "unmatched").when(one("t"), "title").when(one("y"), "title_year").when(one("d"), "title_director").otherwise("ambiguous")
     )
-    work = F.when(F.col("reason") == "id", F.col("work_ref")).when(F.col("reason") == "title", F.get("t", 0)).when(F.col("reason") == "title_year", F.get("y", 0)).when(F.col("reason") == "title_director", F.get("d", 0))
-    return out.withColumn("reason", reason).withColumn("work_id", work).drop("t", "y", "d", "agrees", "_id")
+    work = F.when(F.col("reason") == "id", F.col("work_ref")).when(F.col("reason") == "title", F.col("t")).when(F.col("reason") == "title_year", F.col("y")).when(F.col("reason") == "title_director", F.col("d"))
+    return out.withColumn("reason", reason).withColumn("work_id", work).drop("t", "y", "d", "t_hi", "y_hi", "d_hi", "agrees", "_id")
 
 
 def id_then_title(rows: DataFrame, works: DataFrame, pos: str = "pos") -> DataFrame:
@@ -101,19 +100,38 @@ def ladder(rows: DataFrame, rungs: list[DataFrame], key: str = "row_id") -> Data
     return rows.join(best, key, "left")
 
 
+def counted_ladder(rows: DataFrame, rungs: list[tuple[dict[str, Column], DataFrame]]) -> DataFrame:
+    """As `ladder`, for rungs of keys: ``({key: expression over rows}, candidates)``, candidates with ``candidate`` and a column of each key.
+
+    Candidates are counted per key before they meet the rows, so that a join gives one
+    row a row: a slot with n rows on either side never makes n times n pairs.
+    """
+    out = rows
+    for k, (keys, candidates) in enumerate(rungs):
+        counted = candidates.groupBy(*[F.col(c).alias(f"_{k}_{c}") for c in keys]).agg(F.min("candidate").alias(f"_c{k}"), F.countDistinct("candidate").alias(f"_n{k}"))
+        met = None
+        for c, mine in keys.items():
+            met = (mine == F.col(f"_{k}_{c}")) if met is None else met & (mine == F.col(f"_{k}_{c}"))
+        out = out.join(counted, met, "left").drop(*[f"_{k}_{c}" for c in keys])
+    basis = F.coalesce(*[F.when(F.col(f"_n{k}") > 0, k + 1) for k in range(len(rungs))])
+    first = lambda c: F.coalesce(*[F.when(F.col(f"_n{k}") > 0, F.col(f"_{c}{k}")) for k in range(len(rungs))])
+    out = out.withColumn("basis", basis).withColumn("n", first("n")).withColumn("candidate", F.when(F.col("n") == 1, first("c")))
+    return out.drop(*[f"_{c}{k}" for c in "cn" for k in range(len(rungs))])
+
+
 def review_ladder(rows: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Title at its slot, else the only review of the slot, else the only review of title, channel and day."""
-    r = reviews.select(F.col("date").alias("rd"), F.col("start_min").alias("rs"), F.col("channel").alias("rc"), F.explode(F.array_distinct(F.array_compact(F.array("title_key", "reviewed_key")))).alias("rk"), F.col("review_id").alias("candidate"))
-    slot = (F.col("date") == F.col("rd")) & (F.col("start_min") == F.col("rs")) & (F.col("channel") == F.col("rc"))
-    day = (F.col("date") == F.col("rd")) & (F.col("channel") == F.col("rc")) & (F.col("title_key") == F.col("rk"))
-    return ladder(rows, [rows.join(r, slot & (F.col("title_key") == F.col("rk"))), rows.join(r, slot), rows.join(r, day)])
+    """Title, as printed or as corrected, at its slot; else the only review of the slot, else the only review of title, channel and day."""
+    r = reviews.select("date", "start_min", "channel", F.explode(F.array_distinct(F.array_compact(F.array("title_key", "reviewed_key")))).alias("title_key"), F.col("review_id").alias("candidate"))
+    by = lambda *keys: ({c: F.col(c) for c in keys}, r)
+    return counted_ladder(rows, [by("date", "start_min", "channel", "title_key"), by("date", "start_min", "channel"), by("date", "channel", "title_key")])
 
 
 def slot_ladder(rows: DataFrame, inventory: DataFrame) -> DataFrame:
     """Same start, channel and compact title; else the single row of the slot."""
-    inv = inventory.select(F.col("date").alias("rd"), F.col("start_min").alias("rs"), F.col("channel").alias("rc"), F.replace("title_key", F.lit(" "), F.lit("")).alias("rk"), F.col("row_id").alias("candidate"))
-    slot = (F.col("date") == F.col("rd")) & (F.col("start_min") == F.col("rs")) & (F.col("channel") == F.col("rc"))
-    return ladder(rows, [rows.join(inv, slot & (F.replace("title_key", F.lit(" "), F.lit("")) == F.col("rk"))), rows.join(inv, slot)])
+    compact = F.replace("title_key", F.lit(" "), F.lit(""))
+    inv = inventory.select("date", "start_min", "channel", compact.alias("compact"), F.col("row_id").alias("candidate"))
+    slot = {c: F.col(c) for c in ("date", "start_min", "channel")}
+    return counted_ladder(rows, [(slot | {"compact": compact}, inv), (slot, inv)])
 
 
 def dossier_ladder(dossiers: DataFrame, works: DataFrame) -> DataFrame:
@@ -171,12 +189,37 @@ def _rarest_word(names: DataFrame, texts: DataFrame, key: str, text: str) -> Dat
 
 
 def phrase_containment(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Names of any length inside free text at word boundaries: they meet by the rarest word of the name, and the whole text decides."""
-    n = names.select("name_id", match_key(F.col("name")).alias("nk")).where("nk <> ''")
+    """Names of any length inside free text at word boundaries: ``text_id, name_id``.
+
+    A name is its adjacent word pairs at their offsets (a single word is a gram of its
+    own). Texts give postings, ``gram, text_id, pos``, of the grams that names have, and
+    no text is shuffled: names meet the postings of their rarest gram, and each place
+    found there must have the other grams where they belong. Empty names match nothing.
+    """
+
+    def grams(key: Column) -> tuple[Column, Column, Column]:
+        words = F.filter(F.split(key, " "), lambda w: w != "")
+        # nothing but its own elements is read in a lambda, or it would be computed anew for each
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
+        placed = lambda grams: F.transform(grams, lambda g, i: F.struct(i.alias("pos"), g.alias("gram")))
+        return words, placed(pairs), placed(words)
+
+    words, pairs, single = grams(match_key(F.col("name")))
+    n = names.select("name_id", F.explode(F.when(F.size(words) > 1, pairs).otherwise(single)).alias("g"), F.greatest(F.size(words) - 1, F.lit(1)).alias("length")).select("name_id", "length", F.col("g.pos").alias("at"), "g.gram")
+    n = n.distinct()
+    wanted = n.select("gram").distinct()
+    words, pairs, single = grams(F.col("tk"))
     t = texts.select("text_id", match_key(F.col("text")).alias("tk"))
-    words = t.select("text_id", F.explode(F.array_distinct(F.split("tk", " "))).alias("word"))
-    met = _rarest_word(n, t, "nk", "tk").join(words, "word").select("text_id", "name_id", "nk")
-    return met.join(t, "text_id").where(_inside(F.col("tk"), F.col("nk"))).select("text_id", "name_id").distinct()
+    every = t.select("text_id", F.explode(F.concat(pairs, single)).alias("g")).select("text_id", "g.pos", "g.gram")
+    postings = every.join(wanted, "gram", "left_semi").distinct()
+    counts = postings.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = n.join(counts, "gram").groupBy("name_id").agg(F.min(F.struct("df", "at", "gram")).alias("r"), F.count("*").alias("found"), F.max("length").alias("length"))
+    # a name one of whose grams no text has is out
+    start = rarest.where("found = length").select("name_id", "r.gram", "r.at", "length").join(postings, "gram")
+    start = start.select("text_id", "name_id", (F.col("pos") - F.col("at")).alias("start"), "length").where("start >= 0")
+    asked = start.join(n.drop("length"), "name_id").select("text_id", "name_id", "start", "length", "gram", (F.col("start") + F.col("at")).alias("pos"))
+    held = asked.join(postings, ["text_id", "gram", "pos"]).groupBy("text_id", "name_id", "start", "length").agg(F.count("*").alias("n"))
+    return held.where("n = length").select("text_id", "name_id").distinct()
 
 
 def _containing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -194,15 +237,26 @@ def _strong(a: Column, b: Column) -> Column:
     return (F.length(shorter) >= 14) & (F.size(F.split(shorter, " ")) >= 3)
 
 
+def _by_year(pairs: DataFrame) -> DataFrame:
+    """``row_id, candidate`` of ``row_id, year, candidate, ly``: the one of the exact year; several end it; else the one a year off; else the only one there is, if its year is unknown. Without a year the only one."""
+    exact, near = F.col("ly") == F.col("year"), F.abs(F.col("ly") - F.col("year")) <= 1
+    g = pairs.distinct().groupBy("row_id").agg(
+        F.count("*").alias("n"), F.min("candidate").alias("c"), F.max("ly").alias("known"), F.max("year").alias("year"),
+        F.count_if(exact).alias("n_exact"), F.min(F.when(exact, F.col("candidate"))).alias("c_exact"), F.count_if(near).alias("n_near"), F.min(F.when(near, F.col("candidate"))).alias("c_near"),
+    )
+    only = F.when(F.col("n") == 1, F.col("c"))
+    chosen = F.when(F.col("year").isNull(), only).when(F.col("n_exact") > 0, F.when(F.col("n_exact") == 1, F.col("c_exact"))).when(F.col("n_near") == 1, F.col("c_near")).when(F.col("known").isNull(), only)
+    return g.select("row_id", chosen.alias("candidate")).where("candidate IS NOT NULL")
+
+
 def library_match(items: DataFrame, library: DataFrame) -> DataFrame:
-    """Imdb id, tmdb id, exact name and year, name and year ±1, equal name or strong containment (14 characters, 3 words of the shorter) wherever it stands; the first tier with any candidate decides if it has one."""
+    """Imdb id, tmdb id, equal name, then equal name or strong containment (14 characters, 3 words of the shorter) wherever it stands; names by the year, as `_by_year`. The first rung that settles on a candidate is the ``basis``, 1 to 4."""
     lib = library.select(F.col("lib_id").alias("candidate"), F.col("imdb").alias("li"), F.col("tmdb").alias("lt"), F.col("year").alias("ly"), library_key(F.col("name")).alias("lk"))
     it = items.withColumn("_k", library_key(F.col("title")))
-    near = lib.select("candidate", "lk", F.explode(F.array(F.col("ly") - 1, F.col("ly") + 1)).alias("ly"))
-    within = _containing(it.select(F.col("row_id").alias("a_id"), F.col("_k").alias("ak")), lib.select(F.col("candidate").alias("b_id"), F.col("lk").alias("bk"))).where(_strong(F.col("ak"), F.col("bk")))
-    equal = it.join(lib, F.col("_k") == F.col("lk")).where("_k <> ''").select("row_id", "candidate")
-    contain = within.select(F.col("a_id").alias("row_id"), F.col("b_id").alias("candidate")).union(equal)
-    rungs = [it.join(lib, F.col("imdb") == F.col("li")), it.join(lib, F.col("tmdb") == F.col("lt")), it.join(lib, (F.col("_k") == F.col("lk")) & (F.col("year") == F.col("ly"))), it.join(near, (F.col("_k") == F.col("lk")) & (F.col("year") == F.col("ly"))), contain]
+    equal = it.where("_k <> ''").join(lib, F.col("_k") == F.col("lk")).select("row_id", "year", "candidate", "ly")
+    within = _containing(it.select(F.struct("row_id", "year").alias("a_id"), F.col("_k").alias("ak")), lib.select(F.struct("candidate", "ly").alias("b_id"), F.col("lk").alias("bk"))).where(_strong(F.col("ak"), F.col("bk")))
+    named = within.select("a_id.*", "b_id.*").unionByName(equal)
+    rungs = [it.join(lib, F.col("imdb") == F.col("li")), it.join(lib, F.col("tmdb") == F.col("lt")), _by_year(equal), _by_year(named)]
     return ladder(items, rungs)
 
 
@@ -289,11 +343,11 @@ def in_inventory(samples: DataFrame, inventory: DataFrame, pages: DataFrame) ->
 
 
 def schedule_evidence(cands: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Schedule rows of a candidate by title, channel and start over all days; the date only if there is one; role by rank and target."""
-    inv = inventory.select(F.col("title_key").alias("ik"), F.col("channel").alias("ic"), F.col("start_min").alias("is"), F.col("date").alias("idate"))
-    j = cands.join(inv, (F.col("title_key") == F.col("ik")) & (F.col("channel") == F.col("ic")) & (F.col("start_min") == F.col("is")), "left")
-    agg = j.groupBy("cand_id").agg(F.countDistinct("idate").alias("n_days"), F.min("idate").alias("d"))
-    return cands.join(agg, "cand_id").withColumn("date", F.when(F.col("n_days") == 1, F.col("d"))).withColumn("role", F.when(F.col("rank") <= F.col("target"), "selected").otherwise("reserve")).drop("d")
+    """Days on which a candidate's title, channel and start stand in the schedule; the date only if there is one; role by rank and target. The days are counted before the join."""
+    key = ["title_key", "channel", "start_min"]
+    days = inventory.groupBy(*key).agg(F.countDistinct("date").alias("n_days"), F.min("date").alias("_d"))
+    out = cands.join(days, key, "left").na.fill(0, ["n_days"])
+    return out.withColumn("date", F.when(F.col("n_days") == 1, F.col("_d"))).withColumn("role", F.when(F.col("rank") <= F.col("target"), "selected").otherwise("reserve")).drop("_d")
 
 
 def best_of(lists: DataFrame, works: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.staging import staged
+from gridloom.staging import Scratch, staged
 
 
 def classify(groups: DataFrame) -> DataFrame:
@@ -31,38 +31,114 @@ def status_matrix(rows: DataFrame, scope: str, status: str, statuses: list[str])
     return rows.groupBy(scope).pivot(status, statuses).count().na.fill(0, statuses)
 
 
-def task_board(audit: DataFrame) -> DataFrame:
-    """Audit messages by cause; a cause blocks if any message does."""
-    cause = F.when(F.col("rule").rlike("image|poster"), "images").when(F.col("rule").rlike("rating|note"), "ratings").when(F.col("rule").rlike("source|evidence|link"), "sources").when(F.col("rule").rlike("fresh|repeat"), "freshness").otherwise("content")
-    return audit.groupBy(cause.alias("cause")).agg(F.bool_or(F.col("severity") == "blocking").alias("blocking"), F.count("*").alias("n"))
-
-
-def gap_scope(message: Column) -> Column:
-    """The scope that an audit message is about."""
-    m = F.lower(message)
-    return F.when(m.rlike("coverage|channel|inventory"), "coverage").when(m.rlike("section|page"), "section").when(m.rlike(r"\d{4}-\d{2}-\d{2}"), "day").when(m.rlike("deliverable|publication"), "deliverable").otherwise("global")
+#: Weekdays, Saturday first, as messages name them.
+WEEKDAYS = ("samedi", "dimanche", "lundi", "mardi", "mercredi", "jeudi", "vendredi")
+_DAY = "|".join(WEEKDAYS)
+#: Fixed values of A32: pattern of a message, then id, title and kind of the action that it asks for; {} is the day that the pattern finds.
+ACTIONS = (
+    (r"(?i)^coverage full_week_reaudit_completed must be true$|^Full inventory-first coverage audit not completed$", "coverage-full-week", "Achever et attester la revue des sept jours", "coverage"),
+    (rf"(?i)^({_DAY})(?:-selection: \d+ candidats \(< \d+\) et shortage_reason non structuré| reserve too shallow without shortage_reason)$", "daily-reserve-{}", "Compléter les réserves de {} ou documenter une pénurie réelle", "day"),
+    (r"(?i)^Popularity radar reserve duplicates scan or public primary: ", "radar-popularity-overlap", "Réconcilier les réserves et la sélection du radar de popularité", "radar"),
+    (r"(?i)^Popularity radar (?:distinct )?reserve too shallow$", "radar-popularity-depth", "Compléter les réserves distinctes du radar de popularité", "radar"),
+)
+#: Fixed values of A33: words of messages about coverage, and about deliverables.
+COVERAGE = "inventory|inventaire|coverage|couverture|channels|chaînes|reaudit|cross-check|source_pages|overnight"
+DELIVERABLES = "radar|hero|toc|sommaire|artifact missing|manifest|shell|coquille"
+#: Fixed value of A33: a summary line of a validator, which is no problem of its own.
+SUMMARY = r"(?i)gate failed: \d+ problem|readiness: \d+ problème"
+
+
+def task_board(gaps: DataFrame, rules: tuple[tuple[str, str, str, str], ...] = ACTIONS) -> DataFrame:
+    """Messages by the action that they ask for: ``action, title, kind, blocking, n``.
+
+    ``gaps`` has ``pos, message, severity`` and may have ``scope``. The first rule whose
+    pattern a message fits names its action. A message that fits none is an action of its
+    own, ``observation-<pos>``: two like phrases need not have one cause. An action blocks
+    if any of its messages does. Null messages count as empty.
+    """
+    message = F.coalesce("message", F.lit(""))
+    scope = F.coalesce("scope", F.lit("global")) if "scope" in gaps.columns else F.lit("global")
+    action = F.struct(F.concat(F.lit("observation-"), F.col("pos").cast("string")).alias("action"), message.alias("title"), scope.alias("kind"))
+    for pattern, name, title, kind in reversed(rules):
+        found = F.lower(F.regexp_extract(message, pattern, 1)) if "{}" in name else F.lit("")
+        put = lambda text, found=found: F.replace(F.lit(text), F.lit("{}"), found)
+        action = F.when(message.rlike(pattern), F.struct(put(name).alias("action"), put(title).alias("title"), F.lit(kind).alias("kind"))).otherwise(action)
+    acted = gaps.select(action.alias("a"), "severity").select("a.*", "severity")
+    return acted.groupBy("action", "title", "kind").agg(F.bool_or(F.col("severity") == "blocking").alias("blocking"), F.count("*").alias("n"))
 
 
-def gap_totals(audit: DataFrame) -> DataFrame:
-    """Messages per scope and severity."""
-    return audit.groupBy(gap_scope(F.col("message")).alias("scope"), "severity").agg(F.count("*").alias("n"))
+def problem_lines(outputs: DataFrame, output: str = "output") -> DataFrame:
+    """The problems in what validators print, a row each: ``severity`` (✗ blocking, ! warning) and ``message``, with ``line``; summary lines are none."""
+    lines = outputs.select(*[c for c in outputs.columns if c != output], F.posexplode(F.split(output, r"\r?\n")).alias("line", "_text")).withColumn("_text", F.trim("_text"))
+    kept = lines.where(F.col("_text").rlike("^[✗!]") & ~F.col("_text").rlike(SUMMARY))
+    return kept.withColumn("severity", F.when(F.startswith("_text", F.lit("✗")), "blocking").otherwise("warning")).withColumn("message", F.regexp_replace("_text", r"^[✗!]\s*", "")).drop("_text")
 
 
-def guide_groups(reports: DataFrame, rounds: int = 8) -> DataFrame:
-    """Independent groups of publishers per slot: publishers with one name or a proven shared feed are one group.
+def gap_scope(message: Column, first: Column, sections: list[str]) -> Column:
+    """``struct(kind, value)``: what a message is about: coverage (with the day), a section, a day, a deliverable, or all.
 
-    ``reports`` has ``slot, publisher, feed, official``. Labels pass between the
-    publishers of a feed; a slot has few references, so a few rounds settle (checked).
-    ``route``: enough with two groups or an official source.
+    A day is named, or is a date of the seven from ``first``. Of the section ids the
+    first that occurs counts; those that end in ``-selection`` are days' own.
+    """
+    m = F.lower(F.coalesce(message, F.lit("")))
+    dated = F.coalesce(*[F.when(F.contains(m, F.date_add(first, i).cast("string")), F.lit(d)) for i, d in enumerate(WEEKDAYS)])
+    day = F.coalesce(*[F.when(m.rlike(rf"\b{d}\b"), F.lit(d)) for d in WEEKDAYS], dated)
+    section = F.coalesce(*[F.when(F.contains(m, F.lit(s.lower())), F.lit(s)) for s in sections], F.lit(None).cast("string"))
+    scope = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(m.rlike(COVERAGE), scope("coverage", day)).when(section.isNotNull() & ~F.endswith(section, F.lit("-selection")), scope("rubrique", section))
+        .when(day.isNotNull(), scope("day", day)).when(m.rlike(DELIVERABLES), scope("deliverable", none)).otherwise(scope("global", none))
+    )
+
+
+def gap_totals(gaps: DataFrame, first: Column, sections: list[str]) -> DataFrame:
+    """Messages per scope (``kind`` or ``kind:value``) and severity."""
+    scoped = gaps.select(gap_scope(F.col("message"), first, sections).alias("s"), "severity")
+    return scoped.groupBy(F.concat_ws(":", "s.kind", "s.value").alias("scope"), "severity").agg(F.count("*").alias("n"))
+
+
+def linked(edges: DataFrame, tmp: Scratch) -> DataFrame:
+    """``node, label`` of the connected components of ``u, v``: the smallest node of each.
+
+    A round takes the smallest label around a node and then that label's own; rounds go
+    on until none changes, so that a chain of n takes about log n. Each round is staged
+    in ``tmp``.
+    """
+    both = tmp.staged(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
+    cur = tmp.staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    while True:
+        around = both.join(cur, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
+        low = cur.join(around, F.col("node") == F.col("u")).select("node", F.col("label").alias("before"), F.least("label", "m").alias("label"))
+        jump = cur.select(F.col("node").alias("_at"), F.col("label").alias("_to"))
+        new = tmp.staged(low.join(jump, F.col("label") == F.col("_at")).select("node", F.col("_to").alias("label"), (F.col("_to") != F.col("before")).alias("moved")), "labels")
+        tmp.drop(cur)
+        cur = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return cur
+
+
+def guide_groups(reports: DataFrame) -> DataFrame:
+    """Independent groups of guides per slot, ``slot, n_groups, official, routes``.
+
+    ``reports`` has ``slot, publisher, feed, evidence, official``. Publishers are the
+    same whatever their case; those that share a feed are one group where there is
+    evidence of it, through as many others as it takes. Official sources are in no group;
+    a guide without a publisher is none. Routes: official (one such source),
+    concordant (two groups).
     """
-    cur = reports.select("slot", "publisher", "feed", "official", F.col("publisher").alias("label"))
-    for _ in range(rounds):
-        feed = F.when(F.col("feed").isNotNull(), F.min("label").over(Window.partitionBy("slot", "feed"))).otherwise(F.col("label"))
-        nxt = cur.withColumn("_a", feed).withColumn("_b", F.min("_a").over(Window.partitionBy("slot", "publisher")))
-        cur = nxt.withColumn("label", F.col("_b")).drop("_a", "_b")
-    settled = cur.withColumn("_m", F.when(F.col("feed").isNotNull(), F.min("label").over(Window.partitionBy("slot", "feed"))).otherwise(F.col("label")))
-    g = settled.groupBy("slot").agg(F.countDistinct("label").alias("n_groups"), F.bool_or("official").alias("official"), F.bool_and(F.col("_m") == F.col("label")).alias("settled"))
-    return g.withColumn("route", F.when(F.col("official"), "official").when(F.col("n_groups") >= 2, "independent").otherwise("needs_source"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    r = reports.select("slot", F.lower(text("publisher")).alias("publisher"), F.when(text("evidence").isNotNull(), text("feed")).alias("feed"), F.coalesce("official", F.lit(False)).alias("official"))
+    with Scratch(reports.sparkSession, "guides") as tmp:
+        guides = r.where("NOT official AND publisher IS NOT NULL")
+        node = lambda kind, c: F.struct("slot", F.lit(kind).alias("kind"), F.col(c).alias("name"))
+        edges = guides.where("feed IS NOT NULL").select(node("publisher", "publisher").alias("u"), node("feed", "feed").alias("v"))
+        label = linked(edges, tmp).where("node.kind = 'publisher'").select(F.col("node.slot").alias("_slot"), F.col("node.name").alias("_publisher"), "label")
+        grouped = guides.select("slot", "publisher").distinct().join(label, (F.col("slot") == F.col("_slot")) & (F.col("publisher") == F.col("_publisher")), "left")
+        n = grouped.groupBy("slot").agg(F.countDistinct(F.coalesce("label", node("publisher", "publisher"))).alias("n_groups"))
+        out = r.groupBy("slot").agg(F.bool_or("official").alias("official")).join(n, "slot", "left").na.fill(0, ["n_groups"])
+        routes = F.concat_ws(",", F.when(F.col("official"), "official"), F.when(F.col("n_groups") >= 2, "concordant"))
+        return staged(out.select("slot", "n_groups", "official", routes.alias("routes")), "guide-groups")
 
 
 def overview(signals: DataFrame) -> DataFrame:
@@ -100,9 +176,9 @@ def phase_spans(log: DataFrame) -> DataFrame:
 
 
 def initial_seeds(signals: DataFrame, groups: DataFrame, least: int = 2) -> DataFrame:
-    """Signals with a mark of ``least`` or more that match exactly one open group are seeds; the others say why they are preserved."""
-    hits = signals.join(groups.where("open").select("group_id", "title_key", "date"), ["title_key", "date"], "left").groupBy("signal_id").agg(F.min("group_id").alias("group_id"), F.countDistinct("group_id").alias("n"))
-    out = signals.join(hits, "signal_id")
+    """Signals with a mark of ``least`` or more that match exactly one open group are seeds; the others say why they are preserved. Groups are counted per title and day before they meet the signals."""
+    open_ = groups.where("open").groupBy("title_key", "date").agg(F.min("group_id").alias("group_id"), F.countDistinct("group_id").alias("n"))
+    out = signals.join(open_, ["title_key", "date"], "left").na.fill(0, ["n"])
     reason = F.when(F.col("score") < least, "low_mark").when(F.col("n") == 0, "no_group").when(F.col("n") > 1, "several_groups")
     return out.withColumn("reason", reason).withColumn("group_id", F.when(reason.isNull(), F.col("group_id")))
 

@@ -70,14 +70,14 @@ def longest_gaps(rows: DataFrame) -> DataFrame:
 
 
 def printed_scope(rows: DataFrame) -> DataFrame:
-    """Days, night days, and lower medians of first start and longest gap, per channel."""
+    """Days, night days, and lower medians of first start and longest gap, per channel. A day with one start has a gap of 0."""
     low = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").cast("int")
-    return longest_gaps(rows).groupBy("channel").agg(F.count("*").alias("days"), F.sum("has_night").cast("long").alias("night_days"), low("first_day_start").alias("first_start"), low("longest_gap").alias("gap"))
+    return longest_gaps(rows).na.fill(0, ["longest_gap"]).groupBy("channel").agg(F.count("*").alias("days"), F.sum("has_night").cast("long").alias("night_days"), low("first_day_start").alias("first_start"), low("longest_gap").alias("gap"))
 
 
 def scope_limits(scope: DataFrame, evening: int = 1020, gap: int = 240) -> DataFrame:
-    """A10: evening-only channels, those with long gaps, those without a night."""
-    codes = F.array_compact(F.array(F.when(F.col("first_start") >= evening, "evening_only"), F.when(F.col("gap") > gap, "long_gap"), F.when(F.col("night_days") == 0, "no_night")))
+    """A10: evening-only channels, others that have long gaps, those without a night. Without a daytime start a channel is neither of the first two."""
+    codes = F.array_compact(F.array(F.when(F.col("first_start") >= evening, "evening_only"), F.when((F.col("gap") > gap) & (F.col("first_start") < evening), "long_gap"), F.when(F.col("night_days") == 0, "no_night")))
     return scope.select("channel", F.explode(codes).alias("limit"))
 
 
@@ -151,18 +151,21 @@ def declared_vs_actual(declared: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def review_sample(rows: DataFrame, per_page: int = 3) -> DataFrame:
-    """Per page the first row, one of prime time, one of the night, filled up in order."""
-    page = Window.partitionBy("page_key")
-    rank = lambda cond: F.row_number().over(page.orderBy(F.when(cond, 0).otherwise(1), "start_min", "row_id"))
-    prime = F.col("start_min").between(1230, 1350)
-    out = rows.withColumn("_f", rank(F.lit(True))).withColumn("_p", rank(prime)).withColumn("_n", rank(is_night(F.col("start_min"))))
-    first = F.when(F.col("_f") == 1, 0).when((F.col("_p") == 1) & prime, 1).when((F.col("_n") == 1) & is_night(F.col("start_min")), 2).otherwise(3)
-    out = out.withColumn("_o", first).withColumn("pick", F.row_number().over(page.orderBy("_o", "start_min", "row_id")))
-    return out.where(F.col("pick") <= per_page).drop("_f", "_p", "_n", "_o")
+    """Per page the first row, the first of prime time, the first of the night, filled up in order.
+
+    Each class is cut to what it can give, which Spark does before the shuffle; only a
+    few rows of a page are ranked together.
+    """
+    first = lambda df, n, o: df.withColumn("_r", F.row_number().over(Window.partitionBy("page_key").orderBy("start_min", "row_id"))).where(F.col("_r") <= n).withColumn("_o", o).drop("_r")
+    any_row = first(rows, per_page, F.when(F.col("_r") == 1, 0).otherwise(3))
+    some = any_row.unionByName(first(rows.where(F.col("start_min").between(1230, 1350)), 1, F.lit(1))).unionByName(first(rows.where(is_night(F.col("start_min"))), 1, F.lit(2)))
+    once = some.withColumn("_k", F.row_number().over(Window.partitionBy("page_key", "row_id").orderBy("_o"))).where("_k = 1")
+    pick = F.row_number().over(Window.partitionBy("page_key").orderBy("_o", "start_min", "row_id"))
+    return once.withColumn("pick", pick).where(F.col("pick") <= per_page).drop("_o", "_k")
 
 
-def stratified_review(rows: DataFrame, per_day: int = 4) -> DataFrame:
-    """Per day the densest page not used on an earlier day of the week, ``per_day`` rows spread evenly over it, channels not repeated on the first pass.
+def stratified_review(rows: DataFrame, per_day: int = 5) -> DataFrame:
+    """Per day the densest page not used on an earlier day of the week, ``per_day`` rows spread evenly over it, channels not repeated on the first pass. A day whose pages are all used is passed over; rows between the spread ones never fill up.
 
     Only the choice of pages depends on the days before it: it is a fold over the page
     counts of a week, one array of them a week. Their rows are ranked in windows. Of
@@ -177,8 +180,8 @@ def stratified_review(rows: DataFrame, per_day: int = 4) -> DataFrame:
 
     def choose(taken: Column, day: Column) -> Column:
         free = F.filter(day["pages"], lambda p: ~F.exists(taken, lambda t: t["page_key"] == p["page_key"]))
-        page = F.coalesce(F.get(free, F.lit(0)), F.get(day["pages"], F.lit(0)))["page_key"]
-        return F.concat(taken, F.array(F.struct(day["date"].alias("date"), page.alias("page_key"))))
+        chosen = F.transform(F.slice(free, 1, 1), lambda p: F.struct(day["date"].alias("date"), p["page_key"].alias("page_key")))
+        return F.concat(taken, chosen)
 
     chosen = week.select("week", F.explode(F.aggregate("days", none, choose)).alias("c")).select("week", "c.*")
     here = rows.join(chosen, ["week", "date", "page_key"])
@@ -187,7 +190,7 @@ def stratified_review(rows: DataFrame, per_day: int = 4) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.count("*").over(day) / per_day))
     here = here.withColumn("_i", F.row_number().over(day.orderBy(*order)) - 1).withColumn("_spread", F.col("_i") % step == 0)
     again = F.row_number().over(Window.partitionBy("week", "date", "_spread", "channel").orderBy("_i")) > 1
-    here = here.withColumn("_tier", F.when(~F.col("_spread"), 2).when(again, 1).otherwise(0))
+    here = here.withColumn("_tier", again.cast("int")).where("_spread")
     return here.withColumn("_r", F.row_number().over(day.orderBy("_tier", "_i"))).where(F.col("_r") <= per_day).select(*cols)
 
 

@@ -34,6 +34,17 @@ def a14(spark, d):
     return audits.readiness(pool(spark, d), F.col("work_id") % 3 != 0).withColumn("all_pools", big("all_pools"))
 
 
+@query("a14_problem_list", f"""WITH {POOL}, c AS (SELECT pool_id, work_id, rank, unnest([CASE WHEN p_size > 40 THEN 'year' END, CASE WHEN p_brand IS NULL OR p_brand = 'Brand#1' THEN 'director' END, CASE WHEN p_retailprice < 1000 THEN 'rating' END, CASE WHEN p_partkey IS NULL THEN 'work' END]) AS problem
+FROM pool LEFT JOIN (SELECT * FROM part WHERE p_size <> 7) ON p_partkey = work_id) SELECT pool_id, work_id, rank, problem FROM c WHERE problem IS NOT NULL UNION ALL
+SELECT pool_id, work_id, rank, unnest(['year', 'rating']) FROM pool WHERE work_id IN (SELECT p_partkey FROM part WHERE p_size = 7)""")
+def a14_problems(spark, d):
+    """Candidates with the facts of their part; what isn't known counts as lacking, and some parts are in no catalogue."""
+    works_ = table(spark, d, "part").where("p_size <> 7").select(F.col("p_partkey").alias("id"), "p_size", "p_brand", "p_retailprice")
+    j = pool(spark, d).join(works_, F.col("work_id") == F.col("id"), "left")
+    checks = {"work": F.col("id").isNotNull(), "year": F.col("p_size") <= 40, "director": F.col("p_brand") != "Brand#1", "rating": F.col("p_retailprice") >= 1000}
+    return audits.candidate_problems(j, checks).withColumn("rank", big("rank"))
+
+
 @query("a39_pool_summary", f"""WITH {POOL}, q AS (SELECT * FROM pool WHERE NOT (pool_id % 5 = 0 AND rank = 2)) SELECT q.pool_id, count(*) AS n, min(rank) = 1 AND max(rank) = count(*) AS ranks_ok, CAST(CASE WHEN q.pool_id % 5 = 0 THEN (SELECT count(*) FROM pool p WHERE p.pool_id = q.pool_id AND p.rank = 2) ELSE 0 END AS BIGINT) AS missing_primaries FROM q GROUP BY q.pool_id""")
 def a39(spark, d):
     p = pool(spark, d)
@@ -84,11 +95,24 @@ def a20(spark, d):
     return got.withColumn("missing", F.array_join(F.transform(F.sort_array(F.transform(F.filter(F.split("missing", ","), lambda x: x != ""), lambda x: x.cast("int"))), lambda x: x.cast("string")), ","))
 
 
-@query("j09_slot_ladder", f"""WITH {SCHED}, s AS (SELECT row_id, date, start_min // 60 AS start_min, channel, title_key FROM sched), r AS (SELECT row_id AS c, date, start_min, channel, title_key FROM s WHERE row_id % 5 = 0), e AS (SELECT s.row_id, 1 AS basis, c FROM s JOIN r USING (date, start_min, channel, title_key) UNION ALL SELECT s.row_id, 2, c FROM s JOIN r USING (date, start_min, channel)),
+@query("j09_slot_ladder", f"""WITH {SCHED}, s AS (SELECT row_id, date, start_min // 60 AS start_min, channel, title_key FROM sched), r AS (SELECT row_id AS c, date, (start_min + 30) // 60 AS start_min, channel, title_key FROM sched), e AS (SELECT s.row_id, 1 AS basis, c FROM s JOIN r USING (date, start_min, channel, title_key) UNION ALL SELECT s.row_id, 2, c FROM s JOIN r USING (date, start_min, channel)),
 g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL) SELECT s.row_id, CAST(b.basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate FROM s LEFT JOIN b USING (row_id) LEFT JOIN g ON g.row_id = b.row_id AND g.basis = b.basis""")
 def j09(spark, d):
-    s = programme(spark, d).withColumn("start_min", F.floor(F.col("start_min") / 60).cast("int")).select("row_id", "date", "start_min", "channel", "title_key")
-    return identity.slot_ladder(s, s.where("row_id % 5 = 0")).select("row_id", big("basis").alias("basis"), "candidate")
+    """Rows by hours, an inventory of the same rows by hours from half past."""
+    s = programme(spark, d).select("row_id", "date", "start_min", "channel", "title_key")
+    hour = lambda shift: s.withColumn("start_min", F.floor((F.col("start_min") + shift) / 60).cast("int"))
+    return identity.slot_ladder(hour(0), hour(30)).select("row_id", big("basis").alias("basis"), "candidate")
+
+
+@query("j07_corrected_titles", f"""WITH {SCHED}, s AS (SELECT row_id, date, start_min // 240 AS start_min, channel, title_key FROM sched), r AS (SELECT row_id AS c, date, start_min, channel, unnest(CASE WHEN row_id % 3 = 0 THEN ['misread ' || row_id, title_key] ELSE ['misread ' || row_id] END) AS title_key FROM s),
+e AS (SELECT s.row_id, 1 AS basis, c FROM s JOIN r USING (date, start_min, channel, title_key) UNION ALL SELECT s.row_id, 2, c FROM s JOIN r USING (date, start_min, channel) UNION ALL SELECT s.row_id, 3, c FROM s JOIN r USING (date, channel, title_key)),
+g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL)
+SELECT s.row_id, CAST(b.basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate, n FROM s LEFT JOIN b USING (row_id) LEFT JOIN g ON g.row_id = b.row_id AND g.basis = b.basis""")
+def j07(spark, d):
+    """Reviews whose titles were misread, a third of them corrected: the corrected title joins."""
+    s = programme(spark, d).withColumn("start_min", F.floor(F.col("start_min") / 240).cast("int")).select("row_id", "date", "start_min", "channel", "title_key")
+    r = s.select("date", "start_min", "channel", F.concat(F.lit("misread "), F.col("row_id").cast("string")).alias("title_key"), F.when(F.col("row_id") % 3 == 0, F.col("title_key")).alias("reviewed_key"), F.col("row_id").alias("review_id"))
+    return identity.review_ladder(s, r).select("row_id", big("basis").alias("basis"), "candidate", "n")
 
 
 @query("j10_dossier_ladder", f"""WITH {WORKS}, l AS (SELECT id AS row_id, id * 2 AS link, title, year FROM works), e AS (SELECT row_id, 1 AS basis, w.id AS c FROM l JOIN works w ON w.id = l.link UNION ALL SELECT row_id, 2, w.id FROM l JOIN works w ON {KEY.format('w.title')} = {KEY.format('l.title')} AND w.year = l.year),
@@ -107,16 +131,24 @@ def j11(spark, d):
     return identity.pick_plan(picks, p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), "title"), p.where("p_partkey % 3 = 0").select("title", F.when(F.col("p_size") > 25, F.col("p_size")).alias("year"))).select("pick_pos", "status")
 
 
-@query("j15_library_match", f"""WITH {WORKS}, i AS (SELECT id AS row_id, CASE WHEN id % 4 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, title || ' ' || director AS t, year FROM works), l AS (SELECT id AS c, CASE WHEN id % 8 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, CASE id % 3 WHEN 0 THEN title || ' ' || director WHEN 1 THEN title ELSE 'x ' || title || ' ' || director || ' y' END AS t, year FROM works WHERE id % 2 = 0),
-e AS (SELECT row_id, 1 AS basis, c FROM i JOIN l USING (imdb) UNION ALL SELECT row_id, 3, c FROM i JOIN l ON i.t = l.t AND i.year = l.year UNION ALL SELECT row_id, 4, c FROM i JOIN l ON i.t = l.t AND abs(i.year - l.year) = 1 UNION ALL SELECT row_id, 5, c FROM i JOIN l ON i.t = l.t OR (least(length(i.t), length(l.t)) >= 14 AND least(len(string_split(i.t, ' ')), len(string_split(l.t, ' '))) >= 3 AND (contains(' ' || i.t || ' ', ' ' || l.t || ' ') OR contains(' ' || l.t || ' ', ' ' || i.t || ' ')))),
-g AS (SELECT row_id, basis, min(c) AS c, count(DISTINCT c) AS n FROM e GROUP BY ALL), b AS (SELECT row_id, min(basis) AS basis FROM g GROUP BY ALL) SELECT row_id, CAST(basis AS BIGINT) AS basis, CASE WHEN n = 1 THEN c END AS candidate FROM (SELECT DISTINCT row_id FROM i) LEFT JOIN b USING (row_id) LEFT JOIN g USING (row_id, basis)""")
+@query("j15_library_match", f"""WITH {WORKS}, i AS (SELECT id AS row_id, CASE WHEN id % 4 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, title || ' ' || director AS t, CASE WHEN id % 9 <> 0 THEN year END AS year FROM works),
+l AS (SELECT id AS c, CASE WHEN id % 8 = 0 THEN 'tt' || CAST(id AS VARCHAR) END AS imdb, CASE id % 3 WHEN 0 THEN title || ' ' || director WHEN 1 THEN title ELSE 'x ' || title || ' ' || director || ' y' END AS t, CASE WHEN id % 10 <> 1 THEN year END AS ly FROM works),
+q AS (SELECT row_id, year, c, ly FROM i JOIN l ON i.t = l.t),
+v AS (SELECT * FROM q UNION SELECT row_id, year, c, ly FROM i JOIN l ON i.t <> l.t AND least(length(i.t), length(l.t)) >= 14 AND len(string_split(CASE WHEN length(i.t) <= length(l.t) THEN i.t ELSE l.t END, ' ')) >= 3 AND (contains(' ' || i.t || ' ', ' ' || l.t || ' ') OR contains(' ' || l.t || ' ', ' ' || i.t || ' '))),
+y AS (SELECT row_id, 3 AS basis, year, c, ly FROM q UNION ALL SELECT row_id, 4, year, c, ly FROM v),
+p AS (SELECT row_id, basis, CASE WHEN any_value(year) IS NULL THEN CASE WHEN count(*) = 1 THEN min(c) END WHEN count(*) FILTER (ly = year) > 0 THEN CASE WHEN count(*) FILTER (ly = year) = 1 THEN min(c) FILTER (ly = year) END
+  WHEN count(*) FILTER (abs(ly - year) <= 1) = 1 THEN min(c) FILTER (abs(ly - year) <= 1) WHEN count(*) = 1 AND max(ly) IS NULL THEN min(c) END AS c FROM y GROUP BY row_id, basis),
+e AS (SELECT row_id, 1 AS basis, c FROM i JOIN l USING (imdb) UNION ALL SELECT row_id, basis, c FROM p WHERE c IS NOT NULL), b AS (SELECT row_id, min(basis) AS basis FROM e GROUP BY ALL)
+SELECT row_id, CAST(basis AS BIGINT) AS basis, c AS candidate FROM i LEFT JOIN b USING (row_id) LEFT JOIN e USING (row_id, basis)""")
 def j15(spark, d):
+    """Every part against a library of all parts under other names, some without a year."""
     w = works(spark, d).withColumn("name", F.concat_ws(" ", "title", "director"))
     tt = lambda n: F.when(F.col("id") % n == 0, F.concat(F.lit("tt"), F.col("id").cast("string"))).alias("imdb")
     none = F.lit(None).cast("string").alias("tmdb")
-    items = w.select(F.col("id").alias("row_id"), F.col("name").alias("title"), tt(4), none, "year")
+    dated = lambda cond: F.when(cond, F.col("year")).alias("year")
+    items = w.select(F.col("id").alias("row_id"), F.col("name").alias("title"), tt(4), none, dated(F.col("id") % 9 != 0))
     other = F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, F.col("title")).otherwise(F.concat(F.lit("x "), F.col("name"), F.lit(" y")))
-    lib = w.where("id % 2 = 0").select(F.col("id").alias("lib_id"), other.alias("name"), tt(8), none, "year")
+    lib = w.select(F.col("id").alias("lib_id"), other.alias("name"), tt(8), none, dated(F.col("id") % 10 != 1))
     return identity.library_match(items, lib).select("row_id", big("basis").alias("basis"), "candidate")
 
 
@@ -133,10 +165,12 @@ def j16(spark, d):
     return identity.best_match(items, cand).select("row_id", "cand_id", big("score").alias("score"))
 
 
-@query("j22_review_notes", f"""WITH {SCHED}, r AS (SELECT row_id, user_id % 50 AS page, k AS c FROM sched WHERE row_id % 2 = 0), n AS (SELECT row_id AS note_id, user_id % 50 AS page, k AS c FROM sched WHERE row_id % 5 = 1), a AS (SELECT page, c, min(row_id) AS row_id FROM r GROUP BY ALL HAVING count(*) = 1), b AS (SELECT page, c, min(note_id) AS note_id FROM n GROUP BY ALL HAVING count(*) = 1) SELECT row_id, note_id FROM a JOIN b USING (page, c)""")
+@query("j22_review_notes", f"""WITH {SCHED}, a AS (SELECT user_id AS page, k AS c, min(row_id) AS row_id FROM sched GROUP BY ALL HAVING count(*) = 1), b AS (SELECT user_id AS page, k * 3 % 100 AS c, min(row_id) AS note_id FROM sched GROUP BY ALL HAVING count(*) = 1) SELECT row_id, note_id FROM a JOIN b USING (page, c)""")
 def j22(spark, d):
-    s = programme(spark, d).withColumn("page", F.col("user_id") % 50).withColumn("compact", F.col("k"))
-    return identity.merge_review_notes(s.where("row_id % 2 = 0").select("row_id", "page", "compact"), s.where("row_id % 5 = 1").select(F.col("row_id").alias("note_id"), "page", "compact"))[0].select("row_id", "note_id")
+    """A user's rows as reviews of a page, and as notes on it under other titles."""
+    s = programme(spark, d).withColumnRenamed("user_id", "page")
+    notes = s.select(F.col("row_id").alias("note_id"), "page", (F.col("k") * 3 % 100).alias("compact"))
+    return identity.merge_review_notes(s.select("row_id", "page", F.col("k").alias("compact")), notes)[0].select("row_id", "note_id")
 
 
 @query("j23_placements", f"""WITH {SCHED}, w AS (SELECT min(row_id) AS want_id, title_key, channel, arg_min(start_min, row_id) AS start_min FROM sched GROUP BY title_key, channel), p AS (SELECT user_id AS pool_id, row_id AS pool_pos, title_key, channel, start_min FROM sched)
@@ -148,11 +182,13 @@ def j23(spark, d):
     return identity.placements(w, p)
 
 
-@query("j25_sample_in_inventory", f"""WITH {SCHED}, s AS (SELECT row_id, date, channel, start_min, title_key, user_id % 40 AS page FROM sched WHERE row_id % 3 = 0), i AS (SELECT DISTINCT date, channel, start_min, title_key FROM sched WHERE row_id % 9 <> 0)
-SELECT row_id, 'not_in_inventory' AS problem FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE (i.date, i.channel, i.start_min, i.title_key) = (s.date, s.channel, s.start_min, s.title_key)) UNION ALL SELECT row_id, 'unknown_page' FROM s WHERE page >= 35""")
+@query("j25_sample_in_inventory", f"""WITH {SCHED}, s AS (SELECT row_id, date, channel, start_min, title_key, user_id % 40 AS page FROM sched), i AS (SELECT DISTINCT date, channel, start_min, CASE WHEN k % 9 = 0 THEN 'other' ELSE title_key END AS title_key FROM sched)
+SELECT row_id, 'not_in_inventory' AS problem FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE (i.date, i.channel, i.start_min, i.title_key) = (s.date, s.channel, s.start_min, s.title_key)) UNION ALL SELECT row_id, 'unknown_page' FROM s WHERE page NOT IN (SELECT n_nationkey FROM nation)""")
 def j25(spark, d):
+    """Every row as a sample; the inventory has other titles for some, and nations are the pages that are known."""
     s = programme(spark, d).withColumn("page", F.col("user_id") % 40)
-    return identity.in_inventory(s.where("row_id % 3 = 0"), s.where("row_id % 9 <> 0"), s.where("page < 35").select("page").union(spark.range(35).toDF("page"))).select("row_id", "problem")
+    inventory = s.withColumn("title_key", F.when(F.col("k") % 9 == 0, "other").otherwise(F.col("title_key")))
+    return identity.in_inventory(s, inventory, table(spark, d, "nation").select(F.col("n_nationkey").alias("page"))).select("row_id", "problem")
 
 
 @query("a22_merge_ratings", """SELECT l_orderkey AS work_id, CAST(l_linenumber AS BIGINT) AS publisher, CASE WHEN l_partkey % 5 = 0 THEN 'blocked' WHEN l_partkey % 3 = 0 THEN 'proposed' WHEN l_partkey % 2 = 0 THEN 'agrees' ELSE 'differs' END AS status FROM lineitem""")
@@ -164,11 +200,28 @@ def a22(spark, d):
     return got.select(F.col("work_id.o").alias("work_id"), "publisher", "status")
 
 
-@query("a24_open_fields", "SELECT p_partkey AS work_id, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'country' END || CASE WHEN p_partkey % 6 IN (1, 5) THEN ',year' WHEN p_partkey % 6 IN (2, 4) THEN 'year' ELSE '' END AS open_fields FROM part")
+@query("a24_gap_fill", """WITH o AS (SELECT l_partkey AS work_id, ['senscritique', 'imdb', 'tmdb'][CAST(l_suppkey % 3 + 1 AS INTEGER)] AS source, CAST(min(l_quantity) AS INTEGER) AS q, CAST(min(l_suppkey % 4) AS INTEGER) AS y FROM lineitem GROUP BY ALL),
+w AS (SELECT p_partkey AS work_id, CAST(1950 + p_size AS VARCHAR) AS expected, p_partkey % 2 = 0 AS no_duration, p_partkey % 3 <> 0 AS no_year, p_partkey % 5 < 3 AS no_country, p_partkey % 4 = 0 AS no_director, p_partkey % 8 = 0 AS no_creator, p_partkey % 7 IN (0, 1, 2) AS dossier FROM part),
+f AS (SELECT w.*, (SELECT any_value(q || ' min') FROM o WHERE o.work_id = w.work_id AND source = 'senscritique') AS sc, (SELECT string_agg(source || ' ' || q || ' min', ', ' ORDER BY source) FROM o WHERE o.work_id = w.work_id AND source <> 'senscritique') AS others,
+ (SELECT min(source) FROM o WHERE o.work_id = w.work_id AND 1950 + y * 10 = CAST(expected AS INTEGER)) AS dated FROM w),
+v AS (SELECT *, coalesce(sc || CASE WHEN others IS NULL THEN '' ELSE ' (SensCritique ; ' || others || ')' END, CASE WHEN dossier THEN '88 min' END) AS duration FROM f)
+SELECT 'w' || work_id || '-' || expected AS work_id, CASE WHEN no_duration THEN duration ELSE '90 min' END AS duration, CASE WHEN no_year THEN CASE WHEN dated IS NOT NULL THEN expected END ELSE '1999' END AS year, CASE WHEN no_country THEN CASE WHEN dossier THEN 'A / B' END ELSE 'C' END AS country,
+ concat_ws(',', CASE WHEN no_country AND dossier THEN 'country=dossier' END, CASE WHEN no_duration AND duration IS NOT NULL THEN 'duration=' || CASE WHEN sc IS NULL THEN 'dossier' ELSE 'senscritique' END END, CASE WHEN no_year AND dated IS NOT NULL THEN 'year=' || dated END) AS changed,
+ concat_ws(',', CASE WHEN no_year AND dated IS NULL THEN 'year' END, CASE WHEN no_director AND no_creator THEN 'director' END, CASE WHEN no_country AND NOT dossier THEN 'country' END, CASE WHEN no_duration AND duration IS NULL THEN 'duration' END, 'image') AS open_fields FROM v""")
 def a24(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("work_id"))
-    f = lambda df, name, v="x": df.select("work_id", F.lit(name).alias("field"), F.lit(v).alias("value"))
-    return consensus.fill_gaps(f(p, "director").union(f(p.where("work_id % 2 = 0"), "country")).union(f(p, "year", " ")), f(p.where("work_id % 3 = 0"), "year"), ["director", "country", "year"])
+    """Parts with gaps, lines as the offers of three sources, and dossiers of some parts."""
+    key = F.concat(F.lit("w"), F.col("p_partkey").cast("string"), F.lit("-"), (F.col("p_size") + 1950).cast("string"))
+    p = table(spark, d, "part").withColumn("work_id", key)
+    k, text = F.col("p_partkey"), lambda cond, v: F.when(~cond, v)
+    w = p.select("work_id", text(k % 3 != 0, "1999").alias("year"), text(k % 4 == 0, "X").alias("director"), text(k % 8 == 0, "Y").alias("creator"), text(k % 5 < 3, "C").alias("country"), F.lit("drame").alias("genre"), text(k % 2 == 0, "90 min").alias("duration"), F.lit(" ").alias("image"))
+    source = F.element_at(F.array(F.lit("senscritique"), F.lit("imdb"), F.lit("tmdb")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    lines = table(spark, d, "lineitem").groupBy("l_partkey", source.alias("source")).agg(F.min("l_quantity").cast("int").alias("q"), F.min(F.col("l_suppkey") % 4).alias("y"))
+    offered = lines.join(p.select("p_partkey", "work_id"), F.col("l_partkey") == F.col("p_partkey"))
+    o = offered.select("work_id", "source", F.lit("u").alias("url"), F.col("source").alias("pos"), F.explode(F.array(F.struct(F.lit("duration").alias("field"), F.concat(F.col("q").cast("string"), F.lit(" min")).alias("value")), F.struct(F.lit("year").alias("field"), (1950 + F.col("y") * 10).cast("string").alias("value")))).alias("o")).select("work_id", "source", "url", "pos", "o.*")
+    dossiers = p.where(k % 7 < 3).select("work_id", F.lit("A, B").alias("country"), F.lit(88).alias("minutes"), F.lit("dossier").alias("url"))
+    out = consensus.fill_gaps(w, o, dossiers)
+    changed = F.array_join(F.transform("changes", lambda c: F.concat_ws("=", c["field"], c["basis"])), ",")
+    return out.select("work_id", "duration", "year", "country", changed.alias("changed"), F.array_join("open_fields", ",").alias("open_fields"))
 
 
 @query("a30_scope_counts", "SELECT o_orderpriority AS scope, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -176,10 +229,29 @@ def a30(spark, d):
     return planning.status_matrix(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "scope"), "scope", "o_orderstatus", ["O", "F", "P"])
 
 
-@query("a32_task_board", """SELECT CASE event_type WHEN 'view' THEN 'images' WHEN 'click' THEN 'ratings' WHEN 'purchase' THEN 'sources' ELSE 'content' END AS cause, bool_or(event_type = 'click' AND user_id = 3) AS blocking, count(*) AS n FROM events GROUP BY 1""")
+_DAYS = "['samedi', 'dimanche', 'lundi', 'mardi', 'mercredi', 'jeudi', 'vendredi']"
+
+
+@query("a32_task_board", f"""WITH e AS (SELECT event_id, user_id, event_type, {_DAYS}[CAST(user_id % 7 + 1 AS INTEGER)] AS day FROM events),
+m AS (SELECT *, CASE event_type WHEN 'view' THEN upper(day[1]) || day[2:] || '-selection: ' || event_id % 9 || ' candidats (< 10) et shortage_reason non structuré' WHEN 'click' THEN 'Popularity radar reserve duplicates scan or public primary: ' || event_id
+  WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'Popularity radar reserve too shallow' ELSE 'popularity radar distinct reserve too shallow' END WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'Full inventory-first coverage audit not completed' ELSE 'coverage full_week_reaudit_completed must be true' END
+  ELSE 'Popularity radar reserve too shallow: ' || user_id END AS message FROM e),
+a AS (SELECT CASE event_type WHEN 'view' THEN 'daily-reserve-' || day WHEN 'click' THEN 'radar-popularity-overlap' WHEN 'purchase' THEN 'radar-popularity-depth' WHEN 'signup' THEN 'coverage-full-week' ELSE 'observation-' || event_id END AS action,
+ CASE event_type WHEN 'view' THEN 'Compléter les réserves de ' || day || ' ou documenter une pénurie réelle' WHEN 'click' THEN 'Réconcilier les réserves et la sélection du radar de popularité' WHEN 'purchase' THEN 'Compléter les réserves distinctes du radar de popularité' WHEN 'signup' THEN 'Achever et attester la revue des sept jours' ELSE message END AS title,
+ CASE event_type WHEN 'view' THEN 'day' WHEN 'signup' THEN 'coverage' WHEN 'error' THEN 'global' ELSE 'radar' END AS kind, user_id % 11 = 3 AS blocking FROM m)
+SELECT action, title, kind, bool_or(blocking) AS blocking, count(*) AS n FROM a GROUP BY ALL""")
 def a32(spark, d):
-    t = F.col("event_type")
-    e = table(spark, d, "events").select(F.when(t == "view", "poster_digest").when(t == "click", "rating_missing").when(t == "purchase", "link_shape").otherwise("copy").alias("rule"), F.when((t == "click") & (F.col("user_id") == 3), "blocking").otherwise("warning").alias("severity"))
+    """Events as messages of validators; those that no rule knows stay apart, each an action of its own."""
+    t, even, number = F.col("event_type"), F.col("user_id") % 2 == 0, lambda c: F.col(c).cast("string")
+    day = F.element_at(F.array(*map(F.lit, planning.WEEKDAYS)), (F.col("user_id") % 7 + 1).cast("int"))
+    message = (
+        F.when(t == "view", F.concat(F.initcap(day), F.lit("-selection: "), (F.col("event_id") % 9).cast("string"), F.lit(" candidats (< 10) et shortage_reason non structuré")))
+        .when(t == "click", F.concat(F.lit("Popularity radar reserve duplicates scan or public primary: "), number("event_id")))
+        .when(t == "purchase", F.when(even, "Popularity radar reserve too shallow").otherwise("popularity radar distinct reserve too shallow"))
+        .when(t == "signup", F.when(even, "Full inventory-first coverage audit not completed").otherwise("coverage full_week_reaudit_completed must be true"))
+        .otherwise(F.concat(F.lit("Popularity radar reserve too shallow: "), number("user_id")))
+    )
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), message.alias("message"), F.when(F.col("user_id") % 11 == 3, "blocking").otherwise("warning").alias("severity"))
     return planning.task_board(e)
 
 
@@ -211,12 +283,16 @@ def a44(spark, d):
     return schedule.apply_grid_review(s.where("channel <> 'error'"), fix, s.where("channel = 'error'"), [("^title", "titre")]).select("row_id", "title", "n_channel", "is_duplicate")
 
 
-@query("a45_shortlist", f"""WITH {SCHED}, s AS (SELECT user_id AS card_id, row_id, row_number() OVER (PARTITION BY user_id ORDER BY k, row_id) AS r FROM sched) SELECT card_id, row_id AS signal_id FROM s WHERE r = 1""")
+@query("a45_shortlist", f"""WITH {SCHED}, s AS (SELECT user_id AS card_id, row_id, row_number() OVER (PARTITION BY user_id ORDER BY k, row_id) AS r FROM sched), c AS (SELECT DISTINCT work_id, channel AS field, source AS url, scope FROM sched)
+SELECT 'card' AS kind, CAST(card_id AS VARCHAR) AS id, CAST(row_id AS VARCHAR) AS value FROM s WHERE r = 1 UNION ALL SELECT 'record', coalesce(CAST(work_id AS VARCHAR), '-'), field || ' ' || url || ' ' || scope FROM c""")
 def a45(spark, d):
+    """Users as cards with their best row, and the compact records of all rows."""
     s = programme(spark, d)
     sig = s.select(F.col("user_id").alias("card_id"), F.col("row_id").alias("signal_id"), F.col("k").alias("priority"))
     rec = s.select("work_id", F.col("channel").alias("field"), F.col("source").alias("url"), "scope")
-    return planning.shortlist(s.select(F.col("user_id").alias("card_id")).distinct(), sig, rec)[0].select("card_id", "signal_id")
+    cards, records = planning.shortlist(s.select(F.col("user_id").alias("card_id")).distinct(), sig, rec)
+    text = lambda c: F.col(c).cast("string")
+    return cards.select(F.lit("card").alias("kind"), text("card_id").alias("id"), text("signal_id").alias("value")).unionByName(records.select(F.lit("record").alias("kind"), F.coalesce(text("work_id"), F.lit("-")).alias("id"), F.concat_ws(" ", "field", "url", "scope").alias("value")))
 
 
 @query("a46_image_decision", """WITH p AS (SELECT l_orderkey AS w, 'u' || CAST(l_linenumber AS VARCHAR) AS url, 'h' || CAST(l_linenumber % 2 AS VARCHAR) AS host, l_linenumber AS ladder, bool_and(l_partkey % 3 <> 0) AS ok FROM lineitem GROUP BY ALL),
@@ -312,23 +388,25 @@ def p25(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parse.clean_director(F.concat(F.lit("Jane "), F.col("o_orderstatus"), F.lit(" [VOSTFR]"))).alias("director"), F.array_join(parse.image_order(F.when(k % 2 == 0, "a"), F.array(F.lit("b"), F.lit("")), none), ",").alias("images"), F.array_join(facts["missing"], ",").alias("missing"), at.alias("at"))
 
 
-@query("w09_refill", f"""WITH {SCHED}, c AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE k < 30), s AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE channel = 'purchase'), l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.user_id, s.work_id) = (c.user_id, c.work_id))), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY work_id >= 20, work_id) AS slot FROM l)
+@query("w09_refill", f"""WITH {SCHED}, c AS (SELECT DISTINCT user_id, k AS work_id FROM sched), s AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE channel = 'purchase'), l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.user_id, s.work_id) = (c.user_id, c.work_id))), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY work_id % 3 = 0, work_id) AS slot FROM l)
 SELECT user_id, work_id, slot, CAST((slot + 4) // 5 AS BIGINT) AS page FROM o""")
 def w09(spark, d):
     s = programme(spark, d)
-    cards = s.where("k < 30").select("user_id", F.col("k").alias("work_id"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("title"), F.col("k").alias("pos")).distinct()
+    cards = s.select("user_id", F.col("k").alias("work_id"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("title"), F.col("k").alias("pos")).distinct()
     seen = s.where("channel = 'purchase'").select("user_id", F.col("k").alias("work_id"), F.lit(None).cast("string").alias("title"))
-    return personal.grid_refill(cards.where("work_id < 20"), seen, cards.where("work_id >= 20"), 5).select("user_id", "work_id", big("slot").alias("slot"), big("page").alias("page"))
+    return personal.grid_refill(cards.where("work_id % 3 <> 0"), seen, cards.where("work_id % 3 = 0"), 5).select("user_id", "work_id", big("slot").alias("slot"), big("page").alias("page"))
 
 
-@query("f25_append_contract", f"""WITH {POOL}, e AS (SELECT * FROM pool WHERE rank <= 8), n AS (SELECT pool_id, CASE WHEN pool_id % 4 = 0 AND rank = 9 THEN (SELECT min(work_id) FROM e x WHERE x.pool_id = pool.pool_id) ELSE work_id END AS work_id, rank + CASE WHEN pool_id % 3 = 0 THEN 1 ELSE 0 END AS rank FROM pool WHERE rank BETWEEN 9 AND 12),
+@query("f25_append_contract", f"""WITH {POOL}, e AS (SELECT * FROM pool WHERE rank <= 8 + pool_id % 3), n AS (SELECT pool_id, CASE WHEN pool_id % 4 = 0 AND rank = 9 + pool_id % 3 THEN (SELECT min(work_id) FROM e x WHERE x.pool_id = pool.pool_id) ELSE work_id END AS work_id, rank + CASE WHEN pool_id % 5 = 0 THEN 1 ELSE 0 END AS rank FROM pool WHERE rank > 8 + pool_id % 3),
 g AS (SELECT pool_id, max(rank) AS tail, max(rank) = count(*) AS contiguous FROM e GROUP BY 1), m AS (SELECT pool_id, min(rank) AS lo, max(rank) AS hi, count(*) AS c FROM n GROUP BY 1) SELECT pool_id, contiguous, CAST(CASE WHEN pool_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS known_works, lo = tail + 1 AND hi = tail + c AS continues FROM g JOIN m USING (pool_id)""")
 def f25(spark, d):
+    """Whole pools: the first ranks are there, all others are appended, some with a work that is there or a rank left out."""
     p = pool(spark, d)
-    e = p.where("rank <= 8")
+    tail = F.col("pool_id") % 3 + 8
+    e = p.where(F.col("rank") <= tail)
     least = e.groupBy("pool_id").agg(F.min("work_id").alias("m"))
-    n = p.where("rank BETWEEN 9 AND 12").join(least, "pool_id").withColumn("work_id", F.when((F.col("pool_id") % 4 == 0) & (F.col("rank") == 9), F.col("m")).otherwise(F.col("work_id")))
-    return planning.append_contract(e, n.withColumn("rank", F.col("rank") + F.when(F.col("pool_id") % 3 == 0, 1).otherwise(0)))
+    n = p.where(F.col("rank") > tail).join(least, "pool_id").withColumn("work_id", F.when((F.col("pool_id") % 4 == 0) & (F.col("rank") == tail + 1), F.col("m")).otherwise(F.col("work_id")))
+    return planning.append_contract(e, n.withColumn("rank", F.col("rank") + F.when(F.col("pool_id") % 5 == 0, 1).otherwise(0)))
 
 
 @query("u02_u06_u07_sets", f"""WITH {OCC}, t AS (SELECT DISTINCT week, title_key FROM occ WHERE qty > 25 OR qty < 20) SELECT week, count(*) AS n, true AS same, 'a,b,c' AS merged FROM t GROUP BY week""")

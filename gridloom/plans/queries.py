@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar, keys, parse, predicates
@@ -79,7 +79,7 @@ def u03(spark, d):
 
 @query("w14_a42_radar_reconcile", """WITH r AS (SELECT event_id AS row_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS work_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS precedence, CAST(event_id % 50 AS INTEGER) AS rank, CASE WHEN user_id % 17 = 0 AND event_id % 2 = 0 THEN 'hd' WHEN user_id % 17 = 0 THEN 'sd' END AS version FROM events),
 v AS (SELECT work_id, count(DISTINCT version) AS v, min(precedence) AS p FROM r GROUP BY work_id), o AS (SELECT r.*, v.v, v.p, row_number() OVER (PARTITION BY r.work_id ORDER BY precedence, rank, row_id) AS n, first_value(row_id) OVER (PARTITION BY r.work_id ORDER BY precedence, rank, row_id) AS kept_at FROM r JOIN v ON r.work_id IS NOT DISTINCT FROM v.work_id)
-SELECT row_id, kept_at, CASE WHEN work_id IS NULL THEN 'keep_unresolved' WHEN v > 1 THEN 'hold_version_conflict' WHEN n = 1 THEN 'keep' WHEN p = precedence THEN 'remove_same_pool' ELSE 'remove_earlier_pool' END AS decision FROM o""")
+SELECT row_id, CASE WHEN work_id IS NULL THEN row_id ELSE kept_at END AS kept_at, CASE WHEN work_id IS NULL THEN 'keep_unresolved' WHEN v > 1 THEN 'hold_version_conflict' WHEN n = 1 THEN 'keep' WHEN p = precedence THEN 'remove_same_pool' ELSE 'remove_earlier_pool' END AS decision FROM o""")
 def w14(spark, d):
     e = table(spark, d, "events")
     pos = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
@@ -123,9 +123,14 @@ def slugs(spark, d):
     return works(spark, d).select("id", keys.slug(F.col("title")).alias("slug"), keys.work_id(F.col("title"), F.col("year")).alias("new_id"))
 
 
-@query("p09_html_text", r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&middot;', '·'), '&copy;', '©'), '&eacute;', 'é'), '&egrave;', 'è'), '&agrave;', 'à'), '&ccedil;', 'ç'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+#: Entities that the pages lack: each is decoded once, numbers that are no character are replaced, unknown names stay.
+_MORE_ENTITIES = "<b>&#233;&#x1F600;</b>&#0;&#xD800;&#99999999999999999999;&Eacute;&hellip;&amp;lt;&#38;gt;&unknown;&AMP;&nbsp;&ldquo;x&rdquo; "
+_DECODED = " é😀 ���É…&lt;&gt;&unknown;& “x”"
+
+
+@query("p09_html_text", rf"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '&©'), '&amp;', '&'), '&©', '&copy;'), '[\s\x{{a0}}]+', ' ', 'g')) || '{_DECODED}') AS text_md5 FROM pages""")
 def html_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(parse.html_text(F.col("html"))).alias("text_md5"))
+    return table(spark, d, "pages").select("page_id", F.md5(parse.html_text(F.concat("html", F.lit(_MORE_ENTITIES)))).alias("text_md5"))
 
 
 @query("p10_p11_clock", f"""WITH {SCHED} SELECT row_id, CAST(start_min AS BIGINT) AS start_min, CAST(start_min // 60 AS VARCHAR) || ' h ' || lpad(CAST(start_min % 60 AS VARCHAR), 2, '0') AS label, start_min < 360 AS night, CASE WHEN start_min < 360 THEN date - 1 ELSE date END AS grid_date FROM sched""")
@@ -184,13 +189,20 @@ def external_ids(spark, d):
     return table(spark, d, "pages").select("page_id", e["provider"].alias("provider"), e["ext_id"].alias("ext_id"))
 
 
-@query("p24_p27_titles", """SELECT p_partkey, p_name AS title, CAST(1950 + p_size AS BIGINT) AS year, p_name || ' (' || p_brand || ') - x|' || p_brand || '|' || p_name || ' - x|' || p_name || ' (' || p_brand || ')' AS variants FROM part""")
+@query("p24_p27_titles", """SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE CAST(1950 + p_size AS BIGINT) END AS year, CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN p_brand END AS director, p_name || ' (' || p_brand || ') - x|' || p_brand || '|' || p_name || ' - x|' || p_name || ' (' || p_brand || ')' AS variants FROM part""")
 def release_titles(spark, d):
+    """Topics by their conventions: the director after the year, with notes and tails, none, or words of the trade in its place."""
     p = table(spark, d, "part")
-    raw = F.concat(F.lit("[TEAM] "), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(" ("), (F.col("p_size") + 1950).cast("string"), F.lit(") 1080p.BluRay.x264"))
+    year = (F.col("p_size") + 1950).cast("string")
+    dotted = F.replace("p_name", F.lit(" "), F.lit("."))
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    raw = F.element_at(F.array(
+        text("[TEAM] ", F.col("p_name"), " - ", year, " - ", F.col("p_brand"), " VOSTFR 1080p BluRay x264"), text(" [A] [B]", dotted, " (", year, ") ", F.col("p_brand"), " (VO ou VF + bonus)"), text(F.replace("p_name", F.lit(" "), F.lit("_")), "_-_", year, "_-_", F.col("p_brand"), "_web-dl_fr"),
+        text("[TEAM] ", dotted, ".", year, ".1080p.BluRay.x264"), text(F.col("p_name"), " – ", year, " – x"), text(F.col("p_name"), " HDRip ", year),
+    ), (F.col("p_partkey") % 6 + 1).cast("int"))
     r = parse.release_title(raw)
     named = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") - x"))
-    return p.select("p_partkey", r["title"].alias("title"), big(r["year"]).alias("year"), F.array_join(parse.title_variants(named), "|").alias("variants"))
+    return p.select("p_partkey", r["title"].alias("title"), big(r["year"]).alias("year"), r["director"].alias("director"), F.array_join(parse.title_variants(named), "|").alias("variants"))
 
 
 @query("p28_p34_p39_labels", """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Streaming' WHEN 'F' THEN 'Blu-ray' ELSE 'TV' END AS provenance, CASE WHEN o_orderpriority LIKE '1%' THEN 'documentaire' WHEN o_orderpriority LIKE '2%' THEN 'série' ELSE 'film' END AS form, o_orderstatus || ' · ' || o_orderpriority AS meta FROM orders""")
@@ -223,10 +235,19 @@ def page_cards(spark, d):
     return out.select(F.col("page_key").alias("page_id"), F.md5("title").alias("title_md5"), big("paragraphs").alias("paragraphs"))
 
 
-@query("s16_page_facts", r"""SELECT page_id, 'lang' AS fact, regexp_extract(html, '<html[^>]*\blang="([^"]+)"', 1) AS value FROM pages WHERE regexp_extract(html, '<html[^>]*\blang="([^"]+)"', 1) <> ''""")
+@query("s16_page_facts", r"""WITH p AS (SELECT page_id, 'https://pages.example/' || page_id AS url, html, page_id % 4 AS k FROM pages), f AS (SELECT page_id, k, unnest([
+ struct_pack(fact := 'lang', value := nullif(regexp_extract(html, '<html[^>]*\blang="([^"]+)"', 1), '')), struct_pack(fact := 'title', value := nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')), '')),
+ struct_pack(fact := 'canonical', value := url), struct_pack(fact := 'og:image', value := CASE WHEN k > 0 THEN url || '.jpg' END), struct_pack(fact := 'ld:name', value := CASE WHEN k < 3 THEN 'Name ' || page_id END), struct_pack(fact := 'ld:duration', value := CASE WHEN k = 1 THEN 'PT90M' END)]) AS f FROM p)
+SELECT page_id, f.fact AS fact, f.value AS value FROM f WHERE f.value IS NOT NULL""")
 def page_facts(spark, d):
-    out = captures.page_facts(table(spark, d, "pages").withColumnRenamed("page_id", "page_key")).where("fact = 'lang'")
-    return out.select(F.col("page_key").alias("page_id"), "fact", "value")
+    """Pages with a canonical URL, an image and a JSON-LD object, list or graph put into their heads; all facts of them."""
+    number = F.col("page_id").cast("string")
+    url, k = F.concat(F.lit("https://pages.example/"), number), F.col("page_id") % 4
+    node = F.concat(F.lit('{"@type":"Movie","name":"Name '), number, F.lit('"'))
+    ld = F.when(k == 0, F.concat(node, F.lit("}"))).when(k == 1, F.concat(F.lit("["), node, F.lit(',"duration":"PT90M"}]'))).when(k == 2, F.concat(F.lit('{"@graph":['), node, F.lit("}]}"))).otherwise("{broken")
+    head = F.concat(F.lit('<link rel="canonical" href="'), url, F.lit('">'), F.when(k > 0, F.concat(F.lit('<meta property="og:image" content="'), url, F.lit('.jpg">'))).otherwise(""), F.lit('<script type="application/ld+json">'), ld, F.lit("</script></head>"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("page_key"), F.replace("html", F.lit("</head>"), head).alias("html"), url.alias("url"))
+    return captures.page_facts(pages).select(F.col("page_key").alias("page_id"), "fact", "value")
 
 
 # Schedule lake.
@@ -238,16 +259,21 @@ def w01(spark, d):
     return schedule.longest_gaps(programme(spark, d)).select("channel", "date", *[big(c).alias(c) for c in ("longest_gap", "first_day_start", "has_night")])
 
 
-@query("a09_printed_scope", f"""WITH {SCHED}, g AS (SELECT channel, date, start_min, start_min - lag(start_min) OVER (PARTITION BY channel, date ORDER BY start_min) AS gap FROM sched),
-m AS (SELECT channel, date, max(gap) AS gap, min(CASE WHEN start_min >= 360 THEN start_min END) AS f, max(CASE WHEN start_min < 360 THEN 1 ELSE 0 END) AS n FROM g GROUP BY ALL)
+_FINE = "sched AS (SELECT * REPLACE (channel || CAST(user_id % 20 AS VARCHAR) AS channel) FROM sched0)"
+
+
+@query("a09_printed_scope", f"""WITH {SCHED.replace("sched AS", "sched0 AS", 1)}, {_FINE}, g AS (SELECT channel, date, start_min, start_min - lag(start_min) OVER (PARTITION BY channel, date ORDER BY start_min) AS gap FROM sched),
+m AS (SELECT channel, date, coalesce(max(gap), 0) AS gap, min(CASE WHEN start_min >= 360 THEN start_min END) AS f, max(CASE WHEN start_min < 360 THEN 1 ELSE 0 END) AS n FROM g GROUP BY ALL)
 SELECT channel, count(*) AS days, CAST(sum(n) AS BIGINT) AS night_days, CAST(quantile_disc(f, 0.5) AS BIGINT) AS first_start, CAST(quantile_disc(gap, 0.5) AS BIGINT) AS gap FROM m GROUP BY channel""")
 def a09(spark, d):
-    return schedule.printed_scope(programme(spark, d)).select("channel", "days", "night_days", big("first_start").alias("first_start"), big("gap").alias("gap"))
+    """A hundred channels, many of which have a single start on a day."""
+    s = programme(spark, d).withColumn("channel", F.concat("channel", (F.col("user_id") % 20).cast("string")))
+    return schedule.printed_scope(s).select("channel", "days", "night_days", big("first_start").alias("first_start"), big("gap").alias("gap"))
 
 
 @query("a10_scope_limits", f"""WITH {SCHED}, s AS (SELECT channel || CAST(user_id % 20 AS VARCHAR) AS channel, date, start_min FROM sched), g AS (SELECT *, start_min - lag(start_min) OVER (PARTITION BY channel, date ORDER BY start_min) AS gap FROM s),
-m AS (SELECT channel, date, max(gap) AS gap, min(CASE WHEN start_min >= 360 THEN start_min END) AS f, max(CASE WHEN start_min < 360 THEN 1 ELSE 0 END) AS n FROM g GROUP BY ALL), p AS (SELECT channel, sum(n) AS n, quantile_disc(f, 0.5) AS f, quantile_disc(gap, 0.5) AS gap FROM m GROUP BY channel)
-SELECT channel, 'evening_only' AS "limit" FROM p WHERE f >= 700 UNION ALL SELECT channel, 'long_gap' FROM p WHERE gap > 240 UNION ALL SELECT channel, 'no_night' FROM p WHERE n = 0""")
+m AS (SELECT channel, date, coalesce(max(gap), 0) AS gap, min(CASE WHEN start_min >= 360 THEN start_min END) AS f, max(CASE WHEN start_min < 360 THEN 1 ELSE 0 END) AS n FROM g GROUP BY ALL), p AS (SELECT channel, sum(n) AS n, quantile_disc(f, 0.5) AS f, quantile_disc(gap, 0.5) AS gap FROM m GROUP BY channel)
+SELECT channel, 'evening_only' AS "limit" FROM p WHERE f >= 700 UNION ALL SELECT channel, 'long_gap' FROM p WHERE gap > 240 AND f < 700 UNION ALL SELECT channel, 'no_night' FROM p WHERE n = 0""")
 def a10(spark, d):
     s = programme(spark, d).withColumn("channel", F.concat("channel", (F.col("user_id") % 20).cast("string")))
     return schedule.scope_limits(schedule.printed_scope(s), evening=700)
@@ -343,15 +369,17 @@ def w13(spark, d):
     return schedule.review_sample(s).select("page_key", "row_id", big("pick").alias("pick"))
 
 
-@query("w12_stratified_review", f"""WITH RECURSIVE {SCHED}, s AS (SELECT row_id, date, start_min, channel, channel || k % 4 AS page_key, strftime(date - CAST((isodow(date) + 1) % 7 AS INTEGER) + 2, '%G-S%V') AS week FROM sched),
-n AS (SELECT week, date, page_key, count(*) AS c, dense_rank() OVER (PARTITION BY week ORDER BY date) AS dn FROM s GROUP BY week, date, page_key),
-r AS (SELECT DISTINCT week, CAST(0 AS BIGINT) AS dn, CAST(NULL AS DATE) AS date, '' AS page_key, CAST([] AS VARCHAR[]) AS used FROM n
- UNION ALL SELECT week, dn, date, page_key, list_append(used, page_key) FROM (SELECT n.week, n.dn, n.date, n.page_key, used, row_number() OVER (PARTITION BY n.week ORDER BY list_contains(used, n.page_key), c DESC, n.page_key) AS x FROM r JOIN n ON n.week = r.week AND n.dn = r.dn + 1) WHERE x = 1),
-h AS (SELECT s.*, row_number() OVER (PARTITION BY week, date ORDER BY start_min, row_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY week, date) // 4) AS step FROM s JOIN r USING (week, date, page_key)),
-t AS (SELECT *, CASE WHEN i % step <> 0 THEN 2 WHEN row_number() OVER (PARTITION BY week, date, i % step = 0, channel ORDER BY i) > 1 THEN 1 ELSE 0 END AS tier FROM h)
-SELECT week, date, page_key, channel, CAST(start_min AS BIGINT) AS start_min, row_id FROM (SELECT *, row_number() OVER (PARTITION BY week, date ORDER BY tier, i) AS place FROM t) WHERE place <= 4""")
+@query("w12_stratified_review", f"""WITH RECURSIVE {SCHED}, s AS (SELECT row_id, date, start_min, channel, 'p' || user_id % 5 AS page_key, strftime(date - CAST((isodow(date) + 1) % 7 AS INTEGER) + 2, '%G-S%V') AS week FROM sched),
+n AS (SELECT week, date, page_key, count(*) AS c, dense_rank() OVER (PARTITION BY week ORDER BY date) AS dn FROM s GROUP BY week, date, page_key), y AS (SELECT DISTINCT week, date, dn FROM n),
+r AS (SELECT DISTINCT week, CAST(0 AS BIGINT) AS dn, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS page_key, CAST([] AS VARCHAR[]) AS used FROM n
+ UNION ALL SELECT week, dn, date, page_key, CASE WHEN page_key IS NULL THEN used ELSE list_append(used, page_key) END FROM (SELECT y.week, y.dn, y.date, n.page_key, used, row_number() OVER (PARTITION BY y.week ORDER BY c DESC NULLS LAST, n.page_key) AS x
+   FROM r JOIN y ON y.week = r.week AND y.dn = r.dn + 1 LEFT JOIN n ON n.week = y.week AND n.dn = y.dn AND NOT list_contains(used, n.page_key)) WHERE x = 1),
+h AS (SELECT s.*, row_number() OVER (PARTITION BY week, date ORDER BY start_min, row_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY week, date) // 5) AS step FROM s JOIN r USING (week, date, page_key)),
+t AS (SELECT *, row_number() OVER (PARTITION BY week, date, channel ORDER BY i) > 1 AS again FROM h WHERE i % step = 0)
+SELECT week, date, page_key, channel, CAST(start_min AS BIGINT) AS start_min, row_id FROM (SELECT *, row_number() OVER (PARTITION BY week, date ORDER BY again, i) AS place FROM t) WHERE place <= 5""")
 def w12(spark, d):
-    s = programme(spark, d).withColumn("page_key", F.concat("channel", (F.col("k") % 4).cast("string"))).withColumn("week", calendar.week_of_saturday(calendar.issue_from(F.col("date"))))
+    """Five pages, so that the days of a week run out of new ones."""
+    s = programme(spark, d).withColumn("page_key", F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"))).withColumn("week", calendar.week_of_saturday(calendar.issue_from(F.col("date"))))
     return schedule.stratified_review(s).withColumn("start_min", big("start_min"))
 
 
@@ -431,19 +459,24 @@ def j13(spark, d):
     return identity.scoped_records(r, s).select("row_id", "r_id")
 
 
-@query("j14_phrase_containment", rf"""WITH n AS (SELECT DISTINCT item_id AS name_id, trim(array_to_string(list_slice(string_split({KEY.format("text")}, ' '), 1, 3), ' ')) AS nk FROM benchmark), t AS (SELECT doc_id AS text_id, ' ' || trim(regexp_replace(replace(replace(lower(strip_accents(text)), 'œ', 'oe'), 'æ', 'ae'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS x FROM documents)
-SELECT text_id, name_id FROM t JOIN n ON contains(x, ' ' || nk || ' ') WHERE nk <> ''""")
+@query("j14_phrase_containment", rf"""WITH n AS (SELECT item_id AS name_id, trim(regexp_replace(replace(replace(lower(strip_accents(text)), 'œ', 'oe'), 'æ', 'ae'), '[^a-z0-9]+', ' ', 'g')) AS nk FROM benchmark UNION ALL SELECT DISTINCT -1 - l_suppkey % 7, 'src' || l_suppkey % 7 FROM lineitem),
+t AS (SELECT doc_id AS text_id, ' ' || trim(regexp_replace(replace(replace(lower(strip_accents(text)), 'œ', 'oe'), 'æ', 'ae'), '[^a-z0-9]+', ' ', 'g')) || ' ' || source || ' ' AS x FROM documents)
+SELECT DISTINCT text_id, name_id FROM t JOIN n ON contains(x, ' ' || nk || ' ') WHERE nk <> ''""")
 def j14(spark, d):
-    names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split(keys.match_key(F.col("text")), " "), 1, 3), " ").alias("name"))
-    return identity.phrase_containment(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), names)
+    """Whole items of the benchmark as names, and names of one word, in whole documents that end in their source."""
+    one = (F.col("l_suppkey") % 7).alias("k")
+    single = table(spark, d, "lineitem").select(one).distinct().select((-1 - F.col("k")).alias("name_id"), F.concat(F.lit("Src"), F.col("k").cast("string")).alias("name"))
+    names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name")).unionByName(single)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.concat_ws(" ", "text", "source").alias("text"))
+    return identity.phrase_containment(texts, names)
 
 
-@query("j17_unseen", f"""WITH c AS (SELECT DISTINCT e.user_id, p_partkey AS work_id, p_name AS title FROM events e JOIN part ON p_partkey = event_id % 200), s AS (SELECT DISTINCT user_id, p_partkey AS work_id, CASE WHEN event_id % 2 = 0 THEN p_name ELSE 'none' END AS title FROM events JOIN part ON p_partkey = event_id % 150 WHERE event_type = 'purchase' AND event_id % 3 = 0)
+@query("j17_unseen", f"""WITH c AS (SELECT DISTINCT e.user_id, p_partkey AS work_id, p_name AS title FROM events e JOIN part ON p_partkey = event_id % 200), s AS (SELECT DISTINCT user_id, p_partkey AS work_id, CASE WHEN event_id % 2 = 0 THEN p_name ELSE 'none' END AS title FROM events JOIN part ON p_partkey = event_id % 150 WHERE event_type = 'purchase')
 SELECT user_id, work_id FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = c.user_id AND (s.work_id = c.work_id OR s.title = c.title))""")
 def j17(spark, d):
     e, w = table(spark, d, "events"), works(spark, d).select(F.col("id").alias("work_id"), "title")
     cards = e.select("user_id", (F.col("event_id") % 200).alias("work_id")).distinct().join(w, "work_id")
-    seen = e.where("event_type = 'purchase' AND event_id % 3 = 0").select("user_id", "event_id", (F.col("event_id") % 150).alias("work_id")).join(w, "work_id").withColumn("title", F.when(F.col("event_id") % 2 == 0, F.col("title")).otherwise("none"))
+    seen = e.where("event_type = 'purchase'").select("user_id", "event_id", (F.col("event_id") % 150).alias("work_id")).join(w, "work_id").withColumn("title", F.when(F.col("event_id") % 2 == 0, F.col("title")).otherwise("none"))
     return identity.without_seen(cards, seen).select("user_id", "work_id")
 
 
@@ -474,13 +507,24 @@ def j29(spark, d):
 # Consensus.
 
 
-@query("a21_merge_facts", """WITH f AS (SELECT l_partkey AS work_id, l_linenumber AS ladder, CAST(l_linenumber AS VARCHAR) AS source, CASE WHEN l_suppkey % 4 = 0 THEN 'B' ELSE 'A' END AS value FROM lineitem), g AS (SELECT work_id, count(DISTINCT source) AS s, count(DISTINCT value) AS v, min(ladder) AS l FROM f GROUP BY work_id),
-v AS (SELECT f.work_id, min(value) AS value, count(DISTINCT value) AS nv FROM f JOIN g ON f.work_id = g.work_id AND f.ladder = g.l GROUP BY f.work_id)
-SELECT work_id, CASE WHEN s = 1 OR v = 1 THEN value END AS value, s AS n_sources, CASE WHEN s = 1 THEN 'single' WHEN v = 1 THEN 'agreed' ELSE 'conflict' END AS status FROM g JOIN v USING (work_id) WHERE s > 1""")
+_OFFERS = """o AS (SELECT l_partkey AS work_id, field, CAST(l_linenumber AS VARCHAR) AS source, l_linenumber AS ladder, CASE field WHEN 'country' THEN ['A', 'A', 'A', 'B'][CAST(l_suppkey % 4 + 1 AS INTEGER)] WHEN 'genre' THEN ['A / B', 'C & a', 'b, D', 'D'][CAST(l_suppkey % 4 + 1 AS INTEGER)] ELSE ['X et Y', 'Y / X', 'x; y', 'X'][CAST(l_suppkey % 4 + 1 AS INTEGER)] END AS value FROM lineitem, (SELECT unnest(['country', 'genre', 'director']) AS field))"""
+
+
+@query("a21_merge_facts", f"""WITH {_OFFERS}, c AS (SELECT p_partkey AS work_id, 'genre' AS field, CASE p_size % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'a / Z' ELSE 'E' END AS current FROM part),
+k AS (SELECT *, CASE field WHEN 'country' THEN [lower(value)] ELSE list_sort(list_distinct(list_transform(regexp_split_to_array(lower(value), '\\s*[/,;&]\\s*|\\s+et\\s+'), lambda x: trim(x)))) END AS names FROM o),
+f AS (SELECT work_id, field, arg_min(value, (ladder, value)) AS value, arg_min(names, (ladder, value)) AS first FROM k GROUP BY ALL),
+g AS (SELECT k.work_id, k.field, f.value, any_value(first) AS first, count(DISTINCT source) AS n_sources, bool_and(CASE WHEN k.field = 'genre' THEN list_has_any(names, first) ELSE names = first END) AS agree FROM k JOIN f USING (work_id, field) GROUP BY k.work_id, k.field, f.value)
+SELECT work_id, field, CASE WHEN agree THEN value END AS value, n_sources,
+ CASE WHEN NOT agree THEN 'conflict' WHEN coalesce(trim(current), '') = '' THEN 'proposed' WHEN list_has_any(list_transform(string_split(lower(current), '/'), lambda x: trim(x)), first) THEN 'agrees' ELSE 'differs' END AS status FROM g LEFT JOIN c USING (work_id, field)""")
 def a21(spark, d):
-    li = table(spark, d, "lineitem")
-    f = li.select(F.col("l_partkey").alias("work_id"), F.lit("country").alias("field"), F.col("l_linenumber").cast("string").alias("source"), F.col("l_linenumber").alias("ladder"), F.when(F.col("l_suppkey") % 4 == 0, "B").otherwise("A").alias("value"))
-    return consensus.merge_facts(f, {"director": "set", "country": "equal"}).where("n_sources > 1").select("work_id", "value", "n_sources", "status")
+    """Lines as sources of a part's country, genre and director; some genres have names in common with the first source's only."""
+    li, n = table(spark, d, "lineitem"), F.col("l_suppkey") % 4
+    offer = lambda field, *values: F.struct(F.lit(field).alias("field"), F.element_at(F.array(*map(F.lit, values)), n.cast("int") + 1).alias("value"))
+    each = F.explode(F.array(offer("country", "A", "A", "A", "B"), offer("genre", "A / B", "C & a", "b, D", "D"), offer("director", "X et Y", "Y / X", "x; y", "X")))
+    f = li.select(F.col("l_partkey").alias("work_id"), F.col("l_linenumber").cast("string").alias("source"), F.col("l_linenumber").alias("ladder"), each.alias("o")).select("work_id", "source", "ladder", "o.*")
+    size = F.col("p_size") % 3
+    cat = table(spark, d, "part").select(F.col("p_partkey").alias("work_id"), F.lit("genre").alias("field"), F.when(size == 0, " ").when(size == 1, "a / Z").otherwise("E").alias("current"))
+    return consensus.merge_facts(f, {"director": "set", "genre": "share"}, cat)
 
 
 @query("a25_summary", "SELECT o_orderstatus AS status, o_orderpriority AS field, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -503,9 +547,10 @@ def s23(spark, d):
 
 @query("s24_upsert_conflicts", "SELECT p_partkey AS id, 'imdb' AS key, p_brand AS current, p_type AS proposed FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0")
 def s24(spark, d):
+    """All parts as a catalogue, and as a plan that links them anew; each has its links under one of two keys."""
     p = table(spark, d, "part")
-    mk = lambda where, v: p.where(where).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.create_map(F.lit("imdb"), F.col(v)).alias("links"))
-    return consensus.upsert_works(mk("p_partkey % 2 = 0", "p_brand"), mk("p_partkey % 3 = 0", "p_type"))[1]
+    mk = lambda n, v: p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.create_map(F.when(F.col("p_partkey") % n == 0, "imdb").otherwise(f"other {v}"), F.col(v)).alias("links"))
+    return consensus.upsert_works(mk(2, "p_brand"), mk(3, "p_type"))[1]
 
 
 @query("p37_j30_hydrate", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE p_brand END AS director FROM events LEFT JOIN part ON p_partkey = event_id % 100")
@@ -689,11 +734,20 @@ def a29(spark, d):
     return planning.scope_deficits(req, s.where("k < 40")).select("date", "section", "present", "deficit")
 
 
-@query("a34_guide_groups", """WITH r AS (SELECT DISTINCT event_id % 500 AS slot, 'p' || CAST(user_id % 6 AS VARCHAR) AS publisher, user_id % 3 AS feed, event_id % 50 = 0 AS official FROM events) SELECT slot, count(DISTINCT feed) AS n_groups, CASE WHEN bool_or(official) THEN 'official' WHEN count(DISTINCT feed) >= 2 THEN 'independent' ELSE 'needs_source' END AS route FROM r GROUP BY slot""")
+@query("a34_guide_groups", """WITH RECURSIVE r AS (SELECT event_id % 500 AS slot, event_id // 500 AS j, event_type = 'signup' AS official, event_type <> 'error' AS proven FROM events),
+g AS (SELECT DISTINCT slot, 'p' || j // 2 AS p, CASE WHEN proven THEN (j + 1) // 2 END AS feed FROM r WHERE NOT official),
+e AS (SELECT DISTINCT a.slot, a.p, b.p AS q FROM g a JOIN g b ON a.slot = b.slot AND (a.p = b.p OR a.feed = b.feed)),
+t AS (SELECT slot, p, p AS q FROM e UNION SELECT t.slot, t.p, e.q FROM t JOIN e ON e.slot = t.slot AND e.p = t.q),
+c AS (SELECT slot, count(DISTINCT low) AS n FROM (SELECT slot, p, min(q) AS low FROM t GROUP BY slot, p) GROUP BY slot),
+o AS (SELECT slot, bool_or(official) AS official FROM r GROUP BY slot)
+SELECT slot, coalesce(n, 0) AS n_groups, official, concat_ws(',', CASE WHEN official THEN 'official' END, CASE WHEN n >= 2 THEN 'concordant' END) AS routes FROM o LEFT JOIN c USING (slot)""")
 def a34(spark, d):
-    e = table(spark, d, "events")
-    r = e.select((F.col("event_id") % 500).alias("slot"), F.concat(F.lit("p"), (F.col("user_id") % 6).cast("string")).alias("publisher"), F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("feed"), (F.col("event_id") % 50 == 0).alias("official")).distinct()
-    return planning.guide_groups(r).select("slot", "n_groups", "route")
+    """Chains of publishers, each sharing one feed with the last and one with the next; links without evidence and official sources break them."""
+    j = F.floor(F.col("event_id") / 500)
+    name = F.concat(F.when(j % 2 == 0, F.lit("P")).otherwise(F.lit(" p")), F.floor(j / 2).cast("string"))
+    feed = F.concat(F.lit("feed "), F.floor((j + 1) / 2).cast("string"))
+    r = table(spark, d, "events").select((F.col("event_id") % 500).alias("slot"), name.alias("publisher"), feed.alias("feed"), F.when(F.col("event_type") != "error", "seen").alias("evidence"), (F.col("event_type") == "signup").alias("official"))
+    return planning.guide_groups(r)
 
 
 @query("a35_overview", f"WITH {SCHED} SELECT title_key, max(k) AS best, count(DISTINCT (date, start_min, channel)) AS slots, max(date) AS latest, min(work_id) AS work_id FROM sched GROUP BY title_key")
@@ -713,9 +767,20 @@ def a13(spark, d):
     return audits.ratio(j, ["lang"], labelled_pct=F.col("quality").isNotNull(), good_pct=F.col("quality") == 1)
 
 
-@query("a17_duplicates", "SELECT p_name AS title, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+@query("a17_duplicates", f"""WITH {SCHED}, {POOL}, {OCC}, w AS (SELECT p_partkey AS id, p_name AS title, p_size % 5 AS year, p_partkey // 2 AS legacy FROM part),
+h AS (SELECT week, {KEY.format("title_key")} AS key FROM occ WHERE id % 50 = 1 OR qty > 49),
+x AS (SELECT 'headliner' AS "check", week AS scope, key FROM h UNION ALL SELECT 'programme', CAST(date AS VARCHAR), title_key || '|' || channel || '|' || CAST(start_min // 30 AS VARCHAR) FROM sched UNION ALL SELECT 'work_id', '', CAST(id AS VARCHAR) FROM w
+ UNION ALL SELECT 'work_title', '', {KEY.format("title")} || '|' || year || '|' FROM w UNION ALL SELECT 'legacy_id', '', 'l' || legacy FROM w WHERE legacy % 3 = 0 UNION ALL SELECT 'rank', CAST(pool_id AS VARCHAR), CAST(rank // 2 AS VARCHAR) FROM pool UNION ALL SELECT 'page_id', week, CAST(pool_id AS VARCHAR) FROM occ)
+SELECT "check", scope, key, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 1""")
 def a17(spark, d):
-    return works(spark, d).groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+    """Titles of an issue, programme rows, works and their former ids, ranks of pools and pages of issues: what occurs twice."""
+    occ, s, p = occurrences(spark, d), programme(spark, d), table(spark, d, "part")
+    headliners = occ.where("id % 50 = 1 OR qty > 49").select("week", F.col("title_key").alias("title"))
+    rows = s.select("date", "title", "channel", F.floor(F.col("start_min") / 30).cast("string").alias("start"))
+    legacy = F.floor(F.col("p_partkey") / 2)
+    catalogue = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_size") % 5).alias("year"), F.lit(None).cast("string").alias("kind"), F.when(legacy % 3 == 0, F.array(F.concat(F.lit("l"), legacy.cast("string")))).otherwise(F.array().cast("array<string>")).alias("legacy_ids"))
+    pools = pool(spark, d).select("pool_id", F.floor(F.col("rank") / 2).alias("rank"))
+    return audits.duplicates(headliners, rows, catalogue, pools, occ.select("week", F.col("pool_id").alias("page_id")))
 
 
 @query("a18_template_fingerprints", f"""WITH {SCHED}, p AS (SELECT user_id, date, channel || ' ' || string_agg(start_min // 720, ',' ORDER BY ts) AS f FROM sched GROUP BY user_id, date, channel) SELECT user_id, f, count(*) AS days FROM p GROUP BY user_id, f HAVING count(*) >= 4""")
@@ -726,11 +791,12 @@ def a18(spark, d):
     return s.groupBy("user_id", F.concat_ws(" ", "channel", "times").alias("f")).agg(F.count("*").alias("days")).where("days >= 4")
 
 
-@query("f18_placeholders", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(lorem ipsum|todo|tbd|à compléter|à venir|coming soon|placeholder)\b') IS TRUE AS placeholder FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' TODO' ELSE text END AS text FROM conversations)")
+@query("f18_placeholders", r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 5 WHEN 0 THEN ' AU-DESSUS du seuil éditorial de la semaine' WHEN 1 THEN ' Rubrique conservée ;  publication prudente' WHEN 2 THEN ' todo, à compléter' WHEN 3 THEN ' Retenu pour son intérêt cinématographique, sa singularité ou sa valeur patrimoniale.' ELSE '' END AS text FROM conversations)
+SELECT conv_id, turn, regexp_matches(text, '(?i)rubrique conservée\s*;\s*publication prudente|au-dessus du seuil éditorial de la semaine|retenu après inventaire et filtre éditorial|retenu pour son intérêt cinématographique,\s*sa singularité ou sa valeur patrimoniale') AS placeholder FROM c""")
 def f18(spark, d):
     c = table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 3 == 0, F.concat(F.col("text"), F.lit(" TODO"))).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", predicates.placeholder(text).alias("placeholder"))
+    more = F.element_at(F.array(*map(F.lit, (" AU-DESSUS du seuil éditorial de la semaine", " Rubrique conservée ;  publication prudente", " todo, à compléter", " Retenu pour son intérêt cinématographique, sa singularité ou sa valeur patrimoniale.", ""))), (F.col("turn") % 5 + 1).cast("int"))
+    return c.select("conv_id", "turn", predicates.placeholder(F.concat(F.coalesce("text", F.lit("")), more)).alias("placeholder"))
 
 
 @query("f22_admission", f"""WITH {SCHED} SELECT row_id, CASE WHEN k % 10 = 0 THEN 'title' WHEN k % 7 = 0 THEN 'start' WHEN date NOT BETWEEN DATE '2024-01-06' AND DATE '2024-01-12' THEN 'outside_week' END AS error FROM sched""")
@@ -747,7 +813,18 @@ def f24(spark, d):
     return o.select("o_orderkey", F.array_join(predicates.missing_facts({"director": F.when(F.col("o_orderkey") % 2 == 1, "x"), "title": F.col("o_orderstatus"), "year": F.lit(" ")}), ",").alias("missing"))
 
 
-@query("a33_gap_totals", """SELECT 'section' AS scope, o_orderstatus AS severity, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 2 UNION ALL SELECT 'day', o_orderstatus, count(*) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 2""")
+@query("a33_gap_totals", """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) - DATE '1995-03-04' AS ahead, CASE WHEN o_orderstatus = 'O' THEN 'blocking' ELSE 'warning' END AS severity FROM orders),
+s AS (SELECT severity, CASE k WHEN 0 THEN 'coverage:lundi' WHEN 1 THEN 'coverage' WHEN 2 THEN 'rubrique:radar-du-jour' WHEN 3 THEN 'day:vendredi' WHEN 4 THEN 'deliverable' WHEN 5 THEN 'global' WHEN 6 THEN 'day:samedi'
+ ELSE CASE WHEN ahead BETWEEN 0 AND 6 THEN 'day:' || ['samedi', 'dimanche', 'lundi', 'mardi', 'mercredi', 'jeudi', 'vendredi'][CAST(ahead + 1 AS INTEGER)] ELSE 'global' END END AS scope FROM o)
+SELECT scope, severity, count(*) AS n FROM s GROUP BY ALL""")
 def a33(spark, d):
-    msg = F.when(F.col("o_orderkey") % 2 == 0, "Section sans carte").otherwise(F.concat(F.lit("le "), F.date_format("o_orderdate", "yyyy-MM-dd")))
-    return planning.gap_totals(table(spark, d, "orders").select(msg.alias("message"), F.col("o_orderstatus").alias("severity")))
+    """What validators print of a customer's orders, a line each between lines that are no problems."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    text = F.element_at(F.array(
+        F.lit("Inventaire de Lundi incomplet"), F.lit("chaînes manquantes"), F.lit("page RADAR-du-jour sans carte, mercredi"), F.concat(F.lit("vendredi: "), key, F.lit(" sans image")), F.lit("Hero image missing"),
+        F.concat(F.lit("lundis "), key), F.lit("samedi-selection sans rang"), F.concat(F.lit("le "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" sans visuel")),
+    ), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    line = F.concat(F.when(F.col("o_orderstatus") == "O", "  ✗ ").otherwise("! "), text)
+    printed = o.groupBy("o_custkey").agg(F.array_join(F.concat(F.collect_list(line), F.array(F.lit("✗ gate failed: 3 problems"), F.lit("ok"))), "\r\n").alias("output"))
+    return planning.gap_totals(planning.problem_lines(printed), F.lit("1995-03-04").cast("date"), ["samedi-selection", "radar-du-jour"])
\ No newline at end of file

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.calendar import issue_from, week_of_saturday
+from gridloom.functions.calendar import FRENCH_MONTHS, issue_from, week_of_saturday, weekday_name
 from gridloom.operators import personal
 from gridloom.plans.frames import table
 from gridloom.plans.more import clock_text
@@ -127,20 +127,85 @@ def s08(spark, d):
         return staged(out, "dossier-rows")
 
 
-@query("s09_list_layout", f"""WITH e AS (SELECT *, CAST(ts - INTERVAL 12 HOUR AS DATE) AS printed, CAST(ts AS DATE) AS day, hour(ts) * 60 + minute(ts) AS m FROM events)
-SELECT user_id || ' ' || printed AS capture_id, event_type AS channel, printed + CASE WHEN day > min(day) OVER w THEN 1 ELSE 0 END AS date, row_number() OVER (w ORDER BY ts, event_id) - 1 AS pos, CAST(m AS BIGINT) AS start_min, 'Événement ' || event_id || ' & ' || props AS title, '/e/' || event_id AS link FROM e WINDOW w AS (PARTITION BY user_id, printed, event_type)""")
+#: A step of the order of a page, in SQL: times of a broadcast day with at most one turn.
+_PLACED = """WITH RECURSIVE {0},
+z AS (SELECT capture, i, m, CASE WHEN m < {1} THEN 'first_time' END AS error, CASE WHEN m < {1} THEN -1 ELSE m END AS previous, 0 AS turns, 0 AS day FROM r WHERE i = 0
+ UNION ALL SELECT capture, i, m, error, CASE WHEN error IS NULL THEN m ELSE previous END, turns, CASE WHEN back AND error IS NULL THEN 1 ELSE day END FROM (SELECT *, CASE WHEN back AND turns > 1 THEN 'second_rollover' WHEN back AND (m >= {2} OR previous < 1080) THEN 'implausible_order' END AS error
+   FROM (SELECT r.capture, r.i, r.m, z.previous, z.day, r.m < z.previous AS back, z.turns + CASE WHEN r.m < z.previous THEN 1 ELSE 0 END AS turns FROM z JOIN r ON r.capture = z.capture AND r.i = z.i + 1)))"""
+_GUIDE = _PLACED.format("""e AS (SELECT *, user_id || ' ' || event_type || ' ' || CAST(CAST(ts - INTERVAL 12 HOUR AS DATE) AS VARCHAR) AS capture, CAST(ts - INTERVAL 12 HOUR AS DATE) AS printed, hour(ts) * 60 + minute(ts) AS m FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY capture) AS n FROM e)""", 300, 360)
+
+
+@query("s09_list_layout", f"""{_GUIDE}
+SELECT capture AS capture_id, event_type AS channel, CAST(i AS INTEGER) AS "row", printed + z.day AS date, CAST(m AS BIGINT) AS start_min, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'Événement ' || event_id || ' & ' || props END AS title, CASE WHEN event_id % 3 = 0 THEN 'suite' ELSE '' END AS subtitle,
+ CASE WHEN event_id % 13 <> 0 THEN 'https://guide.example/fr/videos/' || event_id END AS link, coalesce(z.error, CASE WHEN event_id % 13 = 0 THEN 'link_missing' WHEN event_id % 11 = 0 THEN 'title_missing' END) AS error
+FROM r JOIN z USING (capture, i, m) WHERE user_id % 7 <> 0 AND NOT (user_id % 5 = 0 AND i = n - 1) UNION ALL
+SELECT capture, event_type, NULL, printed, NULL, NULL, NULL, NULL, CASE WHEN user_id % 7 = 0 THEN 'canonical_mismatch' WHEN n = 1 THEN 'no_rows' ELSE 'truncated_rows ' || n - 1 || ' of ' || n END FROM r WHERE i = 0 AND (user_id % 7 = 0 OR user_id % 5 = 0)""")
 def s09(spark, d):
-    """A capture the events of a user and type from noon to noon: the list turns to the next day where its clock goes back."""
-    e, ts = table(spark, d, "events"), F.col("ts")
-    text = F.concat(F.lit("Événement "), F.col("event_id").cast("string"), F.lit(" &amp; "), F.replace("props", F.lit('"'), F.lit("&quot;")))
-    item = F.concat(F.lit('<li class="programme"><time datetime="x"> '), clock_text(F.hour(ts) * 60 + F.minute(ts)), F.lit('</time>\n<a href="/e/'), F.col("event_id").cast("string"), F.lit('"><span class="title"><b>'), text, F.lit("</b></span></a></li>\n"))
+    """A capture the events of a user and type from noon to noon, in the broadcaster's layout; some pages are another's, some are cut in their last item."""
+    e, ts, text = table(spark, d, "events"), F.col("ts"), lambda c: F.col(c).cast("string")
+    title = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("Événement "), text("event_id"), F.lit(" &amp; "), F.replace("props", F.lit('"'), F.lit("&quot;"))))
+    link = F.when(F.col("event_id") % 13 == 0, "/de/videos/").otherwise("/fr/videos/")
+    item = F.concat(
+        F.lit('<li class="x" data-testid="tsguide-itm">\n<a href="/fr/other"></a><span class="t">'), clock_text(F.hour(ts) * 60 + F.minute(ts)), F.lit('</span><a data-testid="ts-tsItemLink" href="'), link, text("event_id"), F.lit('"><h3 class="h" data-testid="ts-tsTitle"><b>'),
+        title, F.lit("</b></h3>"), F.when(F.col("event_id") % 3 == 0, '<p data-testid="ts-tsSubtitle">suite</p>').otherwise(""), F.lit("</a></li>\n"),
+    )
     printed = (ts - F.expr("INTERVAL 12 HOURS")).cast("date")
-    by = e.select("user_id", F.col("event_type").alias("channel"), printed.alias("date"), F.struct("ts", "event_id", item.alias("h")).alias("i"))
-    cap = by.groupBy("user_id", "channel", "date").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    body = F.concat(F.lit("<ul>"), F.array_join(F.transform("i", lambda x: x["h"]), ""), F.lit("</ul>"))
-    # the operator's rollover is by capture, so that a capture is of one channel
-    rows = captures.list_layout(cap.select(F.concat_ws(" ", F.col("user_id").cast("string"), F.col("date").cast("string"), "channel").alias("capture_id"), "channel", "date", body.alias("body")))
-    return rows.select(F.concat_ws(" ", F.split_part("capture_id", F.lit(" "), F.lit(1)), F.split_part("capture_id", F.lit(" "), F.lit(2))).alias("capture_id"), "channel", "date", big("pos").alias("pos"), big("start_min").alias("start_min"), "title", "link")
+    cap = e.groupBy("user_id", F.col("event_type").alias("channel"), printed.alias("date")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", item.alias("h")))).alias("i"))
+    key = F.concat_ws(" ", text("user_id"), "channel", text("date"))
+    url = F.concat(F.lit("https://guide.example/"), F.replace(key, F.lit(" "), F.lit("/")))
+    whole = F.array_join(F.transform("i", lambda x: x["h"]), "")
+    whole = F.when(F.col("user_id") % 5 == 0, F.left(whole, F.length(whole) - 6)).otherwise(whole)
+    body = F.concat(F.lit("<html><head><link rel='stylesheet' href='/x'><link href=\""), url, F.when(F.col("user_id") % 7 == 0, "/other").otherwise(""), F.lit('" rel="canonical"></head><ul>'), whole)
+    return captures.guide_list(cap.select(key.alias("capture_id"), url.alias("url"), "channel", "date", body.alias("body")), captures.BROADCASTER_GUIDE).withColumn("start_min", big("start_min"))
+
+
+_PORTAL = _PLACED.format("""e AS (SELECT *, user_id || ' ' || CAST(CAST(ts - INTERVAL 6 HOUR AS DATE) AS VARCHAR) AS capture, CAST(ts - INTERVAL 6 HOUR AS DATE) AS printed, hour(ts) * 60 + minute(ts) AS m0 FROM events),
+r AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN 400 ELSE m0 END AS m, row_number() OVER (PARTITION BY capture ORDER BY ts, event_id) - 1 AS i FROM e)""", 0, 480)
+
+
+@query("s09_portal_layout", f"""{_PORTAL}
+SELECT capture AS capture_id, 'TF1' AS channel, CAST(i AS INTEGER) AS "row", printed + z.day AS date, CAST(m AS BIGINT) AS start_min, event_type AS title, CASE WHEN event_id % 4 = 0 THEN 'S' || event_id ELSE '' END AS subtitle, CASE WHEN event_id % 2 = 0 THEN 'https://portal.example/p/' || event_id END AS link, z.error
+FROM r JOIN z USING (capture, i, m) WHERE user_id % 6 <> 0 UNION ALL SELECT DISTINCT capture, 'TF1', CAST(NULL AS INTEGER), printed, CAST(NULL AS BIGINT), NULL, NULL, NULL, CASE WHEN user_id % 12 = 0 THEN 'unavailable_page' ELSE 'date_mismatch' END FROM r WHERE user_id % 6 = 0""")
+def s09_portal(spark, d):
+    """A capture the events of a user from six to six, in the portal's layout, whose title names the day; some pages are a day off, or a challenge."""
+    e, ts, text = table(spark, d, "events"), F.col("ts"), lambda c: F.col(c).cast("string")
+    time = F.when(F.col("event_id") % 17 == 0, 400).otherwise(F.hour(ts) * 60 + F.minute(ts))
+    item = F.concat(
+        F.lit('<li class="tvgrid-broadcast__item">'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('<a href="/p/'), text("event_id"), F.lit('">'))).otherwise('<a href="javascript:x">'), F.lit('</a><div class="tvgrid-broadcast__details-time"> '), clock_text(time), F.lit(' </div><div class="tvgrid-broadcast__details-title">'),
+        F.col("event_type"), F.lit("</div>"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('<div class="tvgrid-broadcast__details-season">S'), text("event_id"), F.lit("</div>"))).otherwise(""), F.lit("</li>"),
+    )
+    printed = (ts - F.expr("INTERVAL 6 HOURS")).cast("date")
+    cap = e.groupBy("user_id", printed.alias("date")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", item.alias("h")))).alias("i"))
+    key = F.concat_ws(" ", text("user_id"), text("date"))
+    url = F.concat(F.lit("https://portal.example/tf1/"), F.replace(key, F.lit(" "), F.lit("/")))
+    named = F.date_add("date", F.when(F.col("user_id") % 6 == 0, 1).otherwise(0))
+    first = F.when(F.dayofmonth(named) == 1, "1er").otherwise(F.dayofmonth(named).cast("string"))
+    month = F.element_at(F.array(*map(F.lit, FRENCH_MONTHS)), F.month(named))
+    heading = F.concat(F.lit("<title>Programme TF1 "), F.initcap(weekday_name(named)), F.lit(" "), first, F.lit(" "), month, F.lit(" | Guide</title>"))
+    body = F.concat(F.lit("<head>"), heading, F.lit('<link rel="canonical" href="'), F.replace(url, F.lit("/tf1/"), F.lit("/TF1/")), F.lit('"></head>'), F.when(F.col("user_id") % 12 == 0, "<p>Access denied</p>").otherwise(""), F.array_join(F.transform("i", lambda x: x["h"]), "\n"))
+    return captures.guide_list(cap.select(key.alias("capture_id"), url.alias("url"), F.lit("TF1").alias("channel"), "date", body.alias("body")), captures.PORTAL_GUIDE).withColumn("start_min", big("start_min"))
+
+
+@query("s01_works", """WITH p AS (SELECT p_partkey, p_name, p_brand, p_size, p_partkey % 10 = 3 AS cut, p_partkey % 10 = 6 AS nameless FROM part)
+SELECT 'w' || p_partkey AS id, p_name AS title, p_brand AS director, CAST(1950 + p_size AS VARCHAR) AS year, 2 AS n_links, NULL AS text FROM p WHERE NOT cut AND NOT nameless
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'w' || p_partkey FROM p WHERE cut UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, p_name FROM p WHERE nameless UNION ALL SELECT 'counts', NULL, NULL, CAST(count(*) FILTER (NOT cut AND NOT nameless) AS VARCHAR), count(*) FILTER (cut OR nameless), NULL FROM p""")
+def s01(spark, d):
+    """Parts as a catalogue of JSON lines, some cut short and some without an id; what is kept, what is rejected, and how many of each."""
+    p = table(spark, d, "part")
+    key, k = F.concat(F.lit("w"), F.col("p_partkey").cast("string")), F.col("p_partkey") % 10
+    doc = F.to_json(F.struct(F.when(k != 6, key).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("director"), (F.col("p_size") + 1950).cast("string").alias("year"), F.create_map(F.lit("imdb"), key, F.lit("sc"), key).alias("links")))
+    line = F.when(k == 3, F.left(doc, F.length(doc) - 8)).when(k == 9, F.concat(doc, F.lit("\n  "))).otherwise(doc)
+    with Scratch(spark, "works") as tmp:
+        p.select(line.alias("value")).write.text(f"{tmp.path}/in")
+        n = documents.quarantine_works(spark, f"{tmp.path}/in", f"{tmp.path}/out")
+        none = F.lit(None).cast("string")
+        kept = documents.kept_works(spark, f"{tmp.path}/out").select("id", "title", "director", "year", F.size("links").cast("long").alias("n_links"), none.alias("text"))
+        bad = documents.rejected_works(spark, f"{tmp.path}/out").where("line >= 0")
+        text = F.coalesce(F.nullif(F.regexp_extract("text", r'"id":"(w\d+)"', 1), F.lit("")), F.regexp_extract("text", r'"title":"([^"]*)"', 1))
+        bad = bad.select(none.alias("id"), none.alias("title"), none.alias("director"), none.alias("year"), F.lit(None).cast("long").alias("n_links"), text.alias("text"))
+        counts = spark.range(1).select(F.lit("counts").alias("id"), none.alias("title"), none.alias("director"), F.lit(str(n["works"])).alias("year"), F.lit(n["rejected"]).cast("long").alias("n_links"), none.alias("text"))
+        return staged(kept.unionByName(bad).unionByName(counts), "works")
 
 
 @query("s10_offset_layout", """WITH o AS (SELECT *, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS instant FROM orders), p AS (SELECT *, timezone('Europe/Paris', timezone('UTC', instant)) AS local FROM o)

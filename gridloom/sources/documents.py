@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORK_SCHEMA = """id string, title string, aliases array<string>, legacy_ids array<string>, year string, director string, creator string, country string,
 genre string, duration string, image string, image_remote string, image_fallbacks array<string>, image_source_url string, image_checked date, ratings map<string,string>,
@@ -23,6 +24,43 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORK_SCHEMA).option("columnNameOfCorruptRecord", "_rejected").option("mode", "PERMISSIVE").json(path)
 
 
+def quarantine_works(spark: SparkSession, path: str, to: str) -> dict[str, int]:
+    """A catalogue of JSON lines split in one pass into ``works`` and ``rejected`` under ``to``; how many of each.
+
+    A line is rejected that is no work of the schema, or has no id. ``rejected`` keeps it
+    with its ``file``, the ``block`` of the file (the byte at which the split begins) and
+    its ``line`` in the block, from 0. Blank lines are neither.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    work = F.from_json("value", WORK_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"})
+    parsed = lines.withColumn("work", work).withColumn("rejected", F.col("work").isNull() | F.col("work._rejected").isNotNull() | F.col("work.id").isNull())
+    blank = F.trim("value") == ""
+    counted = Observation()
+    # blank lines count as places only; the first place of a block tells its lines from those of the block before
+    seen = parsed.observe(counted, F.count_if(~blank & ~F.col("rejected")).alias("works"), F.count_if(~blank & F.col("rejected")).alias("rejected"))
+    kind = F.when(blank, "blank").when(F.col("rejected"), "rejected").otherwise("works")
+    seen.select(kind.alias("kind"), "file", "block", "place", F.when(kind == "rejected", F.col("value")).alias("text"), F.when(kind == "works", F.col("work")).alias("work")).write.partitionBy("kind").parquet(f"{to}/lines")
+    return {k: counted.get.get(k) or 0 for k in ("works", "rejected")}
+
+
+def kept_works(spark: SparkSession, to: str) -> DataFrame:
+    """The works that `quarantine_works` kept."""
+    return _lines(spark, to).where("kind = 'works'").select("work.*").drop("_rejected")
+
+
+def rejected_works(spark: SparkSession, to: str) -> DataFrame:
+    """The lines that `quarantine_works` rejected: ``file, block, line, text``."""
+    lines = _lines(spark, to)
+    first = lines.groupBy("file", "block").agg(F.min("place").alias("first"))
+    bad = lines.where("kind = 'rejected'").join(first, ["file", "block"])
+    return bad.select("file", "block", (F.col("place") - F.col("first")).alias("line"), "text")
+
+
+def _lines(spark: SparkSession, to: str) -> DataFrame:
+    work = StructType.fromDDL(WORK_SCHEMA).simpleString()
+    return spark.read.schema(f"file string, block long, place long, text string, work {work}, kind string").parquet(f"{to}/lines")
+
+
 def issues(spark: SparkSession, path: str, manifest: DataFrame, lookback: int | None = None) -> DataFrame:
     """Published issues of a folder partitioned by week, the newest ``lookback`` of them. The manifest has a row a week, and prunes the partitions."""
     chosen = manifest.where("status <> 'draft'").select("week")

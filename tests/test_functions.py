@@ -19,7 +19,7 @@ def value(spark, c):
     (parse.plausible_year, "1879", None), (parse.plausible_year, " 1994 ", 1994), (parse.url_host, "https://www.Example.org:80/x", "example.org"), (parse.work_form, "Série policière", "série"),
     (parse.clean_director, "Jane Doe [VOSTFR]", "Jane Doe"), (parse.channel_of_line, "20:50 · Arte", "Arte"), (parse.html_text, "<b>a</b>&amp;lt;&nbsp; x", "a &lt; x"), (parse.is_season_title, "Nom saison 2", True),
     (parse.provenance, "Sortie Blu-ray", "Blu-ray"), (parse.mark_score, "TTT", 3), (parse.mark_score, "?", None), (parse.priority_rank, "Bien", 2), (calendar.minutes, "24:00", None), (calendar.minutes, "05:59", 359),
-    (predicates.specific_reason, "Indisponible", False), (predicates.specific_reason, "aucune note trouvée sur les trois sites", True), (predicates.placeholder, "Lorem ipsum", True), (predicates.source_ref_error, "x", "source_ref"),
+    (predicates.specific_reason, "Indisponible", False), (predicates.specific_reason, "aucune note trouvée sur les trois sites", True), (predicates.placeholder, "Lorem ipsum", False), (predicates.placeholder, "<p>AU-DESSUS du seuil Éditorial de la semaine", True), (parse.html_text, "&eacute;&#x41;&#0;&foo;&amp;#65;", "éA\ufffd&foo;&#65;"), (predicates.source_ref_error, "x", "source_ref"),
 ])
 def test_values(spark, f, text, want):
     assert value(spark, f(F.lit(text))) == want
@@ -55,7 +55,11 @@ def test_french_times(spark):
 
 def test_release_titles(spark):
     r = value(spark, parse.release_title(F.lit("[X] Le.Grand.Bleu (1988) 1080p.x264")))
-    assert (r["title"], r["year"]) == ("Le Grand Bleu", 1988)
+    assert (r["title"], r["year"], r["director"]) == ("Le Grand Bleu", 1988, None)
+    told = lambda t: tuple(value(spark, parse.release_title(F.lit(t))))
+    assert told("Titre - 1962 - Terence Young") == ("Titre", 1962, "Terence Young") and told("[A] [B] Titre (1962) Terence Young VOSTFR 1080p x264") == ("Titre", 1962, "Terence Young")
+    assert told("1984 - 1984 - Michael Radford") == ("1984 - 1984 - Michael Radford", 1984, "1984 - Michael Radford") and told("Sans année HDRip") == ("Sans année", None, None)
+    assert told("Titre 2001 &amp; x264 multi") == ("Titre", 2001, None) and told("2012") == ("2012", 2012, None)
     assert value(spark, parse.title_variants(F.lit("A (B) - C"))) == ["A (B) - C", "B", "A - C", "A (B)"]
     assert value(spark, parse.image_kind(F.unhex(F.lit("FFD8FFE000104A464946")))) == "jpeg"
     assert value(spark, parse.image_kind(F.unhex(F.lit("524946460000000057454250")))) == "webp"

@@ -38,9 +38,7 @@ def test_flatten_sources(spark, tmp_path):
 
 
 def test_capture_layouts(spark):
-    li = lambda t, n: f'<li class="programme"><time>{t}</time><a href="/{n}"><span class="title">{n}</span></a></li>'
-    cap = spark.createDataFrame([("c", "arte", datetime.date(2024, 1, 6), li("20:50", "a") + li("23:30", "b") + li("01:10", "c"))], "capture_id string, channel string, date date, body string")
-    assert rows(captures.list_layout(cap), "date", "start_min", "title") == [(datetime.date(2024, 1, 6), 1250, "a"), (datetime.date(2024, 1, 6), 1410, "b"), (datetime.date(2024, 1, 7), 70, "c")]
+    cap = spark.createDataFrame([("c", "arte", datetime.date(2024, 1, 6), "")], "capture_id string, channel string, date date, body string")
     body = '<article data-start="2024-07-01T22:30:00Z"><h3>T</h3></article>'
     assert rows(captures.offset_layout(cap.withColumn("body", F.lit(body))), "date", "start_min", "title") == [(datetime.date(2024, 7, 2), 30, "T")]
     xml = "<r><diffusion><date>2024-01-06</date><heure>10:00</heure><titre> X </titre></diffusion><diffusion><date>2024-01-06</date><heure>11:00</heure><titre>Y</titre></diffusion></r>"
@@ -52,6 +50,39 @@ def test_capture_layouts(spark):
     assert rows(facts, "fact", "value") == [("lang", "fr"), ("ld:duration", "PT1H"), ("ld:name", "N"), ("title", "t & u")]
 
 
+def test_guide_pages(spark):
+    day, url = datetime.date(2024, 1, 6), "https://www.guide.example/fr/guide/20240106/"
+    li = lambda t, n: f'<LI data-testid="tsguide-itm"><span>{t}</span><a data-testid="ts-tsItemLink" href="/fr/videos/{n}/"><h3 data-testid="ts-tsTitle">{n}</h3></a></LI>'
+    page = lambda body, at=url: f'<link rel="canonical" href="{at}">' + body
+    bodies = {
+        "good": page(li("20:50", "a") + li("23:30", "b") + li("01:10", "c") + li("04:00", "d")), "twice": page(li("22:00", "a") + li("01:00", "b") + li("00:30", "c") + li("02:00", "d")),
+        "early": page(li("04:30", "a") + li("12:00", "b") + li("05:30", "c") + li("13:00", "")), "other": page(li("20:50", "a"), url + "x"), "empty": page(""), "null": None,
+        "bot": page(li("20:50", "a") + "<p>Verify you are <b>human</b></p>"), "cut": page(li("20:50", "a") + li("21:50", "b")[:-6]), "script": page("<script>just a moment</script>" + li("20:50", "a")),
+    }
+    cap = spark.createDataFrame([(k, url, "arte", day, b) for k, b in bodies.items()], "capture_id string, url string, channel string, date date, body string")
+    good, bad = captures.rejected(captures.guide_list(cap, captures.BROADCASTER_GUIDE), F.col("error"))
+    next_day = day + datetime.timedelta(days=1)
+    assert rows(good, "capture_id", "date", "start_min", "title") == sorted([
+        ("cut", day, 1250, "a"), ("early", day, 720, "b"), ("good", day, 1250, "a"), ("good", day, 1410, "b"), ("good", next_day, 70, "c"), ("good", next_day, 240, "d"),
+        ("script", day, 1250, "a"), ("twice", day, 1320, "a"), ("twice", next_day, 120, "d"), ("twice", next_day, 60, "b"),
+    ], key=repr)
+    assert {tuple(x) for x in bad.select("capture_id", "row", "reason").collect()} == {
+        ("twice", 2, "second_rollover"), ("early", 0, "first_time"), ("early", 2, "implausible_order"), ("early", 3, "title_missing"), ("other", None, "canonical_mismatch"), ("empty", None, "no_rows"),
+        ("null", None, "canonical_mismatch"), ("bot", None, "unavailable_page"), ("cut", None, "truncated_rows 1 of 2"),
+    }
+    assert {x.link for x in good.collect()} == {f"https://www.guide.example/fr/videos/{n}/" for n in "abcd"}
+
+
+def test_quarantined_works(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id":"a","title":"A","links":{"imdb":"1"}}\n\n{"id":"b", broken\n{"title":"nameless"}\n')
+    (tmp_path / "in" / "b.json").write_text('not json\n{"id":"c","aliases":["x","y"],"unknown":1}\n')
+    assert documents.quarantine_works(spark, f"{tmp_path}/in", f"{tmp_path}/out") == {"works": 2, "rejected": 3}
+    assert rows(documents.kept_works(spark, f"{tmp_path}/out"), "id", "aliases") == [("a", None), ("c", ["x", "y"])]
+    bad = {(r["file"].rpartition("/")[2], r["block"], r["line"], r["text"]) for r in documents.rejected_works(spark, f"{tmp_path}/out").collect()}
+    assert bad == {("a.json", 0, 2, '{"id":"b", broken'), ("a.json", 0, 3, '{"title":"nameless"}'), ("b.json", 0, 0, "not json")}
+
+
 def test_sinks_are_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
     assert sinks.append(f"{tmp_path}/t", df, ["k"]) == 2
@@ -85,7 +116,7 @@ def test_consensus(spark):
 def test_library_and_best_match(spark):
     items = spark.createDataFrame([(1, "Mr Smith", "tt1", None, 2000, None), (2, "Dr No", None, None, 1962, None), (3, "Dr No", None, None, 1963, None), (4, "The Very Long Title Indeed Extended", None, None, None, None), (5, "None", None, None, None, None)], "row_id int, title string, imdb string, tmdb string, year int, director string")
     lib = spark.createDataFrame([("a", "x", "tt1", None, 1999), ("b", "Doctor No", None, None, 1962), ("c", "The Very Long Title Indeed", None, None, 1980)], "lib_id string, name string, imdb string, tmdb string, year int")
-    assert rows(identity.library_match(items, lib), "row_id", "basis", "candidate") == [(1, 1, "a"), (2, 3, "b"), (3, 4, "b"), (4, 5, "c"), (5, None, None)]
+    assert rows(identity.library_match(items, lib), "row_id", "basis", "candidate") == [(1, 1, "a"), (2, 3, "b"), (3, 3, "b"), (4, 4, "c"), (5, None, None)]
     cand = spark.createDataFrame([("k1", "tt1", "z", "d", 1950), ("k2", None, "Dr No", "d", 1962)], "cand_id string, imdb string, title string, director string, year int")
     # a title alone gives 85, its year 40, the next year 8; a wrong year or director counts against it
     assert rows(identity.best_match(items, cand)) == [(2, "k2", 125), (3, "k2", 93)]
@@ -94,7 +125,48 @@ def test_library_and_best_match(spark):
     cand = spark.createDataFrame([("k", None, "Dr No", "Terence Young", 1962), ("wrong", None, "Dr No", "Terence Young", 1990)], "cand_id string, imdb string, title string, director string, year int")
     assert rows(identity.best_match(one, cand)) == [(1, "k", 160), (3, "k", 120)]
     middle = spark.createDataFrame([(1, "Tonight The Very Long Title Indeed Again", None, None, None)], "row_id int, title string, imdb string, tmdb string, year int")
-    assert rows(identity.library_match(middle, lib), "row_id", "basis", "candidate") == [(1, 5, "c")]
+    assert rows(identity.library_match(middle, lib), "row_id", "basis", "candidate") == [(1, 4, "c")]
+    years = spark.createDataFrame([(1, "Dr No", None, None, 1970), (2, "Dr No", None, None, None), (3, "Twice", None, None, 1990), (4, "The Very Long Title Indeed", None, None, 1970), (5, "Undated", None, None, 1990)], "row_id int, title string, imdb string, tmdb string, year int")
+    more = lib.unionByName(spark.createDataFrame([("d", "Twice", None, None, 1990), ("e", "Twice", None, None, 1990), ("f", "Undated", None, None, None)], lib.schema))
+    # a wrong year refuses equal names and contained ones; several of the year end the search
+    assert rows(identity.library_match(years, more), "row_id", "basis", "candidate") == [(1, None, None), (2, 3, "b"), (3, None, None), (4, None, None), (5, 3, "f")]
+
+
+def join_rows(df):
+    """Rows that each join of the executed plan gave."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if "Join" in name:
+            out.append(p.metrics().apply("numOutputRows").value())
+        children = [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        for c in children:
+            walk(c)
+
+    walk(plan)
+    return out
+
+
+def test_ladders_join_one_to_one(spark):
+    """A slot with n rows on both sides makes n rows, not n times n."""
+    s = spark.range(400).selectExpr("id AS row_id", "'d' AS date", "1 AS start_min", "'c' AS channel", "concat('t', id % 3) AS title_key")
+    r = s.withColumnRenamed("row_id", "review_id").withColumn("reviewed_key", F.lit(None).cast("string"))
+    evidence = identity.schedule_evidence(s.select(F.col("row_id").alias("cand_id"), "title_key", "channel", "start_min", F.lit(1).alias("rank"), F.lit(1).alias("target")), s)
+    seeds = planning.initial_seeds(s.select(F.col("row_id").alias("signal_id"), "title_key", "date", F.lit(3).alias("score")), s.select(F.col("row_id").alias("group_id"), "title_key", "date", F.lit(True).alias("open")))
+    for df in (identity.review_ladder(s, r), identity.slot_ladder(s, s), evidence, seeds):
+        joins = join_rows(df)
+        assert joins and max(joins) <= 400 and df.count() == 400
+
+
+def test_phrases_are_whole(spark):
+    texts = spark.createDataFrame([(1, "The big, red dog. The big dog!"), (2, "the big red cat the red dog"), (3, None), (4, ""), (5, "dog"), (6, "a a a b")], "text_id int, text string")
+    names = spark.createDataFrame([("x", "Big red dog"), ("y", "the big"), ("z", "Dog"), ("w", "big dog the"), ("v", ""), ("u", None), ("t", "a a b"), ("s", "a a a a"), ("z", "cat")], "name_id string, name string")
+    assert rows(identity.phrase_containment(texts, names.where("name <> 'cat'"))) == [(1, "x"), (1, "y"), (1, "z"), (2, "y"), (2, "z"), (5, "z"), (6, "t")]
 
 
 def test_joins_have_no_nested_loops(spark):
@@ -159,8 +231,16 @@ def test_cards_are_bounded(spark):
 
 
 def test_planning(spark):
-    g = spark.createDataFrame([(1, "a", "f1", False), (1, "b", "f1", False), (1, "b", "f2", False), (1, "c", "f2", False), (2, "a", None, False), (2, "b", None, False)], "slot int, publisher string, feed string, official boolean")
-    assert rows(planning.guide_groups(g), "slot", "n_groups", "route", "settled") == [(1, 1, "needs_source", True), (2, 2, "independent", True)]
+    chain = [(1, f"{'P' if i % 2 else 'p'}{i}", f"f{j}", "e", False) for i in range(20) for j in (i, i + 1)]
+    g = [(2, "a", "f", None, False), (2, "b", "f", "", False), (3, "A ", None, None, False), (3, "a", None, None, False), (4, "x", "f", "e", True), (4, None, "f", "e", False), (5, "x", "f", "e", True), (5, "y", "f", "e", False), (5, "z", "f", "e", False), (5, "w", None, None, None)]
+    reports = spark.createDataFrame(chain + g, "slot int, publisher string, feed string, evidence string, official boolean")
+    assert rows(planning.guide_groups(reports)) == [(1, 1, False, ""), (2, 2, False, "concordant"), (3, 1, False, ""), (4, 0, True, "official"), (5, 2, True, "official,concordant")]
+    scope = planning.gap_scope(F.col("m"), F.lit("2024-01-06").cast("date"), ["hd1", "mardi-selection"])
+    messages = ["Inventory 2024-01-08 short", "HD1 trop court mardi", "mardi-selection: 2", "2024-01-12 sans carte", "2024-01-13 sans carte", "Shell absent", None]
+    got = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "i int, m string").select("i", scope.alias("s")).select("i", "s.*")
+    assert rows(got) == [(0, "coverage", "lundi"), (1, "rubrique", "hd1"), (2, "day", "mardi"), (3, "day", "vendredi"), (4, "global", None), (5, "deliverable", None), (6, "global", None)]
+    gaps = spark.createDataFrame([(0, "Dimanche reserve too shallow without shortage_reason", "warning", None), (1, "dimanche-selection: 4 candidats (< 10) et shortage_reason non structuré", "blocking", None), (2, "odd", "warning", "day"), (3, "odd", "warning", None), (4, None, "warning", None)], "pos int, message string, severity string, scope string")
+    assert rows(planning.task_board(gaps), "action", "kind", "blocking", "n") == [("daily-reserve-dimanche", "day", True, 2), ("observation-2", "day", False, 1), ("observation-3", "global", False, 1), ("observation-4", "global", False, 1)]
     old = spark.createDataFrame([("p", 1, 1), ("p", 2, 2)], "pool_id string, work_id int, rank int")
     assert rows(planning.append_contract(old, spark.createDataFrame([("p", 3, 3), ("p", 2, 4)], "pool_id string, work_id int, rank int"))) == [("p", True, 1, True)]
     picks = spark.createDataFrame([(1, "A", None), (2, "A", None), (3, "B", 7), (4, "C", None), (5, "D", None)], "pick_pos int, title string, work_id int")
