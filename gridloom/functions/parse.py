@@ -50,10 +50,10 @@ def decode_entities(c: Column) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(F.startswith(name, F.lit("#")), F.when(valid, char).otherwise("\ufffd")).otherwise(F.coalesce(F.try_element_at(names, name), e))
 
-    found = F.regexp_extract_all(c, F.lit(ENTITY), 0)
-    between = F.split(c, ENTITY)
-    joined = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(found, lambda e, i: F.concat(decoded(e), F.get(between, i + 1))), ""))
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    found, between = F.regexp_extract_all(c, F.lit(ENTITY), 0), F.split(c, ENTITY)
+    # lambdas read their own elements alone: anything else in them is computed for each
+    after = F.zip_with(found, F.slice(between, 2, 1 << 30), lambda e, text: F.concat(decoded(e), text))
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(between, F.lit(0)), F.array_join(after, ""))).otherwise(c)
 
 
 def html_text(c: Column) -> Column:

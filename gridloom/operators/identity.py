@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.keys import fresh_key, library_key, match_key
 from gridloom.functions.parse import external_id, title_variants
+from gridloom.staging import small, staged
 
 
 def last_wins(rows: DataFrame, key: str, pos: str) -> DataFrame:
@@ -197,21 +198,21 @@ def phrase_containment(texts: DataFrame, names: DataFrame) -> DataFrame:
     found there must have the other grams where they belong. Empty names match nothing.
     """
 
-    def grams(key: Column) -> tuple[Column, Column, Column]:
-        words = F.filter(F.split(key, " "), lambda w: w != "")
-        # nothing but its own elements is read in a lambda, or it would be computed anew for each
+    def grams(rows: DataFrame, key: Column) -> tuple[DataFrame, Column, Column]:
+        # a projection with a non-deterministic column is computed once for all that reads it
+        worded = rows.withColumn("_words", F.when(F.monotonically_increasing_id() >= 0, F.filter(F.split(match_key(key), " "), lambda w: w != "")))
+        words = F.col("_words")
         pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
         placed = lambda grams: F.transform(grams, lambda g, i: F.struct(i.alias("pos"), g.alias("gram")))
-        return words, placed(pairs), placed(words)
-
-    words, pairs, single = grams(match_key(F.col("name")))
-    n = names.select("name_id", F.explode(F.when(F.size(words) > 1, pairs).otherwise(single)).alias("g"), F.greatest(F.size(words) - 1, F.lit(1)).alias("length")).select("name_id", "length", F.col("g.pos").alias("at"), "g.gram")
-    n = n.distinct()
-    wanted = n.select("gram").distinct()
-    words, pairs, single = grams(F.col("tk"))
-    t = texts.select("text_id", match_key(F.col("text")).alias("tk"))
-    every = t.select("text_id", F.explode(F.concat(pairs, single)).alias("g")).select("text_id", "g.pos", "g.gram")
-    postings = every.join(wanted, "gram", "left_semi").distinct()
+        return worded, placed(pairs), placed(words)
+
+    named, pairs, single = grams(names, F.col("name"))
+    n_words = F.size("_words")
+    n = named.select("name_id", F.explode(F.when(n_words > 1, pairs).otherwise(single)).alias("g"), F.greatest(n_words - 1, F.lit(1)).alias("length")).select("name_id", "length", F.col("g.pos").alias("at"), "g.gram")
+    n = staged(n.distinct(), "names")
+    worded, pairs, single = grams(texts.select("text_id", "text"), F.col("text"))
+    every = worded.select("text_id", F.explode(F.concat(pairs, single)).alias("g")).select("text_id", "g.pos", "g.gram")
+    postings = staged(every.join(small(n.select("gram")), "gram", "left_semi").distinct(), "postings")
     counts = postings.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = n.join(counts, "gram").groupBy("name_id").agg(F.min(F.struct("df", "at", "gram")).alias("r"), F.count("*").alias("found"), F.max("length").alias("length"))
     # a name one of whose grams no text has is out

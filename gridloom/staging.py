@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -46,6 +47,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return _written(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+def small(df: DataFrame, most_bytes: int = 16 << 20, rows: int = 1_000_000) -> DataFrame:
+    """A staged table with a broadcast hint, if both its stored bytes and its rows are few; else as it is."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if stored <= most_bytes and df.limit(rows + 1).count() <= rows else df
+
+
 def _written(df: DataFrame, path: str, distinct: tuple[str, ...] = ()) -> DataFrame:
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in distinct}
     df.write.options(compression="zstd", **plain).parquet(path)
