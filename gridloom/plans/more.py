@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import parse, predicates
-from gridloom.functions.calendar import issue_from, week_of_saturday
+from gridloom.functions.calendar import FRENCH_MONTHS, issue_from, week_of_saturday
 from gridloom.operators import audits, consensus, identity, personal, planning, readers, schedule
 from gridloom.plans.frames import OCC, POOL, SCHED, WORKS, occurrences, pool, table, works
 from gridloom.plans.frames import schedule as programme
 from gridloom.plans.queries import KEY, big, query
 
 
-@query("f23_calendar_audit", f"""WITH {OCC}, i AS (SELECT DISTINCT week, "from" FROM occ), p AS (SELECT week, "from", "from" - lag("from") OVER (ORDER BY "from") AS d FROM i)
-SELECT week, true AS id_ok, true AS span_ok, true AS advances, CAST(coalesce(greatest(0, d // 7 - 1), 0) AS BIGINT) AS skipped FROM p""")
+@query("f23_calendar_audit", """WITH i AS (SELECT date_trunc('month', CAST(o_orderdate AS DATE))::DATE AS month, min(CAST(o_orderdate AS DATE)) AS "from", max(CAST(o_orderdate AS DATE)) AS last, min(o_orderkey) AS k FROM orders WHERE day(o_orderdate) BETWEEN 4 AND 12 GROUP BY 1),
+w AS (SELECT 'w' || strftime(month, '%Y-%m') AS label, "from", CASE WHEN k % 2 = 0 THEN "from" + 6 ELSE last END AS "to", strftime("from" + CAST((5 - (isodow("from") - 1)) % 7 AS INTEGER) + 2, '%G-S%V') AS near, strftime("from" + 2, '%G-S%V') AS own FROM i),
+p AS (SELECT CASE WHEN month(CAST("from" AS DATE)) % 3 = 0 THEN label ELSE own END AS week, own, "from", "to", "from" - lag("from") OVER (ORDER BY "from") AS d FROM w)
+SELECT week, week = own AS id_ok, isodow("from") = 6 AND "to" - "from" = 6 AS span_ok, coalesce(d > 0, true) AS advances, CAST(coalesce(greatest(0, d // 7 - 1), 0) AS BIGINT) AS skipped FROM p""")
 def f23(spark, d):
-    i = occurrences(spark, d).select("week", "from").distinct().withColumn("to", F.date_add("from", 6))
+    """An issue a month, from the first order date after the third to six days on or the last before the thirteenth: few begin on a Saturday and end on a Friday, some bear another id."""
+    day = F.col("o_orderdate").cast("date")
+    i = table(spark, d, "orders").where(F.dayofmonth(day).between(4, 12)).groupBy(F.trunc(day, "month").alias("month")).agg(F.min(day).alias("from"), F.max(day).alias("last"), F.min("o_orderkey").alias("k"))
+    named = F.when(F.month("from") % 3 == 0, F.concat(F.lit("w"), F.date_format("month", "yyyy-MM"))).otherwise(week_of_saturday(F.col("from")))
+    i = i.select(named.alias("week"), "from", F.when(F.col("k") % 2 == 0, F.date_add("from", 6)).otherwise(F.col("last")).alias("to"))
     return audits.calendar_audit(i).withColumn("skipped", big("skipped"))
 
 
@@ -320,38 +326,52 @@ def f09(spark, d):
     return p.select("p_partkey", predicates.reserve_eligible(r, F.lit("2024-S01"), "2024-S10").alias("early"), predicates.reserve_eligible(r, F.lit("2024-S10"), "2024-S10").alias("late"))
 
 
-@query("f11_f13_evidence_rules", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'no_source' WHEN event_id % 4 = 2 THEN 'digest' ELSE 'page' END AS error, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'field,' END || CASE WHEN event_id % 3 = 0 THEN 'value' ELSE 'stability' END AS codes FROM events""")
+@query("f11_f13_evidence_rules", """WITH e AS (SELECT event_id, event_type, user_id, value, CAST(props->>'$.k' AS INTEGER) AS k, ts FROM events),
+s AS (SELECT *, CASE WHEN value > 90 THEN 'https://x.org/' || event_id WHEN value > 80 THEN 'ftp://x.org/' END AS url, CASE WHEN event_type <> 'view' THEN 'sha256:' || user_id % 3 END AS digest, CASE WHEN k % 4 > 0 THEN CAST(k AS INTEGER) END AS page, CASE WHEN k % 3 > 0 THEN k % 5 END AS box FROM e)
+SELECT event_id, CASE WHEN url LIKE 'https://%' THEN NULL WHEN digest IS NULL THEN 'no_source' WHEN digest <> 'sha256:1' THEN 'digest' WHEN coalesce(page, 0) < 1 THEN 'page' WHEN coalesce(box, 0) <> 4 THEN 'box' END AS error,
+ concat_ws(',', CASE WHEN url IS NULL OR url NOT LIKE 'https://%' THEN 'url' END, CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'field' END, CASE WHEN k >= 75 THEN 'result' END, CASE WHEN k < 50 AND value < 20 THEN 'value' END, CASE WHEN user_id % 4 = 3 THEN 'stability' END) AS codes FROM s""")
 def f11(spark, d):
-    e = table(spark, d, "events")
-    k = F.col("event_id") % 4
-    err = predicates.evidence_error(F.when(k == 0, "https://x.org"), F.when(k == 2, "sha256:b").when(k == 3, "sha256:a"), F.lit(0), F.array(*[F.lit(float(x)) for x in range(4)]), F.lit("sha256:a"))
-    r = {"url": F.lit("https://x.org"), "checked_at": F.col("ts"), "field": F.when(F.col("event_id") % 2 == 0, "year").otherwise("z"), "result": F.lit("found"), "value": F.when(F.col("event_id") % 3 != 0, "v"), "stability": F.when(F.col("event_id") % 3 != 0, "odd")}
-    return e.select("event_id", err.alias("error"), F.array_join(predicates.evidence_errors(r, ["year", "director"]), ",").alias("codes"))
-
-
-@query("f14_f19_f21_contracts", """SELECT p_partkey, CASE WHEN p_size > 40 THEN 'box' ELSE '' END AS contract, CASE WHEN p_size % 2 = 0 THEN 'sources' ELSE '' END || CASE WHEN p_size % 3 <> 1 THEN CASE WHEN p_size % 2 = 0 THEN ',count' ELSE 'count' END ELSE '' END AS shortage, CASE WHEN p_size % 5 = 0 THEN 'context' ELSE '' END AS exc FROM part""")
+    """Events as evidence: their value tells the URL, their user the digest, their number the page, box and result."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, v, u, text = F.col("k"), F.col("value"), F.col("user_id"), lambda c: c.cast("string")
+    url = F.when(v > 90, F.concat(F.lit("https://x.org/"), text(F.col("event_id")))).when(v > 80, F.concat(F.lit("ftp://x.org/"), text(F.col("event_id"))))
+    digest = F.when(F.col("event_type") != "view", F.concat(F.lit("sha256:"), text(u % 3)))
+    box = F.when(k % 3 > 0, F.slice(F.array(*[v] * 4), 1, k % 5))
+    err = predicates.evidence_error(url, digest, F.when(k % 4 > 0, k), box, F.lit("sha256:1"))
+    result = F.when(k < 50, "found").when(k < 75, "not_found").otherwise("maybe")
+    r = {"url": url, "checked_at": F.col("ts"), "field": F.col("event_type"), "result": result, "value": F.when(v >= 20, F.col("props")).otherwise(" "), "stability": F.when(u % 4 == 3, "odd").when(u % 4 == 2, "stable")}
+    return e.select("event_id", err.alias("error"), F.array_join(predicates.evidence_errors(r, ["view", "click", "signup"]), ",").alias("codes"))
+
+
+@query("f14_f19_f21_contracts", """WITH p AS (SELECT *, string_split(p_name, ' ') AS names, p_retailprice / 100 AS x FROM part)
+SELECT p_partkey, concat_ws(',', CASE WHEN p_size - 3 < 0 OR x > 15 OR p_size - 3 >= x THEN 'box' END, CASE WHEN p_size > 47 THEN 'start' END, CASE WHEN NOT list_has_all(['widget', 'rod', 'small', 'large', 'red', 'blue'], names) THEN 'fields' END) AS contract,
+ concat_ws(',', CASE WHEN length(p_type || ' ' || p_name) < 24 THEN 'reason' END, CASE WHEN len(list_distinct(list_append(names, 'rod'))) < 2 THEN 'sources' END, CASE WHEN length(p_name) <> p_size % 20 THEN 'count' END) AS shortage,
+ concat_ws(',', CASE WHEN p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'context' END, CASE WHEN length(trim(p_type || ' ' || p_brand)) < 20 THEN 'reason' END) AS exc FROM p""")
 def f14(spark, d):
-    p, s = table(spark, d, "part"), F.col("p_size")
-    dbl = lambda x: F.lit(float(x))
-    box = F.array(dbl(0), dbl(0), s.cast("double"), dbl(10))
-    con = predicates.contract_errors(box, dbl(40), dbl(20), F.lit("20:50"), F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a")))
-    sh = predicates.shortage_errors(F.lit("r" * 24), F.when(s % 2 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"))), s % 3, F.lit(1))
-    ex = predicates.exception_errors(F.when(s % 5 == 0, "other").otherwise("event"), F.lit("r" * 20), ["event"])
+    """Parts as records with a box of size and price, the words of their names as fields and sources, and their types as reasons."""
+    p, s, x = table(spark, d, "part"), F.col("p_size"), F.col("p_retailprice") / 100
+    names, dbl = F.split("p_name", " "), lambda c: c.cast("double")
+    start = F.format_string("%02d:%02d", F.floor(s / 2).cast("int"), s)
+    con = predicates.contract_errors(F.array(dbl(s - 3), F.lit(0.0), x, F.lit(9.0)), F.lit(15.0), F.lit(20.0), start, F.array(*map(F.lit, ("widget", "rod", "small", "large", "red", "blue"))), names)
+    sh = predicates.shortage_errors(F.concat_ws(" ", "p_type", "p_name"), F.array_append(names, F.lit("rod")), s % 20, F.length("p_name"))
+    ex = predicates.exception_errors(F.col("p_brand"), F.concat_ws(" ", "p_type", "p_brand"), ["Brand#1", "Brand#2", "Brand#3"])
     j = lambda c: F.array_join(c, ",")
     return p.select("p_partkey", j(con).alias("contract"), j(sh).alias("shortage"), j(ex).alias("exc"))
 
 
-@query("f15_f16_f17_scopes", """SELECT event_id, (event_id % 3 = 0 OR event_type = 'view') AS scoped, (event_type = 'click' AND user_id % 2 = 0) AS paused, CASE WHEN event_id % 4 = 3 THEN 'invalid' WHEN event_id % 4 = 2 THEN 'expired' WHEN event_id % 4 = 1 THEN 'reopened' ELSE 'waiting' END AS state FROM events""")
+@query("f15_f16_f17_scopes", """WITH e AS (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k, CAST(ts AS DATE) AS day FROM events), r AS (SELECT *, CASE WHEN k % 5 > 0 THEN ts + to_hours(k - 20) END AS retry, CASE WHEN k % 3 > 0 THEN ts + to_hours(CAST(user_id % 90 AS INTEGER)) END AS expires FROM e)
+SELECT event_id, k < 50 OR event_type = 'view' OR event_type = 'click' AS scoped, (event_type = 'click') AND (k % 2 = 1 OR day = DATE '2024-01-10') AS paused,
+ CASE WHEN retry IS NULL OR retry < ts OR expires < retry THEN 'invalid' WHEN expires <= TIMESTAMP '2024-01-15 00:00:00' THEN 'expired' WHEN retry <= TIMESTAMP '2024-01-15 00:00:00' THEN 'reopened' ELSE 'waiting' END AS state FROM r""")
 def f15(spark, d):
-    e, t = table(spark, d, "events"), F.col("event_type")
-    k = F.col("event_id") % 4
-    ts = lambda s: F.lit(s).cast("timestamp")
-    after = F.when(k == 0, ts("2024-03-01")).when(k < 3, ts("2024-01-02"))
-    state = predicates.retry_state(ts("2024-01-01"), after, F.when(k == 2, ts("2024-01-03")), ts("2024-02-01"))
-    none = F.lit(None).cast("string")
-    pause = {"date": none, "channel": F.lit("click"), "version": none, "offer": F.lit("0")}
-    obs = {"date": none, "channel": t, "version": none, "offer": (F.col("user_id") % 2).cast("string")}
-    return e.select("event_id", predicates.scope_matches(F.when(F.col("event_id") % 3 != 0, F.array(F.lit("view"))), t).alias("scoped"), predicates.pause_covers(pause, obs).alias("paused"), state.alias("state"))
+    """Constraints, pauses and retries that follow from the numbers, days and times of events."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
+    k, t, none = F.col("k"), F.col("event_type"), F.lit(None).cast("string")
+    later = lambda h: F.col("ts") + F.make_dt_interval(hours=h.cast("int"))
+    state = predicates.retry_state(F.col("ts"), F.when(k % 5 > 0, later(k - 20)), F.when(k % 3 > 0, later(F.col("user_id") % 90)), F.lit("2024-01-15").cast("timestamp"))
+    pause = {"date": F.when(k % 2 == 0, "2024-01-10"), "channel": F.lit("click"), "version": none, "offer": none}
+    obs = {"date": F.col("ts").cast("date").cast("string"), "channel": t, "version": F.col("props"), "offer": none}
+    scope = F.when(k >= 50, F.array(F.lit("view"), F.lit("click")))
+    return e.select("event_id", predicates.scope_matches(scope, t).alias("scoped"), predicates.pause_covers(pause, obs).alias("paused"), state.alias("state"))
 
 
 @query("f06_f08_identity_links", """SELECT page_id, page_id % 3 = 0 OR page_id % 3 = 1 AS strong, CASE WHEN page_id % 3 = 0 AND page_id < 1000 THEN 'imdb_shape' END AS shape FROM pages""")
@@ -379,13 +399,21 @@ def p31(spark, d):
     return table(spark, d, "events").select("event_id", v["result"].alias("result"), v["stability"].alias("stability"), big(parse.mark_score(F.when(k % 2 == 0, "TTT").otherwise("zz"))).alias("mark"), parse.section_matches(F.when(k % 5 == 0, "cinema-2").otherwise("cinemas"), "cinema").alias("family"), F.array_join(parse.evidence_urls(F.array(v["url"]), F.array(F.lit("ftp://x"), F.lit("https://a.org"))), ",").alias("urls"))
 
 
-@query("p25_p26_p35_p43_texts", """SELECT o_orderkey, 'Jane ' || o_orderstatus AS director, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE 'b' END AS images, CASE WHEN o_orderkey % 3 = 0 THEN 'offer' ELSE '' END AS missing, TIMESTAMP '2024-01-04 10:30:00' AS at FROM orders""")
+@query("p25_p26_p35_p43_texts", """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 1440 AS INTEGER) AS m FROM orders)
+SELECT o_orderkey, 'Jane ' || o_orderstatus AS director, CASE WHEN o_totalprice > 150000 THEN o_orderpriority || ',' ELSE '' END || o_orderstatus AS images, CASE WHEN o_custkey % 3 = 0 AND o_orderpriority >= '3' THEN 'offer' ELSE '' END AS missing,
+ CASE o_custkey % 3 WHEN 0 THEN day - 1 WHEN 1 THEN day ELSE day - 40 END + to_minutes(m) AS at FROM o""")
 def p25(spark, d):
-    k = F.col("o_orderkey")
-    none = F.array().cast("array<string>")
-    facts = parse.section_facts(F.struct(F.when(k % 2 == 0, "x").alias("title"), F.lit(None).cast("string").alias("offer")), F.struct(F.lit("y").alias("title"), F.when(k % 3 != 0, "z").alias("offer")), ["title", "offer"])
-    at = parse.french_activity_time(F.lit("Hier 10:30"), F.lit("2024-01-05 12:00:00").cast("timestamp"))
-    return table(spark, d, "orders").select("o_orderkey", parse.clean_director(F.concat(F.lit("Jane "), F.col("o_orderstatus"), F.lit(" [VOSTFR]"))).alias("director"), F.array_join(parse.image_order(F.when(k % 2 == 0, "a"), F.array(F.lit("b"), F.lit("")), none), ",").alias("images"), F.array_join(facts["missing"], ",").alias("missing"), at.alias("at"))
+    """Orders as topics: activity yesterday, today or some weeks before their date, images and offers by price and priority."""
+    o, months = table(spark, d, "orders"), F.array(*map(F.lit, FRENCH_MONTHS))
+    day, c = F.col("o_orderdate").cast("date"), F.col("o_custkey") % 3
+    m = (F.col("o_orderkey") % 1440).cast("int")
+    clock, before = clock_text(m), F.date_sub(day, 40)
+    said = F.when(c == 0, F.concat(F.lit("Hier "), clock)).when(c == 1, F.concat(F.lit("Aujourd'hui, "), clock)).otherwise(F.concat(F.dayofmonth(before).cast("string"), F.lit(" "), F.element_at(months, F.month(before)), F.lit(" "), F.year(before).cast("string"), F.lit(" "), clock))
+    spec = F.struct(F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderpriority") < "3", F.col("o_orderstatus")).alias("offer"))
+    facts = parse.section_facts(spec, F.struct(F.lit("y").alias("title"), F.when(c != 0, "z").alias("offer")), ["title", "offer"])
+    images = parse.image_order(F.when(F.col("o_totalprice") > 150000, F.col("o_orderpriority")), F.array("o_orderstatus", F.lit("")), F.array("o_orderstatus"))
+    at = parse.french_activity_time(said, F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
+    return o.select("o_orderkey", parse.clean_director(F.concat(F.lit("Jane "), F.col("o_orderstatus"), F.lit(" [VOSTFR]"))).alias("director"), F.array_join(images, ",").alias("images"), F.array_join(facts["missing"], ",").alias("missing"), at.cast("timestamp_ntz").alias("at"))
 
 
 @query("w09_refill", f"""WITH {SCHED}, c AS (SELECT DISTINCT user_id, k AS work_id FROM sched), s AS (SELECT DISTINCT user_id, k AS work_id FROM sched WHERE channel = 'purchase'), l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.user_id, s.work_id) = (c.user_id, c.work_id))), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY work_id % 3 = 0, work_id) AS slot FROM l)
@@ -409,12 +437,16 @@ def f25(spark, d):
     return planning.append_contract(e, n.withColumn("rank", F.col("rank") + F.when(F.col("pool_id") % 5 == 0, 1).otherwise(0)))
 
 
-@query("u02_u06_u07_sets", f"""WITH {OCC}, t AS (SELECT DISTINCT week, title_key FROM occ WHERE qty > 25 OR qty < 20) SELECT week, count(*) AS n, true AS same, 'a,b,c' AS merged FROM t GROUP BY week""")
+@query("u02_u06_u07_sets", f"""WITH {OCC}, t AS (SELECT DISTINCT week, title_key FROM occ WHERE qty > 25 OR qty < 20), n AS (SELECT week, count(*) AS n FROM t GROUP BY week),
+a AS (SELECT week, list_sort(list_distinct(list(pool_id % 7) FILTER (qty > 40))) AS hi, list_sort(list_distinct(list(pool_id % 7) FILTER (qty < 8))) AS lo FROM occ GROUP BY week)
+SELECT week, n, coalesce(hi, []) = coalesce(lo, []) AS same, array_to_string(list_concat(coalesce(hi, []), list_filter(coalesce(lo, []), lambda x: NOT list_contains(coalesce(hi, []), x))), ',') AS merged FROM n JOIN a USING (week)""")
 def u02(spark, d):
+    """Titles of two sources by week, and the pools of much and of little as sets."""
     occ = occurrences(spark, d)
-    v = readers.visual_titles(occ.where("qty > 25"), occ.where("qty < 20 OR qty > 40"))
-    a = lambda *x: F.array(*map(F.lit, x))
-    return v.groupBy("week").agg(F.count("*").alias("n")).select("week", "n", readers.same_set(a("x", "y", "x"), a("y", "x")).alias("same"), F.array_join(readers.ordered_union(a("a", "b"), a("b", "c")), ",").alias("merged"))
+    v = readers.visual_titles(occ.where("qty > 25"), occ.where("qty < 20 OR qty > 40")).groupBy("week").agg(F.count("*").alias("n"))
+    pools = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("pool_id") % 7)))
+    sets = occ.groupBy("week").agg(pools(F.col("qty") > 40).alias("hi"), F.collect_set(F.when(F.col("qty") < 8, F.col("pool_id") % 7)).alias("lo"))
+    return v.join(sets, "week").select("week", "n", readers.same_set(F.col("hi"), F.col("lo")).alias("same"), F.array_join(readers.ordered_union(F.col("hi"), F.array_sort("lo")), ",").alias("merged"))
 
 
 @query("l02_watch_order", f"""WITH {SCHED}, w AS (SELECT user_id, title_key, max(k) AS priority, max(ts) AS added FROM sched GROUP BY ALL) SELECT user_id, title_key, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(CASE WHEN priority % 3 <> 0 THEN priority END, 1) DESC, added DESC, title_key) AS place FROM w""")

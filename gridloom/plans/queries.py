@@ -338,10 +338,11 @@ def j24(spark, d):
     return schedule.not_only_stale(s, cap).select("row_id")
 
 
-@query("s13_newest_capture", f"""WITH {SCHED} SELECT user_id, channel, row_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, channel ORDER BY (k % 4 <> 0) DESC, ts DESC, row_id) AS r FROM sched) WHERE r = 1""")
+@query("s13_newest_capture", f"""WITH {SCHED} SELECT user_id, channel, row_id, CASE WHEN k % 4 = 0 THEN 'failed' WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts)) <= 72 * 3600 THEN 'fresh' ELSE 'stale' END AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, channel ORDER BY (k % 4 <> 0) DESC, ts DESC, row_id) AS r FROM sched) WHERE r = 1""")
 def s13(spark, d):
     s = programme(spark, d).select(F.lit("a").alias("adapter"), F.col("user_id").cast("string").alias("url"), "channel", F.lit("2024-01-01").alias("date"), (F.col("k") % 4 != 0).alias("ok"), F.col("ts").alias("fetched_at"), "row_id", "user_id")
-    return schedule.newest_capture(s, F.lit("2024-02-01").cast("timestamp")).select("user_id", "channel", "row_id")
+    return schedule.newest_capture(s, F.lit("2024-01-31").cast("timestamp"), ttl_hours=72).select("user_id", "channel", "row_id", "state")
 
 
 @query("j19_required_matrix", f"""WITH c AS (SELECT n_nationkey AS channel FROM nation), days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), a AS (SELECT DISTINCT c_nationkey AS channel, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -807,10 +808,12 @@ def f22(spark, d):
     return s.select("row_id", err.alias("error"))
 
 
-@query("f24_missing_facts", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'director,' ELSE '' END || 'year' AS missing FROM orders")
+@query("f24_missing_facts", "SELECT doc_id, concat_ws(',', CASE WHEN coalesce(trim(text), '') = '' THEN 'text' END, CASE WHEN lang IS NULL OR lang = 'en' THEN 'lang' END, CASE WHEN source IS NULL THEN 'source' END, CASE WHEN n_chars <= 500 THEN 'long' END) AS missing FROM documents")
 def f24(spark, d):
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.array_join(predicates.missing_facts({"director": F.when(F.col("o_orderkey") % 2 == 1, "x"), "title": F.col("o_orderstatus"), "year": F.lit(" ")}), ",").alias("missing"))
+    """Documents with the facts they lack; English ones and short ones count as lacking."""
+    docs = table(spark, d, "documents")
+    facts = {"text": F.col("text"), "lang": F.when(F.col("lang") != "en", F.col("lang")), "source": F.col("source"), "long": F.when(F.col("n_chars") > 500, F.col("n_chars").cast("string"))}
+    return docs.select("doc_id", F.array_join(predicates.missing_facts(facts), ",").alias("missing"))
 
 
 @query("a33_gap_totals", """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) - DATE '1995-03-04' AS ahead, CASE WHEN o_orderstatus = 'O' THEN 'blocking' ELSE 'warning' END AS severity FROM orders),
