@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Payloads under so many bytes are never turned into revisits.
 LEAST_BYTES = 100
@@ -27,7 +28,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     ``date`` is the WARC-Date of all records; a page table has none, and a fixed one keeps
     archives reproducible. A null body is an empty payload, a null url an empty target
-    (line ends in one are percent-encoded), a null id the word ``none`` and a number in
+    (line ends in one are percent-encoded, as are ids of text), a null id the word ``none`` and a number in
     the headers. Rows that share an id share a record id. Of the records with equal payloads of at least
     `LEAST_BYTES` bytes the one with the smallest id is the response and the others
     revisit it; rows that repeat that id with the same payload are responses too.
@@ -44,8 +45,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     holders = light.groupBy("digest").agg(F.min("page_id").alias("holder"))
     known = light.join(holders, "digest")
     first = (F.col("n_bytes") < LEAST_BYTES) | F.col("page_id").eqNullSafe(F.col("holder"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NO_ID))
-    own = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit(f"{_NO_ID}:"), F.monotonically_increasing_id().cast("string")))
+    # ids of text may hold what breaks a header
+    shown = (lambda c: F.url_encode(F.col(c))) if isinstance(pages.schema[id_col].dataType, StringType) else (lambda c: F.col(c).cast("string"))
+    name = lambda c: F.coalesce(shown(c), F.lit(_NO_ID))
+    own = F.coalesce(shown("page_id"), F.concat(F.lit(f"{_NO_ID}:"), F.monotonically_increasing_id().cast("string")))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(_CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"),
@@ -111,10 +114,11 @@ def index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(F.col("verified"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload does not match "), F.col("digest")))).alias("payload_digest"),
     )
+    read = (lambda c: F.when(~c.startswith(f"{_NO_ID}:"), F.url_decode(c))) if id_type == "string" else (lambda c: c.try_cast(id_type))
     said = spark.read.parquet(f"{path}/records").select(
-        F.regexp_extract(_header("WARC-Record-ID"), r"^<urn:page:(.*)>$", 1).try_cast(id_type).alias("page_id"),
+        read(F.regexp_extract(_header("WARC-Record-ID"), r"^<urn:page:(.*)>$", 1)).alias("page_id"),
         F.regexp_extract(_header("WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1).alias("_digest"),
         _header("WARC-Type").alias("record_type"),
-        F.regexp_extract(_header("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1).try_cast(id_type).alias("refers_to"),
+        F.when(_header("WARC-Refers-To").isNotNull(), read(F.regexp_extract(_header("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1))).alias("refers_to"),
     )
     return said.join(stored, "_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

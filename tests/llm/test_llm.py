@@ -143,6 +143,9 @@ def test_warc(spark, tmp_path):
     for r in warc.records(spark, f"{tmp_path}/w").collect():
         block = bytes(r["payload"]) if "WARC-Type: response" in r["header"] else b""
         assert bytes(r["record"]) == r["header"].encode() + block + b"\r\n\r\n" and f"Content-Length: {len(block)}\r\n" in r["header"]
+    odd = ["a\r\nWARC-Type: x", "none:0", "é %41+ b", None, ""]
+    warc.write(frame(spark, [(i, "u", body) for i in odd], "page_id string, url string, html string"), f"{tmp_path}/s")
+    assert rows(warc.index(spark, f"{tmp_path}/s", "string").select("page_id", "record_type", "refers_to")) == sorted([(i, "response", None) if i == "" else (i, "revisit", "") for i in odd], key=repr)
     warc.write(frame(spark, [], "page_id long, url string, html string"), f"{tmp_path}/e")
     assert warc.index(spark, f"{tmp_path}/e").count() == 0
 
