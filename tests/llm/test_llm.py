@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, decontam, lang_id, line_dedup, near_dedup, packing, quality, queries, token_counts, token_store, url_filter, warc
@@ -294,9 +295,10 @@ def test_url_filter(spark):
 
 def test_url_filter_equals_brute_force(spark, sf_dir):
     """Host, path, rule and verdict of every page, by string functions and a score of its own."""
-    pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()]
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = [tuple(r) for r in table.select("page_id", "url").collect()]
     got = {r["page_id"]: r for r in queries.op10_url_filter(spark, sf_dir).collect()}
-    weights = url_filter.train()
+    weights = url_filter.train_on(table)
     for i, url in pages:
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = low(re.split(r"[/?#]", rest, maxsplit=1)[0])
@@ -313,6 +315,22 @@ def test_url_filter_equals_brute_force(spark, sf_dir):
         assert got[i]["verdict"] == (best[1] if best else model) or abs(z) < 1e-4
 
 
+def test_url_background(spark):
+    """One url a host that no rule decides, of the smallest hashes; the bad ones leave the sample; rows repeated or in another order change nothing."""
+    urls = [f"http://h{k % 30}.example.org/en/{k}?q={k}" for k in range(90)] + [f"http://hot.example.org/p/{k % 4}" for k in range(60)]
+    urls += [None, "", "no scheme", "http:///path", "http://a.net/x", "http://long.example.org/" + "x" * 3_000, "http://www.live-casino.example.org/en/7", "http://H1.Example.ORG/en/1"]
+    pages = frame(spark, [(k, u, 7) for k, u in enumerate(urls)], "page_id long, url string, host int")
+    whole = url_filter.background(pages)
+    assert [h for h, _, _ in whole] == list(dict.fromkeys(h for h, _, _ in whole)) and {h for h, _, _ in whole} == {f"h{k}.example.org" for k in range(30)} | {"hot.example.org", "www.live-casino.example.org"}
+    of = {(low(u.split("://")[1].split("/")[0]), "/" + u.split("://")[1].partition("/")[2].split("?")[0]) for u in urls if u and "://" in u}
+    assert all((h, p) in of and y == 0 for h, p, y in whole)
+    assert url_filter.background(pages, most=5) == whole[:5] and url_filter.background(pages, most=0) == []
+    assert url_filter.background(pages.union(pages).orderBy(F.rand(3))) == whole
+    assert url_filter.background(pages.where("false")) == [] and np.array_equal(url_filter.train_on(pages.where("false")), url_filter.train())
+    weights = url_filter.train_on(pages)
+    assert url_filter.score(weights, "www.live-casino.example.org", "/en/7") > 0 > max(url_filter.score(weights, h, p) for h, p, _ in whole if "casino" not in h)
+
+
 @lru_cache(maxsize=1)
 def _weights():
     return url_filter.train()
