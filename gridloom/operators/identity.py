@@ -73,10 +73,11 @@ def id_then_title(rows: DataFrame, works: DataFrame, pos: str = "pos") -> DataFr
 
 
 def named_lookup(rows: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence by id, or by title where the evidence has no id; two equi joins, united and distinct."""
+    """Evidence by id, or by title where the evidence has no id: two equi joins without a common row. Both sides are distinct before them, so the pairs, which may be many, are distinct without a shuffle of their own."""
+    rows, evidence = rows.distinct(), evidence.distinct()
     by_id = rows.join(evidence.where("e_work_id IS NOT NULL"), F.col("work_id") == F.col("e_work_id"))
     by_key = rows.join(evidence.where("e_work_id IS NULL"), F.col("title_key") == F.col("e_title_key"))
-    return by_id.unionByName(by_key).distinct()
+    return by_id.unionByName(by_key)
 
 
 def legacy_lookup(refs: DataFrame, works: DataFrame) -> DataFrame:

@@ -169,6 +169,16 @@ def test_phrases_are_whole(spark):
     assert rows(identity.phrase_containment(texts, names.where("name <> 'cat'"))) == [(1, "x"), (1, "y"), (1, "z"), (2, "y"), (2, "z"), (5, "z"), (6, "t")]
 
 
+def test_named_lookup_pairs_once(spark):
+    """Repeated rows and evidence give a pair once, nulls match nothing, and the pairs themselves are not shuffled."""
+    obs = spark.createDataFrame([(1, "t"), (1, "t"), (2, "t"), (None, "u"), (3, None)], "work_id int, title_key string")
+    ev = spark.createDataFrame([(1, "x", 5), (1, "x", 5), (1, "x", 6), (None, "t", 7), (None, "t", 7), (2, "t", 8), (None, None, 9), (None, "u", 9)], "e_work_id int, e_title_key string, e int")
+    found = identity.named_lookup(obs, ev)
+    assert sorted((r["work_id"] or 0, r["title_key"], r["e"]) for r in found.collect()) == [(0, "u", 9), (1, "t", 5), (1, "t", 6), (1, "t", 7), (2, "t", 7), (2, "t", 8)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
+
+
 def test_joins_have_no_nested_loops(spark):
     obs = spark.createDataFrame([(1, "t", "d", "c")], "work_id int, title_key string, date string, channel string")
     ev = spark.createDataFrame([(1, None, 5)], "e_work_id int, e_title_key string, e int")
