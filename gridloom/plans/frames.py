@@ -61,3 +61,28 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POOL = """pool0 AS (SELECT l_suppkey AS pool_id, l_partkey AS work_id, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY ALL),
 pool AS (SELECT *, CAST(row_number() OVER (PARTITION BY pool_id ORDER BY qty DESC, work_id) AS INTEGER) AS rank, 5 AS target FROM pool0)"""
+
+
+def line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as links of seven kinds: flag and status tell pages of works from other pages and whole from broken urls, prices, parts and orders are the ids."""
+    of = lambda a, n, r: F.when(F.col("l_returnflag") == "A", a).when(F.col("l_returnflag") == "N", n).otherwise(r)
+    full = lambda yes, no: F.when(F.col("l_linestatus") == "F", yes).otherwise(no)
+    part, cents = F.col("l_partkey").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    host = F.concat(F.lit("http://studio"), F.col("l_suppkey").cast("string"), F.lit(".example.org/"))
+    made = {
+        "imdb": ("https://www.imdb.com/", of("title/tt", "fr/title/tt", "name/tt"), cents, full("/", "")),
+        "tmdb": ("https://www.themoviedb.org/", of("movie/", "tv/", "person/"), part, full("-titre", "?x=1")),
+        "sc": ("https://www.senscritique.com/", of("film", "serie", "album"), F.concat(F.lit("/x"), part), full(F.concat(F.lit("/"), cents), F.lit(""))),
+        "allocine": ("https://www.allocine.fr/", of("film/fichefilm_gen_cfilm=", "series/ficheserie_gen_cserie=", "personne/fichepersonne_gen_cpersonne="), part, F.lit(".html")),
+        "wikidata": ("https://www.wikidata.org/wiki/", of("Q", "Property:P", "Q"), F.col("l_orderkey").cast("string"), full("", "#x")),
+        "wikipedia": ("https://", of("fr", "en", "de"), F.concat(F.lit(".wikipedia.org/wiki/Film_"), part), full("", "?action=raw")),
+        "official": ("", of(full("https://m.Facebook.com/p", "https://notgoogle.com/"), host, F.lit("ftp://studio.example.org/")), F.lit(""), F.lit("")),
+    }
+    kind, url = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (name, (start, *rest)) in enumerate(made.items(), 1):
+        kind, url = F.when(F.col("l_linenumber") == k, name).otherwise(kind), F.when(F.col("l_linenumber") == k, F.concat(F.lit(start), *rest)).otherwise(url)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), url.alias("url"))
+
+
+#: What `line_links` is made of, for SQL that says what each case gives.
+LINKS = """l AS (SELECT l_orderkey, l_linenumber, l_linenumber AS k, l_returnflag AS f, l_linestatus = 'F' AS whole, CAST(l_partkey AS VARCHAR) AS part, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS cents, l_orderkey AS o FROM lineitem)"""

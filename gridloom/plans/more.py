@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import parse, predicates
 from gridloom.functions.calendar import FRENCH_MONTHS, issue_from, week_of_saturday
 from gridloom.operators import audits, consensus, identity, personal, planning, readers, schedule
-from gridloom.plans.frames import OCC, POOL, SCHED, WORKS, occurrences, pool, table, works
+from gridloom.plans.frames import LINKS, OCC, POOL, SCHED, WORKS, line_links, occurrences, pool, table, works
 from gridloom.plans.frames import schedule as programme
 from gridloom.plans.queries import KEY, big, query
 
@@ -374,12 +374,12 @@ def f15(spark, d):
     return e.select("event_id", predicates.scope_matches(scope, t).alias("scoped"), predicates.pause_covers(pause, obs).alias("paused"), state.alias("state"))
 
 
-@query("f06_f08_identity_links", """SELECT page_id, page_id % 3 = 0 OR page_id % 3 = 1 AS strong, CASE WHEN page_id % 3 = 0 AND page_id < 1000 THEN 'imdb_shape' END AS shape FROM pages""")
+@query("f06_f08_identity_links", f"""WITH {LINKS} SELECT l_orderkey, l_linenumber, CASE k WHEN 3 THEN whole WHEN 7 THEN f = 'N' OR (f = 'A' AND NOT whole) ELSE f <> 'R' AND k IN (1, 2, 4) END AS strong, CASE k WHEN 7 THEN f = 'N' OR (f = 'A' AND NOT whole) WHEN 3 THEN whole ELSE f <> 'R' AND k IN (1, 2) END AS strong_elsewhere,
+CASE WHEN k = 1 AND NOT (f = 'A' AND length(cents) >= 7) THEN 'imdb_shape' WHEN k = 3 AND NOT (f <> 'R' AND whole) THEN 'sc_shape' END AS shape FROM l""")
 def f06(spark, d):
-    i, k = F.col("page_id"), F.col("page_id") % 3
-    imdb = F.concat(F.lit("https://www.imdb.com/title/tt"), F.when(i < 1000, F.lit("12")).otherwise("1234567"), F.lit("/"))
-    links = F.when(k == 0, F.create_map(F.lit("imdb"), imdb)).when(k == 1, F.create_map(F.lit("official"), F.lit("https://studio.example.org/"))).otherwise(F.create_map(F.lit("official"), F.lit("https://www.google.com/x")))
-    return table(spark, d, "pages").select("page_id", predicates.strong_identity(links).alias("strong"), predicates.link_shape_error(F.when(k == 0, "imdb").otherwise("official"), imdb).alias("shape"))
+    """Links of seven kinds, each alone on its work; a profile other than the reserve's leaves one kind out."""
+    links = F.create_map("kind", "url")
+    return line_links(spark, d).select("l_orderkey", "l_linenumber", predicates.strong_identity(links).alias("strong"), predicates.strong_identity(links, "other").alias("strong_elsewhere"), predicates.link_shape_error(F.col("kind"), F.col("url")).alias("shape"))
 
 
 @query("p19_p23_p38_rating_lines", """SELECT p_partkey, 'IMDb=' || CAST(p_size AS VARCHAR) || '/10 et presse=' || CAST(p_size AS VARCHAR) || '/5' AS note, replace(lower(p_brand), '#', ' ') AS channel FROM part""")
@@ -390,13 +390,22 @@ def p19(spark, d):
     return table(spark, d, "part").select("p_partkey", note.alias("note"), parse.canonical_channel(F.col("p_brand")).alias("channel"))
 
 
-@query("p31_p32_p33_p40_projections", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'found' ELSE 'not_found' END AS result, CASE WHEN event_id % 3 = 0 THEN 'dynamic' ELSE 'stable' END AS stability, CAST(CASE WHEN event_id % 2 = 0 THEN 3 END AS BIGINT) AS mark, event_id % 5 = 0 AS family, 'https://a.org' AS urls FROM events""")
+@query("p31_p32_p33_p40_projections", f"""WITH s AS (SELECT event_id, event_type AS t, value AS v, CAST(props->>'$.k' AS INTEGER) AS k, 'https://u' || user_id || '.org' AS u FROM events)
+SELECT event_id, CASE WHEN v >= 12 THEN 'found' WHEN v < 3 THEN 'found' WHEN v < 6 THEN 'not_found' WHEN v < 9 THEN 'unclear' END AS result, CASE t WHEN 'error' THEN 'year' ELSE t END AS field, CASE WHEN v > 20 THEN 'as said' WHEN t IN ('offer', 'broadcast') THEN 'dynamic' ELSE 'stable' END AS stability, CAST(CASE WHEN k % 6 < 5 THEN k % 6 END AS BIGINT) AS mark, k % 3 = 0 OR (k % 3 = 1 AND v >= 1) AS family,
+CASE WHEN v > 5 AND k % 2 = 0 THEN 'https://v.org,' || u WHEN v > 5 THEN 'https://v.org' ELSE u END AS urls FROM (SELECT * REPLACE (CASE t WHEN 'view' THEN 'broadcast' WHEN 'click' THEN 'offer' ELSE t END AS t) FROM s)""")
 def p31(spark, d):
-    k = F.col("event_id")
-    none = F.lit(None).cast("string")
-    r = {"url": none, "source_urls": F.array(F.lit("https://a.org")), "status": F.when(k % 2 == 1, "missing"), "result": F.when(k % 2 == 0, "found"), "field": F.when(k % 3 == 0, "offer"), "fields": F.array(F.lit("year")), "value": none, "stability": none}
-    v = parse.evidence_view(r)
-    return table(spark, d, "events").select("event_id", v["result"].alias("result"), v["stability"].alias("stability"), big(parse.mark_score(F.when(k % 2 == 0, "TTT").otherwise("zz"))).alias("mark"), parse.section_matches(F.when(k % 5 == 0, "cinema-2").otherwise("cinemas"), "cinema").alias("family"), F.array_join(parse.evidence_urls(F.array(v["url"]), F.array(F.lit("ftp://x"), F.lit("https://a.org"))), ",").alias("urls"))
+    """Events as evidence in both shapes: compact ones from a value on, legacy ones below, statuses by value, fields by type."""
+    v, k = F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    own = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".org"))
+    kind = F.col("event_type")
+    field = F.when(kind == "view", "broadcast").when(kind == "click", "offer").when(kind != "error", kind)
+    status = F.when(v < 3, "confirmed").when(v < 6, "missing").when(v < 9, "in doubt")
+    r = {"url": F.when(v > 5, "https://v.org"), "source_urls": F.array(own), "status": status, "result": F.when(v >= 12, "found"), "field": field, "fields": F.array(F.lit(None).cast("string"), F.lit("year")), "value": F.lit(None).cast("string"), "stability": F.when(v > 20, "as said")}
+    e = parse.evidence_view(r)
+    mark = F.element_at(F.array(*map(F.lit, (*parse.MARKS, "zz"))), k % 6 + 1)
+    page = F.when(k % 3 == 0, "cinema").when((k % 3 == 1) & (v >= 1), F.concat(F.lit("cinema-"), v.cast("int").cast("string"))).when(k % 3 == 1, "cinema-").otherwise(F.concat(F.lit("cinema"), k.cast("string")))
+    urls = parse.evidence_urls(F.array(e["url"]), F.array(F.lit("ftp://x"), F.when(k % 2 == 0, own), F.lit("")))
+    return table(spark, d, "events").select("event_id", e["result"].alias("result"), e["field"].alias("field"), e["stability"].alias("stability"), big(parse.mark_score(mark)).alias("mark"), parse.section_matches(page, "cinema").alias("family"), F.array_join(urls, ",").alias("urls"))
 
 
 @query("p25_p26_p35_p43_texts", """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 1440 AS INTEGER) AS m FROM orders)
@@ -488,11 +497,16 @@ def a38(spark, d):
 
 
 
-@query("p36_image_kinds", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' END AS kind FROM pages""")
+@query("p36_image_kinds", r"""WITH p AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<html lang="([a-z]+)"', 1) AS lang, length(coalesce(html, '')) % 14 AS n FROM pages) SELECT page_id, CASE WHEN lang = 'en' AND n >= 3 THEN 'jpeg' WHEN lang = 'de' AND n >= 8 THEN 'png' WHEN lang = 'fr' AND n >= 4 THEN 'gif' WHEN lang = 'es' AND n >= 12 THEN 'webp' WHEN lang NOT IN ('en', 'de', 'fr', 'es') AND n <= 10 THEN 'svg' END AS kind FROM pages JOIN p USING (page_id)""")
 def p36(spark, d):
-    heads = F.element_at(F.array(*[F.lit(x) for x in ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "00")]), (F.col("page_id") % 4 + 1).cast("int"))
-    content = F.concat(F.unhex(heads), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    return table(spark, d, "pages").select("page_id", parse.image_kind(content).alias("kind"))
+    """A head by the language of a page, cut off by the length of it, before the page's own bytes; without a language, an element beyond more and more blanks."""
+    html = F.coalesce("html", F.lit(""))
+    lang, n = F.regexp_extract(html, '<html lang="([a-z]+)"', 1), F.length(html) % 14
+    heads = {"en": "FFD8FFE000104A4649460001", "de": "89504E470D0A1A0A0000000D49484452", "fr": "474946383961E803E8030000", "es": "524946462400000057454250"}
+    head = F.encode(F.concat(F.repeat(F.lit(" "), n * 24), F.lit("<SVG ")), "UTF-8")
+    for k, h in heads.items():
+        head = F.when(lang == k, F.substring(F.unhex(F.lit(h)), F.lit(1), n)).otherwise(head)
+    return table(spark, d, "pages").select("page_id", parse.image_kind(F.concat(head, F.encode(html, "UTF-8"))).alias("kind"))
 
 
 @query("f20_posters", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'path,' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN 'digest,' ELSE '' END || CASE WHEN octet_length(encode(coalesce(html, ''))) > 2000 THEN 'weight,' ELSE '' END AS errors FROM pages""")

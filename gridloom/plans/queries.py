@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import calendar, keys, parse, predicates
 from gridloom.operators import audits, consensus, freshness, identity, personal, planning, readers, schedule
-from gridloom.plans.frames import OCC, POOL, SCHED, WORKS, occurrences, pool, table, works
+from gridloom.plans.frames import LINKS, OCC, POOL, SCHED, WORKS, line_links, occurrences, pool, table, works
 from gridloom.plans.frames import schedule as programme
 from gridloom.sources import captures
 
@@ -179,14 +179,12 @@ def hosts(spark, d):
     return table(spark, d, "pages").select("page_id", parse.url_host(F.col("url")).alias("host"), F.size(predicates.banned_urls(F.col("url"))).cast("long").alias("banned"))
 
 
-@query("p21_external_ids", r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.imdb.com/title/tt' || lpad(CAST(page_id AS VARCHAR), 7, '0') || '/' WHEN 1 THEN 'https://www.themoviedb.org/movie/' || CAST(page_id AS VARCHAR) || '-x' WHEN 2 THEN 'https://www.wikidata.org/wiki/Q' || CAST(page_id AS VARCHAR) ELSE url END AS url FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'imdb' WHEN 1 THEN 'tmdb' WHEN 2 THEN 'wikidata' END AS provider, CASE page_id % 4 WHEN 0 THEN 'tt' || lpad(CAST(page_id AS VARCHAR), 7, '0') WHEN 1 THEN 'movie/' || CAST(page_id AS VARCHAR) WHEN 2 THEN 'Q' || CAST(page_id AS VARCHAR) END AS ext_id FROM u""")
+@query("p21_external_ids", f"""WITH {LINKS}, e AS (SELECT *, CASE WHEN k = 1 AND f <> 'R' THEN 'imdb' WHEN k = 2 AND f <> 'R' AND whole THEN 'tmdb' WHEN k = 3 AND f <> 'R' AND whole THEN 'senscritique' WHEN k = 5 AND f <> 'N' AND whole THEN 'wikidata' WHEN k = 6 AND f <> 'R' AND whole THEN 'wikipedia' END AS provider FROM l)
+SELECT l_orderkey, l_linenumber, provider, CASE provider WHEN 'imdb' THEN 'tt' || cents WHEN 'tmdb' THEN CASE f WHEN 'A' THEN 'movie/' ELSE 'tv/' END || part WHEN 'senscritique' THEN CASE f WHEN 'A' THEN 'film/' ELSE 'serie/' END || cents WHEN 'wikidata' THEN 'Q' || o WHEN 'wikipedia' THEN CASE f WHEN 'A' THEN 'fr' ELSE 'en' END || ':Film_' || part END AS ext_id FROM e""")
 def external_ids(spark, d):
-    i = F.col("page_id").cast("string")
-    k = F.col("page_id") % 4
-    url = F.when(k == 0, F.concat(F.lit("https://www.imdb.com/title/tt"), F.lpad(i, 7, "0"), F.lit("/"))).when(k == 1, F.concat(F.lit("https://www.themoviedb.org/movie/"), i, F.lit("-x"))).when(k == 2, F.concat(F.lit("https://www.wikidata.org/wiki/Q"), i)).otherwise(F.col("url"))
-    e = parse.external_id(url)
-    return table(spark, d, "pages").select("page_id", e["provider"].alias("provider"), e["ext_id"].alias("ext_id"))
+    """Links of six sites, of works and of other pages, whole and broken."""
+    e = parse.external_id(F.col("url"))
+    return line_links(spark, d).select("l_orderkey", "l_linenumber", e["provider"].alias("provider"), e["ext_id"].alias("ext_id"))
 
 
 @query("p24_p27_titles", """SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE CAST(1950 + p_size AS BIGINT) END AS year, CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN p_brand END AS director, p_name || ' (' || p_brand || ') - x|' || p_brand || '|' || p_name || ' - x|' || p_name || ' (' || p_brand || ')' AS variants FROM part""")
