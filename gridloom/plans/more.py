@@ -497,11 +497,11 @@ def a38(spark, d):
 
 
 
-@query("p36_image_kinds", r"""WITH p AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<html lang="([a-z]+)"', 1) AS lang, length(coalesce(html, '')) % 14 AS n FROM pages) SELECT page_id, CASE WHEN lang = 'en' AND n >= 3 THEN 'jpeg' WHEN lang = 'de' AND n >= 8 THEN 'png' WHEN lang = 'fr' AND n >= 4 THEN 'gif' WHEN lang = 'es' AND n >= 12 THEN 'webp' WHEN lang NOT IN ('en', 'de', 'fr', 'es') AND n <= 10 THEN 'svg' END AS kind FROM pages JOIN p USING (page_id)""")
+@query("p36_image_kinds", r"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '#') THEN '' ELSE regexp_extract(coalesce(html, ''), '<html lang="([a-z]+)"', 1) END AS lang, length(coalesce(html, '')) % 14 AS n FROM pages) SELECT page_id, CASE WHEN lang = 'en' AND n >= 3 THEN 'jpeg' WHEN lang = 'de' AND n >= 8 THEN 'png' WHEN lang = 'fr' AND n >= 4 THEN 'gif' WHEN lang = 'es' AND n >= 12 THEN 'webp' WHEN lang NOT IN ('en', 'de', 'fr', 'es') AND n <= 10 THEN 'svg' END AS kind FROM pages JOIN p USING (page_id)""")
 def p36(spark, d):
-    """A head by the language of a page, cut off by the length of it, before the page's own bytes; without a language, an element beyond more and more blanks."""
+    """A head by the language of a page, cut off by the length of it, before the page's own bytes; for urls with a fragment, an element beyond more and more blanks."""
     html = F.coalesce("html", F.lit(""))
-    lang, n = F.regexp_extract(html, '<html lang="([a-z]+)"', 1), F.length(html) % 14
+    lang, n = F.when(F.contains("url", F.lit("#")), "").otherwise(F.regexp_extract(html, '<html lang="([a-z]+)"', 1)), F.length(html) % 14
     heads = {"en": "FFD8FFE000104A4649460001", "de": "89504E470D0A1A0A0000000D49484452", "fr": "474946383961E803E8030000", "es": "524946462400000057454250"}
     head = F.encode(F.concat(F.repeat(F.lit(" "), n * 24), F.lit("<SVG ")), "UTF-8")
     for k, h in heads.items():
