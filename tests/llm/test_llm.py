@@ -223,6 +223,38 @@ def test_quality_statistics(spark, sf_dir):
     assert rows(got) == sorted(want, key=repr)
 
 
+def brute_kept(rules, t):
+    """The base rules, then the first rule of the list whose thresholds all hold rejects: on features measured here."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    if len(w) < 50:
+        return False
+    grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    c = Counter(grams)
+    repeated = len({k + j for k, g in enumerate(grams) if c[g] > 1 for j in range(3)})
+    if 100 * repeated > 50 * len(w):
+        return False
+    lines, chars = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], sum(map(len, w))
+    found = lambda pattern: len(re.findall(pattern, t))
+    x = {
+        "n_words": len(w), "mean_word": chars / len(w), "symbol_rate": found(r"[#*$%&|<>]") / chars, "dup_line_rate": (len(lines) - len(set(lines))) / len(lines), "repeat_rate": repeated / len(w),
+        "upper_rate": found("[A-Z]") / chars, "digit_rate": found("[0-9]") / chars, "mark_rate": found("[.,;:!?]") / len(w), "distinct_rate": len(set(w)) / len(w),
+    }
+    return not any(all((x[k.feature] >= k.value) == k.above for k in rule) for rule in rules)
+
+
+def test_quality_query_equals_brute_force(spark):
+    """The registered query's learned verdict for every document; the same labels in another order give the same list."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rules = quality.train(docs, labels)
+    assert rules and quality.train(docs.orderBy(F.rand(1)), labels.orderBy(F.rand(2))) == rules
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = queries.op6_quality_rules(spark, d).select("doc_id", "base_failed", "kept").collect()
+    assert len(got) == len(text) and any(not r["kept"] and not r["base_failed"] for r in got)
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: brute_kept(rules, t) for i, t in text.items()}
+
+
 def test_quality_rules_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -537,9 +569,12 @@ def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        rules = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")) if name == "quality rules" else None
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
         after = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and set(after) <= set(before), name
+        if name == "quality rules":
+            assert after == {i: t for i, t in before.items() if brute_kept(rules, t)}
         if name == "minhash near-dedup":
             assert set(after) == {i for i, _, _, kept in brute_components(sorted(before.items())) if kept}
         if name == "benchmark decontamination":
@@ -550,4 +585,14 @@ def test_pipeline_stages(spark, sf_dir):
             hit = lambda t: any(tuple(w[k : k + n]) in grams for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))] for n in {len(g) for g in grams} for k in range(len(w) - n + 1))
             assert set(after) == {i for i, t in before.items() if not hit(t)}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert {r["doc_id"] for r in packed} == set(after)
+    want = []
+    for i, t in after.items():
+        full = [*ids(t), 0]
+        cuts = [0, *range((len(full) - 1) % 2048 + 1, len(full) + 1, 2048)]
+        want += [(i, k, a, b - a, crc(full[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(want)
+    at = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 2048
