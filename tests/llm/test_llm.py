@@ -463,6 +463,23 @@ def test_line_groups_equal_brute_force(spark):
     assert gone <= want and len(gone) >= 0.97 * len(want) > 0, (len(gone), len(want))
 
 
+def test_lines_of_a_bucket_all_meet(spark, monkeypatch):
+    """All lines in one bucket: lines alike are linked though both are unlike every pivot, as by a comparison of all pairs."""
+    rng = np.random.default_rng(22)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    lines = []
+    for _ in range(60):
+        w = [word() for _ in range(int(rng.integers(5, 9)))]
+        lines.append(" ".join(w))
+        w[0] = word()
+        lines.append(" ".join(w))
+    rows = list(enumerate(lines))
+    monkeypatch.setattr(line_dedup, "_buckets", lambda nodes, tmp, thorough: tmp.staged(nodes.select(F.lit(1).cast("long").alias("key"), "node"), "buckets"))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_line_groups(rows)
+    assert len(want) > 40 and {(r["doc_id"], k) for r in out for k in r["_gone"]} == want
+
+
 def test_line_recall_at_threshold(spark):
     """Pairs of edit similarity 0.8 to 0.95, by letters or by whole words, are nearly all found; so is a word added."""
     rng = np.random.default_rng(5)
