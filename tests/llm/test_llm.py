@@ -480,6 +480,43 @@ def test_lines_of_a_bucket_all_meet(spark, monkeypatch):
     assert len(want) > 40 and {(r["doc_id"], k) for r in out for k in r["_gone"]} == want
 
 
+def test_lines_in_parts(spark, monkeypatch):
+    """Runs, buckets and pairs are dealt with in parts, each by the runs and buckets of one, and the same lines go; nothing shuffled is left over."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 10 = 0").select("doc_id", "text")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, real, before = [], line_dedup._runs, spark.conf.get(name, None)
+    monkeypatch.setattr(line_dedup, "_runs", lambda nodes: seen.append((nodes.count(), spark.conf.get(name))) or real(nodes))
+    gone = lambda: sorted((r["doc_id"], tuple(r["_gone"])) for r in line_dedup.dedup_lines(docs).collect())
+    whole = gone()
+    lines = seen[0][0]
+    monkeypatch.setattr(line_dedup, "PART_LINES", lines)
+    monkeypatch.setattr(line_dedup, "PART_PAIRS", lines // 2)
+    assert gone() == whole and any(g for _, g in whole)
+    assert len(seen) == 3 and sum(n for n, _ in seen[1:]) == seen[0][0] and {on for _, on in seen} == {"true"}
+    assert spark.conf.get(name, None) == before
+
+
+def test_line_sample_equals_whole_sort(spark):
+    """Of long lines only low hashes are sorted; the sample is that of all runs, also where runs repeat and few are low."""
+    rng = np.random.default_rng(31)
+    lines = ["".join(rng.choice(list(abc), n)) for n in (30, 129, 400, 3000) for abc in ("ab", "abcdefghijklmnopqrst")] + ["ab" * 700, "x" * 500 + "yz" * 90 + "w" * 400]
+    rows = [(i, _placed(line)) for i, line in enumerate(lines)]
+    got = line_dedup._sampled(spark.createDataFrame(rows, "i int, r array<long>"), ["r"]).select("i", "r").collect()
+    for r in got:
+        want = {}
+        for e in sorted(rows[r["i"]][1]):
+            run = e >> line_dedup.PLACE_BITS
+            want[run] = e if run not in want else e | line_dedup.NO_PLACE
+        assert [e >> line_dedup.PLACE_BITS for e in r["r"]] == sorted(want)[: line_dedup.THOROUGH_SAMPLE]
+        assert all((e & line_dedup.NO_PLACE == line_dedup.NO_PLACE) == (want[e >> line_dedup.PLACE_BITS] & line_dedup.NO_PLACE == line_dedup.NO_PLACE) for e in r["r"])
+
+
+def _placed(line):
+    """Runs of six characters as 44 bits of a hash and the place, signed."""
+    each = (int.from_bytes(hashlib.md5(line[i : i + 6].encode()).digest()[:8], "little", signed=True) for i in range(len(line) - 5))
+    return [(h & ~line_dedup.NO_PLACE) | i for i, h in enumerate(each)]
+
+
 def test_line_recall_at_threshold(spark):
     """Pairs of edit similarity 0.8 to 0.95, by letters or by whole words, are nearly all found; so is a word added."""
     rng = np.random.default_rng(5)
