@@ -87,6 +87,15 @@ def legacy_lookup(refs: DataFrame, works: DataFrame) -> DataFrame:
     return refs.join(best, refs["ref"] == best["any_id"], "left").drop("any_id")
 
 
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on ``keys``, of which nulls are equal."""
+    other = b.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in b.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(other, on).drop(*[f"_{c}" for c in keys])
+
+
 def ladder(rows: DataFrame, rungs: list[DataFrame], key: str = "row_id") -> DataFrame:
     """Candidates of several rungs (``row_id, candidate``); the first rung with any decides.
 
@@ -239,6 +248,17 @@ def _strong(a: Column, b: Column) -> Column:
     return (F.length(shorter) >= 14) & (F.size(F.split(shorter, " ")) >= 3)
 
 
+def _alike_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``ak, bk, equal, strong``: the names of ``a`` and ``b``, each once, that are equal or of which one's words stand together in the other, wherever. Empty ones are like nothing."""
+    a, b = a.select("ak").where("ak <> ''").distinct(), b.select("bk").where("bk <> ''").distinct()
+    words = lambda t, key: t.select("*", F.explode(F.array_distinct(F.split(key, " "))).alias("word"))
+    inner = _rarest_word(b, a, "bk", "ak").join(words(a, "ak"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("ak"), F.col("bk")))
+    outer = _rarest_word(a, b, "ak", "bk").join(words(b, "bk"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("bk"), F.col("ak")))
+    equal = a.join(b, F.col("ak") == F.col("bk")).select("ak", "bk", F.lit(True).alias("equal"))
+    within = inner.select("ak", "bk").unionByName(outer.select("ak", "bk")).withColumn("equal", F.lit(False))
+    return equal.unionByName(within).withColumn("strong", _strong(F.col("ak"), F.col("bk")))
+
+
 def _by_year(pairs: DataFrame) -> DataFrame:
     """``row_id, candidate`` of ``row_id, year, candidate, ly``: the one of the exact year; several end it; else the one a year off; else the only one there is, if its year is unknown. Without a year the only one."""
     exact, near = F.col("ly") == F.col("year"), F.abs(F.col("ly") - F.col("year")) <= 1
@@ -270,31 +290,57 @@ PROFILES = {
 }
 
 
+def _with_names(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The distinct ``fields`` of each ``key``, with all the ``names`` of its rows, sorted."""
+    sets = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.struct(*fields)).alias("_f"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"))
+    return sets.select(key, "names", F.explode("_f").alias("_f")).select(key, "names", "_f.*")
+
+
 def best_match(items: DataFrame, candidates: DataFrame, profile: str = "web") -> DataFrame:
-    """The best candidate by score, where it reaches the profile's threshold. Pairs come from a shared id, or a title variant that is equal or one in the other, at word boundaries; variants count less by rank. A wrong year or director counts against a candidate where the profile says so."""
-    w = PROFILES[profile]
+    """The best candidate by score, where it reaches the profile's threshold. Pairs come from a shared id, or a title variant that is equal or one in the other, at word boundaries; variants count less by rank. A wrong year or director counts against a candidate where the profile says so.
+
+    Of candidates that score alike the least is the best, so rows meet as kinds: those of
+    the same title, director and year (and ids, where these count) are one. Of the candidates
+    of a title the best of each director and year is kept, then, for each director of a row,
+    that of each year.
+    """
+    w, ids = PROFILES[profile], any(PROFILES[profile]["ids"])
     tmdb = lambda t: F.col("tmdb") if "tmdb" in t.columns else F.lit(None).cast("string")
-    v = items.select("row_id", F.posexplode(title_variants(F.col("title"))).alias("rank", "variant")).select("row_id", "rank", match_key(F.col("variant")).alias("vk"))
-    cand = candidates.select(F.col("cand_id"), F.col("imdb").alias("c_imdb"), tmdb(candidates).alias("c_tmdb"), F.col("year").alias("c_year"), match_key(F.col("director")).alias("c_dir"), match_key(F.col("title")).alias("ck"))
-    points = lambda kind: F.lit(w[kind][0]) - w[kind][1] * F.col("rank")
-    titled = v.join(cand, F.col("vk") == F.col("ck")).where("vk <> ''").select("row_id", "cand_id", points("exact").alias("pts"))
-    within = _containing(v.select(F.struct("row_id", "rank").alias("a_id"), F.col("vk").alias("ak")), cand.select(F.col("cand_id").alias("b_id"), F.col("ck").alias("bk")))
-    within = within.select("a_id.*", F.col("b_id").alias("cand_id"), _strong(F.col("ak"), F.col("bk")).alias("strong"))
-    partial = within.select("row_id", "cand_id", F.when(F.col("strong"), points("strong")).otherwise(points("inside")).alias("pts"))
-    own = items.select("row_id", "imdb", tmdb(items).alias("tmdb"), "year", match_key(F.col("director")).alias("dir"))
-    pairs = titled.unionByName(partial)
-    if any(w["ids"]):
-        for mine, theirs in (("imdb", "c_imdb"), ("tmdb", "c_tmdb")):
-            pairs = pairs.unionByName(own.join(cand, F.col(mine) == F.col(theirs)).select("row_id", "cand_id", F.lit(0).alias("pts")))
-    pairs = pairs.groupBy("row_id", "cand_id").agg(F.max("pts").alias("pts"))
-    full = pairs.join(own, "row_id").join(cand.drop("ck").distinct(), "cand_id")
+    variants = F.transform(title_variants(F.col("title")), lambda x, i: F.struct(match_key(x).alias("vk"), i.alias("rank")))
+    own = items.select("row_id", variants.alias("names"), "year", match_key(F.col("director")).alias("dir"), "imdb", tmdb(items).alias("tmdb"))
+    cand = candidates.select("cand_id", F.array_compact(F.array(match_key(F.col("title")))).alias("names"), F.col("year").alias("c_year"), match_key(F.col("director")).alias("c_dir"), F.col("imdb").alias("c_imdb"), tmdb(candidates).alias("c_tmdb"))
+    fields = ["dir", "year", *(["imdb", "tmdb"] if ids else [])]
+    mine = _with_names(own, "row_id", fields)
+    theirs = _with_names(cand, "cand_id", [f"c_{c}" for c in fields]).withColumn("ck", F.explode_outer("names")).groupBy("ck", *[f"c_{c}" for c in fields]).agg(F.min("cand_id").alias("cand_id"))
+
+    points = lambda kind, rank: F.lit(w[kind][0]) - w[kind][1] * rank
+    of_kind = lambda equal, strong, rank: F.when(equal, points("exact", rank)).when(strong, points("strong", rank)).otherwise(points("inside", rank))
     apart = F.abs(F.col("year") - F.col("c_year"))
-    score = F.col("pts") + F.when(apart == 0, w["year"][0]).when(apart == 1, w["year"][1]).when(apart > 1, w["year"][2]).otherwise(0)
+    by_year = F.when(apart == 0, w["year"][0]).when(apart == 1, w["year"][1]).when(apart > 1, w["year"][2]).otherwise(0)
     same = F.contains("dir", F.col("c_dir")) | F.contains("c_dir", F.col("dir"))
-    score = score + F.when((F.col("dir") == "") | (F.col("c_dir") == ""), 0).when(same, w["director"][0]).when(~same, w["director"][1]).otherwise(0)
-    score = score + F.when(F.col("imdb") == F.col("c_imdb"), w["ids"][0]).otherwise(0) + F.when(F.col("tmdb") == F.col("c_tmdb"), w["ids"][1]).otherwise(0)
-    best = full.withColumn("score", score).where(F.col("score") >= w["least"])
-    return best.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "cand_id"))).where("_r = 1").select("row_id", "cand_id", "score")
+    by_director = F.when((F.col("dir") == "") | (F.col("c_dir") == ""), 0).when(same, w["director"][0]).when(~same, w["director"][1]).otherwise(0)
+
+    def best(rows: DataFrame, score: Column, *key: str) -> DataFrame:
+        return rows.withColumn("score", score).groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("loss"), "cand_id")).alias("b")).select(*key, (-F.col("b.loss")).alias("score"), "b.cand_id")
+
+    each = mine.select("names").distinct().select("names", F.explode("names").alias("x")).select("names", "x.vk", "x.rank")
+    alike = _alike_names(each.select(F.col("vk").alias("ak")), theirs.select(F.col("ck").alias("bk")))
+    titled = each.join(alike, F.col("vk") == F.col("ak")).groupBy("names", F.col("bk").alias("ck")).agg(F.max(of_kind(F.col("equal"), F.col("strong"), F.col("rank"))).alias("score"))
+    found = best(titled.join(theirs, "ck"), F.col("score"), "names", "c_dir", "c_year")
+    found = best(mine.select("names", "dir").distinct().join(found, "names"), F.col("score") + by_director, "names", "dir", "c_year")
+    found = _null_safe(mine.select("names", "dir", "year").distinct(), found, ["names", "dir"])
+    found = best(found.withColumn("score", F.col("score") + by_year).where(F.col("score") >= w["least"]), F.col("score"), "names", "dir", "year")
+    out = _null_safe(mine.select("row_id", "names", "dir", "year"), found, ["names", "dir", "year"]).select("row_id", "score", "cand_id")
+    if ids:
+        worth = lambda x: of_kind(x["vk"] == F.col("ck"), _strong(x["vk"], F.col("ck")), x["rank"])
+        met = F.filter("names", lambda x: (x["vk"] != "") & (F.col("ck") != "") & (_inside(x["vk"], F.col("ck")) | _inside(F.col("ck"), x["vk"])))
+        shared = [F.when(F.col(c) == F.col(f"c_{c}"), w["ids"][i]).otherwise(0) for i, c in enumerate(("imdb", "tmdb"))]
+        score = F.coalesce(F.array_max(F.transform(met, worth)), F.lit(0)) + by_year + by_director + shared[0] + shared[1]
+        kinds = mine.select("names", *fields).distinct()
+        for c in ("imdb", "tmdb"):
+            pairs = kinds.join(theirs, F.col(c) == F.col(f"c_{c}")).withColumn("score", score).where(F.col("score") >= w["least"])
+            out = out.unionByName(_null_safe(mine, best(pairs, F.col("score"), "names", *fields), ["names", *fields]).select("row_id", "score", "cand_id"))
+    return best(out, F.col("score"), "row_id").select("row_id", "cand_id", "score")
 
 
 def seen_keys(seen: DataFrame) -> DataFrame:

@@ -429,3 +429,21 @@ def test_upserts(spark, tmp_path, monkeypatch):
     tables.forget_versions(spark, root)
     tables.upsert_batch(spark.createDataFrame([("a", 999, "z")], schema), 5, root, ["k"], ["at"], 4)
     assert rows(tables.upserted(spark, root, schema), "k", "at") == sorted((held | {"a": 999}).items(), key=repr)
+
+
+def test_best_match_of_equal_titles_meets_by_kinds(spark):
+    """Rows of a title that recurs n times on both sides never make n times n pairs."""
+    n = 500
+    items = spark.range(n).selectExpr("id AS row_id", "if(id % 2 = 0, 'Dr No', 'The Dr No File') AS title", "cast(null AS string) AS imdb", "cast(1960 + id % 3 AS int) AS year", "if(id % 5 = 0, 'Young', 'Hunt') AS director")
+    cand = spark.range(n).selectExpr(f"{n} - id AS cand_id", "cast(null AS string) AS imdb", "'Dr No' AS title", "if(id % 7 = 0, 'Hunt', 'Terence Young') AS director", "cast(1962 + id % 2 AS int) AS year")
+    df = identity.best_match(items, cand)
+    assert max(join_rows(df)) <= n
+    best = {}
+    for c in cand.collect():
+        for kind in {(t, y, d) for t in ("Dr No", "The Dr No File") for y in (1960, 1961, 1962) for d in ("Young", "Hunt")}:
+            t, y, d = kind
+            score = (85 if t == "Dr No" else 45) + {0: 40, 1: 8}.get(abs(y - c["year"]), -80) + (35 if d in c["director"] else -20)
+            if score >= 70:
+                best[kind] = min(best.get(kind, (0, 0)), (-score, c["cand_id"]))
+    want = [(r["row_id"], best[k][1], -best[k][0]) for r in items.collect() if (k := (r["title"], r["year"], r["director"])) in best]
+    assert rows(df) == sorted(want, key=repr) and want
