@@ -96,16 +96,34 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, on).drop(*[f"_{c}" for c in keys])
 
 
+def sharing(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``row_id, candidate, n``: with how many candidates (``candidate, key``) a row (``row_id, key``) has a key in common, and the least of them.
+
+    Rows with the same set of keys are one kind, as are candidates. Kinds meet, and a
+    kind brings the number of its candidates along: a key that n rows and n candidates
+    have never makes n times n pairs. Null keys are none.
+    """
+    of = lambda t, own: t.where(F.col("key").isNotNull() & F.col(own).isNotNull()).groupBy(own).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    mine = of(rows, "row_id")
+    theirs = of(candidates, "candidate").groupBy(F.col("keys").alias("their")).agg(F.min("candidate").alias("candidate"), F.count("*").alias("n"))
+    met = mine.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(theirs.select("*", F.explode("their").alias("key")), "key")
+    each = met.groupBy("keys", "their").agg(F.min("candidate").alias("candidate"), F.max("n").alias("n"))
+    per = each.groupBy("keys").agg(F.min("candidate").alias("candidate"), F.sum("n").alias("n"))
+    return mine.join(per, "keys").select("row_id", "candidate", "n")
+
+
 def ladder(rows: DataFrame, rungs: list[DataFrame], key: str = "row_id") -> DataFrame:
     """Candidates of several rungs (``row_id, candidate``); the first rung with any decides.
 
     ``basis`` is the rung's number from 1, ``candidate`` set only if the rung has
-    exactly one, ``n`` how many it has. Rows that no rung knows have basis null.
+    exactly one, ``n`` how many it has. Rows that no rung knows have basis null. A rung
+    with a column ``n`` has been counted, as by `sharing`, and has a row a row.
     """
-    every = rungs[0].select(key, "candidate", F.lit(1).alias("basis"))
-    for k, rung in enumerate(rungs[1:], 2):
-        every = every.unionByName(rung.select(key, "candidate", F.lit(k).alias("basis")))
-    per = every.groupBy(key, "basis").agg(F.min("candidate").alias("candidate"), F.countDistinct("candidate").alias("n"))
+    each = lambda rung: rung if "n" in rung.columns else rung.groupBy(key).agg(F.min("candidate").alias("candidate"), F.countDistinct("candidate").alias("n"))
+    per = None
+    for k, rung in enumerate(rungs, 1):
+        counted = each(rung).select(key, F.lit(k).alias("basis"), "candidate", "n")
+        per = counted if per is None else per.unionByName(counted)
     best = per.groupBy(key).agg(F.min(F.struct("basis", "candidate", "n")).alias("b"))
     best = best.select(key, F.col("b.basis").alias("basis"), F.when(F.col("b.n") == 1, F.col("b.candidate")).alias("candidate"), F.col("b.n").alias("n"))
     return rows.join(best, key, "left")
@@ -233,15 +251,6 @@ def phrase_containment(texts: DataFrame, names: DataFrame) -> DataFrame:
     return held.where("n = length").select("text_id", "name_id").distinct()
 
 
-def _containing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of ``a_id, ak`` and ``b_id, bk`` of which one's words stand together in the other, wherever; equal ones are left out."""
-    a, b = a.where("ak <> ''").distinct(), b.where("bk <> ''").distinct()
-    words = lambda t, key: t.select("*", F.explode(F.array_distinct(F.split(key, " "))).alias("word"))
-    inner = _rarest_word(b, a, "bk", "ak").join(words(a, "ak"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("ak"), F.col("bk")))
-    outer = _rarest_word(a, b, "ak", "bk").join(words(b, "bk"), "word").where((F.col("ak") != F.col("bk")) & _inside(F.col("bk"), F.col("ak")))
-    return inner.select("a_id", "ak", "b_id", "bk").unionByName(outer.select("a_id", "ak", "b_id", "bk"))
-
-
 def _strong(a: Column, b: Column) -> Column:
     """Whether the shorter of two names has 14 characters and three words."""
     shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
@@ -259,27 +268,37 @@ def _alike_names(a: DataFrame, b: DataFrame) -> DataFrame:
     return equal.unionByName(within).withColumn("strong", _strong(F.col("ak"), F.col("bk")))
 
 
-def _by_year(pairs: DataFrame) -> DataFrame:
-    """``row_id, candidate`` of ``row_id, year, candidate, ly``: the one of the exact year; several end it; else the one a year off; else the only one there is, if its year is unknown. Without a year the only one."""
+def _named(items: DataFrame, lib: DataFrame) -> DataFrame:
+    """``row_id, wide, candidate``: the candidate of equal names, and if ``wide`` of equal and strongly contained ones, by the year.
+
+    It is the one of the exact year; several end it; else the one a year off; else the
+    only one there is, if its year is unknown. Without a year the only one. Rows of the
+    same names are one kind, as are candidates: kinds meet, with the number of candidates
+    and the least of them, and never rows with candidates.
+    """
+    mine = items.where("_k <> ''").groupBy("row_id", "year").agg(F.sort_array(F.collect_set("_k")).alias("names"))
+    theirs = lib.where("lk <> ''").groupBy("candidate", "ly").agg(F.sort_array(F.collect_set("lk")).alias("their")).groupBy("their", "ly").agg(F.min("candidate").alias("c"), F.count("*").alias("n"))
+    a = mine.select("names").distinct().select("names", F.explode("names").alias("ak"))
+    b = theirs.select("their").distinct().select("their", F.explode("their").alias("bk"))
+    met = a.join(_alike_names(a, b).where("equal OR strong"), "ak").join(b, "bk").groupBy("names", "their").agg(F.max("equal").alias("equal"))
+    wide = F.explode(F.when(F.col("equal"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True))))
+    dated = met.withColumn("wide", wide).join(theirs, "their").groupBy("names", "wide", "ly").agg(F.min("c").alias("c"), F.sum("n").alias("n"))
     exact, near = F.col("ly") == F.col("year"), F.abs(F.col("ly") - F.col("year")) <= 1
-    g = pairs.distinct().groupBy("row_id").agg(
-        F.count("*").alias("n"), F.min("candidate").alias("c"), F.max("ly").alias("known"), F.max("year").alias("year"),
-        F.count_if(exact).alias("n_exact"), F.min(F.when(exact, F.col("candidate"))).alias("c_exact"), F.count_if(near).alias("n_near"), F.min(F.when(near, F.col("candidate"))).alias("c_near"),
-    )
+    of = lambda cond, x: [F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(f"n_{x}"), F.min(F.when(cond, F.col("c"))).alias(f"c_{x}")]
+    kinds = mine.select("names", "year").distinct().join(dated, "names").groupBy("names", "year", "wide").agg(F.sum("n").alias("n"), F.min("c").alias("c"), F.max("ly").alias("known"), *of(exact, "exact"), *of(near, "near"))
+    sums = [F.sum(c).alias(c) for c in ("n", "n_exact", "n_near")] + [F.min(c).alias(c) for c in ("c", "c_exact", "c_near")]
+    g = _null_safe(mine, kinds, ["names", "year"]).groupBy("row_id", "wide").agg(*sums, F.max("known").alias("known"), F.max("year").alias("year"))
     only = F.when(F.col("n") == 1, F.col("c"))
     chosen = F.when(F.col("year").isNull(), only).when(F.col("n_exact") > 0, F.when(F.col("n_exact") == 1, F.col("c_exact"))).when(F.col("n_near") == 1, F.col("c_near")).when(F.col("known").isNull(), only)
-    return g.select("row_id", chosen.alias("candidate")).where("candidate IS NOT NULL")
+    return g.select("row_id", "wide", chosen.alias("candidate")).where("candidate IS NOT NULL")
 
 
 def library_match(items: DataFrame, library: DataFrame) -> DataFrame:
-    """Imdb id, tmdb id, equal name, then equal name or strong containment (14 characters, 3 words of the shorter) wherever it stands; names by the year, as `_by_year`. The first rung that settles on a candidate is the ``basis``, 1 to 4."""
-    lib = library.select(F.col("lib_id").alias("candidate"), F.col("imdb").alias("li"), F.col("tmdb").alias("lt"), F.col("year").alias("ly"), library_key(F.col("name")).alias("lk"))
-    it = items.withColumn("_k", library_key(F.col("title")))
-    equal = it.where("_k <> ''").join(lib, F.col("_k") == F.col("lk")).select("row_id", "year", "candidate", "ly")
-    within = _containing(it.select(F.struct("row_id", "year").alias("a_id"), F.col("_k").alias("ak")), lib.select(F.struct("candidate", "ly").alias("b_id"), F.col("lk").alias("bk"))).where(_strong(F.col("ak"), F.col("bk")))
-    named = within.select("a_id.*", "b_id.*").unionByName(equal)
-    rungs = [it.join(lib, F.col("imdb") == F.col("li")), it.join(lib, F.col("tmdb") == F.col("lt")), _by_year(equal), _by_year(named)]
-    return ladder(items, rungs)
+    """Imdb id, tmdb id, equal name, then equal name or strong containment (14 characters, 3 words of the shorter) wherever it stands; names by the year, as `_named`. The first rung that settles on a candidate is the ``basis``, 1 to 4."""
+    lib = library.select(F.col("lib_id").alias("candidate"), "imdb", "tmdb", F.col("year").alias("ly"), library_key(F.col("name")).alias("lk"))
+    named = _named(items.select("row_id", "year", library_key(F.col("title")).alias("_k")), lib)
+    by_id = [sharing(items.select("row_id", F.col(x).alias("key")), lib.select("candidate", F.col(x).alias("key"))) for x in ("imdb", "tmdb")]
+    return ladder(items, [*by_id, named.where("NOT wide"), named.where("wide")])
 
 
 #: Fixed values of J16 by profile. Titles: points of an exact, a strongly contained and a contained title, each with what a variant loses by rank. Years: same, next, other. Directors: same, other. Ids: imdb, tmdb. Least score.

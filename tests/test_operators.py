@@ -447,3 +447,15 @@ def test_best_match_of_equal_titles_meets_by_kinds(spark):
                 best[kind] = min(best.get(kind, (0, 0)), (-score, c["cand_id"]))
     want = [(r["row_id"], best[k][1], -best[k][0]) for r in items.collect() if (k := (r["title"], r["year"], r["director"])) in best]
     assert rows(df) == sorted(want, key=repr) and want
+
+
+def test_library_match_counts_recurring_names(spark):
+    """Names that recur n times on both sides meet once; copies of a candidate count once, under however many names."""
+    n = 500
+    items = spark.range(n).selectExpr("id AS row_id", "'The Very Long Title Indeed' AS title", "if(id % 2 = 0, 'tt1', null) AS imdb", "cast(null AS string) AS tmdb", "cast(if(id % 3 = 0, 1962, 1900) AS int) AS year")
+    lib = spark.range(n).selectExpr("id AS lib_id", "if(id % 2 = 0, 'The Very Long Title Indeed', 'x The Very Long Title Indeed') AS name", "'tt1' AS imdb", "cast(null AS string) AS tmdb", "cast(1950 + if(id = 7, 12, id % 2) AS int) AS year")
+    lib = lib.unionByName(lib.where("lib_id = 7").withColumn("name", F.lit("The Very Long Title Indeed y")))
+    df = identity.library_match(items, lib)
+    assert max(join_rows(df)) <= 2 * n
+    # several by id settle on none; else the only one of the year, which is contained alone
+    assert rows(df, "row_id", "basis", "candidate") == sorted([(i, 1, None) if i % 2 == 0 else (i, 4, 7) if i % 3 == 0 else (i, None, None) for i in range(n)], key=repr)
