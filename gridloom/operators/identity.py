@@ -48,20 +48,24 @@ def resolve(rows: DataFrame, works: DataFrame) -> DataFrame:
     names = works.select(F.col("id").alias("cid"), F.col("year").alias("cy"), match_key(F.col("director")).alias("cd"), F.explode(F.array_union(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     names = names.select("cid", "cy", "cd", match_key(F.col("name")).alias("ck")).distinct()
     keyed = rows.withColumn("_k", match_key(F.col("title"))).withColumn("_d", match_key(F.col("director")))
-    hit = keyed.select("row_id", "work_ref", "year", "_k", "_d").join(names, F.col("_k") == F.col("ck"), "left")
-    of_year, of_director = F.when(F.col("cy") == F.col("year"), F.col("cid")), F.when(F.col("cd") == F.col("_d"), F.col("cid"))
-    # whether there is none, one or several shows in the least and the greatest
-    ends = [f(c).alias(f"{name}{x}") for name, c in (("t", F.col("cid")), ("y", of_year), ("d", of_director)) for x, f in (("", F.min), ("_hi", F.max))]
-    sets = hit.groupBy("row_id").agg(*ends, F.max((F.col("cid") == F.col("work_ref")).cast("int")).alias("agrees"))
-    known = works.select(F.col("id").alias("_id")).distinct()
-    out = rows.join(sets, "row_id").join(known, F.col("work_ref") == F.col("_id"), "left")
+    of = names.groupBy(F.col("cid").alias("_id")).agg(F.collect_set("ck").alias("_names"))
+    stated = keyed.where("work_ref IS NOT NULL").join(of, F.col("work_ref") == F.col("_id"), "left")
+    reason = F.when(F.col("_id").isNull(), "id_unknown").when(F.array_contains("_names", F.col("_k")), "id").otherwise("id_title_conflict")
+    stated = stated.withColumn("reason", reason).withColumn("work_id", F.when(F.col("reason") == "id", F.col("work_ref")))
+    # works are counted before they meet the rows: whether there is none, one or several shows in the least and the greatest
+    found = keyed.where("work_ref IS NULL")
+    for x, also in (("t", {}), ("y", {"cy": "year"}), ("d", {"cd": "_d"})):
+        ends = names.groupBy(F.col("ck").alias(f"_k{x}"), *[F.col(c).alias(f"_{c}") for c in also]).agg(F.min("cid").alias(x), F.max("cid").alias(f"{x}_hi"))
+        on = F.col("_k") == F.col(f"_k{x}")
+        for c, mine in also.items():
+            on = on & (F.col(mine) == F.col(f"_{c}"))
+        found = found.join(ends, on, "left")
     one = lambda c: F.col(c) == F.col(f"{c}_hi")
-    reason = (
-        F.when(F.col("work_ref").isNotNull() & F.col("_id").isNull(), "id_unknown").when(F.col("work_ref").isNotNull() & (F.coalesce("agrees", F.lit(0)) == 1), "id").when(F.col("work_ref").isNotNull(), "id_title_conflict")
-        .when(F.col("t").isNull(), "unmatched").when(one("t"), "title").when(one("y"), "title_year").when(one("d"), "title_director").otherwise("ambiguous")
-    )
-    work = F.when(F.col("reason") == "id", F.col("work_ref")).when(F.col("reason") == "title", F.col("t")).when(F.col("reason") == "title_year", F.col("y")).when(F.col("reason") == "title_director", F.col("d"))
-    return out.withColumn("reason", reason).withColumn("work_id", work).drop("t", "y", "d", "t_hi", "y_hi", "d_hi", "agrees", "_id")
+    reason = F.when(F.col("t").isNull(), "unmatched").when(one("t"), "title").when(one("y"), "title_year").when(one("d"), "title_director").otherwise("ambiguous")
+    work = F.when(F.col("reason") == "title", F.col("t")).when(F.col("reason") == "title_year", F.col("y")).when(F.col("reason") == "title_director", F.col("d"))
+    found = found.withColumn("reason", reason).withColumn("work_id", work)
+    own = [*[F.col(f"`{c}`") for c in rows.columns], "reason", "work_id"]
+    return stated.select(*own).unionByName(found.select(*own))
 
 
 def id_then_title(rows: DataFrame, works: DataFrame, pos: str = "pos") -> DataFrame:

@@ -459,3 +459,15 @@ def test_library_match_counts_recurring_names(spark):
     assert max(join_rows(df)) <= 2 * n
     # several by id settle on none; else the only one of the year, which is contained alone
     assert rows(df, "row_id", "basis", "candidate") == sorted([(i, 1, None) if i % 2 == 0 else (i, 4, 7) if i % 3 == 0 else (i, None, None) for i in range(n)], key=repr)
+
+
+def test_resolve_counts_works_before_the_rows(spark):
+    """Titles that recur n times on both sides never make n times n pairs."""
+    n = 500
+    works = spark.range(n).selectExpr("id", "'Dr No' AS title", "cast(null AS array<string>) AS aliases", "if(id = 3, 1963, 1962) AS year", "if(id = 4, 'Young', 'Hunt') AS director")
+    r = spark.range(n).selectExpr("id AS row_id", "case when id % 5 = 0 then id when id % 5 = 1 then 9999 when id % 5 = 2 then 3 end AS work_ref", "if(id % 5 = 2, 'Other', 'Dr no') AS title", "if(id % 10 = 3, 1963, 1962) AS year", "if(id % 10 = 4, 'Young', 'Hunt') AS director")
+    df = identity.resolve(r, works)
+    assert max(join_rows(df)) <= n
+    kinds = {0: "id", 1: "id_unknown", 2: "id_title_conflict", 3: "title_year", 4: "title_director", 5: "id", 6: "id_unknown", 7: "id_title_conflict", 8: "ambiguous", 9: "ambiguous"}
+    found = {"id": lambda i: i, "title_year": lambda i: 3, "title_director": lambda i: 4}
+    assert rows(df, "row_id", "reason", "work_id") == sorted([(i, kinds[i % 10], found.get(kinds[i % 10], lambda i: None)(i)) for i in range(n)], key=repr)
