@@ -164,18 +164,30 @@ def release_title(raw: Column) -> Column:
     director, if it has 3 to 90 characters and no word of the trade. Without a year there
     is no director. Parentheses around the year go with it.
     """
-    text = F.trim(F.replace(F.regexp_replace(decode_entities(raw), r"^\s*(?:\[[^\]]+\]\s*)+", ""), F.lit("_"), F.lit(" ")))
-    text = F.regexp_replace(text, rf"(?i)\s+(?:{RELEASE_TAIL}).*$", "")
     dated = r"^(.*?)\b(19\d{2}|20\d{2})\b(.*)$"
-    year = F.nullif(F.regexp_extract(text, dated, 2), F.lit("")).try_cast("int")
-    before = _stripped(F.regexp_extract(text, dated, 1), " .–—(-")
-    after = F.regexp_replace(F.regexp_extract(text, dated, 3), "^[ .–—:;)-]+|[ .–—:;-]+$", "")
-    after = F.regexp_replace(after, rf"(?i)\s*\((?:{LANGUAGE_NOTES}|téléfilm|telefilm)[^)]*\)\s*$", "")
-    after = _stripped(F.regexp_replace(after, rf"(?i)\s+(?:{LANGUAGE_NOTES})\b.*$", ""), " .–—:;-")
-    director = F.when(F.length(after).between(3, 90) & ~after.rlike(rf"(?i)\b(?:{NO_DIRECTOR})\b"), after)
-    title = F.when(F.length(before) >= 2, before).otherwise(text)
-    title = _stripped(F.regexp_replace(F.regexp_replace(title, r"[.]+", " "), r"\s{2,}", " "), " .–—-")
-    return F.struct(F.when(title != "", title).otherwise(F.trim(raw)).alias("title"), year.alias("year"), director.alias("director"))
+
+    def parts(text: Column) -> Column:
+        return F.struct(text.alias("text"), *[F.regexp_extract(text, dated, g).alias(f"g{g}") for g in (1, 2, 3)])
+
+    def cleaned(p: Column) -> Column:
+        after = F.regexp_replace(p["g3"], "^[ .–—:;)-]+|[ .–—:;-]+$", "")
+        after = F.regexp_replace(after, rf"(?i)\s*\((?:{LANGUAGE_NOTES}|téléfilm|telefilm)[^)]*\)\s*$", "")
+        after = _stripped(F.regexp_replace(after, rf"(?i)\s+(?:{LANGUAGE_NOTES})\b.*$", ""), " .–—:;-")
+        return F.struct(p["text"].alias("text"), F.nullif(p["g2"], F.lit("")).try_cast("int").alias("year"), _stripped(p["g1"], " .–—(-").alias("before"), after.alias("after"))
+
+    def told(c: Column) -> Column:
+        title = F.when(F.length(c["before"]) >= 2, c["before"]).otherwise(c["text"])
+        title = _stripped(F.regexp_replace(F.regexp_replace(title, r"[.]+", " "), r"\s{2,}", " "), " .–—-")
+        director = F.when(F.length(c["after"]).between(3, 90) & ~c["after"].rlike(rf"(?i)\b(?:{NO_DIRECTOR})\b"), c["after"])
+        return F.struct(title.alias("title"), c["year"].alias("year"), director.alias("director"))
+
+    text = F.trim(F.replace(F.regexp_replace(decode_entities(raw), r"^\s*(?:\[[^\]]+\]\s*)+", ""), F.lit("_"), F.lit(" ")))
+    # each step is bound to a variable of a lambda, so that it is computed once however often the next ones read it
+    steps = F.array(F.regexp_replace(text, rf"(?i)\s+(?:{RELEASE_TAIL}).*$", ""))
+    for step in (parts, cleaned, told):
+        steps = F.transform(steps, step)
+    r = F.transform(steps, lambda t: F.struct(F.when(t["title"] != "", t["title"]).otherwise(F.trim(raw)).alias("title"), t["year"].alias("year"), t["director"].alias("director")))
+    return F.get(r, F.lit(0))
 
 
 def clean_director(c: Column) -> Column:

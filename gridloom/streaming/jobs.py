@@ -163,8 +163,15 @@ def match_cache(matches: DataFrame, hours: int = 7 * 24, late: str = "1 hour") -
 
 def enrich(topics: DataFrame, works: DataFrame) -> DataFrame:
     """Topics parsed, matched to the catalogue by title key and year, and filled from it (stream–static join)."""
-    t = topics.withColumn("r", release_title(F.col("topic_title")))
+    if topics.isStreaming:
+        t = topics.withColumn("r", release_title(F.col("topic_title")))
+    else:  # titles recur: each is parsed once, and a topic may match many works, so that topics are dealt over all partitions
+        parsed = topics.select(F.col("topic_title").alias("_title")).distinct().withColumn("r", release_title(F.col("_title")))
+        dealt = topics.repartition(int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        t = dealt.join(parsed, F.col("topic_title").eqNullSafe(F.col("_title")), "left").drop("_title")
     t = t.withColumn("_k", fresh_key(F.col("r.title"))).withColumn("_y", F.col("r.year"))
-    cat = works.select(fresh_key(F.col("title")).alias("_ck"), F.col("year").alias("_cy"), F.col("id").alias("work_id"), F.col("director").alias("catalogue_director"))
-    j = t.join(cat, (F.col("_k") == F.col("_ck")) & (F.col("_y").isNull() | (F.col("_y") == F.col("_cy"))), "left")
+    # a work stands under its year and, for topics without one, under none, so that the year is a key of the join
+    years = F.explode(F.array_distinct(F.array(F.col("year"), F.lit(None))))
+    cat = works.select(fresh_key(F.col("title")).alias("_ck"), years.alias("_cy"), F.col("id").alias("work_id"), F.col("director").alias("catalogue_director"))
+    j = t.join(cat, (F.col("_k") == F.col("_ck")) & F.col("_y").eqNullSafe(F.col("_cy")), "left")
     return j.select(*[c for c in topics.columns], F.col("r.title").alias("title"), F.col("_y").alias("year"), F.coalesce("r.director", "catalogue_director").alias("director"), "work_id")

@@ -471,3 +471,13 @@ def test_resolve_counts_works_before_the_rows(spark):
     kinds = {0: "id", 1: "id_unknown", 2: "id_title_conflict", 3: "title_year", 4: "title_director", 5: "id", 6: "id_unknown", 7: "id_title_conflict", 8: "ambiguous", 9: "ambiguous"}
     found = {"id": lambda i: i, "title_year": lambda i: 3, "title_director": lambda i: 4}
     assert rows(df, "row_id", "reason", "work_id") == sorted([(i, kinds[i % 10], found.get(kinds[i % 10], lambda i: None)(i)) for i in range(n)], key=repr)
+
+
+def test_enrich_joins_by_title_and_year(spark):
+    """The year is a key of the join, and no condition on the pairs of a title; topics without a year meet the works of any year, and of none."""
+    works = spark.createDataFrame([(1, "Dr No", 1962, "Young"), (2, "Dr No", 1963, None), (3, "Dr No", None, "Hunt"), (4, "Other", 1962, None)], "id int, title string, year int, director string")
+    topics = spark.createDataFrame([(1, "[X] Dr.No (1962) 720p"), (2, "Dr No"), (3, "Dr No 1970"), (4, None)], "topic_id int, topic_title string")
+    df = jobs.enrich(topics, works)
+    assert rows(df, "topic_id", "title", "year", "director", "work_id") == sorted([(1, "Dr No", 1962, "Young", 1), (2, "Dr No", None, None, 2), (2, "Dr No", None, "Hunt", 3), (2, "Dr No", None, "Young", 1), (3, "Dr No", 1970, None, None), (4, None, None, None, None)], key=repr)
+    joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_ck" in line]
+    assert joins and all("[_ck" in j and "_cy" in j.split("LeftOuter")[0] and "(isnull" not in j.split("LeftOuter")[1] for j in joins)
