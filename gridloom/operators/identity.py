@@ -169,10 +169,9 @@ def slot_ladder(rows: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def dossier_ladder(dossiers: DataFrame, works: DataFrame) -> DataFrame:
     """Exact link, else same title and year."""
-    links = works.select(F.explode(F.map_values("links")).alias("wl"), F.col("id").alias("candidate"))
-    titled = works.select(match_key(F.col("title")).alias("wk"), F.col("year").alias("wy"), F.col("id").alias("candidate"))
-    mine = dossiers.select("row_id", F.explode(F.map_values("links")).alias("l"))
-    return ladder(dossiers, [mine.join(links, F.col("l") == F.col("wl")), dossiers.join(titled, (match_key(F.col("title")) == F.col("wk")) & (F.col("year") == F.col("wy")))])
+    links = lambda t, own: t.select(F.col(own).alias("x"), F.explode(F.map_values("links")).alias("key"))
+    titled = lambda t, own: t.select(F.col(own).alias("x"), match_key(F.col("title")).alias("k"), F.col("year").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").select("x", F.struct("k", "y").alias("key"))
+    return ladder(dossiers, [sharing(of(dossiers, "row_id").withColumnRenamed("x", "row_id"), of(works, "id").withColumnRenamed("x", "candidate")) for of in (links, titled)])
 
 
 def pick_plan(picks: DataFrame, works: DataFrame, dossiers: DataFrame) -> DataFrame:

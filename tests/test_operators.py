@@ -481,3 +481,14 @@ def test_enrich_joins_by_title_and_year(spark):
     assert rows(df, "topic_id", "title", "year", "director", "work_id") == sorted([(1, "Dr No", 1962, "Young", 1), (2, "Dr No", None, None, 2), (2, "Dr No", None, "Hunt", 3), (2, "Dr No", None, "Young", 1), (3, "Dr No", 1970, None, None), (4, None, None, None, None)], key=repr)
     joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_ck" in line]
     assert joins and all("[_ck" in j and "_cy" in j.split("LeftOuter")[0] and "(isnull" not in j.split("LeftOuter")[1] for j in joins)
+
+
+def test_dossiers_meet_works_by_kinds(spark):
+    """Titles and links that recur n times on both sides never make n times n pairs; a work of several common links is one."""
+    n = 500
+    works = spark.range(n).selectExpr("id", "'Dr No' AS title", "if(id = 1, 1963, 1962) AS year", "if(id % 2 = 0, map('a', 'u', 'b', 'v'), map('a', concat('w', id))) AS links")
+    ds = spark.range(n).selectExpr("id AS row_id", "'Dr  no' AS title", "if(id < 5, 1963, 1962) AS year", "if(id % 2 = 0, map('a', 'v', 'b', 'u', 'c', 'w3'), if(id = 9, map('a', 'w5'), map())) AS links")
+    df = identity.dossier_ladder(ds, works)
+    assert max(join_rows(df)) <= n
+    want = [(i, 1, None, n // 2 + 1) if i % 2 == 0 else (i, 1, 5, 1) if i == 9 else (i, 2, 1, 1) if i < 5 else (i, 2, None, n - 1) for i in range(n)]
+    assert rows(df, "row_id", "basis", "candidate", "n") == sorted(want, key=repr)
