@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.identity import seen_keys, without_seen
+from gridloom.staging import small, staged
 
 
 def visible(cards: DataFrame, seen: DataFrame, target: str = "target") -> DataFrame:
@@ -71,27 +72,38 @@ def family_claims(follows: DataFrame, pools: DataFrame, seen: DataFrame) -> Data
     ``user_id, family``, ``pools`` a row per ``family, page_pos, work_id`` with ``rank,
     target, eligible``, ``seen`` ``user_id, work_id``. Null keys join nothing.
 
-    A page passes over one reserve at most for each work that its user has seen, that
-    the family shows, or that an earlier page claimed: its need plus these counts bounds
-    what it can use, and no more than that of its reserves is joined. What a page may use
-    depends on those before it, so the pages of a user's family, so bounded, are folded
-    in one array.
+    What all followers of a family have in common is made once: the places of primaries,
+    and the reserves that are no primary of the family (an unseen one is shown, so that
+    none of them can be claimed). Users bring only what they have seen of it. A page
+    passes over one reserve at most for each one of its own that the user has seen or that
+    an earlier page claimed: its need plus these counts bounds what it can use, and no
+    more than that of its reserves is joined. What a page may use depends on those before
+    it, so the pages of a user's family, so bounded, are folded in one array.
     """
     page = ["user_id", "family", "page_pos"]
-    follows, seen = follows.select("user_id", "family").distinct(), seen.select("user_id", "work_id").distinct()
-    primary = pools.where("rank <= target")
-    mine = follows.join(primary, "family").join(seen.withColumn("_seen", F.lit(1)), ["user_id", "work_id"], "left")
-    shown = mine.where("_seen IS NULL").withColumn("slot", F.row_number().over(Window.partitionBy(*page).orderBy("rank", "work_id"))).select(*page, "work_id", "slot")
-    pages = mine.groupBy(*page).agg(F.max("target").alias("target"), F.count(F.when(F.col("_seen").isNull(), 1)).alias("visible"))
-    short = pages.withColumn("need", F.col("target") - F.col("visible")).where("need > 0")
+    follows, seen = follows.select("user_id", "family").distinct(), seen.select("user_id", "work_id").where("user_id IS NOT NULL AND work_id IS NOT NULL").distinct()
+    own = pools.join(small(staged(follows.select("family").distinct(), "families")), "family", "left_semi")
+    in_order = Window.partitionBy("family", "page_pos").orderBy("rank", "work_id")
+    primary = staged(own.where("rank <= target").withColumn("place", F.row_number().over(in_order)).select("family", "page_pos", "work_id", "target", "place"), "primaries")
+    laid = own.where("rank > target AND eligible AND work_id IS NOT NULL").join(small(primary.select("family", "work_id").distinct()), ["family", "work_id"], "left_anti")
+    laid = staged(laid.withColumn("place", F.row_number().over(in_order)).select("family", "page_pos", "work_id", "place"), "reserves")
+    hits = seen.join(primary, "work_id").join(follows, ["user_id", "family"], "left_semi").select(*page, "place")
+    mine = follows.join(hits.groupBy("user_id", "family").agg(F.collect_list(F.struct("page_pos", "place")).alias("hits")), ["user_id", "family"], "left").join(primary, "family")
+    here = lambda h: h["page_pos"] == F.col("page_pos")
+    gone = F.coalesce(F.exists("hits", lambda h: here(h) & (h["place"] == F.col("place"))), F.lit(False))
+    before = F.size(F.filter("hits", lambda h: here(h) & (h["place"] < F.col("place"))))
+    shown = mine.where(~gone).withColumn("slot", F.when(F.col("hits").isNull(), F.col("place")).otherwise(F.col("place") - before)).select(*page, "work_id", "slot")
+    pages = primary.groupBy("family", "page_pos").agg(F.max("target").alias("target"), F.count("*").alias("n"))
+    # pages with fewer primaries than their target are short for all who follow them
+    lacking = follows.join(pages.where("n < target").select("family", "page_pos"), "family").select(*page, F.lit(0).alias("hit"))
+    short = hits.select(*page, F.lit(1).alias("hit")).unionByName(lacking).groupBy(*page).agg(F.sum("hit").alias("hit")).join(pages, ["family", "page_pos"])
+    short = short.select(*page, (F.col("target") - F.col("n") + F.col("hit")).alias("need"), (F.col("n") - F.col("hit")).alias("visible")).where("need > 0")
     earlier = Window.partitionBy("user_id", "family").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)
-    n_seen = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
-    n_primary = primary.groupBy("family").agg(F.countDistinct("work_id").alias("_shown"))
-    asked = short.withColumn("_claimed", F.coalesce(F.sum("need").over(earlier), F.lit(0))).join(n_seen, "user_id").join(n_primary, "family")
-    asked = asked.select(*page, "need", "visible", (F.col("need") + F.col("_claimed") + F.col("_seen") + F.col("_shown")).alias("upto"))
-    laid = pools.where("rank > target AND eligible").withColumn("place", F.row_number().over(Window.partitionBy("family", "page_pos").orderBy("rank", "work_id")))
-    cards = first_cards(asked, laid.select("family", "page_pos", "work_id", "place"), ["family", "page_pos"])
-    cards = cards.join(seen, ["user_id", "work_id"], "left_anti").join(shown.select("user_id", "family", "work_id"), ["user_id", "family", "work_id"], "left_anti")
+    passed = seen.join(laid, "work_id").groupBy(*page).agg(F.count("*").alias("_seen"))
+    asked = short.withColumn("_claimed", F.coalesce(F.sum("need").over(earlier), F.lit(0))).join(passed, page, "left")
+    asked = asked.select(*page, "need", "visible", (F.col("need") + F.col("_claimed") + F.coalesce("_seen", F.lit(0))).alias("upto"))
+    cards = first_cards(asked, laid, ["family", "page_pos"])
+    cards = cards.join(seen, ["user_id", "work_id"], "left_anti")
     offers = cards.groupBy(*page).agg(F.max("need").alias("need"), F.max("visible").alias("visible"), F.transform(F.sort_array(F.collect_list(F.struct("place", "work_id"))), lambda c: c["work_id"]).alias("works"))
     family = offers.groupBy("user_id", "family").agg(F.sort_array(F.collect_list(F.struct("page_pos", "need", "visible", "works"))).alias("pages"))
     kind = {c: t for c, t in pools.dtypes}

@@ -54,7 +54,9 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' parts per supplier as ranked pools: by quantity, targets of 5."""
     from pyspark.sql import Window
 
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pool_id"), F.col("l_partkey").alias("work_id")).agg(F.sum("l_quantity").cast("long").alias("qty"))
+    # dealt by pool, for the sums and the ranks alike: one shuffle
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").repartition("l_suppkey")
+    g = li.groupBy(F.col("l_suppkey").alias("pool_id"), F.col("l_partkey").alias("work_id")).agg(F.sum("l_quantity").cast("long").alias("qty"))
     rank = F.row_number().over(Window.partitionBy("pool_id").orderBy(F.desc("qty"), "work_id"))
     return g.withColumn("rank", rank).withColumn("target", F.lit(5))
 

@@ -673,7 +673,7 @@ SELECT user_id, family, page_pos, work_id, slot FROM shown UNION ALL SELECT user
 def w08(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     p = pool(spark, d)
-    seen = e.where("event_type IN ('purchase', 'view')").join(p, (F.col("pool_id") == F.col("k") + 1) & (F.col("rank") == F.col("event_id") % 7 + 1)).select("user_id", "work_id")
+    seen = e.where("event_type IN ('purchase', 'view')").join(p.where("rank <= 7"), (F.col("pool_id") == F.col("k") + 1) & (F.col("rank") == F.col("event_id") % 7 + 1)).select("user_id", "work_id")
     pages = p.select(F.floor(F.col("pool_id") / 4).alias("family"), (F.col("pool_id") % 4).alias("page_pos"), "work_id", "rank", "target", (F.col("work_id") % 2 == 0).alias("eligible"))
     out = personal.family_claims(e.select("user_id", F.floor((F.col("k") + 1) / 4).alias("family")), pages, seen)
     return out.withColumn("slot", big("slot"))

@@ -492,3 +492,15 @@ def test_dossiers_meet_works_by_kinds(spark):
     assert max(join_rows(df)) <= n
     want = [(i, 1, None, n // 2 + 1) if i % 2 == 0 else (i, 1, 5, 1) if i == 9 else (i, 2, 1, 1) if i < 5 else (i, 2, None, n - 1) for i in range(n)]
     assert rows(df, "row_id", "basis", "candidate", "n") == sorted(want, key=repr)
+
+
+def test_family_claims_joins_what_a_page_can_use(spark):
+    """Works that a user has seen elsewhere don't add to the reserves that are joined; a page that lacks primaries is filled for users who have seen nothing."""
+    pools = spark.range(1_000).selectExpr("1 AS family", "0 AS page_pos", "cast(id AS int) AS work_id", "cast(id + 1 AS int) AS rank", "5 AS target", "true AS eligible")
+    pools = pools.unionByName(spark.createDataFrame([(2, 0, 7, 1, 3, True), (2, 0, 8, 2, 3, True), (2, 0, 9, 4, 3, True)], pools.schema))
+    follows = spark.range(40).selectExpr("cast(id AS int) AS user_id", "if(id = 0, 2, 1) AS family")
+    seen = spark.range(1, 40).selectExpr("cast(id AS int) AS user_id", "explode(sequence(5000, 5300)) AS work_id").unionByName(spark.range(1, 40).selectExpr("cast(id AS int) AS user_id", "2 AS work_id"))
+    df = personal.family_claims(follows, pools, seen)
+    assert max(join_rows(df)) <= 40 * 16
+    want = [(0, 2, 0, 7, 1), (0, 2, 0, 8, 2), (0, 2, 0, 9, 3)] + [(u, 1, 0, w, i + 1) for u in range(1, 40) for i, w in enumerate((0, 1, 3, 4, 5))]
+    assert rows(df, "user_id", "family", "page_pos", "work_id", "slot") == sorted(want, key=repr)
