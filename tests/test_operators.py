@@ -504,3 +504,21 @@ def test_family_claims_joins_what_a_page_can_use(spark):
     assert max(join_rows(df)) <= 40 * 16
     want = [(0, 2, 0, 7, 1), (0, 2, 0, 8, 2), (0, 2, 0, 9, 3)] + [(u, 1, 0, w, i + 1) for u in range(1, 40) for i, w in enumerate((0, 1, 3, 4, 5))]
     assert rows(df, "user_id", "family", "page_pos", "work_id", "slot") == sorted(want, key=repr)
+
+
+def test_seen_state_shares_states(spark, tmp_path):
+    """Users share states by the hash of their id, so that calls don't grow with users and keys; large ids and nulls stay what they are."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "user_id long, k string, ts timestamp, event_id long, action string"
+    users = [None, 2**60 + 1, *range(100)]
+    actions = [(u, k, at(10 * i + len(k or "")), i, a) for u in users for k in ("x", "yy", None) for i, a in enumerate(("a", "seen", "toggle", "seen"))]
+    for n, part in enumerate((actions[::2], actions[1::2], [(7, "end", at(5000), 9, "seen")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = jobs.seen_state(stream, "2 hours", buckets=8).writeStream.format("memory").queryName("shared_states").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 8
+    got = spark.table("shared_states")
+    assert got.count() == len(actions) and {r["user_id"] for r in got.collect()} == set(users)
+    last = got.groupBy("user_id", "k").agg(F.max_by(F.struct("status", "previous_status"), F.struct("ts_us", "event_id")).alias("s")).select("user_id", "k", "s.*")
+    assert rows(last) == sorted([(u, k, "vu", "a") for u in users for k in ("x", "yy", None)], key=repr)
